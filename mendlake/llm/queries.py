@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendlake.llm import mixing, sharding
+from mendlake.llm import forest, mixing, sharding
 from mendlake.llm.store import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -119,3 +119,28 @@ ORACLES = {
     "op5_sharding": place_sql("documents", "doc_id"),
     "op9_mixing": f"WITH {mix_sql('documents')} SELECT * FROM chosen",
 }
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def near_sql(docs: str) -> str:
+    """WITH parts (of a recursive WITH) that end in near(doc_id, n_shingles, component_id)."""
+    return f"""
+    near_words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {docs}),
+    near_sets AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', chr(10))) WHEN len(w) > 0 THEN [list_aggregate(w, 'string_agg', chr(10))] ELSE []::VARCHAR[] END) AS s
+        FROM near_words
+    ),
+    near_rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM near_sets),
+    near_links AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM near_rows a JOIN near_rows b ON a.g = b.g AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+    ),
+    near_reach AS (SELECT doc_id AS node, doc_id AS low FROM {docs} UNION SELECT b, low FROM near_reach JOIN near_links ON a = node),
+    near AS (SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(low) FROM near_reach WHERE node = doc_id) AS component_id FROM near_sets)"""
+
+
+QUERIES["op10_near_dedup"] = op10_near_dedup
+ORACLES["op10_near_dedup"] = f"WITH RECURSIVE {near_sql('documents')} SELECT *, doc_id = component_id AS kept FROM near"
