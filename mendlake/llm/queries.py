@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendlake.llm import forest, mixing, sharding
+from mendlake.llm import decontaminate, forest, mixing, sharding, toxicity
 from mendlake.llm.store import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -144,3 +144,16 @@ def near_sql(docs: str) -> str:
 
 QUERIES["op10_near_dedup"] = op10_near_dedup
 ORACLES["op10_near_dedup"] = f"WITH RECURSIVE {near_sql('documents')} SELECT *, doc_id = component_id AS kept FROM near"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("text")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES |= {"op1_toxicity": op1_toxicity, "op8_decontamination": op8_decontamination}
