@@ -11,8 +11,8 @@
 4. Exact check on full sets, in two steps. The direct neighbours in FIRST_TREES orders are checked and joined to
    components; of all other candidates only those between different components are left to check. So a group of n
    near copies costs O(n) checks, and no candidate between different components goes unchecked.
-5. What neighbours may miss: a region of more than NEIGHBOURS + 1 nodes that still lies in several components. Every
-   such region's nodes outside its largest component are paired with the nodes of its other components and checked.
+5. What neighbours may miss: links between components that share a region of more than NEIGHBOURS + 1 nodes. There
+   the nodes outside the largest component are compared with all others, in blocks (see residual()).
 
 A pair of similarity 0.75 shares DEPTH_MIN minima in a tree with probability 0.42, so TREES trees miss it with 2e-5.
 """
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendlake.llm.components import components
@@ -39,6 +39,8 @@ HASHES = DEPTH_MIN * TREES
 DEPTH_MAX = 8
 NEIGHBOURS = 6
 FIRST_TREES = 4
+#: Nodes of a block of residual().
+CHUNK = 512
 #: Linked if PERCENT[0] * intersection >= PERCENT[1] * union.
 PERCENT = (100, 75)
 _rng = np.random.Generator(np.random.PCG64(20240601))
@@ -184,20 +186,54 @@ def _chain(one: DataFrame, two: DataFrame) -> DataFrame:
     return kept.unionByName(two.join(one, "node", "left_anti"))
 
 
-def residual(nodes: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs across components within regions that neighbours can't cover: more than NEIGHBOURS + 1 nodes."""
-    cut = orders(nodes).select("tree", F.col("key").substr(1, 4 * DEPTH_MIN).alias("region"), "node")
-    dense = cut.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > NEIGHBOURS + 1).select("tree", "region")
-    inside = cut.join(dense, ["tree", "region"]).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    inside = materialise(inside.select("tree", "region", "node", "component"), "dense")
-    sizes = inside.groupBy("tree", "region", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("tree", "region").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    mixed = inside.join(top.select("tree", "region", F.col("top.component").alias("largest")), ["tree", "region"])
-    few = mixed.filter("component <> largest").select("tree", "region", F.col("node").alias("x"), F.col("component").alias("cx"))
-    rest = mixed.select("tree", "region", F.col("node").alias("y"), F.col("component").alias("cy"), "largest")
-    # Both outside the largest: once, by order of the ids.
-    pairs = few.join(rest, ["tree", "region"]).filter("cx <> cy and (cy = largest or x < y)")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _cross(left: pa.Table, right: pa.Table) -> pa.Table:
+    """One link (a, b) of each node of left to each other component of right with a similar node."""
+    x, y = PERCENT
+    sets = [np.frombuffer(h.as_py(), U) for h in right.column("hashes")]
+    sizes, comp, node = np.array([len(s) for s in sets]), right.column("component").to_numpy(), right.column("node").to_numpy()
+    grams = np.concatenate([*sets, np.zeros(0, U)])
+    order = np.argsort(grams, kind="stable")
+    owner, grams = np.repeat(np.arange(len(sets)), sizes)[order], grams[order]
+    out: list[tuple[int, int]] = []
+    for me, mine, h in zip(left.column("node").to_pylist(), left.column("component").to_pylist(), left.column("hashes"), strict=True):
+        s = np.frombuffer(h.as_py(), U)
+        lo, hi = np.searchsorted(grams, s), np.searchsorted(grams, s, side="right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        near = np.flatnonzero((x * both >= y * (len(s) + sizes - both)) & (comp != mine))
+        out += [(min(me, int(v)), max(me, int(v))) for v in node[near[np.unique(comp[near], return_index=True)[1]]]]
+    return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
+
+
+def residual(nodes: DataFrame, pairs: DataFrame, comp: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b, ca, cb) across components that the neighbours in the orders may have missed.
+
+    A region of more than NEIGHBOURS + 1 nodes has pairs that are no neighbours. Regions lie within families: what the
+    candidate pairs connect, similar or not. In a large family of several components, every node outside the largest
+    is compared on full sets with all nodes of the other components, in blocks of CHUNK by CHUNK nodes, each block a
+    task's work; only links found leave it.
+    """
+    edges = materialise(_joined(pairs.select("a", "b"), comp).filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "family-edges")
+    parts = edges.select(F.col("a").alias("component")).union(edges.select("b")).distinct()
+    joined = components(edges).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    family = materialise(parts.join(joined, "component", "left").select("component", F.coalesce("family", "component").alias("family")), "families")
+    placed = nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    inside = materialise(placed.join(family, "component"), "family-nodes")
+    sizes = inside.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n_all"))
+    sizes = sizes.filter(F.col("n_all") > NEIGHBOURS + 1).select("family", F.col("top.component").alias("largest"), (F.col("n_all") - F.col("top.n")).alias("n_few"), "n_all")
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    inside = materialise(inside.join(sizes, "family").select("family", "component", "node", "largest", chunks("n_few").alias("xs"), chunks("n_all").alias("ys")), "dense")
+    sets = docs.join(small(inside.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "node long, hashes binary")
+    full = materialise(inside.join(sets, "node"), "dense-sets")
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = full.filter("component <> largest").select("family", mine("xs").alias("x"), every("ys").alias("y"), "node", "component", "hashes")
+    rest = full.select("family", every("xs").alias("x"), mine("ys").alias("y"), "node", "component", "hashes")
+    keys = ["family", "x", "y"]
+    found = materialise(few.groupBy(*keys).cogroup(rest.groupBy(*keys)).applyInArrow(_cross, "a long, b long").distinct(), "residual")
+    return _joined(found, comp)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,14 +252,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nodes = materialise(nodes.select(F.col("doc_id").alias("node"), "sig").dropDuplicates(["node"]), "nodes")
     pairs = materialise(candidates(nodes), "candidates")
     comp = materialise(components(verify(pairs.filter("first = 1"), docs)), "components")
-    for more in (pairs.filter("first = 0"), None):
-        todo = residual(nodes, comp) if more is None else more
-        todo = materialise(_joined(todo.select("a", "b"), comp).filter("ca <> cb"), "todo")
-        if todo.isEmpty():
-            continue
-        good = verify(todo, docs)
-        edges = good.join(todo, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        comp = materialise(_chain(comp, components(edges)), "components")
+    todo = materialise(_joined(pairs.filter("first = 0").select("a", "b"), comp).filter("ca <> cb"), "todo")
+    links = verify(todo, docs).join(todo, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    comp = materialise(_chain(comp, components(links)), "components")
+    links = residual(nodes, pairs, comp, docs).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    comp = materialise(_chain(comp, components(links)), "components")
     found = table.select("doc_id", *print_).join(reps, print_, "left")
     found = found.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
