@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from mendlake.llm.store import materialise, small
 
 HEX = 12  # hex digits of the order hash: 48 bits
-ROWS_A_BUCKET = 2000
+ROWS_A_BUCKET = 500
 #: Weight of a node that the weights don't name.
 OTHER_WEIGHT = 1.0
 
@@ -104,8 +104,9 @@ def choose(docs: DataFrame, weights: dict[str, dict[str, float]], fraction: floa
     running = W.partitionBy(*keys, "epoch").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_in").over(running), F.lit(0)))
     whole = dealt.filter("want = leaf_tokens")
-    part = dealt.filter("want < leaf_tokens").join(sums.drop("_in"), [*keys, "epoch", "_bucket"]).filter("_before < want")
+    part = dealt.filter("want < leaf_tokens").join(sums, [*keys, "epoch", "_bucket"]).filter("_before < want")
+    before, part = part.filter("_before + _in < want"), part.filter("_before + _in >= want")
     inner = W.partitionBy(*keys, "epoch", "_bucket").orderBy("_h", "_key", "tokens").rowsBetween(W.unboundedPreceding, -1)
     part = part.withColumn("_row", F.coalesce(F.sum("tokens").over(inner), F.lit(0))).filter("_before + _row < want")
     cols = [F.col("_key").alias(key), *keys, "tokens", "epoch", "budget"]
-    return whole.select(*cols).unionByName(part.select(*cols))
+    return whole.select(*cols).unionByName(before.select(*cols)).unionByName(part.select(*cols))

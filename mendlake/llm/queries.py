@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendlake.llm import decontaminate, forest, mixing, sharding, toxicity
+from mendlake.llm import decontaminate, forest, mixing, secret_scan, sharding, toxicity, warc
 from mendlake.llm.store import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -157,3 +157,27 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_toxicity": op1_toxicity, "op8_decontamination": op8_decontamination}
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(index, payloads=False).drop("url")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+QUERIES |= {"op2_warc": op2_warc, "op7_secret_scan": op7_secret_scan}
+
+#: Base 32 of the 20 bytes of a SHA-1: 40 hex digits are 160 bits, five a letter.
+ORACLES["op2_warc"] = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+    bits AS (SELECT page_id, hex, html, list_aggregate(list_transform(string_split(hex, ''), lambda c: lpad(bin(('0x' || c)::INT), 4, '0')), 'string_agg', '') AS b FROM p),
+    firsts AS (SELECT hex, min(page_id) AS low, count(*) AS n FROM p GROUP BY hex)
+    SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+        list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(list_sum(list_transform(range(0, 5), lambda j: CASE WHEN b[i * 5 + j + 1] = '1' THEN 1 << (4 - j) ELSE 0 END)) + 1)::INT]), 'string_agg', '') AS payload_digest,
+        CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> low THEN low END AS refers_to
+    FROM bits JOIN firsts USING (hex)
+"""
