@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendlake.llm import decontaminate, forest, mixing, secret_scan, sharding, toxicity, warc
+from mendlake.llm import decontaminate, forest, licenses, mixing, secret_scan, sharding, toxicity, warc
 from mendlake.llm.store import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -181,3 +181,10 @@ ORACLES["op2_warc"] = """
         CASE WHEN page_id <> low THEN low END AS refers_to
     FROM bits JOIN firsts USING (hex)
 """
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"]).drop("spans")
+
+
+QUERIES["op3_licenses"] = op3_licenses
