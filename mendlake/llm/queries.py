@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendlake.llm import decontaminate, forest, licenses, mixing, secret_scan, sharding, toxicity, warc
+from mendlake.llm import crosspolytope, decontaminate, forest, licenses, mixing, secret_scan, sharding, toxicity, warc
 from mendlake.llm.store import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -188,3 +188,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_licenses"] = op3_licenses
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op6_nearest"] = op6_nearest
