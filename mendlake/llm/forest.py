@@ -37,7 +37,7 @@ TREES = 20
 HASHES = DEPTH_MIN * TREES
 #: Minima of a tree's key: the deepest prefix that is told apart.
 DEPTH_MAX = 8
-NEIGHBOURS = 6
+NEIGHBOURS = 3
 FIRST_TREES = 4
 #: Nodes of a block of residual().
 CHUNK = 512
