@@ -6,7 +6,8 @@ on a bounded sample of labelled rows (SAMPLE_PER_CLASS toxic and as many others,
 texts that repeat count once), on the places whose log odds between the classes are Z standard errors from none, by
 mini-batch AdaGrad with an L1 penalty.
 The thresholds are then moved by the classes' odds among all labels, as the sample is balanced and the corpus isn't.
-Scoring is one pass over whole texts with the model (4 MB, whatever the data) broadcast; no shuffle.
+The fit is one task on the sample. Scoring is one pass over whole texts with the model's weights (some thousands,
+bounded by the sample) broadcast; no shuffle.
 
 Labels say toxic or not, so the grades 1, 2 and 3 of toxic examples are thirds by the density of words that the
 sample ties to toxicity (log odds of at least LOG_ODDS). Any other graded table can be given instead.
@@ -37,9 +38,15 @@ OUT = {"p_toxic": T.DoubleType(), "severity": T.DoubleType(), "grade": T.Integer
 
 @dataclass
 class Model:
-    weights: np.ndarray  # 2^BITS
+    places: np.ndarray
+    values: np.ndarray  # weights of the places; all others are zero
     thresholds: np.ndarray  # ascending; one less than the grades
 
+    def dense(self) -> np.ndarray:
+        out = np.zeros(1 << BITS, np.float32)
+        out[self.places] = self.values
+        return out
+
     def grades(self, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P(grade >= 1), expected grade, most likely grade."""
         below = 1 / (1 + np.exp(np.clip(margin[:, None] - self.thresholds, -500, 500)))
@@ -72,23 +79,21 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), found], ["y", "places"])
 
 
-def examples(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, list[np.ndarray], tuple[int, int]]:
-    """0/1 labels and features of the bounded sample, and how many labels there are of 0 and 1."""
+def examples(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[DataFrame, tuple[int, int]]:
+    """(y, places) of the bounded sample, and how many labels there are of 0 and 1."""
     given = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = given.filter("y = 1").orderBy(*order).limit(per_class).unionByName(given.filter("y = 0").orderBy(*order).limit(per_class))
     texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows at most
-    got = texts.select("y", "text").mapInArrow(_sparse, "y int, places array<int>").toArrow()
-    ys, xs, seen = [], [], set()
-    for y, x in zip(got.column("y").to_pylist(), got.column("places"), strict=True):
-        x = x.values.to_numpy()
-        if (k := (y, x.tobytes())) not in seen:
-            seen.add(k)
-            ys.append(y)
-            xs.append(x)
-    order_ = sorted(range(len(ys)), key=lambda i: (ys[i], len(xs[i]), xs[i].tobytes()))  # the fit doesn't depend on how tasks ended
-    return np.array([ys[i] for i in order_], int), [xs[i] for i in order_], (counts.get(0, 0), counts.get(1, 0))
+    return texts.select("y", "text").mapInArrow(_sparse, "y int, places array<int>"), (counts.get(0, 0), counts.get(1, 0))
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct examples in an order of their own, so that a fit doesn't depend on how tasks ended."""
+    rows = {(y, x.values.to_numpy().tobytes()) for y, x in zip(table.column("y").to_pylist(), table.column("places"), strict=True)}
+    rows = sorted(rows, key=lambda r: (r[0], len(r[1]), r[1]))
+    return np.array([y for y, _ in rows], int), [np.frombuffer(x, np.int32) for _, x in rows]
 
 
 def severity_grades(y: np.ndarray, xs: list[np.ndarray]) -> np.ndarray:
@@ -119,7 +124,7 @@ def fit(grade: np.ndarray, xs: list[np.ndarray], prior: tuple[int, int], seed: i
     n_grades = max(2, int(grade.max(initial=0)) + 1)
     weights, theta = np.zeros(1 << BITS), np.linspace(0.5, 2.0, n_grades - 1)
     if not len(grade) or not (grade > 0).any() or (grade > 0).all():
-        return Model(weights.astype(np.float32), theta + 20.0)  # nothing to tell apart: nothing is toxic
+        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), theta + 20.0)  # nothing to tell apart: nothing is toxic
     used = telling(grade > 0, xs)
     xs = [x[used[x]] for x in xs]
     g, gt, rng = np.full(1 << BITS, 1e-6), np.full(n_grades - 1, 1e-6), np.random.default_rng(seed)
@@ -148,27 +153,39 @@ def fit(grade: np.ndarray, xs: list[np.ndarray], prior: tuple[int, int], seed: i
             theta = np.maximum.accumulate(theta - RATE / np.sqrt(gt) * dt[1:-1] + 1e-3 * np.arange(n_grades - 1))
     sample = ((grade == 0).sum(), (grade > 0).sum())
     shift = np.log((prior[0] / sample[0]) / (prior[1] / sample[1]))
-    return Model(weights.astype(np.float32), theta + shift)
+    places = np.flatnonzero(weights)
+    return Model(places.astype(np.int32), weights[places].astype(np.float32), theta + shift)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    y, xs, prior = examples(docs, labels, per_class)
-    return fit(severity_grades(y, xs), xs, prior)
+    """The model, fitted in a task: the sample's bound is the task's, and the driver gets the weights only."""
+    sample, prior = examples(docs, labels, per_class)
+
+    def fitted(rows: pa.Table) -> pa.Table:
+        y, xs = _arrays(rows)
+        m = fit(severity_grades(y, xs), xs, prior)
+        return pa.table({"places": pa.array([m.places], pa.list_(pa.int32())), "values": pa.array([m.values], pa.list_(pa.float32())), "thresholds": pa.array([m.thresholds], pa.list_(pa.float64()))})
+
+    got = sample.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(fitted, "places array<int>, values array<float>, thresholds array<double>").first()
+    if got is None:  # no examples
+        return fit(np.zeros(0, int), [], (0, 0))
+    return Model(np.array(got["places"], np.int32), np.array(got["values"], np.float32), np.array(got["thresholds"]))
 
 
-def margins(model: Model, w) -> np.ndarray:
+def margins(weights: np.ndarray, w) -> np.ndarray:
     rows, places = features(w)
-    some = model.weights[places] != 0
+    some = weights[places] != 0
     rows, places = _distinct(rows[some], places[some])
-    return np.bincount(rows, model.weights[places].astype(float), minlength=len(w.first) - 1)
+    return np.bincount(rows, weights[places].astype(float), minlength=len(w.first) - 1)
 
 
 def _scorer(shared, at: int, n: int) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        weights = model.dense()
         for batch in batches:
             for a, b, w in words(batch.column(at), ALNUM):
-                p, severity, grade = model.grades(margins(model, w))
+                p, severity, grade = model.grades(margins(weights, w))
                 cols = [pa.array(p), pa.array(severity), pa.array(grade.astype(np.int32)), pa.array(p >= CUT)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:n]), *cols], [f"c{i}" for i in range(n + 4)])
 
