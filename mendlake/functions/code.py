@@ -157,7 +157,7 @@ def edit_distance(a: list[str], b: list[str]) -> int:
 
 @F.pandas_udf(DISTANCE)
 def tree_distance(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Edit distance of the sequences of node types, and its share of the first; NaN for code that doesn't parse."""
+    """Edit distance of the sequences of node types, and its share of the first; null (so means skip it) for code that doesn't parse."""
     rows = []
     for x, y in zip(a.map(node_types), b.map(node_types), strict=True):
         d = float("nan") if x is None or y is None else float(edit_distance(x, y))
