@@ -156,6 +156,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, tables: int = TABLES
     vectors = vectors.filter(F.size("embedding") == top["d"])
     most = float(np.sqrt(top["sq"]))
     padded = top["least"] < top["sq"] * (1 - 1e-5)  # of one length: they are unit vectors as they are
+    probes = min(probes, 2 << (top["d"] - (not padded)).bit_length())  # there are no more axes
     schema = "vec_id long, embedding array<double>, axes array<int>"
     placed = materialise(vectors.mapInArrow(_hashed(most, False, tables, 1, padded), schema), "vectors")
     asked = materialise(vectors.filter(F.col("vec_id") % every == 0).mapInArrow(_hashed(most, True, tables, probes, padded), schema), "queries")
