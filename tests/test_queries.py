@@ -1,7 +1,7 @@
 """Every registered query of the repair operators against its SQL, on the smallest tables."""
 
 import pytest
-from mendlake.plans import queries
+from mendlake.plans import code_queries, queries  # noqa: F401
 from tests.oracle import connect, same
 
 
@@ -18,5 +18,5 @@ def test_query(spark, sf, duck, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 12 or e.entry(spark).count() > 0
+    assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
