@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mendlake.llm import decontaminate, forest, mixing, sharding, toxicity
 from mendlake.llm.queries import MIX, MIX_EPOCHS, MIX_FRACTION, MIX_SEED, SHARDS, domain_of
-from mendlake.llm.store import materialise, small, table
+from mendlake.llm.store import materialise, small, table, unused
 
 
 def _named() -> Column:
@@ -36,13 +36,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id. Of rows with one id, one stays."""
-    named = docs.withColumn("_id", _named())
-    found = forest.near_duplicates(named.select("_id", "text"), key="_id")
-    kept = materialise(found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("doc_id").alias("_id"), "n"), "kept")
-    once, more = kept.filter("n = 1").select("_id"), kept.filter("n > 1").select("_id")
-    out = named.join(small(once), "_id", "left_semi")
-    if not more.isEmpty():
-        out = out.unionByName(named.join(small(more), "_id", "left_semi").dropDuplicates(["_id"]))
+    i = unused(docs, "_id")
+    named = docs.withColumn(i, _named())
+    found = forest.near_duplicates(named.select(F.col(i).alias("doc_id"), "text"))
+    kept = materialise(found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    of = lambda which: small(kept.filter(which).select(F.col("doc_id").alias(i)))
+    out = named.join(of("n = 1"), i, "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        out = out.unionByName(named.join(of("n > 1"), i, "left_semi").dropDuplicates([i]))
     return out.select(*_columns(docs))
 
 
@@ -53,14 +54,15 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them: a row for every epoch."""
-    named = docs.withColumn("_id", _named())
-    chosen = mixing.choose(named.select("_id", "text", "lang", "source"), MIX, MIX_FRACTION, MIX_EPOCHS, MIX_SEED, domain_of("source"), key="_id")
-    times = materialise(chosen.groupBy("_id").agg(F.count(F.lit(1)).alias("n")), "chosen")
-    rows = named.groupBy("_id").agg(F.count(F.lit(1)).alias("r")).filter("r > 1")
+    i, n, e = (unused(docs, x) for x in ("_id", "_n", "_epoch"))
+    named = docs.withColumn(i, _named())
+    chosen = mixing.choose(named.select(F.col(i).alias("doc_id"), "text", "lang", "source"), MIX, MIX_FRACTION, MIX_EPOCHS, MIX_SEED, domain_of("source"))
+    times = chosen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = named.groupBy(F.col(i).alias("doc_id")).agg(F.count(F.lit(1)).alias("r")).filter("r > 1")
     # Rows that share an id share its epochs evenly.
-    times = times.join(rows, "_id", "left").select("_id", F.round(F.col("n") / F.coalesce("r", F.lit(1))).cast("int").alias("n")).filter("n > 0")
-    times = materialise(times, "times")
-    return named.join(small(times), "_id").withColumn("_e", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*_columns(docs))
+    times = times.join(rows, "doc_id", "left").select(F.col("doc_id").alias(i), F.round(F.col("n") / F.coalesce("r", F.lit(1))).cast("int").alias(n))
+    times = materialise(times.filter(F.col(n) > 0), "times")
+    return named.join(small(times), i).withColumn(e, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*_columns(docs))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

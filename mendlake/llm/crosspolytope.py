@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mendlake.llm.store import materialise
+from mendlake.llm.store import materialise, small
 
 TABLES, PROBES, ROUNDS = 4, 32, 3
 BLOCK = 2048
@@ -156,12 +156,34 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, tables: int = TABLES
     vectors = vectors.filter(F.size("embedding") == top["d"])
     most = float(np.sqrt(top["sq"]))
     padded = top["least"] < top["sq"] * (1 - 1e-5)  # of one length: they are unit vectors as they are
-    probes = min(probes, 2 << (top["d"] - (not padded)).bit_length())  # there are no more axes
+    axes = 2 << (top["d"] - (not padded)).bit_length()
+    probes = min(probes, axes)
     schema = "vec_id long, embedding array<double>, axes array<int>"
     placed = materialise(vectors.mapInArrow(_hashed(most, False, tables, 1, padded), schema), "vectors")
-    asked = materialise(vectors.filter(F.col("vec_id") % every == 0).mapInArrow(_hashed(most, True, tables, probes, padded), schema), "queries")
+    asking = vectors.filter(F.col("vec_id") % every == 0)
+
+    def found(queries: DataFrame, tables: int, probes: int) -> DataFrame:
+        asked = materialise(queries.mapInArrow(_hashed(most, True, tables, probes, padded), schema), "queries")
+        return materialise(_top(_met(asked, placed, tables, probes, k), k), "nearest")
+
+    out = found(asking, tables, probes)
+    # Queries that met too few vectors look at all axes of a table, which hold every vector.
+    enough = out.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k, top["n"] - 1)).select("vec_id")
+    few = materialise(asking.join(small(enough), "vec_id", "left_anti"), "few")
+    if not few.isEmpty():
+        out = out.join(small(few.select(F.col("vec_id").alias("query_id"))), "query_id", "left_anti").unionByName(found(few, 1, axes))
+    return out
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _met(asked: DataFrame, placed: DataFrame, tables: int, probes: int, k: int) -> DataFrame:
+    """The best k of each query in every block that it meets."""
     by_axis = lambda df, p: df.select("*", F.posexplode("axes").alias("at", "axis")).withColumn("table", F.floor(F.col("at") / p).cast("int")).drop("at")
-    rows, wants = by_axis(placed, 1), by_axis(asked, probes)
+    rows, wants = by_axis(placed, 1).filter(F.col("table") < tables), by_axis(asked, probes)
     # Sizes of the buckets: at most tables * 2 * d rows.
     count = lambda df, name: df.groupBy("table", "axis").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     chunks = materialise(count(rows, "vs").join(count(wants, "qs"), ["table", "axis"]), "chunks")
@@ -170,6 +192,4 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, tables: int = TABLES
     keys = ["table", "axis", "v", "q"]
     rows = rows.join(F.broadcast(chunks), ["table", "axis"]).select("table", "axis", mine("vs").alias("v"), each("qs").alias("q"), "vec_id", "embedding", "axes")
     wants = wants.join(F.broadcast(chunks), ["table", "axis"]).select("table", "axis", each("vs").alias("v"), mine("qs").alias("q"), "vec_id", "embedding", "axes")
-    found = wants.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(_best(tables, probes, k), "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return wants.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(_best(tables, probes, k), "query_id long, vec_id long, score double")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendlake.llm.store import materialise, small
+from mendlake.llm.store import materialise, small, unused
 from mendlake.llm.words import ALNUM, U, Words, mix, words
 
 SHINGLE = 5
@@ -216,7 +216,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     of all of them. Empty tables give an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(key), F.xxhash64("text").alias("tkey"), "text")
+    kind = docs.schema[key].dataType.simpleString()
+    docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
     items = materialise(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_grams, "item_id long, size int, gram long").distinct(), "items")
     n = items.select("item_id").distinct().count()
     share = items.groupBy("gram").agg(F.countDistinct("item_id").alias("n"))
@@ -241,17 +242,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
         found = windows.join(small(near), ["size", "hi", "lo"])
         found = found.groupBy("tkey").agg(F.collect_set(F.struct("item_id", "size", "start")).alias("found"))
         found = materialise(found, "found")
-        text = docs.join(small(found.select("tkey")), "tkey", "left_semi").join(small(found, 100_000), "tkey").select(key, "text", "found")
-        kind = docs.schema[key].dataType.simpleString()
+        text = docs.join(small(found.select("tkey")), "tkey", "left_semi").join(small(found, 100_000), "tkey").select("doc_id", "text", "found")
         got = text.mapInArrow(_verifier(shared), f"doc_id {kind}, item_id long, start int, similarity double")
         out = got if out is None else out.unionByName(got)
-    kind = docs.schema[key].dataType.simpleString()
     out = spark.createDataFrame([], f"doc_id {kind}, item_id long, start int, similarity double") if out is None else out
     return out.withColumnRenamed("doc_id", key)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs (any columns, with text) in which no item leaked."""
-    keyed = docs.select("text").withColumn("_tkey", F.xxhash64("text"))
-    bad = materialise(leaks(keyed, benchmark, "_tkey").select("_tkey").distinct(), "leaked")
-    return docs.withColumn("_tkey", F.xxhash64("text")).join(small(bad), "_tkey", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = unused(docs, "_tkey")
+    keyed = docs.select("text").withColumn(key, F.xxhash64("text"))
+    bad = materialise(leaks(keyed, benchmark, key).select(key).distinct(), "leaked")
+    return docs.withColumn(key, F.xxhash64("text")).join(small(bad), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -98,7 +98,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for j in range(1, NEIGHBOURS + 1):
             lo = max(0, old - j)
             x, y = np.arange(lo, len(node) - j), np.arange(lo + j, len(node))
-            near = (tree[x] == tree[y]) & (key[x, :DEPTH_MIN] == key[y, :DEPTH_MIN]).all(axis=1)
+            near = (tree[x] == tree[y]) & (node[x] != node[y]) & (key[x, :DEPTH_MIN] == key[y, :DEPTH_MIN]).all(axis=1)
             x, y = x[near], y[near]
             if len(x):
                 yield _pair_rows(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), ((tree[x] < FIRST_TREES) & (j == 1)).astype(np.int32))
@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Nulls: a null text is empty; empty texts have no shingles and are linked with nothing. A null id stands for
     nothing: such a row is in the component of its exact copies that have an id, else component_id is null and it is
-    kept. Repeated rows (one id more than once) are one document. Extra columns of docs are not read. An empty table
+    kept. Rows that repeat an id are one document, of all their
+    texts if these differ. Extra columns of docs are not read. An empty table
     gives an empty one.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -249,7 +250,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     print_ = ["n_shingles", "fp1", "fp2"]
     reps = materialise(table.filter("n_shingles > 0").groupBy(*print_).agg(F.min("doc_id").alias("rep")), "classes")
     nodes = table.filter("n_shingles > 0").join(small(reps.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
-    nodes = materialise(nodes.select(F.col("doc_id").alias("node"), "sig").dropDuplicates(["node"]), "nodes")
+    nodes = materialise(nodes.select(F.col("doc_id").alias("node"), "sig").distinct(), "nodes")
     pairs = materialise(candidates(nodes), "candidates")
     comp = materialise(components(verify(pairs.filter("first = 1"), docs)), "components")
     todo = materialise(_joined(pairs.filter("first = 0").select("a", "b"), comp).filter("ca <> cb"), "todo")

@@ -67,6 +67,12 @@ def test_hard_cases(spark):
     assert len(run(spark, rows)) == len(rows)
 
 
+def test_one_id_two_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    got = run(spark, [(11, one), (11, two), (12, one + " c"), (13, two + " c"), (14, "other words that stand here alone")])
+    assert {r[0]: r[2] for r in got} == {11: 11, 12: 11, 13: 11, 14: 14}
+
+
 def test_empty_and_clashing_columns(spark):
     assert run(spark, []) == []
     df = spark.createDataFrame([(1, "a b c", 9, "x"), (2, "a b c", 8, "y")], "doc_id long, text string, component_id int, rep string")

@@ -207,6 +207,10 @@ def test_search_small(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in crosspolytope.search(df).collect())
     assert {g[:3] for g in got} == {(20, 1, 1), (20, 2, 1)} or {g[:3] for g in got} == {(20, 1, 1)}
     assert crosspolytope.search(df.limit(0)).count() == 0
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(15)]  # fewer than k: all of them
+    got = crosspolytope.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(r["vec_id"] for r in got) == list(range(1, 15)) and {r["query_id"] for r in got} == {0}
 
 
 # --- sharding

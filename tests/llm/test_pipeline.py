@@ -30,9 +30,12 @@ def test_hard_rows(spark, sf):
     text = "one two three four five six seven eight nine ten"
     rows = [(1, text, "en", "src1", "x"), (1, text, "en", "src1", "x"), (None, "only this", None, None, "y"), (2, None, "en", "src2", "z"), (3, text + " eleven", "en", "src1", "w"), (4, "", "de", "src3", "v")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, toxic string")
+    for name in ("_id", "_n", "n", "_tkey", "tkey", "kept", "epoch", "_text", "found"):  # names that the stages use
+        docs = docs.withColumn(name, F.lit("mine"))
     for name, stage in corpus_pipeline.STAGES:
         full, none = stage(spark, docs, sf), stage(spark, docs.limit(0), sf)
-        assert full.columns[:5] == docs.columns and none.count() == 0, name
+        assert full.columns[: len(docs.columns)] == docs.columns and none.count() == 0, name
+        assert full.filter("_id = 'mine' and _tkey = 'mine' and n = 'mine'").count() == full.count(), name
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "4", "None"]
     assert corpus_pipeline.drop_toxic(spark, docs, sf).filter(F.col("toxic") == "x").count() == 2
