@@ -80,8 +80,9 @@ def usable_suite(wellformed: Column, n_eval_asserts: Column) -> Column:
 
 
 def random_pick(items: Column, key: Column, seed: int) -> Column:
-    """A member of an array chosen by a hash of key and seed, the same in any order of rows; null of none."""
-    return F.get(items, F.pmod(F.xxhash64(key, F.lit(seed)), F.greatest(F.size(items), F.lit(1))).cast("int"))
+    """A member of an array chosen by a hash of seed and key, the same in any order of rows; null of none."""
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.get(items, F.pmod(place, F.greatest(F.size(items), F.lit(1))).cast("int"))
 
 
 def candidate_summary(passed: Column, total: Column, sample: Column, chosen: Column) -> Column:

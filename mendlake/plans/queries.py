@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendlake.functions import nested, text
+from mendlake.functions import nested, records, text
 from mendlake.operators import evaluate, joins, metrics, ordering, rewards, selection
 from mendlake.plans import experiments, training
 from mendlake.sources.readers import counted, measured
@@ -520,3 +520,84 @@ def report_rows(by_mode: DataFrame, spark: SparkSession) -> DataFrame:
 def experiment_cross(spark, sf_dir):
     agg = results(spark, sf_dir).groupBy("branch").agg(F.count_if("ok").alias("passed"))
     return joins.with_experiments(agg, experiments.dimension(spark).select("experiment"))
+
+
+# --- more rules on records ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {R}, x AS (SELECT suite, list(idx ORDER BY idx) FILTER (WHERE NOT ok) AS bad FROM r GROUP BY suite) SELECT suite, coalesce(bad[(('0x' || substr(md5('1012:' || suite), 1, 8))::BIGINT % greatest(len(bad), 1) + 1)], -1)::INT AS target FROM x")
+def random_target(spark, sf_dir):
+    bad = results(spark, sf_dir).groupBy("suite").agg(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("idx")))).alias("bad"))
+    return bad.select("suite", F.coalesce(selection.random_pick(F.col("bad"), F.col("suite"), 1012), F.lit(-1)).cast("int").alias("target"))
+
+
+@query(f"WITH {R}, x AS (SELECT suite, list(DISTINCT 'assert candidate(' || idx || ')') FILTER (WHERE ok) AS good FROM r WHERE idx <> 3 GROUP BY suite) SELECT suite, coalesce(array_to_string(list_sort(good), ';'), '') AS kept FROM x")
+def gold_asserts(spark, sf_dir):
+    rows = results(spark, sf_dir).filter("idx <> 3").groupBy("suite").agg(F.collect_list(F.struct("idx", "ok")).alias("l"))
+    asserts = F.transform("l", lambda x: F.concat(F.lit("assert candidate("), x["idx"].cast("string"), F.lit(")")))
+    return rows.select("suite", F.array_join(F.array_sort(records.gold_asserts(asserts, F.transform("l", lambda x: x["ok"]))), ";").alias("kept"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) + length(source) + 1 <= 1500 THEN length(text) + length(source) + 1 ELSE length(text) END::INT AS chars FROM documents WHERE length(text) <= 1500")
+def prompt_gate(spark, sf_dir):
+    prompt = records.fitting_prompt(F.concat_ws("\n", "source", "text"), F.col("text"), 1500)
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(prompt).alias("chars")).filter("chars is not null")
+
+
+@query("SELECT event_id, array_to_string(CASE WHEN event_id % 2 = 0 THEN [event_id, 8] ELSE [9, event_id, 8] END, ',') AS made FROM events")
+def token_slice(spark, sf_dir):
+    e = F.col("event_id")
+    tokens = F.when(e % 2 == 0, F.array(F.lit(1), F.lit(2), F.lit(7), F.lit(-5), F.lit(6), F.lit(-5), e, F.lit(8))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(9), e, F.lit(8)))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(records.generated_tokens(tokens.cast("array<bigint>"), F.lit(2), -5).cast("array<string>"), ",").alias("made"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'Africa (0)' ELSE r_name END AS region, CASE WHEN n_nationkey % 4 = 0 THEN '__missing_task_id_' || n_nationkey ELSE n_name END AS task_id, r_name || '::' || n_name || '::' || n_regionkey || '::' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) AS bug_uid FROM nation JOIN region ON r_regionkey = n_regionkey")
+def record_ids(spark, sf_dir):
+    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    n = ordering.occurrence(["n_regionkey"], "n_nationkey")
+    africa = table(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.col("r_name").alias("zero"))
+    named = F.when(F.col("r_name") == F.col("zero"), records.named(F.lit("zero"), {"zero": "Africa (0)"})).otherwise(records.named(F.col("r_name"), {"": "?"}))
+    both = both.join(F.broadcast(africa))  # one row
+    return both.select("n_nationkey", named.alias("region"), records.or_missing_id(F.when(F.col("n_nationkey") % 4 == 0, F.lit(" ")).otherwise(F.col("n_name")), F.col("n_nationkey")).alias("task_id"), records.bug_uid(F.col("r_name"), F.col("n_name"), F.col("n_regionkey"), n).alias("bug_uid"))
+
+
+@query("SELECT doc_id, length(CASE WHEN length(text) <= 500 THEN text ELSE left(text, 250) || chr(10) || chr(10) || '[... question_title truncated: ' || length(text) || ' chars total, kept 250+250 chars ...]' || chr(10) || chr(10) || right(text, 250) END)::INT AS title, length(source)::INT AS platform FROM documents")
+def compact_problem(spark, sf_dir):
+    c = records.compact({"question_title": F.col("text"), "platform": F.col("source")}, records.PROBLEM_CHARS)
+    return table(spark, sf_dir, "documents").select("doc_id", c.alias("c")).select("doc_id", F.length("c.question_title").alias("title"), F.length("c.platform").alias("platform"))
+
+
+@query("SELECT item_id, CASE WHEN ('0x' || substr(md5('1012:' || item_id), 1, 8))::BIGINT < " + str(int(0.9 * 2**32)) + " THEN 'train' ELSE 'eval' END AS split FROM benchmark WHERE length(trim(text)) > 0 AND item_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def test_generation_plan(spark, sf_dir):
+    excluded = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("item_id"))
+    return training.test_plan(table(spark, sf_dir, "benchmark"), excluded, "item_id", ["text"]).select("item_id", "split")
+
+
+@query(f"""WITH {R}, s AS (SELECT suite, suite % 4 AS epoch, 1000.0::DOUBLE * (count(*) FILTER (WHERE ok) / count(*)::DOUBLE - count(*) FILTER (WHERE ok AND old) / count(*)::DOUBLE) AS reward FROM r GROUP BY suite)
+    SELECT epoch, count(*) AS n, round(avg(reward), 6) AS mean, round(stddev_pop(reward), 6) AS std, round(max(reward), 6) AS max, round(quantile_cont(reward, 0.95), 6) AS p95, round(avg((reward > 0)::INT), 6) AS positive_rate FROM s GROUP BY epoch""")
+def reward_log(spark, sf_dir):
+    s = results(spark, sf_dir).groupBy("suite").agg(F.count_if(F.col("ok") & F.col("old")).alias("p0"), F.count_if("ok").alias("p1"), F.count(F.lit(1)).alias("n"))
+    log_rows = s.select((F.col("suite") % 4).alias("epoch"), rewards.repair_reward(F.lit(True), F.col("p0"), F.col("p1"), F.col("n")).alias("reward"))
+    out = log_rows.groupBy("epoch").agg(*metrics.batch_stats("reward"))
+    return out.select("epoch", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "max", "p95", "positive_rate")])
+
+
+@query("SELECT event_type, string_agg(k || '=' || n, ',' ORDER BY k) AS counts FROM (SELECT event_type, CASE WHEN value < 10 THEN 'unknown' ELSE 'v' || floor(value / 50)::INT END AS k, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type")
+def category_maps(spark, sf_dir):
+    kind = F.when(F.col("value") < 10, F.lit("  ")).otherwise(F.concat(F.lit("v"), F.floor(F.col("value") / 50).cast("string")))
+    maps = metrics.category_map(metrics.category_counts(table(spark, sf_dir, "events"), ["event_type"], kind), ["event_type"])
+    entries = F.transform(F.map_entries("source_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return maps.select("event_type", F.array_join(entries, ",").alias("counts"))
+
+
+@query("SELECT p_partkey, 'def f(x):' || chr(10) || '    y = ' || p_size || chr(10) || '    return y' AS program FROM part")
+def program_assembly(spark, sf_dir):
+    n = F.col("p_size").cast("string")
+    body = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("y = "), n, F.lit("\nreturn y"))).otherwise(F.concat(F.lit("def f(x):\n    y = "), n, F.lit("\n    return y")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.program(F.lit("def f(x):\n"), body).alias("program"))
+
+
+@query(f"WITH {R}, x AS (SELECT suite, bool_or(NOT ok) AS has_target, bool_or(ok AND idx = 1) AS target_ok, count(*) FILTER (WHERE gen) AS n FROM r GROUP BY suite) SELECT suite, CASE WHEN has_target THEN coalesce(target_ok, false)::INT ELSE 0 END AS fixed, suite % 3 <> 0 AND n > 0 AS usable FROM x")
+def targets_and_suites(spark, sf_dir):
+    x = results(spark, sf_dir).groupBy("suite").agg(F.bool_or(~F.col("ok")).alias("has"), F.bool_or(F.col("ok") & (F.col("idx") == 1)).alias("hit"), F.count_if("gen").alias("n"))
+    return x.select("suite", selection.target_fixed(F.col("has"), F.col("hit")).alias("fixed"), selection.usable_suite(F.col("suite") % 3 != 0, F.col("n")).alias("usable"))
