@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import astuple, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mendlake.operators import metrics
-from mendlake.operators.selection import POLICIES, Policy, backtrack, best_candidate, branches, bucket, route
+from mendlake.operators.selection import POLICIES, Policy, backtrack, bucket, route
 
 
 @dataclass(frozen=True)
@@ -30,21 +31,27 @@ def dimension(spark: SparkSession, experiments: tuple[Experiment, ...] = EXPERIM
     return spark.createDataFrame([astuple(e) for e in experiments], "experiment string, kind string, verifier string, label string")
 
 
-def selected(candidates: DataFrame, keys: list[str], policy: Policy) -> DataFrame:
-    """A row for each key with the winner of the routed branches: source, passed, total, problem_passed, target_ok."""
+def selected(candidates: DataFrame, keys: list[str], policy: Policy, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """A row for each key with the winner of the routed branches: source, passed, total, problem_passed, target_ok, and
+    the aggregates `extra` of all of the key's candidates.
+
+    Candidates are dealt out by key once; ranking, pivot and extra aggregates need no other shuffle.
+    """
     measures = ["passed", "total", "acc_pct", "problem_passed", "target_ok", "sample"]
-    best = best_candidate(candidates, [*keys, "branch"], policy)
-    both = branches(best, keys, measures).withColumn("winner", route(policy))
+    order = W.partitionBy(*keys, "branch").orderBy(*[F.desc(c) for c in policy.rank], "sample")
+    ranked = candidates.repartition(*keys).withColumn("_n", F.row_number().over(order))
+    best = lambda b, m: F.max(F.when((F.col("branch") == b) & (F.col("_n") == 1), F.col(m))).alias(f"{b}_{m}")
+    both = ranked.groupBy(*keys).agg(*[best(b, m) for b in ("debug", "generation") for m in measures], *extra)
+    names = [c for c in both.columns if c not in keys and not c.startswith(("debug_", "generation_"))]
+    both = both.withColumn("winner", route(policy))
     pick = lambda m: F.when(F.col("winner") == "debug", F.col(f"debug_{m}")).otherwise(F.col(f"generation_{m}")).alias(m)
     source = F.concat("winner", F.lit("_sample_"), F.when(F.col("winner") == "debug", F.col("debug_sample")).otherwise(F.col("generation_sample")).cast("string"))
-    return both.select(*keys, source.alias("source"), *[pick(m) for m in measures if m != "sample"])
+    return both.select(*keys, source.alias("source"), *[pick(m) for m in measures if m != "sample"], *names)
 
 
-def gated(chosen: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
+def gated(df: DataFrame, keys: list[str]) -> DataFrame:
     """Three modes a key: the winner, the winner if it beats the buggy program on the official tests, and on generated
-    tests. baseline: passed, total, target_ok and gen_passed, chosen: gen_passed too."""
-    base = baseline.select(*keys, *[F.col(c).alias(f"base_{c}") for c in ("passed", "total", "acc_pct", "target_ok", "problem_passed", "gen_passed")])
-    df = chosen.join(base, keys)
+    tests. df: selected() with gen_passed and the buggy program's measures as base_*."""
     measures = ["passed", "total", "problem_passed", "target_ok"]
     keep = {"non_backtracking": F.lit(True), "oracle_backtracking": backtrack(F.col("passed"), F.col("base_passed")), "verifier_backtracking": backtrack(F.col("gen_passed"), F.col("base_gen_passed"))}
     modes = {m: [*[F.when(k, F.col(c)).otherwise(F.col(f"base_{c}")) for c in measures], F.when(k, F.col("source")).otherwise("buggy")] for m, k in keep.items()}

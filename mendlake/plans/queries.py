@@ -53,10 +53,6 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(results(spark, sf_dir), ["suite", "branch", "sample"], F.col("ok"))
 
 
-def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(results(spark, sf_dir), ["suite"], F.col("ok") & F.col("old"))
-
-
 R = """r AS (SELECT l_orderkey AS suite, CASE WHEN l_linestatus = 'F' THEN 'debug' ELSE 'generation' END AS branch, (l_suppkey % 2 + 1)::INT AS sample,
     l_linenumber AS idx, l_returnflag <> 'R' AS ok, l_discount < 0.05 AS gen, l_tax < 0.06 AS old FROM lineitem)"""
 _measures = "count(*) FILTER (WHERE {ok}) AS passed, count(*) AS total, bool_or({ok} AND idx = 1) AS target_ok, count(*) FILTER (WHERE {ok} AND gen) AS gen_passed, 100.0::DOUBLE * count(*) FILTER (WHERE {ok}) / count(*) AS acc_pct, count(*) FILTER (WHERE {ok}) = count(*) AS problem_passed"
@@ -120,10 +116,17 @@ for _policy, _name, _rule in (("assert", "route_tie_debug", _BY_FIRST.format(m="
 
 
 def gated(spark, sf_dir):
-    """The whole flow: candidates, best of a branch, route, three gates."""
-    chosen = experiments.selected(candidates(spark, sf_dir).withColumn("passed", F.col("passed")), ["suite"], selection.POLICIES["assert"])
-    gen = results(spark, sf_dir).groupBy("suite").agg(F.count_if(F.col("ok") & F.col("gen")).alias("gen_passed"))
-    return experiments.gated(chosen.join(gen, "suite"), baseline(spark, sf_dir), ["suite"])
+    """The whole flow in one scan and two shuffles: candidates, best of a branch, route, three gates."""
+    old = F.col("ok") & F.col("old")
+    counts = results(spark, sf_dir).groupBy("suite", "branch", "sample").agg(
+        F.count_if("ok").alias("passed"), F.count(F.lit(1)).alias("total"), F.bool_or(F.col("ok") & (F.col("idx") == 1)).alias("target_ok"), F.count_if(F.col("ok") & F.col("gen")).alias("gen"),
+        F.count_if(old).alias("old_passed"), F.bool_or(old & (F.col("idx") == 1)).alias("old_target"), F.count_if(old & F.col("gen")).alias("old_gen"),
+    )
+    counts = counts.withColumn("acc_pct", evaluate.pct(F.col("passed"), F.col("total"))).withColumn("problem_passed", F.col("passed") == F.col("total"))
+    extra = (F.sum("gen").alias("gen_passed"), F.sum("old_passed").alias("base_passed"), F.sum("total").alias("base_total"), F.bool_or("old_target").alias("base_target_ok"), F.sum("old_gen").alias("base_gen_passed"))
+    chosen = experiments.selected(counts, ["suite"], selection.POLICIES["assert"], extra)
+    chosen = chosen.withColumn("base_acc_pct", evaluate.pct(F.col("base_passed"), F.col("base_total"))).withColumn("base_problem_passed", F.col("base_passed") == F.col("base_total"))
+    return experiments.gated(chosen, ["suite"])
 
 
 _CHOSEN = f"""{C}, best AS ({_best_sql("assert")}), {_PIVOT},
