@@ -226,10 +226,9 @@ def streamed_resume(spark, sf_dir):
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text")
 def first_wins_dedup(spark, sf_dir):
-    # The digest stands for the text, so that texts aren't shuffled.
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    first = joins.first_wins(docs, ["digest"], "doc_id")
-    return first.join(docs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digest").select("doc_id", "n")
+    # The digest stands for the text, so that texts aren't shuffled; the first row is a minimum, summed map-side.
+    docs = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest"))
+    return docs.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).drop("digest")
 
 
 @query("SELECT user_id, event_id FROM events WHERE event_type <> 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90)")
