@@ -28,6 +28,7 @@ from mendlake.llm.words import ALNUM, U, mix, words
 
 BITS = 20
 PREFIXES = (4, 5, 6)
+WORDS_AT_ONCE = 1 << 18
 SAMPLE_PER_CLASS = 6000
 LOG_ODDS = 2.0
 EPOCHS, BATCH, RATE, L1, LEAST_DOCS, Z = 60, 64, 0.1, 3e-4, 4, 2.5
@@ -54,26 +55,33 @@ class Model:
         return 1 - below[:, 0], (1 - below).sum(axis=1), np.diff(full, axis=1).argmax(axis=1)
 
 
-def features(w) -> tuple[np.ndarray, np.ndarray]:
-    """(text, place) of every word and word beginning of the texts of w, repeated ones included."""
+def features(w) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, place) of every word and word beginning of the texts of w, repeated ones included, in parts."""
     text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    rows, places = [text], [mix(w.hash, 1) >> U(64 - BITS)]
-    for n in PREFIXES:
-        h = w.prefix(n)
-        rows.append(text[h != 0])
-        places.append(mix(h[h != 0], n) >> U(64 - BITS))
-    return np.concatenate(rows), np.concatenate(places).astype(np.int64)
-
-
-def _distinct(rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique((rows.astype(np.int64) << BITS) | places)
+    for i in range(0, len(text), WORDS_AT_ONCE):
+        part = slice(i, i + WORDS_AT_ONCE)
+        rows, places = [text[part]], [mix(w.hash[part], 1) >> U(64 - BITS)]
+        for n in PREFIXES:
+            h = w.prefix(n, part)
+            rows.append(text[part][h != 0])
+            places.append(mix(h[h != 0], n) >> U(64 - BITS))
+        yield np.concatenate(rows), np.concatenate(places).astype(np.int64)
+
+
+def _distinct(parts: Iterator[tuple[np.ndarray, np.ndarray]], some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (text, place) of parts, by text and place; only places of which `some` is true."""
+    seen = [np.zeros(0, np.int64)]
+    for rows, places in parts:
+        both = (rows.astype(np.int64) << BITS) | places
+        seen.append(np.unique(both if some is None else both[some[places]]))
+    both = np.unique(np.concatenate(seen))
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, w in words(batch.column(1), ALNUM):
-            rows, places = _distinct(*features(w))
+            rows, places = _distinct(features(w))
             cut = np.searchsorted(rows, np.arange(b - a + 1))
             found = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(places.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), found], ["y", "places"])
@@ -173,9 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
 
 def margins(weights: np.ndarray, w) -> np.ndarray:
-    rows, places = features(w)
-    some = weights[places] != 0
-    rows, places = _distinct(rows[some], places[some])
+    rows, places = _distinct(features(w), weights != 0)
     return np.bincount(rows, weights[places].astype(float), minlength=len(w.first) - 1)
 
 

@@ -52,36 +52,57 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _piece(data: np.ndarray, edges: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the words of data, which don't cross the edges."""
+    n, low = len(data), LOWER[data]
+    inside = kind[low]
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[edges] = edge[0] = edge[n] = True
+    start = np.flatnonzero(inside & (edge[:n] | ~np.concatenate([[False], inside[:-1]])))
+    end = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+    sums = np.zeros(n + 1, dtype=U)
+    np.cumsum((low.astype(U) + U(1)) * _table("up", BASE, n + 1)[:n], out=sums[1:])
+    return start, end, mix((sums[end] - sums[start]) * _table("down", BASE_INV, n + 1)[start] + (end - start).astype(U))
+
+
 class Words:
-    """Words of some texts: start and end (bytes in buffer), hash, and first[i]:first[i + 1] for the i-th text."""
+    """Words of some texts: start and end (bytes in buffer), hash, and first[i]:first[i + 1] for the i-th text.
+
+    The buffer is gone through in pieces of about CHUNK_BYTES that end between words, so that a very long text takes
+    memory for its words and not some forty bytes for each of its own.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray):
-        self.data, self.kind = data, kind
-        low = LOWER[data]
-        inside = kind[low]
-        edge = np.zeros(len(data) + 1, dtype=bool)
-        edge[offsets] = True
-        n = len(data)
-        before = np.zeros(n, dtype=bool)
-        before[1:] = inside[:-1]
-        start = np.flatnonzero(inside & (~before | edge[:n]))
-        after = np.zeros(n, dtype=bool)
-        after[:-1] = inside[1:]
-        end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        self.start, self.end = start, end
-        sums = np.zeros(n + 1, dtype=U)
-        np.cumsum((low.astype(U) + U(1)) * _table("up", BASE, n + 1)[:n], out=sums[1:])
-        self._sums = sums
-        self.hash = mix((sums[end] - sums[start]) * _table("down", BASE_INV, n + 1)[start] + (end - start).astype(U))
-        self.first = np.searchsorted(start, offsets)
-
-    def prefix(self, size: int) -> np.ndarray:
+        self.data = data
+        starts, ends, hashes = [], [], []
+        at, edges = 0, np.unique(offsets)
+        while at < len(data):
+            to = min(len(data), at + CHUNK_BYTES)
+            while to < len(data):  # to the end of the word that is open here
+                gap = np.flatnonzero(~kind[data[to : to + CHUNK_BYTES]])
+                if len(gap):
+                    to += int(gap[0])
+                    break
+                to = min(len(data), to + CHUNK_BYTES)
+            own = edges[np.searchsorted(edges, at) : np.searchsorted(edges, to, side="right")] - at
+            start, end, h = _piece(data[at:to], own, kind)
+            starts.append(start + at)
+            ends.append(end + at)
+            hashes.append(h)
+            at = to
+        none = np.zeros(0, np.int64)
+        self.start, self.end = np.concatenate([none, *starts]), np.concatenate([none, *ends])
+        self.hash = np.concatenate([np.zeros(0, U), *hashes])
+        self.first = np.searchsorted(self.start, offsets)
+
+    def prefix(self, size: int, words: slice = slice(None)) -> np.ndarray:
         """Hash of each word's first size bytes; 0 for words that are not longer."""
-        to = self.start + size
-        long = to < self.end
-        out = np.zeros(len(self.start), dtype=U)
-        s = self.start[long]
-        out[long] = mix((self._sums[to[long]] - self._sums[s]) * _table("down", BASE_INV, 1)[s], size)
+        start = self.start[words]
+        long = start + size < self.end[words]
+        out, s, h = np.zeros(len(start), dtype=U), start[long], np.zeros(int(long.sum()), dtype=U)
+        for i in range(size):
+            h = h * BASE + LOWER[self.data[s + i]] + U(1)
+        out[long] = mix(h, size)
         return out
 
     def grams(self, k: int) -> np.ndarray:

@@ -37,3 +37,16 @@ def test_slices_and_prefixes():
     _, _, w = next(words(pa.array(["fourteen fourth four"]), ALNUM))
     p = w.prefix(4)
     assert p[0] == p[1] != 0 and p[2] == 0
+
+
+def test_pieces(monkeypatch):
+    """Long texts in small pieces give the same words."""
+    import mendlake.llm.words as W
+
+    texts = pa.array(["ab " * 50, "x" * 100 + " tail", "", "é" * 40 + "end of it", " " * 70 + "a"])
+    whole = [(w.start.tolist(), w.end.tolist(), w.hash.tolist(), w.first.tolist()) for _, _, w in words(texts, SPACED)]
+    _, _, data, offsets = next(W.chunks(texts))
+    for size in (1, 7, 30, 64):
+        monkeypatch.setattr(W, "CHUNK_BYTES", size)
+        w = W.Words(data, offsets, SPACED)
+        assert [(w.start.tolist(), w.end.tolist(), w.hash.tolist(), w.first.tolist())] == whole
