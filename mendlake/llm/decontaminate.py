@@ -34,7 +34,7 @@ PARTS = ((10, 9, 9, 9, 9, 9, 9), (11, 11, 11, 11, 10, 10))
 BLOCKS = sum(map(len, PARTS))
 FLIPS = RADIUS // BLOCKS
 BLOCK_ITEMS = 20_000
-SPAN = 16_384  # places of a text that are fingerprinted at once
+SPAN = 4_096  # places of a text that are fingerprinted at once
 
 
 def gram_size(n_words: int) -> int:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are handled at once; a longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)  # odd
 BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
