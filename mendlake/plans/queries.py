@@ -442,11 +442,11 @@ def normalize_stdout(spark, sf_dir):
 
 @query("WITH x AS (SELECT 'def ' || lower(n_name) || '(a):' || chr(10) || '    return ' || n_nationkey AS code, n_nationkey, n_name FROM nation) SELECT n_nationkey, n_nationkey % 2 = 0 AS is_code, CASE n_nationkey % 3 WHEN 0 THEN 'given' WHEN 1 THEN CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE 'solve' END ELSE 'Solution().run' END AS entry FROM x")
 def entry_points(spark, sf_dir):
-    k, name = F.col("n_nationkey"), F.regexp_replace(F.lower("n_name"), " ", "_")
+    k = F.col("n_nationkey")
     plain = F.when(k % 2 == 0, F.concat(F.lit("def "), F.lower("n_name"), F.lit("(a):\n    return "), k.cast("string"))).otherwise(F.lit("return 1"))
     code = F.when(k % 3 == 2, F.concat(F.lit("class Solution:\n    x = 1\n    def run(self):\n        pass\n"))).otherwise(plain)
     entry = text.entry_point(F.when(k % 3 == 0, "given"), code)
-    return table(spark, sf_dir, "nation").withColumn("_", name).select("n_nationkey", text.looks_like_code(plain).alias("is_code"), entry.alias("entry"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", text.looks_like_code(plain).alias("is_code"), entry.alias("entry"))
 
 
 @query("SELECT n_nationkey, s_suppkey, levenshtein(n_name, s_name)::INT AS distance, levenshtein(n_name, s_name) / greatest(length(n_name), length(s_name), 1)::DOUBLE AS normalised FROM nation JOIN supplier ON s_nationkey = n_nationkey")
