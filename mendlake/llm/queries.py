@@ -276,3 +276,21 @@ ORACLES["op4_toolcalls"] = """
     UNION ALL
     SELECT conv_id, 'none-' || turn, turn, NULL, 'orphan', 0, 1, NULL, NULL, '{"id":"none-' || turn || '","result":' || to_json(content) || '}' FROM u WHERE m % 31 = 0
 """
+
+_ALNUM = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: Every window that can be the first best one ends with a shingle of the item, so those windows are enough.
+ORACLES["op8_decontamination"] = f"""
+    WITH iw AS (SELECT item_id, {_ALNUM} AS w FROM benchmark WHERE item_id IS NOT NULL),
+    ik AS (SELECT *, len(w) AS size, least(5, len(w)) AS k FROM iw WHERE len(w) > 0),
+    ig AS (SELECT item_id, size, k, unnest(list_distinct(list_transform(range(1, size - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))) AS g FROM ik),
+    weights AS (SELECT k, g, round(1000 * ln(1 + (SELECT count(DISTINCT item_id) FROM ig) / count(DISTINCT item_id)::DOUBLE))::BIGINT AS weight FROM ig GROUP BY k, g),
+    items AS (SELECT *, sum(weight) OVER (PARTITION BY item_id) AS total FROM ig JOIN weights USING (k, g)),
+    dw AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+    dg AS (SELECT doc_id, len(w) AS n, k, unnest(range(0, len(w) - k + 1)) AS pos, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM dw, (SELECT DISTINCT k FROM ik) WHERE len(w) >= k),
+    hits AS (SELECT doc_id, item_id, pos, g, weight, total, least(n, size) - k + 1 AS m FROM dg JOIN items USING (k, g) WHERE n >= {decontaminate.THRESHOLD} * size),
+    starts AS (SELECT DISTINCT doc_id, item_id, total, m, greatest(0, pos - m + 1) AS start FROM hits),
+    inside AS (SELECT DISTINCT s.doc_id, s.item_id, s.start, s.total, h.g, h.weight FROM starts s JOIN hits h ON s.doc_id = h.doc_id AND s.item_id = h.item_id AND h.pos BETWEEN s.start AND s.start + s.m - 1),
+    shares AS (SELECT doc_id, item_id, start, sum(weight) / any_value(total)::DOUBLE AS similarity FROM inside GROUP BY doc_id, item_id, start)
+    SELECT doc_id, item_id, start::INT AS start, similarity FROM shares WHERE similarity >= {decontaminate.THRESHOLD}
+    QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
