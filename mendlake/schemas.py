@@ -9,7 +9,7 @@ RESULT = T.StructType().add("index", "integer").add("ok", "boolean").add("stdout
 EVAL = T.StructType().add("target_ok", "boolean").add("full_suite_passed", "integer").add("full_suite_total", "integer").add("full_suite_acc_pct", "double").add("problem_passed", "boolean")
 MESSAGE = T.StructType().add("role", "string").add("content", "string")
 PROBLEM = _s("task_id", "question_id", "query", "prompt", "problem_description", "starter_code", "completion", "entry_point", "test", "test_code", "difficulty")
-HEFIX_ROW = _s("task_id", "prompt", "code", "canonical_solution", "entry_point", "test", "signature")
+IO_LIST_ROW = _s("task_id", "prompt", "code", "canonical_solution", "entry_point", "test", "signature")
 BUGGY_POOL = _s("task_id", "question_id", "prediction")
 BUGGY_REQUIRED = ["task_id", "question_id", "buggy_code", "test_code", "selected_assert_index", "selected_assert_text", "baseline_total", "baseline_failed", "baseline_passed", "entry_point", "query"]
 BUG_FARM = T.StructType().add("question_id", "string").add("base_model_tag", "string").add("code_idx", "integer").add("buggy_code", "string").add("buggy_raw_output", "string").add("bug_uid", "string").add("task_id", "string")
