@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mendlake.functions.code import asserts_of
 from mendlake.tables import written_once
 
 SUITE_SECONDS, CALLS_SECONDS, PROGRAM_SECONDS = 10.0, 60.0, 6.0
@@ -152,8 +153,8 @@ def _suites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for job in batch.to_pylist():
             got = run_child({"kind": "suite", "code": job["code"] or "", "tests": job["tests"] or "", "entry": job["entry"] or "solve", "cover": True}, SUITE_SECONDS)
-            row = [[job["job"]], [got["results"]], [got["error_type"]], [got["error_msg"]], [got["lines"]]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), RESULT_TYPE, pa.string(), pa.string(), pa.list_(pa.int32())), strict=True)], ["job", "results", "error_type", "error_msg", "lines"])
+            row = [[job["job"]], [got["results"]], [got["error_type"]], [got["error_msg"]], [got["lines"]], [len(asserts_of(job["tests"]))]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), RESULT_TYPE, pa.string(), pa.string(), pa.list_(pa.int32()), pa.int32()), strict=True)], ["job", "results", "error_type", "error_msg", "lines", "n_asserts"])
 
 
 def _calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +179,9 @@ def _once(df: DataFrame, columns: list[str], run, schema: str, parallel: int) ->
 
 
 def run_suites(df: DataFrame, parallel: int = 64) -> DataFrame:
-    """df (code, tests, entry) with results by assert, error_type, error_msg and the executed lines of code."""
-    return _once(df, ["code", "tests", "entry"], _suites, f"job long, results {RESULTS}, error_type string, error_msg string, lines array<int>", parallel)
+    """df (code, tests, entry) with results by assert, error_type, error_msg, the executed lines of code, and how many
+    asserts the suite has."""
+    return _once(df, ["code", "tests", "entry"], _suites, f"job long, results {RESULTS}, error_type string, error_msg string, lines array<int>, n_asserts int", parallel)
 
 
 def run_calls(df: DataFrame, parallel: int = 64) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendlake.functions import code, sandbox
+from mendlake.functions import sandbox
 from mendlake.operators.evaluate import pct
 from mendlake.operators.rewards import rate_error
 
@@ -13,8 +13,8 @@ from mendlake.operators.rewards import rate_error
 def counted(df: DataFrame, name: str) -> DataFrame:
     """Results of run_suites() as counts; the total is the number of asserts of the suite, missing ones failed."""
     passed = F.size(F.filter("results", lambda r: r["ok"]))
-    total = F.greatest(code.count_asserts("tests"), F.size("results"))
-    return df.withColumn(f"{name}_passed", passed).withColumn(f"{name}_total", total).withColumn(f"{name}_error", F.col("error_type")).drop("results", "error_type", "error_msg", "lines", "code")
+    total = F.greatest("n_asserts", F.size("results"))
+    return df.withColumn(f"{name}_passed", passed).withColumn(f"{name}_total", total).withColumn(f"{name}_error", F.col("error_type")).drop("results", "error_type", "error_msg", "lines", "n_asserts", "code")
 
 
 def evaluated(df: DataFrame) -> DataFrame:
