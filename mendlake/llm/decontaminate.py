@@ -2,7 +2,7 @@
 
 For every length that items have, each text has a window of so many words from each word on (a shorter text with at
 least three quarters of the words is one window). A window's fingerprint is the 128-bit SimHash of its weighted
-five-word shingles. Fingerprints are cut in BLOCKS parts: two that differ in at most RADIUS bits differ in at most
+distinct five-word shingles. Fingerprints are cut in BLOCKS parts: two that differ in at most RADIUS bits differ in at most
 FLIPS of some part's bits, so probing each part with up to FLIPS bits flipped finds every pair within the radius.
 Candidates are verified on the exact shingles: leaked if the window holds at least THRESHOLD of the item's weight.
 
@@ -95,16 +95,32 @@ def pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<i8")
 
 
-def _prints(grams: np.ndarray, weight: np.ndarray, start: np.ndarray, m: int) -> np.ndarray:
-    """SimHashes of the m grams from each start on; only grams inside a window are looked at."""
+def previous(grams: np.ndarray) -> np.ndarray:
+    """Place of the same gram's last occurrence before each place; -1 without one."""
+    order = np.argsort(grams, kind="stable")
+    out = np.full(len(grams), -1)
+    same = grams[order[1:]] == grams[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _prints(grams: np.ndarray, weight: np.ndarray, before: np.ndarray, start: np.ndarray, m: int) -> np.ndarray:
+    """SimHashes of the distinct grams among the m from each start on; before: their previous() places.
+
+    A place counts in the windows that begin behind the gram's previous place, so that a repeated gram counts once, as
+    in an item. Only grams inside a window are looked at.
+    """
     mark = np.zeros(len(grams) + 1, np.int32)
     np.add.at(mark, start, 1)
     np.add.at(mark, start + m, -1)
-    inside = np.cumsum(mark[:-1]) > 0
-    at = np.cumsum(inside) - 1
-    run = np.zeros((int(inside.sum()) + 1, 128), np.int64)
-    np.cumsum(signs(grams[inside]) * weight[inside, None], axis=0, out=run[1:])
-    return pack(run[at[start] + m] - run[at[start]])
+    at = np.flatnonzero((np.cumsum(mark[:-1]) > 0) & (weight > 0))
+    enter = np.maximum(before[at] + 1, at - m + 1)
+    order = np.argsort(enter, kind="stable")
+    signed = signs(grams[at]) * weight[at, None]
+    left, entered = np.zeros((2, len(at) + 1, 128), np.int64)
+    np.cumsum(signed, axis=0, out=left[1:])
+    np.cumsum(signed[order], axis=0, out=entered[1:])
+    return pack(entered[np.searchsorted(enter[order], start, side="right")] - left[np.searchsorted(at, start)])
 
 
 def _windows(shared) -> Callable:
@@ -139,6 +155,7 @@ def _of_text(block: Block, k: int, grams: np.ndarray, hit: np.ndarray) -> Iterat
     n = len(grams)
     run = np.concatenate([[0], np.cumsum(hit)])
     weight = np.where(hit > 0, hit, block.other)
+    before = previous(grams)
     for size, need in block.need.items():
         if gram_size(size) != k:
             continue
@@ -151,7 +168,7 @@ def _of_text(block: Block, k: int, grams: np.ndarray, hit: np.ndarray) -> Iterat
         for i in range(0, len(start), SPAN):
             part = start[i : i + SPAN]
             first, last = int(part[0]), int(part[-1]) + m
-            yield size, part, _prints(grams[first:last], weight[first:last], part - first, m)
+            yield size, part, _prints(grams[first:last], weight[first:last], before[first:last] - first, part - first, m)
 
 
 def _parts(hi, lo):

@@ -95,3 +95,15 @@ def test_clean_keeps_rows(spark):
     got = D.clean(docs, items)
     assert got.columns == docs.columns and sorted(r["item_id"] for r in got.collect()) == [6, 7]
     assert D.clean(docs, items.limit(0)).count() == 3 and D.clean(docs.limit(0), items).count() == 0
+
+
+def test_copies_of_items_with_runs(spark):
+    """An item that repeats a shingle has the fingerprint of its exact copy."""
+    rng = random.Random(6)
+    items = []
+    for i in range(40):
+        text = [f"w{i}x{j}" for j in range(29)]
+        items.append((i, " ".join(text + ["0"] * 16) if i % 2 else " ".join(text[:27] + ["a b c d e f g"] * 5)))
+    docs = [(i, " ".join([f"d{rng.randrange(900)}" for _ in range(30)] + [t] + [f"e{rng.randrange(900)}" for _ in range(30)])) for i, t in items]
+    got = run(spark, docs, items)
+    assert got == brute(docs, items) and {x[:2] for x in got} >= {(i, i) for i in range(40)}
