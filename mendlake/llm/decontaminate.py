@@ -2,10 +2,15 @@
 
 For every length that items have, each text has a window of so many words from each word on (a shorter text with at
 least three quarters of the words is one window). A window's fingerprint is the 128-bit SimHash of its weighted
-distinct five-word shingles. Fingerprints are cut in BLOCKS parts: two that differ in at most RADIUS bits differ in at most
+distinct five-word shingles, of which only those that some item of that length has count. Fingerprints are cut in BLOCKS parts: two that differ in at most RADIUS bits differ in at most
 FLIPS of some part's bits, so probing each part with up to FLIPS bits flipped finds every pair within the radius.
 Candidates are verified on the exact shingles: leaked if the window holds at least THRESHOLD of the item's weight.
 
+In a fingerprint a shingle counts with the root of its weight: a window that holds a share s of an item's weight, and
+no shingle of other items, is then at a cosine of root s, and its bits differ with a chance of acos(root s) / pi. RADIUS
+is the mean at s = THRESHOLD and four deviations, 38 of 128 bits. A window in which other items' shingles stand in for
+the missing ones is further away: the README has the measured loss.
+
 Windows that can't reach that weight are not fingerprinted: the shingles of all items that lie in a window bound what
 it can share with any one item. This drops no window that would pass and leaves few of them, found with running sums.
 
@@ -28,7 +33,9 @@ from mendlake.llm.words import ALNUM, U, Words, mix, words
 
 SHINGLE = 5
 THRESHOLD = 0.75
-RADIUS = 38
+BITS = 128
+_FAR = float(np.arccos(np.sqrt(THRESHOLD)) / np.pi)
+RADIUS = int(BITS * _FAR + 4 * np.sqrt(BITS * _FAR * (1 - _FAR)))
 #: Bits of the parts, from the lowest: of the first half of the fingerprint, then of the second.
 PARTS = ((10, 9, 9, 9, 9, 9, 9), (11, 11, 11, 11, 10, 10))
 BLOCKS = sum(map(len, PARTS))
@@ -60,8 +67,7 @@ def _item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Block:
     """The items of a block, as arrays: shingles with weights, and the least weight that a window needs by length."""
 
-    def __init__(self, rows: list, other: int):
-        self.other = other  # weight of a shingle that no item has
+    def __init__(self, rows: list):
         self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by shingle size
         self.items: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # by item and length
         by_item: dict[tuple[int, int], list] = {}
@@ -71,17 +77,20 @@ class Block:
             one = sorted({x for (_, size), v in by_item.items() if gram_size(size) == k for x in v})
             self.grams[k] = np.array([g for g, _ in one], U), np.array([x for _, x in one], np.int64)
         self.need: dict[int, int] = {}
+        self.of_size: dict[int, np.ndarray] = {}  # which of the shingles the items of a length have
         for (item, size), v in by_item.items():
             g, x = np.array(sorted(v), dtype=object).T
             self.items[item, size] = g.astype(U), x.astype(np.int64)
             low = int(np.ceil(THRESHOLD * sum(x)))
             self.need[size] = min(low, self.need.get(size, low))
+            known = self.grams[gram_size(size)][0]
+            self.of_size.setdefault(size, np.zeros(len(known), bool))[np.searchsorted(known, self.items[item, size][0])] = True
 
-    def weigh(self, k: int, grams: np.ndarray) -> np.ndarray:
-        """Weight of each gram; 0 where no item has it."""
-        known, weight = self.grams[k]
+    def find(self, k: int, grams: np.ndarray) -> np.ndarray:
+        """Number of each gram; -1 where no item has it."""
+        known = self.grams[k][0]
         at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-        return np.where(known[at] == grams, weight[at], 0)
+        return np.where(known[at] == grams, at, -1)
 
 
 def signs(grams: np.ndarray) -> np.ndarray:
@@ -90,6 +99,11 @@ def signs(grams: np.ndarray) -> np.ndarray:
     return np.unpackbits(raw.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
 
 
+def root(weight: np.ndarray) -> np.ndarray:
+    """What a shingle counts in a fingerprint; whole, so that sums are exact."""
+    return np.rint(1000 * np.sqrt(weight)).astype(np.int64)
+
+
 def pack(sums: np.ndarray) -> np.ndarray:
     """SimHashes, as two signed longs each, of rows of weighted sums of signs."""
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<i8")
@@ -136,12 +150,12 @@ def _windows(shared) -> Callable:
                     grams = w.grams(k)
                     if not len(grams):
                         continue
-                    hit = block.weigh(k, grams)
-                    owner = np.searchsorted(w.first, np.flatnonzero(hit), side="right") - 1
+                    number = block.find(k, grams)
+                    owner = np.searchsorted(w.first, np.flatnonzero(number >= 0), side="right") - 1
                     for i in np.unique(owner).tolist():
                         lo, hi = int(w.first[i]), int(w.first[i + 1]) - k + 1
                         if hi > lo:
-                            for size, start, prints in _of_text(block, k, grams[lo:hi], hit[lo:hi]):
+                            for size, start, prints in _of_text(block, k, grams[lo:hi], number[lo:hi]):
                                 for c, v in zip(out, (np.full(len(start), i), np.full(len(start), size, np.int32), start.astype(np.int32), prints[:, 0], prints[:, 1]), strict=True):
                                     c.append(v)
                 if out[0]:
@@ -151,11 +165,11 @@ def _windows(shared) -> Callable:
     return find
 
 
-def _of_text(block: Block, k: int, grams: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _of_text(block: Block, k: int, grams: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     n = len(grams)
-    run = np.concatenate([[0], np.cumsum(hit)])
-    weight = np.where(hit > 0, hit, block.other)
-    before = previous(grams)
+    at = np.flatnonzero(number >= 0)
+    number, before = number[at], np.full(n, -1)
+    before[at] = np.concatenate([at, [-1]])[previous(grams[at])]
     for size, need in block.need.items():
         if gram_size(size) != k:
             continue
@@ -164,11 +178,17 @@ def _of_text(block: Block, k: int, grams: np.ndarray, hit: np.ndarray) -> Iterat
             if n + k - 1 < THRESHOLD * size:
                 continue
             m = n
+        mine = block.of_size[size][number]
+        if not mine.any():
+            continue
+        hit = np.zeros(n, np.int64)
+        hit[at[mine]] = block.grams[k][1][number[mine]]
+        run = np.concatenate([[0], np.cumsum(hit)])
         start = np.flatnonzero(run[m:] - run[:-m] >= need)
         for i in range(0, len(start), SPAN):
             part = start[i : i + SPAN]
             first, last = int(part[0]), int(part[-1]) + m
-            yield size, part, _prints(grams[first:last], weight[first:last], before[first:last] - first, part - first, m)
+            yield size, part, _prints(grams[first:last], root(hit[first:last]), before[first:last] - first, part - first, m)
 
 
 def _parts(hi, lo):
@@ -240,11 +260,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     share = items.groupBy("gram").agg(F.countDistinct("item_id").alias("n"))
     weight = F.round(1000 * F.log(1 + F.lit(n) / F.col("n"))).cast("long")
     items = materialise(items.join(share.select("gram", weight.alias("weight")), "gram"), "item-weights")
-    other = round(1000 * np.log(1 + n))
     out, blocks = None, -(-n // BLOCK_ITEMS)
     for i in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
-        block = Block(mine.collect(), int(other))  # BLOCK_ITEMS items on average
+        block = Block(mine.collect())  # BLOCK_ITEMS items on average
         if not block.items:
             continue
         shared = spark.sparkContext.broadcast(block)
@@ -252,7 +271,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
         windows = materialise(windows, "windows")
         rows = []
         for (item, size), (grams, weight_) in block.items.items():
-            hi, lo = pack((signs(grams) * weight_[:, None]).sum(axis=0, keepdims=True, dtype=np.int64))[0].tolist()
+            hi, lo = pack((signs(grams) * root(weight_)[:, None]).sum(axis=0, keepdims=True, dtype=np.int64))[0].tolist()
             rows.append((item, size, hi, lo))
         prints = spark.createDataFrame(rows, "item_id long, size int, hi long, lo long")
         near = materialise(hamming_join(windows, prints), "near")

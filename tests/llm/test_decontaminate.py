@@ -107,3 +107,13 @@ def test_copies_of_items_with_runs(spark):
     docs = [(i, " ".join([f"d{rng.randrange(900)}" for _ in range(30)] + [t] + [f"e{rng.randrange(900)}" for _ in range(30)])) for i, t in items]
     got = run(spark, docs, items)
     assert got == brute(docs, items) and {x[:2] for x in got} >= {(i, i) for i in range(40)}
+
+
+def test_templated_benchmark(spark):
+    """Items of 20 shingles that all share and 12 of their own, whose template the texts word anew: share 0.82."""
+    rng = random.Random(7)
+    template = [f"t{j}" for j in range(24)]
+    items = [(i, " ".join(template + [f"w{i}x{j}" for j in range(12)])) for i in range(200)]
+    docs = [(i, " ".join([f"r{i}x{rng.randrange(900)}" for _ in range(20)] + t.split()[20:] + ["and", "so", "on"])) for i, t in items]
+    got = run(spark, docs, items)
+    assert got == brute(docs, items) and len(got) == 200
