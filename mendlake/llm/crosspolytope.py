@@ -5,16 +5,18 @@ rotation; its hash is the signed axis nearest to it, one of 2 * 64 for vectors o
 of its own. A query probes the PROBES axes nearest to it in every table, in falling order of its coordinates, and all
 vectors that lie there are reranked exactly: by inner product in double precision on the original vectors.
 
-Largest inner products of vectors of different length: vectors are divided by the largest norm and get one coordinate
-more that makes them unit vectors, queries get a zero there. For the hash only the order of axes matters.
+Only directions are hashed, so that no vector's length moves the others' axes; the reranking is by inner product. What
+a query must probe for that is measured: SAMPLE queries are held against all vectors, and the least number of probes
+that finds RECALL of their neighbours is taken, PROBES at least. Where that is most of the axes, all axes of one table
+are probed, which is exact.
 
 Spark deals buckets out: vectors by (table, axis, chunk), queries by (table, probed axis, chunk), with so many chunks
 that a block has about BLOCK rows, however many vectors share an axis (a third of all may be equal). Blocks that meet
 are scored by a cogrouped task; a candidate that an earlier table gives too is left out there, so that every candidate
 is scored once. A block passes its best K of each query on; the rest is a top-K by query, cut down map-side.
 
-On vectors without structure any method of this kind must look at much of the table: PROBES and TABLES are set so that
-recall stays above 0.9 there (about half of all pairs are scored). With clusters, recall is higher.
+On vectors without structure any method of this kind must look at much of the table (about half of all pairs are scored
+there). With clusters, recall is higher.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from mendlake.llm.store import materialise, small
 
 TABLES, PROBES, ROUNDS = 4, 32, 3
 BLOCK = 2048
+SAMPLE, RECALL = 200, 0.95
+MOST = 0.75  # share of the axes from which on all are probed
 K = 20
 
 
@@ -52,16 +56,6 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def unit(x: np.ndarray, most: float, query: bool) -> np.ndarray:
-    """Rows with the further coordinate, padded to a power of two."""
-    d = 1 << (x.shape[1]).bit_length()
-    out = np.zeros((len(x), d))
-    out[:, : x.shape[1]] = x / (np.linalg.norm(x, axis=1, keepdims=True) if query else most)
-    if not query:
-        out[:, x.shape[1]] = np.sqrt(np.maximum(0.0, 1.0 - (out**2).sum(axis=1)))
-    return out
-
-
 def nearest_axes(x: np.ndarray, probes: int) -> np.ndarray:
     """Signed axes (axis, or axis + d for its negative side) nearest to each row, the nearest first."""
     both = np.concatenate([x, -x], axis=1)
@@ -77,16 +71,20 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _hashed(most: float, query: bool, tables: int, probes: int, padded: bool) -> Callable:
+def directions(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, padded to a power of two."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of large components stay finite
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 << (x.shape[1] - 1).bit_length()
+    return np.concatenate([x, np.zeros((len(x), d - x.shape[1]))], axis=1)
+
+
+def _hashed(tables: int, probes: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                x = _matrix(part.column(1))
-                x = unit(x, most, query) if padded else x / np.linalg.norm(x, axis=1, keepdims=True)
-                if not padded:
-                    d = 1 << (x.shape[1] - 1).bit_length()
-                    x = np.concatenate([x, np.zeros((len(x), d - x.shape[1]))], axis=1)
+                x = directions(_matrix(part.column(1)))
                 axes = np.stack([nearest_axes(rotate(x, t), probes) for t in range(tables)], axis=1).astype(np.int32)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, axes.size + 1, tables * probes, dtype=np.int32)), pa.array(axes.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), rows], ["vec_id", "embedding", "axes"])
@@ -148,24 +146,24 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, tables: int = TABLES
     With fewer candidates, ranks end earlier; an empty table gives an empty result.
     """
     vectors = usable(vectors)
-    sizes = vectors.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("sq"), F.min(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("least"))
+    sizes = vectors.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"))
     top = sizes.orderBy(F.desc("n"), "d").first()
     spark = vectors.sparkSession
     if top is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     vectors = vectors.filter(F.size("embedding") == top["d"])
-    most = float(np.sqrt(top["sq"]))
-    padded = top["least"] < top["sq"] * (1 - 1e-5)  # of one length: they are unit vectors as they are
-    axes = 2 << (top["d"] - (not padded)).bit_length()
-    probes = min(probes, axes)
+    axes = 2 << (top["d"] - 1).bit_length()
     schema = "vec_id long, embedding array<double>, axes array<int>"
-    placed = materialise(vectors.mapInArrow(_hashed(most, False, tables, 1, padded), schema), "vectors")
+    placed = materialise(vectors.mapInArrow(_hashed(tables, 1), schema), "vectors")
     asking = vectors.filter(F.col("vec_id") % every == 0)
 
     def found(queries: DataFrame, tables: int, probes: int) -> DataFrame:
-        asked = materialise(queries.mapInArrow(_hashed(most, True, tables, probes, padded), schema), "queries")
+        asked = materialise(queries.mapInArrow(_hashed(tables, probes), schema), "queries")
         return materialise(_top(_met(asked, placed, tables, probes, k), k), "nearest")
 
+    probes = max(min(probes, axes), _enough(asking, placed, tables, k))
+    if probes > MOST * axes:
+        return found(asking, 1, axes)
     out = found(asking, tables, probes)
     # Queries that met too few vectors look at all axes of a table, which hold every vector.
     enough = out.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k, top["n"] - 1)).select("vec_id")
@@ -175,6 +173,43 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, tables: int = TABLES
     return out
 
 
+def _enough(asking: DataFrame, placed: DataFrame, tables: int, k: int) -> int:
+    """The least number of probes a table that finds RECALL of the true neighbours of SAMPLE queries."""
+    asked = asking.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    if not asked:
+        return 1
+    ids, q = np.array([r["vec_id"] for r in asked]), np.array([r["embedding"] for r in asked])
+    shared = placed.sparkSession.sparkContext.broadcast((ids, q))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
+                mine = part.column(0).to_numpy()
+                score = q @ _matrix(part.column(1)).T
+                score[ids[:, None] == mine] = -np.inf
+                col = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                row = np.repeat(np.arange(len(q)), col.shape[1])
+                col = col.reshape(-1)
+                ok = np.isfinite(score[row, col])
+                row, col = row[ok], col[ok]
+                at = pa.array(col)
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), part.column(0).take(at), pa.array(score[row, col]), part.column(2).take(at)], ["query_id", "vec_id", "score", "axes"])
+
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = placed.mapInArrow(nearest, "query_id long, vec_id long, score double, axes array<int>").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "axes").collect()
+    if not best:
+        return 1
+    row, theirs = np.array([r["query_id"] for r in best]), np.array([r["axes"] for r in best])
+    x = directions(q)
+    needed = np.full(len(row), 2 * x.shape[1])
+    for t in range(tables):
+        place = np.argsort(nearest_axes(rotate(x, t), 2 * x.shape[1]), axis=1)
+        needed = np.minimum(needed, place[row, theirs[:, t]] + 1)
+    return int(np.sort(needed)[int(np.ceil(RECALL * len(needed))) - 1])
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -213,6 +213,19 @@ def test_search_small(spark):
     assert sorted(r["vec_id"] for r in got) == list(range(1, 15)) and {r["query_id"] for r in got} == {0}
 
 
+@pytest.mark.parametrize("norms", ["mixed", "outlier"])
+def test_search_norms(spark, norms):
+    """Vectors of 64 whose lengths differ, or one of which is much longer: recall stays above 0.9."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= rng.uniform(0.5, 1.5, (2000, 1)) if norms == "mixed" else np.where(np.arange(2000) == 7, 2, 1)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = exact(rows, 20, 20)
+    got = {(r["query_id"], r["vec_id"]) for r in crosspolytope.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got & {(q, i) for q, best in want.items() for i, _ in best}) >= 0.9 * 20 * len(want)
+
+
 # --- sharding
 
 
