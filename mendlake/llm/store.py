@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mendlake.tables import shared_dir
+
 #: Rows of a narrow table (a few longs a row) that may be broadcast: about 50 MB.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where the session has none (tests in local mode), a folder of this machine is set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -49,16 +38,14 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, members: Column | None = None) -> DataFrame:
     """df marked for broadcast if it was counted to have at most so many rows; else df, and Spark shuffles.
 
-    df should be a materialised, narrow table: it is counted here.
+    df should be a materialised, narrow table: it is counted here. members: of a table with arrays, how many members a
+    row has; they count like rows.
     """
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = df.count() if members is None else df.agg(F.count(F.lit(1)) + F.coalesce(F.sum(members), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= rows else df
 
 
 def unused(df: DataFrame, name: str) -> str:
