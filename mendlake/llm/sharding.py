@@ -14,6 +14,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mendlake.llm.store import unused
+
 #: Slots of the table; a prime, at least 100 a shard, which keeps shards within about one percent of each other.
 SLOTS = 4093
 HEX = 15  # leading hex digits of an MD5 that make a non-negative long
@@ -56,10 +58,11 @@ def slot_of(key: Column, slots: int = SLOTS, seed: int = 0) -> Column:
 
 
 def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS, seed: int = 0, weights: list[int] | None = None) -> DataFrame:
-    """df with the columns slot (int), shard (int) and shard_name; columns of df with these names are replaced.
+    """df with the columns slot (int), shard (int) and shard_name.
 
-    Nulls: a null key is placed like an empty one. Repeated rows go to the same shard. An empty df gives an empty
-    result. Order and number of rows stay.
+    Columns of df that have such a name (in any case of letters) stay, and the new one gets underscores in front. Nulls:
+    a null key is placed like an empty one. Repeated rows go to the same shard. An empty df gives an empty result.
+    Order and number of rows stay.
     """
     spark = df.sparkSession
     owner = fill(shards, slots, weights)
@@ -67,8 +70,7 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS, seed:
     names = F.array(*[F.lit(s) for s in shards])
     lookup = spark.range(1).select(F.posexplode(F.split(F.lit(text), ",")).alias("slot", "shard"))
     lookup = lookup.select("slot", F.col("shard").cast("int").alias("shard"))
-    lookup = lookup.withColumn("shard_name", F.get(names, F.col("shard")))
-    rest = df.drop("slot", "shard", "shard_name") if {"slot", "shard", "shard_name"} & set(df.columns) and key not in ("slot", "shard", "shard_name") else df
-    if key in ("slot", "shard", "shard_name"):
-        raise ValueError("the key column may not have the name of an output column")
-    return rest.withColumn("slot", slot_of(F.col(f"`{key}`"), slots, seed)).join(F.broadcast(lookup), "slot", "left").select(*[F.col(f"`{c}`") for c in rest.columns], "slot", "shard", "shard_name")
+    slot, number, name = (unused(df, c) for c in ("slot", "shard", "shard_name"))
+    lookup = lookup.select(F.col("slot").alias(slot), F.col("shard").alias(number), F.get(names, F.col("shard")).alias(name))
+    placed = df.withColumn(slot, slot_of(F.col(f"`{key}`"), slots, seed)).join(F.broadcast(lookup), slot, "left")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], slot, number, name)
