@@ -2,11 +2,12 @@
 
 Writing: one pass over the pages writes an archive of gzip members (one a record) for every task, and gives a row of
 the index for every record: file, offset, length, URL, digest. The index is a Parquet table; Spark commits its rows
-once, so what a task wrote before it was lost is an archive that no row names. Payloads are never shuffled unless
-the table of repeated payloads is too large to broadcast, which Spark decides by its measured size.
+once, so what a task wrote before it was lost is an archive that no row names. Repeated payloads are found by their
+digests alone. Those that repeat at least HOT times are broadcast, the others too if they were counted to be few enough;
+else pages meet them in a shuffle in which no digest has HOT rows.
 
-Reading: the index is filtered first, then dealt out by file and stretches of RANGE bytes and sorted by offset;
-neighbouring records (gaps up to GAP) are one read. Archives are opened by pyarrow.fs, so any file system that it
+Reading: the index is filtered first, then dealt out by file and stretches of RANGE bytes and sorted by offset, to as
+many tasks as the records' bytes call for; neighbouring records (gaps up to GAP) are one read. Archives are opened by pyarrow.fs, so any file system that it
 knows by URI will do (on HDFS the executors need libhdfs).
 """
 
@@ -24,10 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendlake.llm.store import fresh_path, materialise
+from mendlake.llm.store import fresh_path, materialise, small
 
 #: Bytes after which a task begins another archive, of one read at most, and between records of one read at most.
 ARCHIVE, RANGE, GAP = 256 << 20, 8 << 20, 64 << 10
+#: Bytes of records for a reading task, at most and (while there are fewer tasks than cores) at least.
+TASK, LEAST_TASK = 64 << 20, 1 << 20
+#: Pages from which a digest is hot.
+HOT = 1_000
 DATE = "1970-01-01T00:00:00Z"  # pages have no time of their own
 INDEX = "page_id long, url string, digest string, record_type string, refers_to long, payload_bytes long, file string, offset long, length long"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -116,9 +121,14 @@ def write(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = pages.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     seen = keyed.filter(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    again = seen.filter("n > 1 and low is not null").select("sha", "low")
-    first = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("low")), F.col("low"))
-    rows = keyed.join(again, "sha", "left").select("page_id", "url", "html", first.alias("first"))
+    again = materialise(seen.filter("n > 1 and low is not null"), "repeated")
+    hot = small(again.filter(F.col("n") >= HOT).select("sha", F.col("low").alias("hot")))
+    low = F.coalesce("hot", "low")
+    first = F.when(F.col("page_id").isNull() | (F.col("page_id") != low), low)
+    own = F.coalesce("page_id", F.xxhash64("url")).cast("string").cast("binary")
+    cold = F.when(F.col("hot").isNull(), F.col("sha")).otherwise(F.concat("sha", own))  # of a hot row: a key that nothing has, so that none piles up
+    rows = keyed.join(hot, "sha", "left").withColumn("cold", cold)
+    rows = rows.join(small(again.filter(F.col("n") < HOT).select(F.col("sha").alias("cold"), "low")), "cold", "left").select("page_id", "url", "html", first.alias("first"))
     folder = fresh_path(spark, "warc")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
@@ -164,7 +174,9 @@ def _reader(payloads: bool) -> Callable:
 
 def read(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records that the rows of index (file, offset, length) name; each response's payload is held to its digest."""
-    dealt = index.select("file", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / RANGE))
-    dealt = dealt.repartition("file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-size // TASK), min(index.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_TASK)))
+    dealt = index.select("file", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / (RANGE if size > TASK else LEAST_TASK)))
+    dealt = dealt.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     return dealt.mapInArrow(_reader(payloads), schema)
