@@ -3,9 +3,9 @@
 Calls and results are hash-joined by conversation and identifier. Both sides have one row an identifier by then (the
 first of each, found by a map-side aggregate; the others are counted), so a repeated identifier is never a product.
 A call's level is one more than the highest level of the calls it depends on; rows sorted by level, turn and identifier
-stand in topological order in each conversation. Levels are found in rounds, each a join of the edges that are left
-with the calls that were placed in the round before; a conversation is never gathered in one task. Arguments are JSON
-that is checked against a schema for each tool; canonical JSON has sorted keys and no white space.
+stand in topological order in each conversation. Levels are found by contracting chains (see levels()): a chain of n
+calls takes log n rounds of joins, and a conversation is never gathered in one task. Arguments are JSON that is checked
+against a schema for each tool; canonical JSON has sorted keys and no white space.
 
 DataFrame functions only.
 """
@@ -17,10 +17,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendlake.llm.store import materialise
+from mendlake.llm.store import materialise, small
 
-#: Rounds, and so levels, before levels() gives up.
-MAX_LEVELS = 10_000
+KEY = ["conv_id", "call_id"]
+#: Above every level: calls on or behind a cycle.
+ENDLESS = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -68,26 +69,76 @@ def errors(name: Column, arguments: Column, schemas: dict[str, list[Param]]) ->
 
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of unique calls with `depends` (array of ids); a dependency that isn't a call of the
-    conversation is ignored. Calls on a cycle or behind one have no row."""
-    key = ["conv_id", "call_id"]
-    edges = calls.select(*key, F.explode(F.array_distinct("depends")).alias("dep"))
-    nodes = calls.select(*key)
-    left = materialise(edges.join(nodes.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi"), "call-edges")
-    placed = materialise(nodes.join(left, key, "left_anti").withColumn("level", F.lit(0)), "levels-0")
-    out = placed
-    for level in range(1, MAX_LEVELS):
-        if left.isEmpty():
-            return out
-        # An edge is done once its dependency was placed, a call is placed once all of its edges are done.
-        now = left.join(placed.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("done")), ["conv_id", "dep"], "left")
-        now = materialise(now.select(*key, "dep", F.coalesce("done", F.lit(False)).alias("done")), "call-edges")
-        if now.filter("done").isEmpty():
-            return out  # what is left are cycles and what hangs on them
-        ready = now.groupBy(*key).agg(F.min("done").alias("all")).filter("all")
-        placed = materialise(ready.select(*key, F.lit(level).alias("level")), "levels")
-        left = now.filter("not done").drop("done")
-        out = out.unionByName(placed)
-    raise RuntimeError(f"more than {MAX_LEVELS} levels")
+    conversation is ignored. Calls on a cycle or behind one have no row.
+
+    The level of a call is the maximum of a bound and of its open dependencies' levels, plus a step each. While there
+    are edges: dependencies with a known level become part of the bound; calls without open dependencies are known;
+    chains of calls with one open dependency are contracted to their ends by pointer doubling, and put aside until those
+    are known. Every pass does away with all chains and all calls that depend on known ones or on one chain's end only,
+    so passes grow with the nesting of calls that wait for two open ones, not with the length of chains. If a pass finds
+    neither, all calls that are left wait for two of each other: they are on cycles or behind them.
+    """
+    edges = calls.select(*KEY, F.explode(F.array_distinct("depends")).alias("dep"))
+    nodes = calls.select(*KEY)
+    edges = edges.join(nodes.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi")
+    # An edge: the call's level is at least the dependency's and `step`; at least `step` where dep is null.
+    edges = materialise(edges.select(*KEY, "dep", F.lit(1).cast("long").alias("step")), "call-edges")
+    known = materialise(nodes.join(edges.select(*KEY).distinct(), KEY, "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
+    found, aside = [known], []
+    edges = materialise(_shortened(edges, known), "call-edges")
+    while not edges.isEmpty():
+        state = edges.groupBy(*KEY).agg(F.count("dep").alias("open"), F.max(F.when(F.col("dep").isNull(), F.col("step"))).alias("least"), F.max(F.when(F.col("dep").isNotNull(), F.struct("dep", "step"))).alias("one"))
+        state = materialise(state, "call-state")
+        known = state.filter("open = 0").select(*KEY, F.col("least").alias("level"))
+        ones = state.filter("open = 1").select(*KEY, F.col("one.dep").alias("to"), F.col("one.step").alias("step"), F.coalesce("least", F.lit(0)).alias("least"))
+        if state.filter("open < 2").isEmpty():
+            break
+        ones = _contracted(ones)
+        found.append(known)
+        aside.append(ones)
+        many = edges.join(state.filter("open > 1").select(*KEY), KEY, "left_semi")
+        edges = materialise(_shortened(many, known, ones), "call-edges")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    for ones in reversed(aside):  # each waits for calls that were known, or put aside, after it
+        ends = out.select("conv_id", F.col("call_id").alias("to"), "level")
+        level = F.greatest("least", F.col("level") + F.col("step"))
+        out = materialise(out.unionByName(ones.join(ends, ["conv_id", "to"]).select(*KEY, level.alias("level"))), "levels")
+    return out.filter(F.col("level") < ENDLESS).withColumn("level", F.col("level").cast("int"))
+
+
+def _shortened(edges: DataFrame, known: DataFrame, ones: DataFrame | None = None) -> DataFrame:
+    """edges with known dependencies as bounds and those on a chain moved to its end, the largest step of each."""
+    ends = known.select("conv_id", F.col("call_id").alias("dep"), "level", F.lit(None).cast("string").alias("to"), F.lit(None).cast("long").alias("more"))
+    if ones is not None:
+        ends = ends.unionByName(ones.select("conv_id", F.col("call_id").alias("dep"), F.col("least").alias("level"), "to", F.col("step").alias("more")))
+    met = edges.join(small(ends), ["conv_id", "dep"], "left")
+    bound = F.struct(F.lit(None).cast("string").alias("dep"), (F.col("level") + F.col("step")).alias("step"))
+    moved = F.struct(F.col("to").alias("dep"), (F.col("more") + F.col("step")).alias("step"))
+    kept = F.struct("dep", "step")
+    rows = F.when(F.col("level").isNull(), F.array(kept)).when(F.col("to").isNull() | (F.col("level") >= ENDLESS), F.array(bound)).otherwise(F.array(bound, moved))
+    return met.select(*KEY, F.inline(rows)).groupBy(*KEY, "dep").agg(F.max("step").alias("step"))
+
+
+def _contracted(ones: DataFrame) -> DataFrame:
+    """Calls with one open dependency (to, step, least), each with the end of its chain, a call of another kind, as `to`.
+
+    level = max(least, level of to + step); two such calls in a row make one. Each round doubles what a pointer spans,
+    so pointers that are still inside after enough rounds for all calls go round a cycle: their level is ENDLESS."""
+    for _ in range(max(1, ones.count()).bit_length() + 1):
+        then = ones.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("step").alias("next_step"), F.col("least").alias("next_least"))
+        met = materialise(ones.join(then, ["conv_id", "to"], "left"), "call-chains")
+        ended = met.filter("next is null").select(*KEY, "to", "step", "least")
+        inside = met.filter("next is not null")
+        if inside.isEmpty():
+            return ended
+        step = (F.col("step") + F.col("next_step")).alias("step")
+        least = F.greatest("least", F.col("next_least") + F.col("step")).alias("least")
+        ones = ended.unionByName(inside.select(*KEY, F.col("next").alias("to"), step, least))
+    ends = ones.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("inside"))
+    met = ones.join(ends, ["conv_id", "to"], "left")
+    return materialise(met.select(*KEY, "to", "step", F.when(F.col("inside"), F.lit(ENDLESS)).otherwise(F.col("least")).alias("least")), "call-chains")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Param]]) -> DataFrame:
