@@ -1,27 +1,27 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
 For every length that items have, each text has a window of so many words from each word on (a shorter text with at
-least three quarters of the words is one window). A window's fingerprint is the 128-bit SimHash of its weighted
-distinct five-word shingles, of which only those that some item of that length has count. Fingerprints are cut in BLOCKS parts: two that differ in at most RADIUS bits differ in at most
-FLIPS of some part's bits, so probing each part with up to FLIPS bits flipped finds every pair within the radius.
-Candidates are verified on the exact shingles: leaked if the window holds at least THRESHOLD of the item's weight.
+least three quarters of the words is one window). Windows that can't reach the threshold by running sums over the
+shingles of all items go, and so does a window next to one that holds all of its known shingles: it can't hold more of
+any item. A window's fingerprint is the 252-bit SimHash of its weighted distinct five-word shingles, of which only those
+that some item of that length has count. Fingerprints are kept as 14 parts of 18 bits: two that differ in at most RADIUS
+bits differ in at most FLIPS of some part's bits, so probing each part with up to FLIPS bits flipped finds every pair
+within the radius. A text that met an item so is verified exactly: over all windows of the item's length, the largest
+share of the item's weighted shingles, and the first window that has it; leaked if the share is at least THRESHOLD.
 
 In a fingerprint a shingle counts with the root of its weight: a window that holds a share s of an item's weight, and
-no shingle of other items, is then at a cosine of root s, and its bits differ with a chance of acos(root s) / pi. RADIUS
-is the mean at s = THRESHOLD and four deviations, 38 of 128 bits. A window in which other items' shingles stand in for
-the missing ones is further away: the README has the measured loss.
-
-Windows that can't reach that weight are not fingerprinted: the shingles of all items that lie in a window bound what
-it can share with any one item. This drops no window that would pass and leaves few of them, found with running sums.
+no shingle of other items, is then at a cosine of root s, and its bits differ with a chance of acos(root s) / pi. At
+RADIUS = 55 of 252 a single window is met with a chance of 0.99 at s = 0.75 and above 0.999 from 0.8 on (normal
+approximation); the README has the recall that was measured. Two unrelated fingerprints meet in some part with a chance
+of 14 * 988 / 2^18, or 5 %, and are within the radius with next to none.
 
 Weights: log(1 + items / items with the shingle), in thousandths, from the whole benchmark. The benchmark is taken in
-blocks of at most BLOCK_ITEMS items, whose shingles are broadcast; a larger benchmark means more passes.
+blocks of about BLOCK_GRAMS shingles, which are broadcast; a larger benchmark means more passes over the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendlake.llm.store import materialise, small, unused
-from mendlake.llm.words import ALNUM, U, Words, mix, words
+from mendlake.llm.words import ALNUM, U, mix, words
 
 SHINGLE = 5
 THRESHOLD = 0.75
-BITS = 128
-_FAR = float(np.arccos(np.sqrt(THRESHOLD)) / np.pi)
-RADIUS = int(BITS * _FAR + 4 * np.sqrt(BITS * _FAR * (1 - _FAR)))
-#: Bits of the parts, from the lowest: of the first half of the fingerprint, then of the second.
-PARTS = ((10, 9, 9, 9, 9, 9, 9), (11, 11, 11, 11, 10, 10))
-BLOCKS = sum(map(len, PARTS))
-FLIPS = RADIUS // BLOCKS
-BLOCK_ITEMS = 20_000
+PARTS, PART, FLIPS = 14, 18, 3
+BITS = PARTS * PART
+RADIUS = PARTS * (FLIPS + 1) - 1
+PRINT = [f"part{i}" for i in range(PARTS)]
+BLOCK_GRAMS = 500_000
 SPAN = 4_096  # places of a text that are fingerprinted at once
 
 
@@ -67,36 +64,43 @@ def _item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Block:
     """The items of a block, as arrays: shingles with weights, and the least weight that a window needs by length."""
 
-    def __init__(self, rows: list):
-        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by shingle size
+    def __init__(self, rows: pa.Table):
+        item, size, gram, weight = (rows.column(c).to_numpy() for c in ("item_id", "size", "gram", "weight"))
+        order = np.lexsort((gram.view(U), size, item))
+        item, size, gram, weight = item[order], size[order], gram[order].view(U), weight[order]
+        kind = np.minimum(size, SHINGLE)
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by shingle size: shingles and weights
+        for k in np.unique(kind).tolist():
+            known, first = np.unique(gram[kind == k], return_index=True)
+            self.grams[k] = known, weight[kind == k][first]
         self.items: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # by item and length
-        by_item: dict[tuple[int, int], list] = {}
-        for r in rows:
-            by_item.setdefault((r["item_id"], r["size"]), []).append((r["gram"] & (2**64 - 1), r["weight"]))
-        for k in {gram_size(size) for _, size in by_item}:
-            one = sorted({x for (_, size), v in by_item.items() if gram_size(size) == k for x in v})
-            self.grams[k] = np.array([g for g, _ in one], U), np.array([x for _, x in one], np.int64)
         self.need: dict[int, int] = {}
-        self.of_size: dict[int, np.ndarray] = {}  # which of the shingles the items of a length have
-        for (item, size), v in by_item.items():
-            g, x = np.array(sorted(v), dtype=object).T
-            self.items[item, size] = g.astype(U), x.astype(np.int64)
-            low = int(np.ceil(THRESHOLD * sum(x)))
-            self.need[size] = min(low, self.need.get(size, low))
-            known = self.grams[gram_size(size)][0]
-            self.of_size.setdefault(size, np.zeros(len(known), bool))[np.searchsorted(known, self.items[item, size][0])] = True
+        mine: dict[int, list[np.ndarray]] = {}
+        cut = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (size[1:] != size[:-1])])) if len(item) else np.zeros(0, int)
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(item)], strict=True):
+            n = int(size[a])
+            self.items[int(item[a]), n] = gram[a:b], weight[a:b]
+            low = int(np.ceil(THRESHOLD * weight[a:b].sum()))
+            self.need[n] = min(low, self.need.get(n, low))
+            mine.setdefault(n, []).append(np.searchsorted(self.grams[gram_size(n)][0], gram[a:b]))
+        #: Which shingles the items of a length have, as sorted places in grams.
+        self.of_size = {n: np.unique(np.concatenate(v)) for n, v in mine.items()}
 
     def find(self, k: int, grams: np.ndarray) -> np.ndarray:
-        """Number of each gram; -1 where no item has it."""
-        known = self.grams[k][0]
-        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-        return np.where(known[at] == grams, at, -1)
+        """Place of each gram; -1 where no item has it."""
+        return place_in(self.grams[k][0], grams)
+
+
+def place_in(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Place of each member of x in known (sorted, not empty); -1 for those that aren't there."""
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, at, -1)
 
 
 def signs(grams: np.ndarray) -> np.ndarray:
-    """128 signs of every gram."""
-    raw = np.stack([mix(grams, 21), mix(grams, 22)], axis=1)
-    return np.unpackbits(raw.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
+    """BITS signs of every gram."""
+    raw = np.stack([mix(grams, 21 + i) for i in range(-(-BITS // 64))], axis=1)
+    return np.unpackbits(raw.astype("<u8").view(np.uint8), axis=1, bitorder="little", count=BITS).astype(np.int32) * 2 - 1
 
 
 def root(weight: np.ndarray) -> np.ndarray:
@@ -105,8 +109,8 @@ def root(weight: np.ndarray) -> np.ndarray:
 
 
 def pack(sums: np.ndarray) -> np.ndarray:
-    """SimHashes, as two signed longs each, of rows of weighted sums of signs."""
-    return np.packbits(sums > 0, axis=1, bitorder="little").view("<i8")
+    """SimHashes, a number for each part, of rows of weighted sums of signs."""
+    return ((sums > 0).reshape(-1, PARTS, PART) << np.arange(PART)).sum(axis=2).astype(np.int32)
 
 
 def previous(grams: np.ndarray) -> np.ndarray:
@@ -131,21 +135,21 @@ def _prints(grams: np.ndarray, weight: np.ndarray, before: np.ndarray, start: np
     enter = np.maximum(before[at] + 1, at - m + 1)
     order = np.argsort(enter, kind="stable")
     signed = signs(grams[at]) * weight[at, None]
-    left, entered = np.zeros((2, len(at) + 1, 128), np.int64)
+    left, entered = np.zeros((2, len(at) + 1, BITS), np.int64)
     np.cumsum(signed, axis=0, out=left[1:])
     np.cumsum(signed[order], axis=0, out=entered[1:])
     return pack(entered[np.searchsorted(enter[order], start, side="right")] - left[np.searchsorted(at, start)])
 
 
 def _windows(shared) -> Callable:
-    names = ["tkey", "size", "start", "hi", "lo"]
+    names = ["tkey", "size", *PRINT]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
         for batch in batches:
             for a, b, w in words(batch.column(1), ALNUM):
                 keys = batch.column(0).slice(a, b - a)
-                out = [[], [], [], [], []]
+                owners, sizes, prints = [], [], []
                 for k in block.grams:
                     grams = w.grams(k)
                     if not len(grams):
@@ -155,92 +159,104 @@ def _windows(shared) -> Callable:
                     for i in np.unique(owner).tolist():
                         lo, hi = int(w.first[i]), int(w.first[i + 1]) - k + 1
                         if hi > lo:
-                            for size, start, prints in _of_text(block, k, grams[lo:hi], number[lo:hi]):
-                                for c, v in zip(out, (np.full(len(start), i), np.full(len(start), size, np.int32), start.astype(np.int32), prints[:, 0], prints[:, 1]), strict=True):
-                                    c.append(v)
-                if out[0]:
-                    cols = [keys.take(pa.array(np.concatenate(out[0]))), *[pa.array(np.concatenate(c)) for c in out[1:]]]
+                            for size, found in _of_text(block, k, grams[lo:hi], number[lo:hi]):
+                                owners.append(np.full(len(found), i))
+                                sizes.append(np.full(len(found), size, np.int32))
+                                prints.append(found)
+                if owners:
+                    bits = np.concatenate(prints)
+                    cols = [keys.take(pa.array(np.concatenate(owners))), pa.array(np.concatenate(sizes)), *[pa.array(np.ascontiguousarray(c)) for c in bits.T]]
                     yield pa.RecordBatch.from_arrays(cols, names)
 
     return find
 
 
-def _of_text(block: Block, k: int, grams: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _of_text(block: Block, k: int, grams: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, fingerprints) of a text's windows that may hold an item of a length."""
     n = len(grams)
     at = np.flatnonzero(number >= 0)
     number, before = number[at], np.full(n, -1)
     before[at] = np.concatenate([at, [-1]])[previous(grams[at])]
+    weight = block.grams[k][1][number]
+    total = weight.sum()
     for size, need in block.need.items():
-        if gram_size(size) != k:
+        if gram_size(size) != k or total < need:
             continue
         m = size - k + 1
         if n < m:  # the text is shorter than the item
             if n + k - 1 < THRESHOLD * size:
                 continue
             m = n
-        mine = block.of_size[size][number]
-        if not mine.any():
-            continue
-        hit = np.zeros(n, np.int64)
-        hit[at[mine]] = block.grams[k][1][number[mine]]
-        run = np.concatenate([[0], np.cumsum(hit)])
-        start = np.flatnonzero(run[m:] - run[:-m] >= need)
+        mine = place_in(block.of_size[size], number) >= 0
+        hit = np.zeros(n + 1, np.int64)
+        hit[at[mine]] = weight[mine]
+        start = np.flatnonzero(_sums(hit[:n], m) >= need)
+        # The window before holds all that this one does, or the next one does and more.
+        held = ((start > 0) & (hit[start + m - 1] == 0)) | ((hit[start] == 0) & (hit[start + m] > 0))
+        start = start[~held]
         for i in range(0, len(start), SPAN):
             part = start[i : i + SPAN]
             first, last = int(part[0]), int(part[-1]) + m
-            yield size, part, _prints(grams[first:last], root(hit[first:last]), before[first:last] - first, part - first, m)
+            yield size, _prints(grams[first:last], root(hit[first:last]), before[first:last] - first, part - first, m)
 
 
-def _parts(hi, lo):
-    """Array of (part, its bits) of a fingerprint."""
-    out, at = [], 0
-    for half, sizes in zip((hi, lo), PARTS, strict=True):
-        shift = 0
-        for bits in sizes:
-            out.append(F.struct(F.lit(at).alias("part"), F.shiftrightunsigned(half, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("bits")))
-            shift, at = shift + bits, at + 1
-    return F.array(*out)
-
-
-def _probes():
-    """Array of (part, mask) with up to FLIPS bits."""
-    sizes = [b for half in PARTS for b in half]
-    masks = [[sum(1 << i for i in c) for f in range(FLIPS + 1) for c in combinations(range(b), f)] for b in sizes]
-    return F.array(*[F.struct(F.lit(at).alias("part"), F.array(*map(F.lit, m)).alias("masks")) for at, m in enumerate(masks)])
+def _sums(x: np.ndarray, m: int) -> np.ndarray:
+    run = np.concatenate([[0], np.cumsum(x)])
+    return run[m:] - run[:-m]
 
 
 def hamming_join(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs (size, hi, lo, item_id) of equal size within RADIUS bits; windows: size, hi, lo; items: item_id too."""
-    left = windows.select("size", "hi", "lo").distinct().select("*", F.inline(_parts(F.col("hi"), F.col("lo"))))
-    right = items.select("item_id", "size", F.col("hi").alias("ihi"), F.col("lo").alias("ilo"), F.inline(_parts(F.col("hi"), F.col("lo"))))
-    masks = items.sparkSession.range(1).select(F.inline(_probes())).select("part", F.explode("masks").alias("mask"))
-    right = right.join(F.broadcast(masks), "part").select("item_id", "size", "ihi", "ilo", "part", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits"))
-    near = F.bit_count(F.col("hi").bitwiseXOR(F.col("ihi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("ilo"))) <= RADIUS
-    return left.join(right, ["size", "part", "bits"]).filter(near).select("size", "hi", "lo", "item_id").distinct()
+    """Pairs (size, fingerprint, item_id) of equal size within RADIUS bits. windows: size and PRINT; items: item_id too."""
+    every = F.posexplode(F.array(*PRINT)).alias("part", "bits")
+    whole = lambda name: F.array(*PRINT).alias(name)
+    left = windows.select("size", *PRINT).distinct().select("size", whole("window"), every)
+    masks = items.sparkSession.range(1 << PART).filter(F.bit_count("id") <= FLIPS).select(F.col("id").cast("int").alias("mask"))
+    probes = items.select("item_id", "size", whole("item"), every).join(F.broadcast(masks))  # a fixed table of 988 rows
+    probes = probes.select("item_id", "size", "item", "part", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits"))
+    far = F.aggregate(F.zip_with("window", "item", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    near = left.join(probes, ["size", "part", "bits"]).filter(far <= RADIUS)
+    return near.select("size", *[F.col("window")[i].alias(c) for i, c in enumerate(PRINT)], "item_id").distinct()
+
+
+def best_window(here: np.ndarray, size: int, k: int, grams: np.ndarray, weight: np.ndarray) -> tuple[float, int]:
+    """(share, start): the largest share of an item's shingles (grams, sorted, with weights) that a window of its length
+    holds in a text of shingles `here`, and the first place with it. One pass over the places that hold a shingle."""
+    m = min(len(here), size - k + 1)
+    place = place_in(grams, here)
+    at = np.flatnonzero(place >= 0)
+    place = place[at]
+    before = np.concatenate([at, [-1]])[previous(place)]
+    enter = np.maximum(before + 1, at - m + 1)  # the first window in which this is the first of its kind
+    starts = np.unique(np.maximum(0, at - m + 1))
+    order = np.argsort(enter, kind="stable")
+    come, gone = (np.concatenate([[0], np.cumsum(weight[p])]) for p in (place[order], place))
+    held = come[np.searchsorted(enter[order], starts, side="right")] - gone[np.searchsorted(at, starts)]
+    best = int(held.argmax()) if len(held) else 0
+    return (float(held[best] / weight.sum()), int(starts[best])) if len(held) else (0.0, 0)
 
 
 def _verifier(shared) -> Callable:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                w = Words(raw, np.array([0, len(raw)]), ALNUM)
-                best: dict[int, tuple[float, int]] = {}
-                for x in found:
-                    grams, weight = block.items[x["item_id"], x["size"]]
-                    k = gram_size(x["size"])
-                    here = w.grams(k)[x["start"] : x["start"] + x["size"] - k + 1]
-                    share = float(weight[np.isin(grams, here)].sum() / weight.sum())
-                    old = best.get(x["item_id"], (0.0, 0))
-                    if share >= THRESHOLD and (share, -x["start"]) > (old[0], -old[1]):
-                        best[x["item_id"]] = share, x["start"]
-                for item, (share, start) in sorted(best.items()):
-                    for c, v in zip(out, (doc, item, start, share), strict=True):
-                        c.append(v)
-            cols = [pa.array(c, t) for c, t in zip(out, (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "start", "similarity"])
+            for a, b, w in words(batch.column(1), ALNUM):
+                out: list[list] = [[], [], [], []]
+                grams: dict[int, np.ndarray] = {}
+                for i, found in enumerate(batch.column(2).slice(a, b - a).to_pylist()):
+                    lo, hi = int(w.first[i]), int(w.first[i + 1])
+                    best: dict[int, tuple[float, int]] = {}
+                    for x in found:
+                        k = gram_size(x["size"])
+                        if k not in grams:
+                            grams[k] = w.grams(k)
+                        share, start = best_window(grams[k][lo : hi - k + 1], x["size"], k, *block.items[x["item_id"], x["size"]])
+                        if share >= THRESHOLD and (share, -start) > (lambda s, p: (s, -p))(*best.get(x["item_id"], (0.0, 0))):
+                            best[x["item_id"]] = share, start
+                    for item, (share, start) in sorted(best.items()):
+                        for c, v in zip(out, (a + i, item, start, share), strict=True):
+                            c.append(v)
+                cols = [batch.column(0).take(pa.array(out[0], pa.int64())), *[pa.array(c, t) for c, t in zip(out[1:], (pa.int64(), pa.int32(), pa.float64()), strict=True)]]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "start", "similarity"])
 
     return verify
 
@@ -256,29 +272,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     kind = docs.schema[key].dataType.simpleString()
     docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
     items = materialise(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_grams, "item_id long, size int, gram long").distinct(), "items")
-    n = items.select("item_id").distinct().count()
+    n, total = items.agg(F.countDistinct("item_id"), F.count(F.lit(1))).first()
     share = items.groupBy("gram").agg(F.countDistinct("item_id").alias("n"))
     weight = F.round(1000 * F.log(1 + F.lit(n) / F.col("n"))).cast("long")
     items = materialise(items.join(share.select("gram", weight.alias("weight")), "gram"), "item-weights")
-    out, blocks = None, -(-n // BLOCK_ITEMS)
+    out, blocks = None, -(-total // BLOCK_GRAMS)
     for i in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
-        block = Block(mine.collect())  # BLOCK_ITEMS items on average
+        block = Block(items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).toArrow())  # BLOCK_GRAMS rows on average
         if not block.items:
             continue
         shared = spark.sparkContext.broadcast(block)
-        windows = docs.select("tkey", "text").mapInArrow(_windows(shared), "tkey long, size int, start int, hi long, lo long")
+        windows = docs.select("tkey", "text").mapInArrow(_windows(shared), f"tkey long, size int, {', '.join(f'{c} int' for c in PRINT)}")
         windows = materialise(windows, "windows")
         rows = []
         for (item, size), (grams, weight_) in block.items.items():
-            hi, lo = pack((signs(grams) * root(weight_)[:, None]).sum(axis=0, keepdims=True, dtype=np.int64))[0].tolist()
-            rows.append((item, size, hi, lo))
-        prints = spark.createDataFrame(rows, "item_id long, size int, hi long, lo long")
+            rows.append((item, size, *pack((signs(grams) * root(weight_)[:, None]).sum(axis=0, keepdims=True, dtype=np.int64))[0].tolist()))
+        prints = spark.createDataFrame(rows, f"item_id long, size int, {', '.join(f'{c} int' for c in PRINT)}")
         near = materialise(hamming_join(windows, prints), "near")
-        found = windows.join(small(near), ["size", "hi", "lo"])
-        found = found.groupBy("tkey").agg(F.collect_set(F.struct("item_id", "size", "start")).alias("found"))
+        found = windows.join(small(near), ["size", *PRINT]).groupBy("tkey").agg(F.collect_set(F.struct("item_id", "size")).alias("found"))
         found = materialise(found, "found")
-        text = docs.join(small(found.select("tkey")), "tkey", "left_semi").join(small(found, 100_000), "tkey").select("doc_id", "text", "found")
+        text = docs.join(small(found.select("tkey")), "tkey", "left_semi").join(small(found, members=F.size("found")), "tkey").select("doc_id", "text", "found")
         got = text.mapInArrow(_verifier(shared), f"doc_id {kind}, item_id long, start int, similarity double")
         out = got if out is None else out.unionByName(got)
     out = spark.createDataFrame([], f"doc_id {kind}, item_id long, start int, similarity double") if out is None else out

@@ -1,7 +1,12 @@
+import math
 import random
 import re
+import time
 
+import numpy as np
+import pyarrow as pa
 from mendlake.llm import decontaminate as D
+from mendlake.llm.words import ALNUM, Words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -75,18 +80,65 @@ def test_real_rows(spark, sf):
 def test_radius_is_whole(spark):
     """Every pair within the radius is found, and none beyond it."""
     rng = random.Random(5)
-    base = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(20)]
-    items = spark.createDataFrame([(i, 20, h, lo) for i, (h, lo) in enumerate(base)], "item_id long, size int, hi long, lo long")
+    base = [tuple(rng.getrandbits(D.PART) for _ in D.PRINT) for _ in range(20)]
+    schema = ", ".join(f"{c} int" for c in D.PRINT)
+    items = spark.createDataFrame([(i, 20, *f) for i, f in enumerate(base)], f"item_id long, size int, {schema}")
+    far = lambda f, g: sum((x ^ y).bit_count() for x, y in zip(f, g, strict=True))
     probes, want = [], set()
-    for i, (h, lo) in enumerate(base):
-        for flips in (0, 1, 13, 26, 37, 38, 39, 45):
-            bits = rng.sample(range(126), flips)
-            x = h ^ sum(1 << b for b in bits if b < 63)
-            y = lo ^ sum(1 << (b - 63) for b in bits if b >= 63)
-            probes.append((20, x, y))
-            want |= {(x, y, j) for j, (p, q) in enumerate(base) if (p ^ x).bit_count() + (q ^ y).bit_count() <= D.RADIUS}
-    got = D.hamming_join(spark.createDataFrame(probes, "size int, hi long, lo long"), items)
-    assert {(r["hi"], r["lo"], r["item_id"]) for r in got.collect()} == want
+    for f in base:
+        for flips in (0, 1, 16, 33, D.RADIUS - 1, D.RADIUS, D.RADIUS + 1, 70):
+            bits = rng.sample(range(D.BITS), flips)
+            g = tuple(x ^ sum(1 << (p % D.PART) for p in bits if p // D.PART == i) for i, x in enumerate(f))
+            probes.append((20, *g))
+            want |= {(*g, j) for j, h in enumerate(base) if far(g, h) <= D.RADIUS}
+    got = D.hamming_join(spark.createDataFrame(probes, f"size int, {schema}"), items)
+    assert {(*(r[c] for c in D.PRINT), r["item_id"]) for r in got.collect()} == want
+
+
+def test_index_is_selective(spark):
+    """Of unrelated fingerprints, few meet in a part and none is within the radius."""
+    rng = random.Random(9)
+    schema = ", ".join(f"{c} int" for c in D.PRINT)
+    some = lambda n: [tuple(rng.getrandbits(D.PART) for _ in D.PRINT) for _ in range(n)]
+    windows = spark.createDataFrame([(20, *f) for f in some(500)], f"size int, {schema}")
+    items = spark.createDataFrame([(i, 20, *f) for i, f in enumerate(some(200))], f"item_id long, size int, {schema}")
+    assert D.hamming_join(windows, items).count() < 0.01 * 500 * 200
+    assert D.PARTS * sum(math.comb(D.PART, f) for f in range(D.FLIPS + 1)) / 2**D.PART < 0.06
+
+
+def test_recall_near_the_threshold():
+    """Share of single windows within the radius, by the share of the item that they hold: as the module says."""
+    rng = np.random.default_rng(2)
+    for share, least in ((0.75, 0.97), (0.8, 0.99), (0.9, 1.0)):
+        near = []
+        for _ in range(300):
+            grams = rng.integers(0, 2**63, 40, dtype=np.uint64)
+            signs = D.signs(grams).astype(np.int64)
+            item, window = D.pack(np.stack([signs.sum(axis=0), signs[: round(share * 40)].sum(axis=0)]))
+            near.append(sum((int(x) ^ int(y)).bit_count() for x, y in zip(item, window, strict=True)) <= D.RADIUS)
+        assert np.mean(near) >= least, share
+
+
+def test_long_text_is_linear():
+    """A text of many items: twice the words take about twice the time."""
+    rng = random.Random(3)
+    items = [(i, [f"w{i}x{j}" for j in range(40)]) for i in range(50)]
+    table = pa.table({"item_id": [i for i, t in items for _ in range(36)], "size": [40] * (50 * 36), "gram": np.concatenate([word_grams(" ".join(t)) for _, t in items]).view(np.int64), "weight": [700] * (50 * 36)})
+    block = D.Block(table)
+    seconds = []
+    for n in (500, 2000):
+        text = word_grams(" ".join(" ".join(items[rng.randrange(50)][1]) for _ in range(n)))
+        began = time.perf_counter()
+        assert sum(len(f) for _, f in D._of_text(block, 5, text, block.find(5, text))) >= n
+        for i in range(50):
+            assert D.best_window(text, 40, 5, *block.items[i, 40])[0] == 1.0
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 12 * seconds[0]
+
+
+def word_grams(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return Words(raw, np.array([0, len(raw)]), ALNUM).grams(5)
 
 
 def test_clean_keeps_rows(spark):
