@@ -4,13 +4,15 @@ P(grade <= k) = sigmoid(theta_k - w.x) with one weight vector w for all threshol
 the distinct words of a text and the word beginnings of 4, 5 and 6 bytes, hashed to 2^20 places. The model is fitted
 on a bounded sample of labelled rows (SAMPLE_PER_CLASS toxic and as many others, those with the smallest id hash;
 texts that repeat count once), on the places whose log odds between the classes are Z standard errors from none, by
-mini-batch AdaGrad with an L1 penalty.
+mini-batch AdaGrad with an L1 penalty. Thresholds are the first one and the logarithms of the steps to the next, so
+they stay in order by themselves.
 The thresholds are then moved by the classes' odds among all labels, as the sample is balanced and the corpus isn't.
 The fit is one task on the sample. Scoring is one pass over whole texts with the model's weights (some thousands,
 bounded by the sample) broadcast; no shuffle.
 
 Labels say toxic or not, so the grades 1, 2 and 3 of toxic examples are thirds by the density of words that the
-sample ties to toxicity (log odds of at least LOG_ODDS). Any other graded table can be given instead.
+sample ties to toxicity (log odds of at least LOG_ODDS). They are thus made of the features that the model sees, and
+say how dense a text is with such words, no more. Any other graded table can be given instead.
 """
 
 from __future__ import annotations
@@ -49,10 +51,11 @@ class Model:
         return out
 
     def grades(self, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P(grade >= 1), expected grade, most likely grade."""
+        """P(grade >= 1), expected grade, grade: the most likely one above 0 from CUT on, else 0."""
         below = 1 / (1 + np.exp(np.clip(margin[:, None] - self.thresholds, -500, 500)))
-        full = np.concatenate([np.zeros((len(margin), 1)), below, np.ones((len(margin), 1))], axis=1)
-        return 1 - below[:, 0], (1 - below).sum(axis=1), np.diff(full, axis=1).argmax(axis=1)
+        full = np.concatenate([below, np.ones((len(margin), 1))], axis=1)
+        p = 1 - below[:, 0]
+        return p, (1 - below).sum(axis=1), np.where(p >= CUT, 1 + np.diff(full, axis=1).argmax(axis=1), 0)
 
 
 def features(w) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -94,6 +97,7 @@ def examples(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = given.filter("y = 1").orderBy(*order).limit(per_class).unionByName(given.filter("y = 0").orderBy(*order).limit(per_class))
     texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows at most
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))  # one row an id, however often it repeats
     return texts.select("y", "text").mapInArrow(_sparse, "y int, places array<int>"), (counts.get(0, 0), counts.get(1, 0))
 
 
@@ -131,11 +135,12 @@ def fit(grade: np.ndarray, xs: list[np.ndarray], prior: tuple[int, int], seed: i
     """prior: how many labels of grade 0 and above there are in all, for the thresholds."""
     n_grades = max(2, int(grade.max(initial=0)) + 1)
     weights, theta = np.zeros(1 << BITS), np.linspace(0.5, 2.0, n_grades - 1)
-    if not len(grade) or not (grade > 0).any() or (grade > 0).all():
-        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), theta + 20.0)  # nothing to tell apart: nothing is toxic
+    if not len(grade) or not (grade > 0).any() or (grade > 0).all():  # nothing to tell apart: all is as the labels are
+        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), theta + (-20.0 if len(grade) and (grade > 0).all() else 20.0))
     used = telling(grade > 0, xs)
     xs = [x[used[x]] for x in xs]
     g, gt, rng = np.full(1 << BITS, 1e-6), np.full(n_grades - 1, 1e-6), np.random.default_rng(seed)
+    free = np.concatenate([theta[:1], np.log(np.diff(theta))])  # the first threshold, and logarithms of the steps
     sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -500, 500)))
     for _ in range(EPOCHS):
         order = rng.permutation(len(xs))
@@ -157,8 +162,10 @@ def fit(grade: np.ndarray, xs: list[np.ndarray], prior: tuple[int, int], seed: i
             dt = np.zeros(n_grades + 1)
             np.add.at(dt, y + 1, -hi * (1 - hi) / p / len(at))
             np.add.at(dt, y, lo * (1 - lo) / p / len(at))
-            gt += dt[1:-1] ** 2
-            theta = np.maximum.accumulate(theta - RATE / np.sqrt(gt) * dt[1:-1] + 1e-3 * np.arange(n_grades - 1))
+            df = np.cumsum(dt[1:-1][::-1])[::-1] * np.concatenate([[1.0], np.exp(free[1:])])  # a step moves all thresholds after it
+            gt += df**2
+            free = free - RATE / np.sqrt(gt) * df
+            theta = np.cumsum(np.concatenate([free[:1], np.exp(np.minimum(free[1:], 50.0))]))
     sample = ((grade == 0).sum(), (grade > 0).sum())
     shift = np.log((prior[0] / sample[0]) / (prior[1] / sample[1]))
     places = np.flatnonzero(weights)
@@ -199,12 +206,14 @@ def _scorer(shared, at: int, n: int) -> Callable:
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with p_toxic (P of grade 1 or above), severity (expected grade), grade (most likely) and toxic (p_toxic >= CUT).
+    """df with p_toxic (P of grade 1 or above), severity (expected grade), toxic (p_toxic >= CUT) and grade (0 for what
+    isn't toxic, else the most likely one above).
 
-    Columns of df with these names are replaced. A null or empty text has no features and gets the scores of the
-    thresholds alone. Rows that repeat score alike; an empty df gives an empty result.
+    Columns of df with these names (in any case of letters) are replaced. A null or empty text has no features and gets
+    the scores of the thresholds alone. Rows that repeat score alike; an empty df gives an empty result. Labels of one
+    class only make everything that class.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in df.columns if c not in OUT]
+    keep = [c for c in df.columns if c.lower() not in OUT]
     schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(c, t) for c, t in OUT.items()]])
     return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(_scorer(shared, keep.index(text), len(keep)), schema)
