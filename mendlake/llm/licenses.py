@@ -1,7 +1,8 @@
 """License scans by diagonal voting.
 
-Templates are word sequences: the short phrases that name a license, and longer notices. A text's rolling two-word
-hashes are joined with the templates' (a fixed table of some hundred rows, broadcast). A hit of text position p with
+Templates are word sequences: the short phrases that name a license, one-line notices, headers and whole short licenses.
+A text's rolling hashes of two and of four words are joined with the templates' (a fixed table of about 1,300 rows,
+broadcast): two words for short templates, four for long ones. A hit of text position p with
 template position q lies on the diagonal p - q; hits are counted by diagonal, and diagonals of one template that lie
 within SLACK of each other and overlap are merged, as words put in or left out shift the rest of a notice. A merged
 span with enough votes is a candidate, and is verified on the text's words: a phrase must stand there word for word, a
@@ -13,7 +14,9 @@ are told apart by a hash of the text, so null and repeated ids are no trouble an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -23,70 +26,70 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mendlake.llm.license_texts import NOTICES, PHRASES, TEXTS
 from mendlake.llm.store import materialise, small
 from mendlake.llm.words import ALNUM, Words, words
 
-K = 2
+#: Words of a hash: of short templates, and of those of LONG words or more, in whose hashes common words count little.
+SHORT_K, LONG_K, LONG = 2, 4, 20
 SLACK = 3
-VOTES = 0.5  # share of a notice's hashes that a candidate needs
+#: Share of a notice's hashes that a candidate needs; one changed word spoils as many hashes as they have words.
+VOTES = {SHORT_K: 0.5, LONG_K: 0.25}
 COVER = 0.75
-# Phrases that stand for a label.
-PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-# Notices, the first sentences of well-known license texts.
-NOTICES = (
-    ("this work is licensed under the gnu general public license version 3", "gpl-3"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    ("all rights reserved", "proprietary"),
-)
 
 
-def _grams_of(text: str) -> list[int]:
-    raw = np.frombuffer(text.encode(), np.uint8)
-    return Words(raw, np.array([0, len(raw)]), ALNUM).grams(K).view(np.int64).tolist()
+@dataclass(frozen=True)
+class Template:
+    words: tuple[str, ...]
+    label: str
+    phrase: bool
 
+    @property
+    def k(self) -> int:
+        return LONG_K if len(self.words) >= LONG and not self.phrase else SHORT_K
 
-def templates() -> list[tuple[int, str, str, bool]]:
-    """(number, words, label, is a phrase)."""
-    return [(i, t, label, i < len(PHRASES)) for i, (t, label) in enumerate([*PHRASES, *NOTICES])]
+    def grams(self) -> list[int]:
+        raw = np.frombuffer(" ".join(self.words).encode(), np.uint8)
+        return Words(raw, np.array([0, len(raw)]), ALNUM).grams(self.k).view(np.int64).tolist()
+
+
+def templates() -> list[Template]:
+    split = lambda t: tuple(re.findall(r"[a-z0-9]+", t.lower()))
+    return [Template(split(t), label, i == 0) for i, group in enumerate((PHRASES, NOTICES, TEXTS)) for t, label in group]
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    rows = [(i, at, h, phrase, len(g)) for i, t, _, phrase in templates() for g in [_grams_of(t)] for at, h in enumerate(g)]
-    return spark.createDataFrame(rows, "template int, at int, gram long, phrase boolean, grams int")
+    rows = [(i, at, h, t.phrase, t.k, len(g), VOTES[t.k] * len(g)) for i, t in enumerate(templates()) for g in [t.grams()] for at, h in enumerate(g)]
+    return spark.createDataFrame(rows, "template int, at int, gram long, phrase boolean, k int, grams int, least double")
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, w in words(batch.column(1), ALNUM):
-            grams = w.grams(K)
-            grams = np.concatenate([grams, np.zeros(len(w.hash) - len(grams), np.uint64)])
-            # The last word of a text begins no gram; its place is kept, so that positions count words.
-            ends = w.first[1:][w.first[1:] > w.first[:-1]] - 1
-            grams[ends] = 0
             cut = pa.array(w.first.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(cut, pa.array(grams.view(np.int64)))], ["tkey", "grams"])
+            for k in (SHORT_K, LONG_K):
+                grams = w.grams(k)
+                grams = np.concatenate([grams, np.zeros(len(w.hash) - len(grams), np.uint64)])
+                # The last words of a text begin no gram; their places are kept, so that positions count words.
+                for i in range(1, k):
+                    ends = w.first[1:] - i
+                    grams[ends[ends >= w.first[:-1]]] = 0
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(cut, pa.array(grams.view(np.int64)))], ["tkey", "grams"])
 
 
 def candidates(texts: DataFrame) -> DataFrame:
     """(tkey, found): the candidate spans of each text, as (template, start, end) in words. texts: tkey, text."""
     hashes = texts.mapInArrow(_hashes, "tkey long, grams array<long>").select("tkey", F.posexplode("grams").alias("pos", "gram"))
     hits = hashes.join(F.broadcast(template_grams(texts.sparkSession)), "gram")
-    votes = hits.groupBy("tkey", "template", "phrase", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.countDistinct("at").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    votes = hits.groupBy("tkey", "template", "phrase", "k", "grams", "least", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.countDistinct("at").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     votes = materialise(votes, "votes")
-    exact = votes.filter("phrase and votes = grams").select("tkey", "template", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("grams") + 1).alias("end"))
+    exact = votes.filter("phrase and votes = grams").select("tkey", "template", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("grams") + F.col("k") - 1).alias("end"))
     # Diagonals of a notice in one text; a run goes on while the next is within SLACK and lies near the former's hits.
     order = W.partitionBy("tkey", "template").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(order) > SLACK) | (F.col("low") > F.lag("high").over(order) + F.col("grams"))
     runs = votes.filter("not phrase").withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order))
-    merged = runs.groupBy("tkey", "template", "grams", "run").agg(F.sum("votes").alias("votes"), F.min("low").alias("start"), (F.max("high") + K).alias("end"))
-    merged = merged.filter(F.col("votes") >= VOTES * F.col("grams")).select("tkey", "template", "start", "end")
+    merged = runs.groupBy("tkey", "template", "k", "least", "run").agg(F.sum("votes").alias("votes"), F.min("low").alias("start"), (F.max("high") + F.col("k")).alias("end"))
+    merged = merged.filter("votes >= least").select("tkey", "template", "start", "end")
     both = exact.unionByName(merged)
     return materialise(both.groupBy("tkey").agg(F.array_sort(F.collect_set(F.struct("template", "start", "end"))).alias("found")), "candidates")
 
@@ -95,14 +98,14 @@ SPAN = T.StructType().add("label", "string").add("start", "long").add("end", "lo
 OUT = T.StructType().add("n_words", "long").add("n_base", "long").add("first_word", "long").add("last_word", "long").add("base_labels", "string").add("labels", "string").add("score", "double").add("spans", T.ArrayType(SPAN))
 
 
-def cover(text: list[str], template: list[str]) -> float:
+def cover(text: list[str], template: tuple[str, ...]) -> float:
     """Share of the template's words that stand in text in the same order."""
     blocks = SequenceMatcher(None, text, template, autojunk=False).get_matching_blocks()
     return sum(b.size for b in blocks) / len(template)
 
 
 def _verifier(n_keep: int) -> Callable:
-    known = [(t.split(), label, phrase) for _, t, label, phrase in templates()]
+    known = templates()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,18 +116,18 @@ def _verifier(n_keep: int) -> Callable:
                     lo, hi = int(w.first[i]), int(w.first[i + 1])
                     starts, labels, base, spans = [], set(), set(), []
                     for x in found[a + i].as_py() or ():
-                        template, label, phrase = known[x["template"]]
+                        t = known[x["template"]]
                         p, q = x["start"], min(x["end"], hi - lo)
                         if p < 0 or p >= q:
                             continue
                         here = [w.data[w.start[j] : w.end[j]].tobytes().lower().decode() for j in range(lo + p, lo + q)]
-                        share = float(here == template) if phrase else cover(here, template)
-                        if phrase and share:
+                        share = float(here == list(t.words)) if t.phrase else cover(here, t.words)
+                        if t.phrase and share:
                             starts.append(p)
-                            base.add(label)
+                            base.add(t.label)
                         if share >= COVER:
-                            labels.add(label)
-                            spans.append({"label": label, "start": p, "end": q, "cover": share})
+                            labels.add(t.label)
+                            spans.append({"label": t.label, "start": p, "end": q, "cover": share})
                     score = max((s["cover"] for s in spans), default=0.0)
                     rows.append((hi - lo, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels | base)), score, spans))
                 kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cover", pa.float64())]))]
@@ -142,9 +145,9 @@ def scan(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     A null text is empty. Repeated rows are reported each, an empty df gives an empty result; columns of df other than
     keep and text are not read, and keep may not hold an output's name.
     """
-    texts = df.select(F.xxhash64(text).alias("tkey"), F.col(text).cast("string").alias("text"))
+    texts = df.select(F.xxhash64(f"`{text}`").alias("tkey"), F.col(f"`{text}`").cast("string").alias("text"))
     found = candidates(texts)
     schema = T.StructType([*[df.schema[c] for c in keep], *OUT])
-    rows = df.select(F.xxhash64(text).alias("tkey"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("_text"))
-    joined = rows.join(small(found, 200_000), "tkey", "left").select(*[f"_k{i}" for i in range(len(keep))], "_text", "found")
+    rows = df.select(F.xxhash64(f"`{text}`").alias("tkey"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("_text"))
+    joined = rows.join(small(found, members=F.size("found")), "tkey", "left").select(*[f"_k{i}" for i in range(len(keep))], "_text", "found")
     return joined.mapInArrow(_verifier(len(keep)), schema)
