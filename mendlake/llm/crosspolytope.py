@@ -84,10 +84,10 @@ def _hashed(tables: int, probes: int) -> Callable:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                x = directions(_matrix(part.column(1)))
+                x = directions(_matrix(part.column(2)))
                 axes = np.stack([nearest_axes(rotate(x, t), probes) for t in range(tables)], axis=1).astype(np.int32)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, axes.size + 1, tables * probes, dtype=np.int32)), pa.array(axes.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), rows], ["vec_id", "embedding", "axes"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], rows], ["row", "vec_id", "embedding", "axes"])
 
     return run
 
@@ -96,12 +96,12 @@ def _best(tables: int, probes: int, k: int) -> Callable:
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """left: queries, right: vectors, that meet in table key[0]; the k best new vectors of every query."""
         table = key[0].as_py()
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         if left.num_rows and right.num_rows:
             right = right.sort_by("vec_id")
             v, ids = _matrix(right.column("embedding")), right.column("vec_id").to_numpy()
             axes = _matrix(right.column("axes")).astype(np.int64)
-            q, mine = _matrix(left.column("embedding")), left.column("vec_id").to_numpy()
+            q, mine, me = _matrix(left.column("embedding")), left.column("vec_id").to_numpy(), left.column("row").to_numpy()
             probed = _matrix(left.column("axes")).astype(np.int64).reshape(len(q), tables, probes)
             for i in range(0, len(q), 256):
                 part = slice(i, i + 256)
@@ -114,7 +114,7 @@ def _best(tables: int, probes: int, k: int) -> Callable:
                     ok = p < at.shape[1]
                     at[np.nonzero(ok)[0], p[ok]] = True
                     seen |= at[:, axes[:, t]]
-                near[seen | (mine[part, None] == ids)] = -np.inf
+                near[seen | (me[part, None] == right.column("row").to_numpy())] = -np.inf
                 kth = np.partition(near, max(0, len(v) - k), axis=1)[:, max(0, len(v) - k)]
                 row, col = np.nonzero((near >= kth[:, None] - 1e-9 * (1 + np.abs(np.where(np.isfinite(kth), kth, 0)))[:, None]) & np.isfinite(near))
                 exact = (q[part][row] * v[col]).sum(axis=1)  # the same sum for the same vectors, wherever they stand
@@ -122,40 +122,45 @@ def _best(tables: int, probes: int, k: int) -> Callable:
                 row, col, exact = row[order], col[order], exact[order]
                 rank = np.arange(len(row)) - np.searchsorted(row, row)
                 keep = rank < k
-                for c, x in zip(out, (mine[part][row[keep]], ids[col[keep]], exact[keep]), strict=True):
+                for c, x in zip(out, (me[part][row[keep]], mine[part][row[keep]], ids[col[keep]], exact[keep]), strict=True):
                     c.append(x)
-        cols = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+        cols = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.int64, np.float64), strict=True)]
+        return pa.table({"row": pa.array(cols[0], pa.int64()), "query_id": pa.array(cols[1], pa.int64()), "vec_id": pa.array(cols[2], pa.int64()), "score": pa.array(cols[3], pa.float64())})
 
     return score
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding (doubles) of the vectors that take part, all of the most common length."""
+    """row (a number of its own), vec_id, embedding (doubles) of the vectors that take part."""
     e = F.col("embedding")
     good = F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter(good)
+    return vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter(good)
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = K, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by `every`.
 
-    Nearest by largest inner product, ties to the smaller id; a query isn't its own neighbour. Vectors that are null,
-    zero, or hold null or non-finite components take no part, nor do those without an id or of another length than
-    most. Rows that repeat an id are vectors of their own as candidates, but none is a neighbour of its own id.
-    With fewer candidates, ranks end earlier; an empty table gives an empty result.
+    Nearest by largest inner product, ties to the smaller id; a query's own row isn't its neighbour. Vectors that are
+    null, zero, or hold null or non-finite components take no part, nor do those without an id. Rows that repeat an id
+    are vectors, and queries, of their own. An inner product needs vectors of one length, so those of each length that
+    occurs are searched among themselves, one after the other. With fewer candidates, ranks end earlier; an empty table
+    gives an empty result.
     """
     vectors = usable(vectors)
-    sizes = vectors.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.orderBy(F.desc("n"), "d").first()
-    spark = vectors.sparkSession
-    if top is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    vectors = vectors.filter(F.size("embedding") == top["d"])
-    axes = 2 << (top["d"] - 1).bit_length()
-    schema = "vec_id long, embedding array<double>, axes array<int>"
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sizes = vectors.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()
+    for r in sizes:
+        found = _search(vectors.filter(F.size("embedding") == r["d"]), r["d"], r["n"], every, k, tables, probes)
+        out = found if len(sizes) == 1 else out.unionByName(found)
+    return out
+
+
+def _search(vectors: DataFrame, d: int, n: int, every: int, k: int, tables: int, probes: int) -> DataFrame:
+    """search() among n vectors of length d."""
+    axes = 2 << (d - 1).bit_length()
+    schema = "row long, vec_id long, embedding array<double>, axes array<int>"
     placed = materialise(vectors.mapInArrow(_hashed(tables, 1), schema), "vectors")
-    asking = vectors.filter(F.col("vec_id") % every == 0)
+    asking = placed.filter(F.col("vec_id") % every == 0).drop("axes")
 
     def found(queries: DataFrame, tables: int, probes: int) -> DataFrame:
         asked = materialise(queries.mapInArrow(_hashed(tables, probes), schema), "queries")
@@ -163,39 +168,39 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, tables: int = TABLES
 
     probes = max(min(probes, axes), _enough(asking, placed, tables, k))
     if probes > MOST * axes:
-        return found(asking, 1, axes)
+        return found(asking, 1, axes).drop("row")
     out = found(asking, tables, probes)
     # Queries that met too few vectors look at all axes of a table, which hold every vector.
-    enough = out.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k, top["n"] - 1)).select("vec_id")
-    few = materialise(asking.join(small(enough), "vec_id", "left_anti"), "few")
+    enough = out.groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k, n - 1)).select("row")
+    few = materialise(asking.join(small(enough), "row", "left_anti"), "few")
     if not few.isEmpty():
-        out = out.join(small(few.select(F.col("vec_id").alias("query_id"))), "query_id", "left_anti").unionByName(found(few, 1, axes))
-    return out
+        out = out.join(small(few.select("row")), "row", "left_anti").unionByName(found(few, 1, axes))
+    return out.drop("row")
 
 
 def _enough(asking: DataFrame, placed: DataFrame, tables: int, k: int) -> int:
     """The least number of probes a table that finds RECALL of the true neighbours of SAMPLE queries."""
-    asked = asking.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    asked = asking.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).collect()
     if not asked:
         return 1
-    ids, q = np.array([r["vec_id"] for r in asked]), np.array([r["embedding"] for r in asked])
-    shared = placed.sparkSession.sparkContext.broadcast((ids, q))
+    rows, q = np.array([r["row"] for r in asked]), np.array([r["embedding"] for r in asked])
+    shared = placed.sparkSession.sparkContext.broadcast((rows, q))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
+        rows, q = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(i, BLOCK)
                 mine = part.column(0).to_numpy()
-                score = q @ _matrix(part.column(1)).T
-                score[ids[:, None] == mine] = -np.inf
+                score = q @ _matrix(part.column(2)).T
+                score[rows[:, None] == mine] = -np.inf
                 col = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 row = np.repeat(np.arange(len(q)), col.shape[1])
                 col = col.reshape(-1)
                 ok = np.isfinite(score[row, col])
                 row, col = row[ok], col[ok]
                 at = pa.array(col)
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), part.column(0).take(at), pa.array(score[row, col]), part.column(2).take(at)], ["query_id", "vec_id", "score", "axes"])
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), part.column(1).take(at), pa.array(score[row, col]), part.column(3).take(at)], ["query_id", "vec_id", "score", "axes"])
 
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = placed.mapInArrow(nearest, "query_id long, vec_id long, score double, axes array<int>").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "axes").collect()
@@ -211,8 +216,8 @@ def _enough(asking: DataFrame, placed: DataFrame, tables: int, k: int) -> int:
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = W.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("row", "query_id", "rank", "vec_id", "score")
 
 
 def _met(asked: DataFrame, placed: DataFrame, tables: int, probes: int, k: int) -> DataFrame:
@@ -222,9 +227,9 @@ def _met(asked: DataFrame, placed: DataFrame, tables: int, probes: int, k: int)
     # Sizes of the buckets: at most tables * 2 * d rows.
     count = lambda df, name: df.groupBy("table", "axis").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     chunks = materialise(count(rows, "vs").join(count(wants, "qs"), ["table", "axis"]), "chunks")
-    mine = lambda n: F.pmod(F.xxhash64("vec_id", "table"), F.col(n)).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("row", "table"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = ["table", "axis", "v", "q"]
-    rows = rows.join(F.broadcast(chunks), ["table", "axis"]).select("table", "axis", mine("vs").alias("v"), each("qs").alias("q"), "vec_id", "embedding", "axes")
-    wants = wants.join(F.broadcast(chunks), ["table", "axis"]).select("table", "axis", each("vs").alias("v"), mine("qs").alias("q"), "vec_id", "embedding", "axes")
-    return wants.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(_best(tables, probes, k), "query_id long, vec_id long, score double")
+    rows = rows.join(F.broadcast(chunks), ["table", "axis"]).select("table", "axis", mine("vs").alias("v"), each("qs").alias("q"), "row", "vec_id", "embedding", "axes")
+    wants = wants.join(F.broadcast(chunks), ["table", "axis"]).select("table", "axis", each("vs").alias("v"), mine("qs").alias("q"), "row", "vec_id", "embedding", "axes")
+    return wants.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(_best(tables, probes, k), "row long, query_id long, vec_id long, score double")
