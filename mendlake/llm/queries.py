@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendlake.llm import crosspolytope, decontaminate, forest, licenses, mixing, secret_scan, sharding, toolcalls, toxicity, warc
-from mendlake.llm.store import table
 from mendlake.llm.toolcalls import Param
+from mendlake.tables import table
 
+#: Words by how common they are, for guess costs; without the file, common passwords alone.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 DOMAINS = ["web", "forum", "reference", "books"]
 MIX = {
@@ -166,7 +170,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    vocabulary = VOCABULARY if os.path.exists(VOCABULARY) else None
+    return secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"], vocabulary=vocabulary)
 
 
 QUERIES |= {"op2_warc": op2_warc, "op7_secret_scan": op7_secret_scan}
@@ -209,24 +214,24 @@ TOOL_NAMES = ["search", "translate", "calculate", "fetch"]
 def chat_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results made from a chat's turns, as the tables have none.
 
-    An assistant turn of n words makes 1 + n % 3 calls with its first words as arguments. Each depends on the one
+    An assistant turn of n words makes 1 + n % 3 calls with its whole text as the argument. Each depends on the one
     before; the first on the first call two turns earlier if n is divisible by 3, and on the second of its own turn (a
     cycle) if n is divisible by 97. The next user turn answers the calls but every seventh; user turns whose words
-    number a multiple of 31 have a result of their own that nobody asked for.
+    number a multiple of 31 have a result of their own that nobody asked for. A result is the user turn's whole text.
     """
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0)
     turns = turns.select("conv_id", "turn", "role", F.col("text"), words.alias("w")).withColumn("n", F.size("w"))
     name = lambda t, j: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"), F.lit("-"), j.cast("string"))
     made = turns.filter("role = 'assistant'").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") % 3)))
-    word = F.to_json(F.struct(F.coalesce(F.get("w", F.col("j")), F.lit("")).alias("x")))
-    word = word.substr(F.lit(6), F.length(word) - 6)
+    said = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("x")))
+    said = said.substr(F.lit(6), F.length(said) - 6)
     lang = F.when(F.col("n") % 5 == 0, F.lit(', "lang" : "xx"')).otherwise(F.lit(""))
-    arguments = F.concat(F.lit('{ "query": '), word, F.lit(', "limit": '), (F.col("n") % 12 - 1).cast("string"), lang, F.when(F.col("n") % 13 == 0, F.lit("")).otherwise(F.lit("}")))
+    arguments = F.concat(F.lit('{ "query": '), said, F.lit(', "limit": '), (F.col("n") % 12 - 1).cast("string"), lang, F.when(F.col("n") % 13 == 0, F.lit("")).otherwise(F.lit("}")))
     before = F.when(F.col("j") > 0, name(F.col("turn"), F.col("j") - 1)).when(F.col("n") % 3 == 0, name(F.col("turn") - 2, F.lit(0)))
     cycle = F.when((F.col("j") == 0) & (F.col("n") % 97 == 0), name(F.col("turn"), F.lit(1)))
     tool = F.get(F.array(*map(F.lit, TOOL_NAMES)), (F.col("n") + F.col("j")) % 4)
     calls = made.select("conv_id", name(F.col("turn"), F.col("j")).alias("call_id"), "turn", tool.alias("name"), arguments.alias("arguments"), F.array_compact(F.array(before, cycle)).alias("depends"), "n", "j")
-    user = turns.filter("role = 'user'").select("conv_id", F.col("turn").alias("at"), F.substring("text", 1, 40).alias("content"), F.col("n").alias("m"))
+    user = turns.filter("role = 'user'").select("conv_id", F.col("turn").alias("at"), F.col("text").alias("content"), F.col("n").alias("m"))
     answers = calls.filter((F.col("n") + F.col("j")) % 7 != 0).withColumn("at", F.col("turn") + 1).join(user, ["conv_id", "at"]).select("conv_id", "call_id", F.col("at").alias("turn"), "content")
     alone = user.filter("m % 31 = 0").select("conv_id", F.concat(F.lit("none-"), F.col("at").cast("string")).alias("call_id"), F.col("at").alias("turn"), "content")
     return calls.drop("n", "j"), answers.unionByName(alone)
@@ -240,7 +245,7 @@ QUERIES["op4_toolcalls"] = op4_toolcalls
 ORACLES["op4_toolcalls"] = """
     WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM conversations),
     c AS (
-        SELECT conv_id, turn, j, len(w) AS n, w[j + 1] AS word, 'call-' || conv_id || '-' || turn || '-' || j AS call_id,
+        SELECT conv_id, turn, j, len(w) AS n, coalesce(text, '') AS said, 'call-' || conv_id || '-' || turn || '-' || j AS call_id,
             ['search', 'translate', 'calculate', 'fetch'][(len(w) + j) % 4 + 1] AS name
         FROM t, range(0, 3) r(j) WHERE role = 'assistant' AND j <= len(w) % 3
     ),
@@ -257,12 +262,12 @@ ORACLES["op4_toolcalls"] = """
         UNION SELECT e.call_id, s.level + 1 FROM steps s JOIN edges e ON e.dep = s.call_id WHERE e.call_id NOT IN (SELECT call_id FROM bad)
     ),
     lv AS (SELECT call_id, max(level)::INT AS level FROM steps GROUP BY call_id),
-    u AS (SELECT conv_id, turn, left(text, 40) AS content, len(w) AS m FROM t WHERE role = 'user'),
+    u AS (SELECT conv_id, turn, text AS content, len(w) AS m FROM t WHERE role = 'user'),
     r AS (SELECT c.conv_id, c.call_id, u.turn, u.content FROM c JOIN u ON u.conv_id = c.conv_id AND u.turn = c.turn + 1 WHERE (c.n + c.j) % 7 <> 0),
     called AS (
         SELECT c.conv_id, c.call_id, c.turn, c.name, r.content, r.call_id IS NOT NULL AS answered, lv.level,
-            CASE WHEN n % 13 = 0 THEN to_json('{ "query": ' || to_json(word) || ', "limit": ' || (n % 12 - 1) || CASE WHEN n % 5 = 0 THEN ', "lang" : "xx"' ELSE '' END)
-                 ELSE '{' || CASE WHEN n % 5 = 0 THEN '"lang":"xx",' ELSE '' END || '"limit":' || (n % 12 - 1) || ',"query":' || to_json(word) || '}' END AS arguments,
+            CASE WHEN n % 13 = 0 THEN to_json('{ "query": ' || to_json(said) || ', "limit": ' || (n % 12 - 1) || CASE WHEN n % 5 = 0 THEN ', "lang" : "xx"' ELSE '' END)
+                 ELSE '{' || CASE WHEN n % 5 = 0 THEN '"lang":"xx",' ELSE '' END || '"limit":' || (n % 12 - 1) || ',"query":' || to_json(said) || '}' END AS arguments,
             CASE WHEN n % 13 = 0 THEN 'json'
                  WHEN name = 'fetch' THEN 'tool'
                  WHEN name = 'calculate' THEN CASE WHEN n % 5 = 0 THEN 'unknown:lang,' ELSE '' END || 'unknown:limit,type:query'
