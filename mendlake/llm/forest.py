@@ -12,7 +12,9 @@
    components; of all other candidates only those between different components are left to check. So a group of n
    near copies costs O(n) checks, and no candidate between different components goes unchecked.
 5. What neighbours may miss: links between components that share a region of more than NEIGHBOURS + 1 nodes. There
-   the nodes outside the largest component are compared with all others, in blocks (see residual()).
+   the nodes that can be similar to one of another component are found by the rare shingles of their sets, and those
+   outside the largest component are compared with all of them, in blocks, in the candidates' place (see
+   family_links()). That is quadratic in the nodes that can have such a link, not in the family.
 
 A pair of similarity 0.75 shares DEPTH_MIN minima in a tree with probability 0.42, so TREES trees miss it with 2e-5.
 """
@@ -39,8 +41,8 @@ HASHES = DEPTH_MIN * TREES
 DEPTH_MAX = 8
 NEIGHBOURS = 3
 FIRST_TREES = 4
-#: Nodes of a block of residual().
-CHUNK = 512
+#: Nodes of a block of family_links(), and shingles that may be broadcast there.
+CHUNK, SHINGLES = 512, 100_000
 #: Linked if PERCENT[0] * intersection >= PERCENT[1] * union.
 PERCENT = (100, 75)
 _rng = np.random.Generator(np.random.PCG64(20240601))
@@ -77,6 +79,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["node", "hashes"])
 
 
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as arrays; print tells sets of one node apart."""
+    for batch in batches:
+        for a, b, w in words(batch.column(1), SPACED):
+            sets = list(w.sets(SHINGLE))
+            print_ = np.array([mix(h, 11).sum(dtype=U) for h in sets], U).view(np.int64)
+            cut = np.concatenate([[0], np.cumsum([len(h) for h in sets])]).astype(np.int32)
+            grams = np.concatenate([np.zeros(0, U), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(print_), pa.ListArray.from_arrays(pa.array(cut), pa.array(grams))], ["node", "print", "grams"])
+
+
 NEAR = "a long, b long, first int, pid int, pos int, tree int, key binary, node long"
 
 
@@ -173,7 +186,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _joined(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """pairs (a, b) with the components ca and cb of their ends."""
+    """pairs (a, b, ...) with the components ca and cb of their ends."""
     one = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     two = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     return pairs.join(one, "a", "left").join(two, "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
@@ -186,54 +199,98 @@ def _chain(one: DataFrame, two: DataFrame) -> DataFrame:
     return kept.unionByName(two.join(one, "node", "left_anti"))
 
 
+def families(nodes: DataFrame, cross: DataFrame, comp: DataFrame) -> DataFrame:
+    """(node, component, family, few) of the nodes of regions that neighbours don't cover.
+
+    A region of more than NEIGHBOURS + 1 nodes has pairs that are no neighbours. Regions lie within families: components
+    that candidate pairs (cross: a, b, ca, cb) connect, similar or not. few: outside the family's largest component; a
+    pair of two components has such a node.
+    """
+    edges = materialise(cross.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "family-edges")
+    parts = edges.select(F.col("a").alias("component")).union(edges.select("b")).distinct()
+    joined = components(edges).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    family = materialise(parts.join(joined, "component", "left").select("component", F.coalesce("family", "component").alias("family")), "families")
+    placed = nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    inside = materialise(placed.join(family, "component"), "family-nodes")
+    sizes = inside.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n_all"))
+    sizes = sizes.filter(F.col("n_all") > NEIGHBOURS + 1).select("family", F.col("top.component").alias("largest"))
+    return materialise(inside.join(sizes, "family").select("node", "component", "family", (F.col("component") != F.col("largest")).alias("few")), "dense")
+
+
 def _cross(left: pa.Table, right: pa.Table) -> pa.Table:
     """One link (a, b) of each node of left to each other component of right with a similar node."""
     x, y = PERCENT
-    sets = [np.frombuffer(h.as_py(), U) for h in right.column("hashes")]
-    sizes, comp, node = np.array([len(s) for s in sets]), right.column("component").to_numpy(), right.column("node").to_numpy()
-    grams = np.concatenate([*sets, np.zeros(0, U)])
+    comp, node, size = (right.column(c).to_numpy() for c in ("component", "node", "size"))
+    grams = right.column("grams").combine_chunks()
+    owner, grams = np.repeat(np.arange(len(grams)), np.diff(grams.offsets.to_numpy())), grams.flatten().to_numpy()
     order = np.argsort(grams, kind="stable")
-    owner, grams = np.repeat(np.arange(len(sets)), sizes)[order], grams[order]
+    owner, grams = owner[order], grams[order]
     out: list[tuple[int, int]] = []
-    for me, mine, h in zip(left.column("node").to_pylist(), left.column("component").to_pylist(), left.column("hashes"), strict=True):
-        s = np.frombuffer(h.as_py(), U)
+    for me, mine, h in zip(left.column("node").to_pylist(), left.column("component").to_pylist(), left.column("grams"), strict=True):
+        s = h.values.to_numpy()
         lo, hi = np.searchsorted(grams, s), np.searchsorted(grams, s, side="right")
         n = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        both = np.bincount(owner[at], minlength=len(sets))
-        near = np.flatnonzero((x * both >= y * (len(s) + sizes - both)) & (comp != mine))
+        both = np.bincount(owner[at], minlength=len(node))
+        near = np.flatnonzero((x * both >= y * (len(s) + size - both)) & (comp != mine))
         out += [(min(me, int(v)), max(me, int(v))) for v in node[near[np.unique(comp[near], return_index=True)[1]]]]
     return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
 
 
-def residual(nodes: DataFrame, pairs: DataFrame, comp: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b, ca, cb) across components that the neighbours in the orders may have missed.
+def promising(full: DataFrame) -> DataFrame:
+    """(family, node) of the nodes that can be similar to a node of another component of their family.
 
-    A region of more than NEIGHBOURS + 1 nodes has pairs that are no neighbours. Regions lie within families: what the
-    candidate pairs connect, similar or not. In a large family of several components, every node outside the largest
-    is compared on full sets with all nodes of the other components, in blocks of CHUNK by CHUNK nodes, each block a
-    task's work; only links found leave it.
+    A shingle counts only if nodes of two components of the family have it, as no other is shared across components.
+    Each set is ordered by how many nodes of the family have a shingle, the rarest first. Sets of n and m shingles that
+    are similar share at least 3 (n + m) / 7, and at least so many of them stand at or after the first that they share:
+    it is among the first seventh of the smaller set and the first quarter of the larger one. So a node stays if a
+    shingle of its first quarter is in the first seventh of a node of another component, or the other way round. In a
+    family of near misses rare shingles fill these beginnings, and no node stays.
     """
-    edges = materialise(_joined(pairs.select("a", "b"), comp).filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "family-edges")
-    parts = edges.select(F.col("a").alias("component")).union(edges.select("b")).distinct()
-    joined = components(edges).select(F.col("node").alias("component"), F.col("component").alias("family"))
-    family = materialise(parts.join(joined, "component", "left").select("component", F.coalesce("family", "component").alias("family")), "families")
-    placed = nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    inside = materialise(placed.join(family, "component"), "family-nodes")
-    sizes = inside.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n_all"))
-    sizes = sizes.filter(F.col("n_all") > NEIGHBOURS + 1).select("family", F.col("top.component").alias("largest"), (F.col("n_all") - F.col("top.n")).alias("n_few"), "n_all")
-    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
-    inside = materialise(inside.join(sizes, "family").select("family", "component", "node", "largest", chunks("n_few").alias("xs"), chunks("n_all").alias("ys")), "dense")
-    sets = docs.join(small(inside.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "node long, hashes binary")
-    full = materialise(inside.join(sets, "node"), "dense-sets")
+    x, y = PERCENT
+    spread = lambda df: df.select("family", "node", "print", "component", "size", F.explode("grams").alias("gram"))
+    key = ["family", "gram"]
+    among_few = spread(full.filter("few")).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    among_few = materialise(among_few, "few-shingles")
+    others = spread(full.filter("not few")).join(small(among_few.select(*key), SHINGLES), key, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("m"))
+    shared = among_few.join(others, key, "left").filter("m is not null or lo <> hi")
+    shared = materialise(shared.select(*key, (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "shared-shingles")
+    own = spread(full).join(small(shared, SHINGLES), key).groupBy("family", "node", "print", "component", "size")
+    own = own.agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("own")).filter(x * F.size("own") >= y * F.col("size"))
+    places = own.select("family", "node", "component", "size", F.size("own").alias("n_own"), F.posexplode("own").alias("at", "one"))
+    rest = F.col("n_own") - F.col("at")
+    places = places.select("family", "node", "component", F.col("one.gram").alias("gram"), (x * rest >= y * F.col("size")).alias("quarter"), ((x + y) * rest >= 2 * y * F.col("size")).alias("seventh"))
+    places = materialise(places.filter("quarter"), "prefixes")
+    in_seventh = F.when(F.col("seventh"), F.col("component"))
+    held = places.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(in_seventh).alias("lo7"), F.max(in_seventh).alias("hi7"))
+    held = materialise(held.filter("lo <> hi and lo7 is not null"), "met-shingles")
+    met = places.join(small(held, SHINGLES), key)
+    other = lambda lo, hi: (F.col(lo) != F.col("component")) | (F.col(hi) != F.col("component"))
+    return met.filter(other("lo7", "hi7") | (F.col("seventh") & other("lo", "hi"))).select("family", "node").distinct()
+
+
+def family_links(inside: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of the families of inside, at least one of each two components that
+    have one.
+
+    Nodes that can't have any go first (see promising()). Of the others, every one outside the family's largest component
+    is compared on full sets with all, in blocks of CHUNK by CHUNK nodes, each a task's work; only links leave a block.
+    """
+    sets = docs.join(small(inside.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_arrays, "node long, print long, grams array<long>")
+    full = materialise(sets.join(small(inside), "node").withColumn("size", F.size("grams")), "dense-sets")
+    kept = materialise(promising(full), "promising")
+    few = kept.join(small(inside.filter("few").select("node", F.lit(1).alias("one"))), "node", "left")
+    chunks = lambda n: F.ceil(F.greatest(n, F.lit(1)) / CHUNK).cast("int")
+    sizes = few.groupBy("family").agg(chunks(F.count("one")).alias("xs"), chunks(F.count(F.lit(1))).alias("ys"))
+    met = materialise(full.join(small(kept.select("node")), "node", "left_semi").join(sizes, "family"), "met")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    few = full.filter("component <> largest").select("family", mine("xs").alias("x"), every("ys").alias("y"), "node", "component", "hashes")
-    rest = full.select("family", every("xs").alias("x"), mine("ys").alias("y"), "node", "component", "hashes")
+    rows = ["node", "component", "size", "grams"]
+    left = met.filter("few").select("family", mine("xs").alias("x"), every("ys").alias("y"), *rows)
+    right = met.select("family", every("xs").alias("x"), mine("ys").alias("y"), *rows)
     keys = ["family", "x", "y"]
-    found = materialise(few.groupBy(*keys).cogroup(rest.groupBy(*keys)).applyInArrow(_cross, "a long, b long").distinct(), "residual")
-    return _joined(found, comp)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_cross, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,10 +310,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nodes = materialise(nodes.select(F.col("doc_id").alias("node"), "sig").distinct(), "nodes")
     pairs = materialise(candidates(nodes), "candidates")
     comp = materialise(components(verify(pairs.filter("first = 1"), docs)), "components")
-    todo = materialise(_joined(pairs.filter("first = 0").select("a", "b"), comp).filter("ca <> cb"), "todo")
-    links = verify(todo, docs).join(todo, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    comp = materialise(_chain(comp, components(links)), "components")
-    links = residual(nodes, pairs, comp, docs).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    cross = materialise(_joined(pairs, comp).filter("ca <> cb"), "cross")
+    dense = families(nodes, cross, comp)
+    alone = cross.filter("first = 0").join(small(dense.select(F.col("node").alias("a"))), "a", "left_anti").select("a", "b")
+    found = verify(materialise(alone, "todo"), docs).unionByName(family_links(dense, docs))
+    links = materialise(_joined(found, comp).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
     comp = materialise(_chain(comp, components(links)), "components")
     found = table.select("doc_id", *print_).join(reps, print_, "left")
     found = found.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")

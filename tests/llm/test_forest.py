@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from mendlake.llm import components, forest
@@ -87,6 +88,17 @@ def test_large_mixed_family(spark):
     assert sorted(run(spark, rows)) == brute(rows)
 
 
+def test_family_of_near_misses(spark):
+    """20,000 texts that share 26 of 31 shingles with each other (similarity 0.72), and near copies of some of them."""
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, f"{shared} " + " ".join(f"u{i}x{j}" for j in range(5))) for i in range(20_000)]
+    rows += [(100_000 + i, rows[i][1] + " more") for i in range(0, 20_000, 100)]
+    began = time.perf_counter()
+    got = run(spark, rows)
+    assert time.perf_counter() - began < 240
+    assert {r[0]: r[2] for r in got} == {i: i % 100_000 for i, _ in rows}
+
+
 @pytest.mark.parametrize("chain", [1, 2, 50])
 def test_components(spark, chain):
     edges = [(i, i + 1) for i in range(chain)] + [(1000, 1001), (1001, 1000), (5000, 5000)]
