@@ -7,11 +7,14 @@ import re
 import textwrap
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mendlake.functions.records import gold_asserts
+
 # Functions that helper expressions of generated tests may call.
-CALLABLE = frozenset("list_node tree_node sorted tuple list set dict len sum min max abs range".split())
+CALLABLE = frozenset({"list_node", "tree_node", "sorted", "tuple", "list", "set", "dict", "len", "sum", "min", "max", "abs", "range"})
 PLAIN = (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop, ast.Expression, ast.Constant, ast.Name, ast.List, ast.Tuple, ast.Set, ast.Dict, ast.UnaryOp, ast.BinOp, ast.BoolOp, ast.Compare, ast.Subscript, ast.Slice)
 NOT_PLAIN = (ast.MatMult, ast.BitAnd, ast.BitOr, ast.BitXor, ast.LShift, ast.RShift)
 
@@ -34,6 +37,13 @@ def asserts_of(x: object) -> list[str]:
     return [ast.unparse(n) for n in sorted(found, key=lambda n: (n.lineno, n.col_offset))]
 
 
+def check_asserts(x: object) -> list[str]:
+    """Source of the asserts that stand directly in the first function check."""
+    tree = parsed(x)
+    check = next((n for n in tree.body if isinstance(n, ast.FunctionDef) and n.name == "check"), None) if tree else None
+    return [ast.unparse(n) for n in check.body if isinstance(n, ast.Assert)] if check else []
+
+
 def safe_expression(x: str) -> bool:
     """Literals, arithmetic, comparisons, subscripts, and calls of the allowed functions."""
     try:
@@ -106,6 +116,13 @@ def suite(helpers: list[str], asserts: list[str]) -> str:
     return "\n".join(["def check(candidate):", *(textwrap.indent(b, "    ") for b in body)])
 
 
+def rebuilt(asserts: Column, ok: Column) -> Column:
+    """A suite of the asserts about the candidate that the gold program passes, each once."""
+    kept = gold_asserts(asserts, ok)
+    lines = F.flatten(F.transform(kept, lambda a: F.transform(F.split(a, "\n"), lambda y: F.concat(F.lit("    "), y))))
+    return F.concat(F.lit("def check(candidate):\n"), F.when(F.size(kept) == 0, "    pass").otherwise(F.array_join(lines, "\n")))
+
+
 TEXTS = T.ArrayType(T.StringType())
 SALVAGED = T.StructType().add("code", T.StringType()).add("helpers", TEXTS).add("asserts", TEXTS).add("n_dropped", T.IntegerType()).add("parse_ok", T.BooleanType()).add("mode", T.StringType())
 DISTANCE = T.StructType().add("distance", T.DoubleType()).add("normalised", T.DoubleType())
@@ -122,6 +139,11 @@ def assert_texts(x: pd.Series) -> pd.Series:
     return x.map(asserts_of)
 
 
+@F.pandas_udf(TEXTS)
+def check_assert_texts(x: pd.Series) -> pd.Series:
+    return x.map(check_asserts)
+
+
 @F.pandas_udf(T.BooleanType())
 def is_safe(x: pd.Series) -> pd.Series:
     return x.map(lambda v: isinstance(v, str) and safe_expression(v))

@@ -1,117 +1,55 @@
-"""Running candidate programs in child processes, once for every distinct (program, tests) pair.
+"""Running candidate programs in child processes, once for every distinct job.
 
-Spark finds the distinct pairs, deals them out evenly and joins the outcomes back; a task runs one child at a time.
-A child is an isolated interpreter in a session and folder of its own with limits on CPU time, memory and output; the
-task kills its whole group on a timeout. That keeps a worker alive; it is no security boundary.
+Spark finds the distinct jobs, deals them out to as many tasks as their number calls for, and joins the outcomes back; a
+task runs one child at a time. A child is an isolated interpreter in a session and folder of its own with limits on CPU
+time, memory and the bytes it writes; the task kills its whole group on a timeout. That keeps a worker alive; it is no
+security boundary.
 """
 
 from __future__ import annotations
 
+import ast
 import json
 import os
+import resource
 import signal
 import subprocess
 import sys
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from importlib.resources import files
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendlake.functions.code import asserts_of
 from mendlake.tables import written_once
 
-SUITE_SECONDS, CALLS_SECONDS, PROGRAM_SECONDS = 10.0, 60.0, 6.0
-CALL_SECONDS, MEMORY, OUTPUT = 2.0, 1 << 30, 1 << 20
-
-#: Runs in the child: a job on stdin, its outcome as the last line of the real stdout.
-CHILD = r"""
-import ast, contextlib, copy, io, json, math, os, resource, signal, sys
-job = json.load(sys.stdin)
-resource.setrlimit(resource.RLIMIT_AS, (job["memory"],) * 2)
-real, lines = os.dup(1), set()
-def short(e): return f"{type(e).__name__}: {e}"[:2000]
-def late(*_): raise TimeoutError("call took too long")
-signal.signal(signal.SIGALRM, late)
-def candidate_of(env, name):
-    made = env
-    for part in name.split("."):
-        call = part.endswith("()")
-        made = made[part.removesuffix("()")] if isinstance(made, dict) else getattr(made, part)
-        made = made() if call else made
-    return made
-def close(a, b):
-    if isinstance(a, (list, tuple)) and isinstance(b, (list, tuple)): return len(a) == len(b) and all(map(close, a, b))
-    return math.isclose(a, b, rel_tol=1e-7, abs_tol=1e-6) if isinstance(a, (int, float)) and isinstance(b, (int, float)) else a == b
-def floats(x): return isinstance(x, float) or isinstance(x, list) and all(map(floats, x))
-def same(out, want, as_set):
-    if isinstance(out, str) and isinstance(want, str) and "error" in out.lower() and "error" in want.lower(): return True
-    if as_set:
-        with contextlib.suppress(TypeError): out, want = set(out), set(want)
-    return bool(out == want) or floats(want) and close(out, want)
-def traced(frame, event, arg):
-    if frame.f_code.co_filename == "<candidate>":
-        if event == "line": lines.add(frame.f_lineno)
-        return traced
-def suite():
-    results, error = [], ""
-    try: tree = ast.parse(job["tests"])
-    except (SyntaxError, ValueError) as e: return {"results": [], "error_type": "tests_parse", "error_msg": short(e)}
-    env = {"__name__": "candidate"}
-    if job["cover"]: sys.settrace(traced)
-    try:
-        exec(compile(job["code"], "<candidate>", "exec"), env)
-        env["candidate"] = candidate_of(env, job["entry"])
-    except BaseException as e: return {"results": [], "error_type": "candidate", "error_msg": short(e)}
-    check = next((n for n in tree.body if isinstance(n, ast.FunctionDef) and n.name == "check"), None)
-    body = [n for n in tree.body if n is not check] + (check.body if check else [])
-    for node in body:
-        out = io.StringIO()
-        try:
-            with contextlib.redirect_stdout(out), contextlib.redirect_stderr(io.StringIO()):
-                exec(compile(ast.Module([node], []), "<tests>", "exec"), env)
-            kind, message = "", ""
-        except AssertionError as e: kind, message = "assert", short(e)
-        except BaseException as e: kind, message = "exec", short(e)
-        if isinstance(node, ast.Assert): results.append({"index": len(results), "ok": not kind, "stdout": out.getvalue()[:4000], "error_type": kind, "error_msg": message})
-        elif kind: return {"results": results, "error_type": "exec", "error_msg": message}
-    return {"results": results, "error_type": "" if results else "no_asserts", "error_msg": ""}
-def calls():
-    inputs, wants, results = ast.literal_eval(job["inputs"]), ast.literal_eval(job["results"]), []
-    env = {}
-    try:
-        exec(compile(job["code"], "<candidate>", "exec"), env)
-        fn = candidate_of(env, job["entry"])
-    except BaseException as e:
-        return {"results": [{"index": i, "ok": False, "stdout": "", "error_type": "candidate", "error_msg": short(e)} for i in range(len(inputs))], "error_type": "candidate", "error_msg": short(e)}
-    for i, args in enumerate(inputs):
-        out = io.StringIO()
-        try:
-            signal.setitimer(signal.ITIMER_REAL, job["call_seconds"])
-            with contextlib.redirect_stdout(out), contextlib.redirect_stderr(io.StringIO()): got = fn(*copy.deepcopy(args))
-            signal.setitimer(signal.ITIMER_REAL, 0)
-            ok = i < len(wants) and same(got, wants[i], job["as_set"])
-            kind, message = ("", "") if ok else ("assert", repr(got)[:500])
-        except TimeoutError as e: ok, kind, message = False, "timeout", short(e)
-        except BaseException as e: ok, kind, message = False, "exec", short(e)
-        finally: signal.setitimer(signal.ITIMER_REAL, 0)
-        results.append({"index": i, "ok": ok, "stdout": out.getvalue()[:4000], "error_type": kind, "error_msg": message})
-    return {"results": results, "error_type": "", "error_msg": ""}
-outcome = suite() if job["kind"] == "suite" else calls()
-sys.settrace(None)
-outcome["lines"] = sorted(lines)
-os.write(real, b"\n" + json.dumps(outcome).encode())
-"""
+SUITE_SECONDS, CALLS_SECONDS, PROGRAM_SECONDS, CALL_SECONDS = 10.0, 60.0, 6.0, 2.0
+#: Memory of a called function beyond what its interpreter holds; address space of any child; bytes that a child may
+#: write to one file, its stdout included: one that writes more is ended by a signal.
+CALL_MEMORY, MEMORY, WRITTEN = 256 << 20, 1 << 30, 64 << 20
+JOBS_A_TASK = 16
+
 
+def _run(script: str, stdin: str, seconds: float) -> tuple[int | None, str, str]:
+    """(return code, None on a timeout; stdout; stderr) of a Python script, both whole."""
 
-def _run(args: list[str], stdin: str, seconds: float) -> tuple[int | None, str, str]:
-    """(return code, None on a timeout; stdout; stderr), outputs cut to OUTPUT bytes."""
+    def limits() -> None:
+        cpu = int(seconds) + 1
+        for what, most in ((resource.RLIMIT_CPU, cpu), (resource.RLIMIT_AS, MEMORY), (resource.RLIMIT_FSIZE, WRITTEN), (resource.RLIMIT_CORE, 0)):
+            resource.setrlimit(what, (most, most))
+
+    env = {"PATH": os.environ.get("PATH", ""), "OPENBLAS_NUM_THREADS": "1", "PYTHONIOENCODING": "utf-8"}
     with tempfile.TemporaryDirectory(ignore_cleanup_errors=True) as folder:
+        os.mkdir(f"{folder}/work")
+        with open(f"{folder}/candidate.py", "w", encoding="utf-8", errors="surrogatepass") as f:
+            f.write(script)
         with open(f"{folder}/out", "wb+") as out, open(f"{folder}/err", "wb+") as err:
-            child = subprocess.Popen(args, stdin=subprocess.PIPE, stdout=out, stderr=err, cwd=folder, start_new_session=True, env={"PATH": os.environ.get("PATH", "")})
+            args = [sys.executable, "-I", f"{folder}/candidate.py"]
+            child = subprocess.Popen(args, stdin=subprocess.PIPE, stdout=out, stderr=err, cwd=f"{folder}/work", start_new_session=True, env=env, preexec_fn=limits)
             try:
-                child.communicate(stdin.encode(), timeout=seconds)
+                child.communicate(stdin.encode(errors="surrogatepass"), timeout=seconds)
                 code = child.returncode
             except subprocess.TimeoutExpired:
                 code = None
@@ -122,73 +60,118 @@ def _run(args: list[str], stdin: str, seconds: float) -> tuple[int | None, str,
             child.wait()
             texts = []
             for f in (out, err):
-                f.seek(0, os.SEEK_END)
-                f.seek(max(0, f.tell() - OUTPUT))
+                f.seek(0)
                 texts.append(f.read().decode(errors="replace"))
             return code, *texts
 
 
 def run_child(job: dict, seconds: float) -> dict:
-    """Outcome of a suite or of calls: results, error_type (timeout if the child didn't end well), error_msg, lines."""
-    job = {"memory": MEMORY, "call_seconds": CALL_SECONDS, "as_set": False, "cover": False} | job
-    code, out, err = _run([sys.executable, "-I", "-c", CHILD], json.dumps(job), seconds)
+    """Outcome of a job of child.py: results, total, error_type (timeout if the child didn't end well), error_msg, lines."""
+    script = files("mendlake.functions").joinpath("child.py").read_text(encoding="utf-8")
+    job = {"memory": CALL_MEMORY, "call_seconds": CALL_SECONDS, "as_set": False, "cover": False, "helpers": True} | job
+    code, out, err = _run(script, json.dumps(job), seconds)
     if code == 0:
         try:
-            return json.loads(out.rpartition("\n")[2])
+            return {"mode": ""} | json.loads(out.rpartition("\n")[2])
         except ValueError:
             pass
-    return {"results": [], "error_type": "timeout" if code is None else "exec", "error_msg": err[-2000:], "lines": []}
+    kind, message = ("timeout", f">{seconds}s") if code is None else ("exec", "no result")
+    return {"results": [], "error_type": kind, "error_msg": message + (f": {err[-2000:]}" if err else ""), "lines": [], "total": None, "mode": kind}
 
 
 def run_program(source: str, stdin: str, seconds: float = PROGRAM_SECONDS) -> dict:
-    code, out, err = _run([sys.executable, "-I", "-c", source], stdin, seconds)
-    return {"ok_process": code == 0, "stdout": out, "stderr": err, "error_type": "Timeout" if code is None else "" if code == 0 else "NonZeroExit"}
+    """A program on its stdin: ok_process, returncode, stdout, stderr, error_type, error_msg."""
+    code, out, err = _run(source, stdin, seconds)
+    kind = "Timeout" if code is None else "" if code == 0 else "NonZeroExit"
+    return {"ok_process": code == 0, "returncode": code, "stdout": out, "stderr": err, "error_type": kind, "error_msg": f"timeout >{seconds}s" if code is None else ""}
+
+
+def n_asserts(tests: str) -> int:
+    try:
+        return sum(isinstance(n, ast.Assert) for n in ast.walk(ast.parse(tests)))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return 0
+
+
+def _suite(job: dict) -> dict:
+    got = run_child({"kind": "suite", "code": job["code"], "tests": job["tests"], "entry": job["entry"], "cover": True}, SUITE_SECONDS)
+    total = got["total"] if got["total"] is not None else n_asserts(job["tests"] or "")
+    return {"results": got["results"], "error_type": got["error_type"], "error_msg": got["error_msg"], "lines": got["lines"], "n_asserts": total}
+
+
+def _calls(job: dict) -> dict:
+    got = run_child({"kind": "calls", "code": job["code"], "inputs": job["inputs"], "results": job["results"], "entry": job["entry"], "as_set": bool(job["use_set"])}, CALLS_SECONDS)
+    results = got["results"]
+    if got["total"] is None:  # the child hung or broke: every call counts as timed out
+        try:
+            n = len(ast.literal_eval(job["inputs"] or "[]"))
+        except (ValueError, SyntaxError, TypeError):
+            n = 0
+        results = [{"index": i, "ok": False, "stdout": "", "error_type": "timeout", "error_msg": got["error_msg"]} for i in range(n)]
+    return {"outcome": results, "error_type": got["error_type"]}
+
+
+def _dataset(job: dict) -> dict:
+    got = run_child({"kind": "dataset", "code": job["code"], "tests": job["tests"], "entry": job["entry"]}, SUITE_SECONDS)
+    total = got["total"] if got["total"] is not None else 1
+    return {"results": got["results"], "total": total, "mode": got["mode"], "error_type": got["error_type"], "error_msg": got["error_msg"]}
+
+
+def _program(job: dict) -> dict:
+    return run_program(job["code"] or "", job["input"] or "")
 
 
 RESULTS = "array<struct<index:int,ok:boolean,stdout:string,error_type:string,error_msg:string>>"
 RESULT_TYPE = pa.list_(pa.struct([("index", pa.int32()), ("ok", pa.bool_()), ("stdout", pa.string()), ("error_type", pa.string()), ("error_msg", pa.string())]))
+ARROW = {RESULTS: RESULT_TYPE, "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
 
 
-def _suites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for job in batch.to_pylist():
-            got = run_child({"kind": "suite", "code": job["code"] or "", "tests": job["tests"] or "", "entry": job["entry"] or "solve", "cover": True}, SUITE_SECONDS)
-            row = [[job["job"]], [got["results"]], [got["error_type"]], [got["error_msg"]], [got["lines"]], [len(asserts_of(job["tests"]))]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), RESULT_TYPE, pa.string(), pa.string(), pa.list_(pa.int32()), pa.int32()), strict=True)], ["job", "results", "error_type", "error_msg", "lines", "n_asserts"])
+def _once(df: DataFrame, columns: list[str], run: Callable[[dict], dict], outcome: dict[str, str]) -> DataFrame:
+    """df with the outcome of its distinct values of columns. Rows with equal values, nulls included, share a job."""
+    job = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    keyed = df.withColumn("job", job)
+    jobs = written_once(keyed.groupBy("job").agg(*[F.first(c).alias(c) for c in columns]), "sandbox-jobs")
+    tasks = max(1, -(-jobs.count() // JOBS_A_TASK))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                got = run(row) | {"job": row["job"]}
+                yield pa.RecordBatch.from_arrays([pa.array([got["job"]], pa.string()), *[pa.array([got[c]], ARROW[t]) for c, t in outcome.items()]], ["job", *outcome])
 
-def _calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for job in batch.to_pylist():
-            got = run_child({"kind": "calls", "code": job["code"] or "", "inputs": job["inputs"] or "[]", "results": job["results"] or "[]", "entry": job["entry"] or "solve", "as_set": bool(job["use_set"])}, CALLS_SECONDS)
-            yield pa.RecordBatch.from_arrays([pa.array([job["job"]], pa.int64()), pa.array([got["results"]], RESULT_TYPE), pa.array([got["error_type"]], pa.string())], ["job", "outcome", "error_type"])
+    schema = ", ".join(f"{c} {t}" for c, t in {"job": "string", **outcome}.items())
+    ran = written_once(jobs.repartition(tasks, "job").mapInArrow(work, schema), "sandbox")
+    return keyed.join(ran, "job").drop("job")
 
 
-def _programs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for job in batch.to_pylist():
-            got = run_program(job["code"] or "", job["input"] or "")
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((job["job"], pa.int64()), (got["ok_process"], pa.bool_()), (got["stdout"], pa.string()), (got["error_type"], pa.string()))], ["job", "ok_process", "stdout", "error_type"])
+def run_suites(df: DataFrame) -> DataFrame:
+    """df (code, tests, entry) with results (by assert of check, as far as it was reached), error_type, error_msg, the
+    executed lines of code, and n_asserts, how many asserts the suite has."""
+    return _once(df, ["code", "tests", "entry"], _suite, {"results": RESULTS, "error_type": "string", "error_msg": "string", "lines": "array<int>", "n_asserts": "int"})
 
 
-def _once(df: DataFrame, columns: list[str], run, schema: str, parallel: int) -> DataFrame:
-    """df with the outcome of its distinct values of columns."""
-    keyed = df.withColumn("job", F.xxhash64(*columns))
-    jobs = keyed.select("job", *columns).dropDuplicates(["job"]).repartition(parallel, "job")
-    return keyed.join(written_once(jobs.mapInArrow(run, schema), "sandbox"), "job").drop("job")
+def run_calls(df: DataFrame) -> DataFrame:
+    """df (code, entry, inputs, results, use_set; the lists as literal text) with the outcome of every call."""
+    return _once(df, ["code", "entry", "inputs", "results", "use_set"], _calls, {"outcome": RESULTS, "error_type": "string"})
 
 
-def run_suites(df: DataFrame, parallel: int = 64) -> DataFrame:
-    """df (code, tests, entry) with results by assert, error_type, error_msg, the executed lines of code, and how many
-    asserts the suite has."""
-    return _once(df, ["code", "tests", "entry"], _suites, f"job long, results {RESULTS}, error_type string, error_msg string, lines array<int>, n_asserts int", parallel)
+def run_dataset_tests(df: DataFrame) -> DataFrame:
+    """df (code, tests, entry) with the results of a data set's own tests, total, mode (pairs or whole_check, or what
+    went wrong), error_type and error_msg."""
+    return _once(df, ["code", "tests", "entry"], _dataset, {"results": RESULTS, "total": "int", "mode": "string", "error_type": "string", "error_msg": "string"})
 
 
-def run_calls(df: DataFrame, parallel: int = 64) -> DataFrame:
-    """df (code, entry, inputs, results, use_set; the lists as literal text) with the outcome of every call."""
-    return _once(df, ["code", "entry", "inputs", "results", "use_set"], _calls, f"job long, outcome {RESULTS}, error_type string", parallel)
+def run_programs(df: DataFrame) -> DataFrame:
+    """df (code, input: a row for every program and test) with ok_process, returncode, stdout, stderr, error_type and
+    error_msg."""
+    return _once(df, ["code", "input"], _program, {"ok_process": "boolean", "returncode": "int", "stdout": "string", "stderr": "string", "error_type": "string", "error_msg": "string"})
 
 
-def run_programs(df: DataFrame, parallel: int = 64) -> DataFrame:
-    """df (code, input: a row for every program and test) with ok_process, stdout and error_type."""
-    return _once(df, ["code", "input"], _programs, "job long, ok_process boolean, stdout string, error_type string", parallel)
+def single_result(results: Column, total: Column, index: Column, error: Column) -> Column:
+    """The result of one assert of run_suites(): (ok, stdout, error_type, error_msg)."""
+    one = lambda kind, message: F.struct(F.lit(False).alias("ok"), F.lit("").alias("stdout"), F.lit(kind).alias("error_type"), message.alias("error_msg"))
+    at = F.get(results, index)
+    found = F.struct(at["ok"].alias("ok"), at["stdout"].alias("stdout"), at["error_type"].alias("error_type"), at["error_msg"].alias("error_msg"))
+    outside = F.format_string("assert_index %d out of range [0,%d]", index, total - 1)
+    no_result = F.coalesce(F.nullif(error, F.lit("")), F.lit("no thunks"))
+    return F.when(F.size(results) == 0, one("exec", no_result)).when((index < 0) | (index >= total), one("index", outside)).when(at.isNull(), one("exec", no_result)).otherwise(found)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mendlake.functions.text import stdout
+
 
 def pct(passed: Column, total: Column) -> Column:
     """Percent passed; 0 of an empty suite."""
@@ -37,6 +39,15 @@ def gold_correctness(results: DataFrame, keys: list[str], reported: str, ok: str
     return agg.withColumn("incorrect", F.greatest(F.lit(0), F.col("total") - F.col("correct"))).withColumn("rate", F.col("correct") / F.greatest("total", F.lit(1)))
 
 
+def program_report(ran: DataFrame, keys: list[str], index: str, expected: str, target: int = 0) -> DataFrame:
+    """Programs by test (run_programs() with the test's number and expected output) as suite counts, and whether the
+    target test passed and what the program printed there."""
+    ok = F.col("ok_process") & (stdout(F.col("stdout")) == stdout(F.col(expected)))
+    at = F.col(index) == target
+    out = ran.withColumn("_ok", ok).groupBy(*keys).agg(F.count_if("_ok").alias("passed"), F.count(F.lit(1)).alias("total"), F.coalesce(F.bool_or(at & F.col("_ok")), F.lit(False)).alias("target_ok"), F.max(F.when(at, F.col("stdout"))).alias("target_got"))
+    return out.withColumn("acc_pct", pct(F.col("passed"), F.col("total"))).withColumn("problem_passed", (F.col("total") > 0) & (F.col("passed") == F.col("total")))
+
+
 def line_coverage(lines: DataFrame, keys: list[str], code: str, line: str) -> DataFrame:
     """Percent of the non-blank lines of code that occur among the executed lines (numbered from 1)."""
     hit = lines.groupBy(*keys, code).agg(F.count_distinct(line).alias("hit"))

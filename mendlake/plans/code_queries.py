@@ -1,4 +1,5 @@
-"""Queries that analyse or run programs. The tables hold no programs, so these are made from the columns of parts."""
+"""Queries that analyse or run programs. The tables hold no programs, so these are made from rows: a supplier's balance is
+a constant in its program, so distinct jobs grow with the table."""
 
 from __future__ import annotations
 
@@ -12,81 +13,162 @@ from mendlake.plans import verifier
 from mendlake.plans.queries import query
 from mendlake.tables import table
 
-# Programs by p_size % 5, and what each does to a suite of three asserts on n = p_size % 10.
-PROGRAMS = ("def f(a, b):\n    return a + b", "def f(a, b):\n    return a - b", "def f(a, b:", "def f(a, b):\n    raise ValueError(a)", "class Solution:\n    def f(self, a, b):\n        return b + a")
-PASSED_SQL = "CASE p_size % 5 WHEN 0 THEN 3 WHEN 1 THEN 1 + (p_size % 10 = 0)::INT WHEN 4 THEN 3 ELSE 0 END"
+# Programs of six kinds, with a constant c of their supplier in them, and how each fares on the suite of four asserts and
+# on two calls: the second is wrong unless c is 0, the third doesn't parse, the fourth raises on an empty list, the last
+# two need the helpers that only suites have.
+PROGRAMS = (
+    "def f(x: List[int]) -> int:\n    return sum(x) + math.floor({c}.5)",
+    "def f(x):\n    return sum(x) - {c}",
+    "def f(x:",
+    "def f(x):\n    if not x:\n        raise ValueError(x)\n    return functools.reduce(lambda a, b: a + b, x) + {c}",
+    "class Solution:\n    def f(self, x):\n        return sum(deque(x)) + {c}",
+    "def f(x):\n    p, total = list_node(x), {c}\n    while p:\n        total += p.val\n        p = p.next\n    if total > 10 ** 12:\n        return None\n    return total",
+)
+_C, _B = "floor(abs(s_acctbal))::BIGINT", "(floor(abs(s_acctbal) / 500) * 500)::BIGINT"
+_PASSED = "CASE s_nationkey % 6 WHEN 0 THEN 4 WHEN 1 THEN CASE WHEN {c} = 0 THEN 4 ELSE 0 END WHEN 2 THEN 0 WHEN 3 THEN 3 ELSE 4 END"
 
 
-def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, n = F.col("p_size") % 5, (F.col("p_size") % 10).cast("string")
-    source = F.get(F.array(*map(F.lit, PROGRAMS)), k)
-    suite = F.concat(F.lit("def check(candidate):\n    n = "), n, F.lit("\n    assert candidate(n, 1) == n + 1\n    assert candidate(n, 0) == n\n    assert candidate(0, n) == n\n"))
-    entry = F.when(k == 4, "Solution().f").otherwise("f")
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size", source.alias("code"), suite.alias("tests"), entry.alias("entry"))
+def programs(spark: SparkSession, sf_dir: str, step: int = 1) -> DataFrame:
+    """A program and its suite for each supplier; the larger the step, the more suppliers share them."""
+    c, kind = (F.floor(F.abs("s_acctbal") / step) * step).cast("string"), F.col("s_nationkey") % 6
+    source = F.get(F.array(*[F.replace(F.lit(p), F.lit("{c}"), c) for p in PROGRAMS]), kind)
+    lines = ["def check(candidate):", "    c = ", "    assert candidate([c, 1]) == 2 * c + 1", "    assert candidate([]) == c", "    assert candidate([c]) == c + c", "    assert is_same_list(list_node([candidate([1])]), list_node([1 + c]))", ""]
+    suite = F.concat(F.lit("\n".join(lines[:2])), c, F.lit("\n" + "\n".join(lines[2:])))
+    entry = F.when(kind == 4, "Solution().f").when(kind != 5, "f")  # none given: it is found in the code
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", source.alias("code"), suite.alias("tests"), entry.alias("entry"), c.alias("c"))
 
 
-@query(f"SELECT p_partkey, {PASSED_SQL} AS passed, CASE WHEN p_size % 5 = 2 THEN 'candidate' ELSE '' END AS error_type FROM part")
+def passed(results="results"):
+    return F.size(F.filter(results, lambda r: r["ok"]))
+
+
+@query(f"SELECT s_suppkey, {_PASSED.format(c=_C)} AS passed, CASE WHEN s_nationkey % 6 = 2 THEN 'candidate' WHEN {_PASSED.format(c=_C)} < 4 THEN 'assert' ELSE '' END AS error_type FROM supplier")
 def sandbox_suites(spark, sf_dir):
-    ran = sandbox.run_suites(programs(spark, sf_dir))
-    return ran.select("p_partkey", F.size(F.filter("results", lambda r: r["ok"])).alias("passed"), "error_type")
+    return sandbox.run_suites(programs(spark, sf_dir)).select("s_suppkey", passed().alias("passed"), "error_type")
 
 
-@query(f"WITH p AS (SELECT p_brand, {PASSED_SQL} AS passed FROM part) SELECT p_brand, sum(passed)::BIGINT AS passed, 3 * count(*) AS total, 100.0::DOUBLE * sum(passed) / (3 * count(*)) AS pct FROM p GROUP BY p_brand")
+@query(f"WITH p AS (SELECT s_nationkey, {_PASSED.format(c=_B)} AS passed FROM supplier) SELECT s_nationkey, sum(passed)::BIGINT AS passed, 4 * count(*) AS total, 100.0::DOUBLE * sum(passed) / (4 * count(*)) AS pct FROM p GROUP BY s_nationkey")
 def suite_report(spark, sf_dir):
-    jobs = programs(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
-    counts = verifier.counted(sandbox.run_suites(jobs), "n")
-    return counts.groupBy("p_brand").agg(F.sum("n_passed").cast("long").alias("passed"), F.sum("n_total").cast("long").alias("total"), evaluate.pct(F.sum("n_passed"), F.sum("n_total")).alias("pct"))
+    counts = verifier.counted(sandbox.run_suites(programs(spark, sf_dir, 500)), "n")
+    return counts.groupBy("s_nationkey").agg(F.sum("n_passed").cast("long").alias("passed"), F.sum("n_total").cast("long").alias("total"), evaluate.pct(F.sum("n_passed"), F.sum("n_total")).alias("pct"))
 
 
-@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 + (p_size % 10 = 0)::INT WHEN 4 THEN 2 ELSE 0 END AS passed FROM part")
-def sandbox_calls(spark, sf_dir):
-    n = (F.col("p_size") % 10).cast("string")
-    jobs = programs(spark, sf_dir).drop("tests").withColumns({"inputs": F.concat(F.lit("[["), n, F.lit(", 0], [0, "), n, F.lit("]]")), "results": F.concat(F.lit("["), n, F.lit(", "), n, F.lit("]")), "use_set": F.lit(False)})
-    return sandbox.run_calls(jobs).select("p_partkey", F.size(F.filter("outcome", lambda r: r["ok"])).alias("passed"))
+@query(f"""WITH p AS (SELECT s_suppkey, s_nationkey % 6 AS kind, {_B} AS c, s_nationkey % 5 AS i FROM supplier)
+    SELECT s_suppkey, i < 4 AND (kind IN (0, 4, 5) OR kind = 1 AND c = 0 OR kind = 3 AND i <> 1) AS ok,
+        CASE WHEN i = 4 THEN 'index' WHEN kind = 2 THEN 'NotImplementedError' WHEN kind = 3 AND i = 1 THEN 'ValueError' ELSE '' END AS error_type FROM p""")
+def single_assert(spark, sf_dir):
+    """One assert of each suite by its number, which may lie outside the suite."""
+    ran = sandbox.run_suites(programs(spark, sf_dir, 500))
+    one = sandbox.single_result(F.col("results"), F.col("n_asserts"), F.col("s_nationkey") % 5, F.col("error_msg"))
+    return ran.select("s_suppkey", one.alias("r")).select("s_suppkey", "r.ok", "r.error_type")
 
 
-@query("SELECT s_nationkey, count(*) AS n, count(*) FILTER (WHERE s_suppkey % 3 = 0) AS passed FROM supplier GROUP BY s_nationkey")
+@query(f"SELECT s_suppkey, CASE s_nationkey % 6 WHEN 0 THEN 2 WHEN 1 THEN CASE WHEN {_B} = 0 THEN 2 ELSE 0 END WHEN 3 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS passed FROM supplier")
+def sandbox_calls(spark, sf_dir):
+    """Two calls of each function. Where no entry point is given, one result says whether the code could be loaded."""
+    c = F.col("c")
+    jobs = programs(spark, sf_dir, 500).withColumns({"inputs": F.concat(F.lit("[[["), c, F.lit(", 1]], [[]]]")), "use_set": F.lit(False)})
+    twice = (2 * c.cast("long") + 1).cast("string")
+    jobs = jobs.withColumn("results", F.concat(F.lit("["), twice, F.lit(", "), c, F.lit("]")))
+    return sandbox.run_calls(jobs).select("s_suppkey", passed("outcome").alias("passed"))
+
+
+@query("SELECT s_suppkey, s_nationkey % 4 < 2 AS ok FROM supplier")
+def sandbox_equality(spark, sf_dir):
+    """Lists of decimals within the tolerance, sets, lists that are no sets, and decimals beyond the tolerance."""
+    n, kind = (F.floor(F.abs("s_acctbal") / 500) * 500 + 1).cast("string"), F.col("s_nationkey") % 4
+    decimals = F.concat(F.lit("def f(x):\n    return [x / 3, math.sqrt("), n, F.lit(")]"))
+    code = F.when(kind.isin(1, 2), F.concat(F.lit("def f(x):\n    return [x, "), n, F.lit(", x]"))).otherwise(decimals)
+    root = lambda off: F.format_string("%.7f", F.sqrt(n.cast("double")) + off)
+    want = F.when(kind.isin(1, 2), F.concat(F.lit("[["), n, F.lit(", 3]]"))).otherwise(F.concat(F.lit("[[1.0000001, "), F.when(kind == 0, root(F.lit(0.0))).otherwise(root(F.lit(0.001))), F.lit("]]")))
+    jobs = table(spark, sf_dir, "supplier").select("s_suppkey", code.alias("code"), F.lit("f").alias("entry"), F.lit("[[3]]").alias("inputs"), want.alias("results"), (kind == 1).alias("use_set"))
+    return sandbox.run_calls(jobs).select("s_suppkey", (passed("outcome") == 1).alias("ok"))
+
+
+@query(f"""SELECT s_suppkey, CASE s_nationkey % 4 WHEN 0 THEN 3 WHEN 1 THEN (CASE WHEN {_B} = 0 THEN 3 ELSE 1 END) WHEN 2 THEN 0 ELSE 2 END::BIGINT AS passed, 3::BIGINT AS total,
+    s_nationkey % 4 <> 2 AS target_ok, CASE s_nationkey % 4 WHEN 2 THEN 'half' ELSE {_B}::VARCHAR || chr(10) END AS target_got FROM supplier""")
+def program_targets(spark, sf_dir):
+    """Programs on three tests by stdin: all right, right for 0 only, exit in the middle, right but for large inputs."""
+    c, kind = (F.floor(F.abs("s_acctbal") / 500) * 500).cast("string"), F.col("s_nationkey") % 4
+    sources = ("n = int(input())\nprint(n + {c})", "n = int(input())\nprint(n * {c} + {c} if {c} else n)", "import sys\nsys.stdout.write('half')\nsys.exit(1)", "n = int(input())\nprint(n + {c} if n < 2 else 'large')")
+    code = F.get(F.array(*[F.replace(F.lit(p), F.lit("{c}"), c) for p in sources]), kind)
+    tests = F.posexplode(F.array(*[F.struct(F.lit(str(i)).alias("input"), F.concat((c.cast("long") + i).cast("string"), F.lit(" \r\n")).alias("want")) for i in range(3)])).alias("test", "t")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", code.alias("code"), tests).select("s_suppkey", "code", "test", "t.input", "t.want")
+    report = evaluate.program_report(sandbox.run_programs(rows), ["s_suppkey"], "test", "want")
+    return report.select("s_suppkey", "passed", "total", "target_ok", "target_got")
+
+
+@query("SELECT s_suppkey, s_suppkey % 3 = 0 AS ok, CASE s_suppkey % 3 WHEN 2 THEN 'NonZeroExit' ELSE '' END AS error_type, CASE s_suppkey % 3 WHEN 2 THEN 0 ELSE 200000 END + length((floor(abs(s_acctbal))::BIGINT)::VARCHAR) * (s_suppkey % 3 < 2)::INT AS chars FROM supplier")
 def sandbox_programs(spark, sf_dir):
-    k = (F.col("s_suppkey") % 6).cast("string")
-    source = F.when(F.col("s_suppkey") % 3 == 0, "print(int(input()) * 2)").when(F.col("s_suppkey") % 3 == 1, "print(int(input()) + 100)").otherwise("raise SystemExit(2)")
-    rows = table(spark, sf_dir, "supplier").select("s_nationkey", source.alias("code"), k.alias("input"), (F.col("s_suppkey") % 6 * 2).cast("string").alias("want"))
+    """A program of its own for each supplier, with a long output that is compared whole."""
+    c, kind = F.floor(F.abs("s_acctbal")).cast("string"), F.col("s_suppkey") % 3
+    source = F.when(kind == 0, "n = input()\nprint('x' * 200000 + n)").when(kind == 1, "n = input()\nprint('y' + 'x' * 199999 + n)").otherwise("raise SystemExit(2)")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", source.alias("code"), c.alias("input"), F.concat(F.repeat(F.lit("x"), 200000), c).alias("want"))
     ran = sandbox.run_programs(rows)
     ok = F.col("ok_process") & (stdout(F.col("stdout")) == stdout(F.col("want")))
-    return ran.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("passed"))
+    return ran.select("s_suppkey", ok.alias("ok"), "error_type", F.length(stdout(F.col("stdout"))).alias("chars"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 5 = 2 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END AS coverage_pct FROM part WHERE p_size % 5 <> 2")
+@query("SELECT s_nationkey, s_suppkey, CASE WHEN s_nationkey % 6 = 5 THEN 87.5 ELSE 100.0 END::DOUBLE AS coverage_pct FROM supplier WHERE s_nationkey % 6 <> 2")
 def line_coverage(spark, sf_dir):
-    ran = sandbox.run_suites(programs(spark, sf_dir))
-    return evaluate.line_coverage(ran.select("p_partkey", "code", F.explode("lines").alias("line")), ["p_partkey"], "code", "line")
+    ran = sandbox.run_suites(programs(spark, sf_dir, 500))
+    return evaluate.line_coverage(ran.select("s_suppkey", "s_nationkey", "code", F.explode("lines").alias("line")), ["s_nationkey", "s_suppkey"], "code", "line")
 
 
-@query(f"""WITH p AS (SELECT p_brand, 100.0::DOUBLE * {PASSED_SQL} / 3 - 50 AS err FROM part) SELECT p_brand, count(err) AS n_errors, round(avg(err), 6) AS me, round(avg(abs(err)), 6) AS mae, 3 * count(*) AS gold_passed FROM p GROUP BY p_brand""")
+@query(f"""WITH p AS (SELECT s_nationkey, CASE WHEN s_nationkey % 6 IN (4, 5) THEN 100.0 ELSE 25.0 * {_PASSED.format(c=_B)} END::DOUBLE - 50 AS err FROM supplier)
+    SELECT s_nationkey, count(err) AS n_errors, round(avg(err), 6) AS me, round(avg(abs(err)), 6) AS mae, 4 * count(*) AS gold_passed FROM p GROUP BY s_nationkey""")
 def verifier_pipeline(spark, sf_dir):
-    jobs = programs(spark, sf_dir).select(F.col("p_partkey").alias("key"), F.lit(PROGRAMS[0]).alias("gold"), F.regexp_replace("code", "class Solution:\n    def f\\(self, a, b\\):\n        return b \\+ a", "f = lambda a, b: b + a").alias("buggy"), "tests", F.lit("f").alias("entry"), F.lit(50.0).alias("actual_pct"))
-    brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_brand")
-    report = verifier.evaluated(jobs).join(brands, "key").groupBy("p_brand").agg(*metrics.error_report(F.col("error")), F.sum("gold_passed").cast("long").alias("gold_passed"))
+    gold = F.replace(F.lit(PROGRAMS[0]), F.lit("{c}"), F.col("c"))
+    jobs = programs(spark, sf_dir, 500)
+    jobs = jobs.select(F.col("s_suppkey").alias("key"), "s_nationkey", gold.alias("gold"), F.when(F.col("s_nationkey") % 6 == 4, gold).otherwise(F.col("code")).alias("buggy"), "tests", F.lit("f").alias("entry"), F.lit(50.0).alias("actual_pct"))
+    report = verifier.evaluated(jobs).join(jobs.select("key", "s_nationkey"), "key").groupBy("s_nationkey").agg(*metrics.error_report(F.col("error")), F.sum("gold_passed").cast("long").alias("gold_passed"))
     return report.withColumn("me", F.round("me", 6)).withColumn("mae", F.round("mae", 6))
 
 
-@query("SELECT doc_id, (3 + doc_id % 3)::INT AS n FROM documents")
+@query(f"""SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'pairs' ELSE 'whole_check' END AS mode, CASE WHEN s_nationkey % 2 = 0 THEN 2 ELSE 1 END AS total,
+    CASE WHEN s_nationkey % 2 = 0 THEN CASE s_nationkey % 6 WHEN 2 THEN 0 ELSE 2 END ELSE CASE s_nationkey % 6 WHEN 1 THEN ({_B} = 0)::INT WHEN 3 THEN 0 ELSE 1 END END AS passed FROM supplier""")
+def dataset_tests(spark, sf_dir):
+    """A data set's tests: pairs of inputs and results where they can be read, else the whole check."""
+    c = F.col("c")
+    pairs = F.concat(F.lit("def check(candidate):\n    inputs = [[["), c, F.lit(", 1]], [[2]]]\n    results = ["), (c.cast("long") * 2 + 1).cast("string"), F.lit(", "), (c.cast("long") + 2).cast("string"), F.lit("]\n    for i, r in zip(inputs, results):\n        assert candidate(*i) == r\n"))
+    jobs = programs(spark, sf_dir, 500).withColumn("tests", F.when(F.col("s_nationkey") % 2 == 0, pairs).otherwise(F.col("tests")))
+    return sandbox.run_dataset_tests(jobs).select("s_suppkey", "mode", "total", passed().alias("passed"))
+
+
+_WORDS = "regexp_extract_all(text, '[A-Za-z]+')"
+
+
+def words():
+    return F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)
+
+
+@query(f"SELECT item_id, len({_WORDS})::INT + 1 AS n, len(list_filter({_WORDS}, lambda w: length(w) > 4))::INT AS direct FROM benchmark")
 def assert_count(spark, sf_dir):
-    extra = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "    if n:\n        assert n\n").otherwise("    assert (n,\n        1)\n    for x in [1]:\n        assert x\n")
-    tests = F.concat(F.lit("def check(candidate):\n    n = "), F.col("n_chars").cast("string"), F.lit("\n    assert candidate(n)\n    assert n > 0\n    assert True\n"), extra)
-    return table(spark, sf_dir, "documents").select("doc_id", code.count_asserts(tests).alias("n"))
+    """An assert for each word of a text, short ones nested in a condition, and one behind the check."""
+    line = lambda w: F.when(F.length(w) > 4, F.concat(F.lit("    assert candidate('"), w, F.lit("')"))).otherwise(F.concat(F.lit("    if candidate:\n        assert candidate('"), w, F.lit("')")))
+    tests = F.concat(F.lit("def check(candidate):\n"), F.array_join(F.transform(words(), line), "\n"), F.lit("\n    pass\nassert check\n"))
+    return table(spark, sf_dir, "benchmark").select("item_id", code.count_asserts(tests).alias("n"), F.size(code.check_assert_texts(tests)).alias("direct"))
 
 
-@query("SELECT doc_id, 2 AS n_asserts, 1 AS n_helpers, (3 + (doc_id % 2 = 0)::INT)::INT AS n_dropped, true AS parse_ok, 'structured_salvage' AS mode FROM documents")
+@query(f"""SELECT item_id, len(list_distinct({_WORDS}))::INT AS n_asserts, len(list_distinct(list_filter({_WORDS}, lambda w: length(w) <= 3)))::INT AS n_helpers,
+    len(list_filter({_WORDS}, lambda w: length(w) > 8))::INT + 1 AS n_dropped, true AS parse_ok, 'structured_salvage' AS mode FROM benchmark""")
 def salvage_suite(spark, sf_dir):
-    n = F.col("n_chars").cast("string")
-    raw = F.concat(F.lit("Sure, tests:\n```python\nn = "), n, F.lit("\nassert candidate(n) ==\\\n    1\nassert candidate(\n    2) == 3\nimport os\n"), F.when(F.col("doc_id") % 2 == 0, "open('x')\n").otherwise(""), F.lit("```\nassert candidate((\n"))
-    got = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(code.salvage(F.lit(""), raw))))
-    return got.select("doc_id", F.size("asserts").alias("n_asserts"), F.size("helpers").alias("n_helpers"), "n_dropped", "parse_ok", "mode")
+    """Asserts over two lines, helpers and junk made of a text's words; repeated ones count once."""
+    check = lambda w: F.concat(F.lit("assert candidate('"), w, F.lit("') ==\\\n    1"))
+    lines = lambda w: F.concat_ws("\n", check(w), F.when(F.length(w) <= 3, F.concat(F.lit("h_"), w, F.lit(" = [1]"))), F.when(F.length(w) > 8, F.concat(F.lit("open('"), w, F.lit("')"))))
+    raw = F.concat(F.lit("```python\n"), F.array_join(F.transform(words(), lines), "\n"), F.lit("\n```\nassert candidate((\n"))
+    got = table(spark, sf_dir, "benchmark").select("item_id", F.inline(F.array(code.salvage(F.lit(""), raw))))
+    return got.select("item_id", F.size("asserts").alias("n_asserts"), F.size("helpers").alias("n_helpers"), "n_dropped", "parse_ok", "mode")
+
+
+# Programs by p_size % 5, for the functions on syntax trees.
+SHAPES = ("def f(a, b):\n    return a + b", "def f(a, b):\n    return a - b", "def f(a, b:")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 5 = 2 THEN NULL WHEN p_size % 5 = 0 THEN 0.0 WHEN p_size % 5 = 1 THEN 1.0 END::DOUBLE AS distance FROM part WHERE p_size % 5 < 3")
 def ast_distance(spark, sf_dir):
-    rows = programs(spark, sf_dir).filter("p_size % 5 < 3").select("p_partkey", F.lit(PROGRAMS[0]).alias("gold"), "code")
+    shape = F.get(F.array(*map(F.lit, SHAPES)), F.col("p_size") % 5)
+    rows = table(spark, sf_dir, "part").filter("p_size % 5 < 3").select("p_partkey", F.lit(SHAPES[0]).alias("gold"), shape.alias("code"))
     return rows.select("p_partkey", F.inline(F.array(code.tree_distance("gold", "code")))).select("p_partkey", "distance")
 
 
@@ -97,13 +179,28 @@ def io_lists(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.inline(F.array(code.io_lists(check))))
 
 
-@query("SELECT event_id, (1 + event_id % 2)::INT AS n_cases, props AS first_input FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 3 END AS n_cases, props AS first_input, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN (value > 50)::VARCHAR ELSE '' END AS first_output FROM events")
 def any_test_cases(spark, sf_dir):
-    case = lambda x: F.struct(x.alias("input"), F.col("event_type").alias("output"))
-    one = F.to_json(F.struct(F.col("props").alias("stdin"), F.col("event_type").alias("expected")))
-    two = F.to_json(F.struct(F.to_json(F.array(case(F.col("props")), case(F.lit("x")))).alias("tests")))
-    cases = nested.any_cases(F.when(F.col("event_id") % 2 == 0, one).otherwise(two))
-    return table(spark, sf_dir, "events").select("event_id", cases.alias("c")).select("event_id", F.size("c").alias("n_cases"), F.col("c")[0]["input"].alias("first_input"))
+    """A case; a list under other names, with a truth value and a null among them; JSON inside JSON with a side missing."""
+    props, kind = F.col("props"), F.col("event_id") % 3
+    one = F.to_json(F.struct(props.alias("input"), F.col("event_type").alias("expected_output")))
+    truth = F.when(F.col("value") > 50, "true").otherwise("false")
+    quoted = F.to_json(F.array(props))
+    quoted = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    many = F.concat(F.lit('{"private_test_cases": [{"test_input": '), quoted, F.lit(', "test_output": '), truth, F.lit('}, {"stdin": 1, "stdout": 2}, {"input": null, "output": "x"}, "[{\\"input\\": \\"a\\"}]"]}'))
+    deep = F.to_json(F.struct(F.to_json(F.array(F.to_json(F.array(F.struct(props.alias("input_data")))), F.lit('[{"input": "b"}, {"output": "c"}]'))).alias("tests")))
+    cases = nested.any_cases(F.when(kind == 0, one).when(kind == 1, many).otherwise(deep))
+    return table(spark, sf_dir, "events").select("event_id", cases.alias("c")).select("event_id", F.size("c").alias("n_cases"), F.col("c")[0]["input"].alias("first_input"), F.lower(F.col("c")[0]["output"]).alias("first_output"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS n, CASE WHEN event_id % 2 = 0 THEN '' WHEN event_id % 3 = 0 THEN 'no valid tests after normalization' ELSE 'JSON must be an object with key ''tests'' containing a list' END AS error FROM events")
+def normalised_tests(spark, sf_dir):
+    """Generated tests as JSON: repeated pairs, sides that are no texts, and what is no list at all."""
+    case = lambda a, b: F.struct(a.alias("input"), b.alias("output"))
+    good = F.to_json(F.struct(F.array(case(F.col("props"), F.col("event_type")), case(F.lit("x"), F.lit("y")), case(F.col("props"), F.col("event_type"))).alias("tests")))
+    bad = F.when(F.col("event_id") % 3 == 0, F.to_json(F.array(F.struct(F.col("value").alias("input"), F.lit("y").alias("output"))))).otherwise(F.col("props"))
+    found = nested.normalised_tests(F.when(F.col("event_id") % 2 == 0, good).otherwise(bad))
+    return table(spark, sf_dir, "events").select("event_id", found.alias("f")).select("event_id", F.size("f.tests").alias("n"), "f.error")
 
 
 @query("SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN 'sorted' ELSE 'open' END AS called, n_chars % 2 = 0 AS safe FROM documents")

@@ -56,14 +56,20 @@ def test_suites(spark):
         ("good", GOOD, SUITE, "f"), ("copy", GOOD, SUITE, "f"), ("syntax", "def f(", SUITE, "f"), ("missing", "x = 1", SUITE, "f"), ("loop", "def f(a, b):\n    while True: pass", SUITE, "f"),
         ("none", GOOD, "def check(candidate):\n    pass", "f"), ("broken", GOOD, "def check(", "f"), ("cls", "class Solution:\n    def f(self, a, b):\n        return a + b", SUITE, "Solution().f"),
     ]
-    sandbox.SUITE_SECONDS = 10.0
+    jobs += [
+        ("helpers", "def f(x: List[int]):\n    return list_node(sorted(x))", "def check(candidate):\n    for i in [1]:\n        assert i\n    assert is_same_list(candidate([2, 1]), list_node([1, 2]))\n    assert is_same_tree(tree_node([1, 2, None, 3]), tree_node([1, 2]))\n    assert math.inf == inf", ""),
+        ("late", "def f(x): return x", "def check(candidate):\n    n = 1\n    assert candidate(n) == 2\n    n = 2\n    raise ValueError\n    assert True", "f"), ("null", None, None, None),
+    ]
     df = spark.createDataFrame(jobs, "name string, code string, tests string, entry string")
-    got = {r["name"]: r for r in sandbox.run_suites(df, 4).collect()}
+    got = {r["name"]: r for r in sandbox.run_suites(df).collect()}
     assert [x["ok"] for x in got["good"]["results"]] == [True, False, False]
-    assert [x["error_type"] for x in got["good"]["results"]] == ["", "assert", "exec"]
+    assert [x["error_type"] for x in got["good"]["results"]] == ["", "", "TypeError"]
     assert got["good"]["results"] == got["copy"]["results"] and got["good"]["lines"] == [1, 2, 3]
     assert got["cls"]["results"][0]["ok"]
-    assert {k: got[k]["error_type"] for k in ("syntax", "missing", "loop", "none", "broken")} == {"syntax": "candidate", "missing": "candidate", "loop": "timeout", "none": "no_asserts", "broken": "tests_parse"}
+    assert {k: got[k]["error_type"] for k in ("syntax", "missing", "loop", "none", "broken")} == {"syntax": "candidate", "missing": "assert", "loop": "timeout", "none": "no_asserts", "broken": "tests_parse"}
+    assert [x["ok"] for x in got["helpers"]["results"]] == [True] * 3 and got["helpers"]["n_asserts"] == 4 and got["helpers"]["error_type"] == "assert"
+    assert [x["ok"] for x in got["late"]["results"]] == [True] and got["late"]["n_asserts"] == 2  # run after check ended, with its last n
+    assert got["null"]["results"] == [] and got["null"]["error_type"] == "no_asserts"
 
 
 def test_calls(spark):
@@ -73,15 +79,33 @@ def test_calls(spark):
         ("c", "def f(x):\n    return 'Error: bad'", "f", "[[1]]", "['error']", False),
         ("d", "def g(x): pass", "f", "[[1], [2]]", "[1, 2]", False),
         ("e", "def f(x):\n    while True: pass", "f", "[[1]]", "[1]", False),
+        ("near", "def f(x: List[int]):\n    return [math.sqrt(2), x * 1.0]", "f", "[[1], [1]]", "[[1.41421356, 1.0000011], [1.41421356, 1.0000012]]", False),
+        ("big", "def f(x):\n    return len([0] * 10 ** 8)", "f", "[[1]]", "[100000000]", False),
+        ("hang", "while True: pass", "f", "[[1], [2]]", "[1, 2]", False),
+        ("exit", "raise SystemExit", "f", "[[1], [2]]", "[1, 2]", False),
     ]
-    got = {r["name"]: [x["ok"] for x in r["outcome"]] for r in sandbox.run_calls(spark.createDataFrame(rows, "name string, code string, entry string, inputs string, results string, use_set boolean"), 4).collect()}
-    assert got == {"a": [True, True, False], "b": [True], "c": [True], "d": [False, False], "e": [False]}
+    df = spark.createDataFrame(rows, "name string, code string, entry string, inputs string, results string, use_set boolean")
+    got = {r["name"]: [x["error_type"] for x in r["outcome"]] for r in sandbox.run_calls(df).collect()}
+    late = "timeout"
+    assert got == {"a": ["", "", late], "b": [""], "c": [""], "d": [late, late], "e": [late], "near": ["", "fail"], "big": [late], "hang": [late, late], "exit": [late, late]}
+
+
+def test_dataset_tests_and_single_results(spark):
+    pairs = "def assertion(a, b, atol):\n    assert a == b\ndef check(candidate):\n    inputs = [[1], 2]\n    results = [2, 5]\n"
+    rows = [("pairs", "def f(x): return 2 * x", pairs), ("whole", "def f(x): return 2 * x", "def check(candidate):\n    assert candidate(1) == 2"), ("bad", "def f(", pairs)]
+    got = {r["name"]: r for r in sandbox.run_dataset_tests(spark.createDataFrame(rows, "name string, code string, tests string").withColumn("entry", F.lit("f"))).collect()}
+    assert {k: (r["mode"], r["total"], [x["ok"] for x in r["results"]]) for k, r in got.items()} == {"pairs": ("pairs", 2, [True, False]), "whole": ("whole_check", 1, [True]), "bad": ("pairs", 2, [False, False])}
+    one = F.array(F.struct(F.lit(0).alias("index"), F.lit(True).alias("ok"), F.lit("o").alias("stdout"), F.lit("").alias("error_type"), F.lit("").alias("error_msg")))
+    pick = lambda results, i: tuple(spark.range(1).select(sandbox.single_result(results, F.lit(2), F.lit(i), F.lit("why")).alias("r")).first()["r"])
+    assert pick(one, 0) == (True, "o", "", "") and pick(one, 2)[2] == "index" and pick(one, 1)[2:] == ("exec", "why")
 
 
 def test_programs(spark):
     rows = [("print(int(input()) + 1)", "4"), ("import sys; sys.exit(3)", ""), ("print('x' * 3000000)", "")]
-    got = sandbox.run_programs(spark.createDataFrame(rows, "code string, input string"), 3).collect()
+    rows += [("print(1)", None), (None, "print(1)"), ("#" * 200_000 + "\nprint(2)", "")]
+    got = sandbox.run_programs(spark.createDataFrame(rows, "code string, input string")).collect()
     by = {r["code"]: r for r in got}
     assert by[rows[0][0]]["stdout"] == "5\n" and by[rows[0][0]]["ok_process"]
     assert by[rows[1][0]]["error_type"] == "NonZeroExit"
-    assert len(by[rows[2][0]]["stdout"]) <= 1 << 20
+    assert len(by[rows[2][0]]["stdout"]) == 3_000_001
+    assert by["print(1)"]["stdout"] == "1\n" and by[None]["stdout"] == "" and by[rows[5][0]]["stdout"] == "2\n"
