@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mendlake.functions.text import clip_middle, strip
+from mendlake.functions.text import TARGET_CHARS, clip_middle, strip
 from mendlake.schemas import TEST_CASE
 
-# Names under which tests, inputs and outputs are found.
-CONTAINERS = ("tests", "test_cases", "public_test_cases", "private_test_cases", "generated_test_cases", "official_tests")
-INPUTS = ("input", "stdin", "inputs", "in")
-OUTPUTS = ("output", "stdout", "expected_output", "expected")
+# Names under which tests, and the inputs and outputs of the members of a list, are found.
+CONTAINERS = ("tests", "test_cases", "public_test_cases", "private_test_cases")
+INPUTS = ("input", "stdin", "test_input", "input_data")
+OUTPUTS = ("output", "stdout", "expected_output", "test_output")
 CASES = "array<struct<input:string,output:string>>"
 CASES_TYPE = T.ArrayType(TEST_CASE)
 
@@ -35,30 +35,85 @@ def typed_cases(x: Column) -> Column:
     return F.filter(F.from_json(x, CASES), lambda c: c["input"].isNotNull() & c["output"].isNotNull())
 
 
-def _walk(x: object, depth: int = 0) -> Iterator[tuple[str, str]]:
-    if isinstance(x, str) and x.strip() and depth < 8:
-        try:
-            yield from _walk(json.loads(x), depth + 1)
-        except ValueError:
-            return
-    elif isinstance(x, dict):
-        pair = [next((x[n] for n in names if x.get(n) is not None), None) for names in (INPUTS, OUTPUTS)]
-        if None not in pair:
-            yield tuple(v if isinstance(v, str) else json.dumps(v) for v in pair)
-        else:
-            for name in CONTAINERS:
-                if name in x:
-                    yield from _walk(x[name], depth + 1)
-                    break
-    elif isinstance(x, list):
-        for y in x:
-            yield from _walk(y, depth + 1)
+def _named(x: dict, names: tuple[str, ...]) -> object:
+    """The value of the first of names that x has, null or not; '' if it has none."""
+    return next((x[n] for n in names if n in x), "")
+
+
+def cases_of(x: object) -> list[tuple[str, str]]:
+    """(input, output) of JSON text or of what it holds, at any depth: JSON text is read again, an object is a case or
+    contains tests, and the members of a list are JSON texts or cases, where a missing side is '' and a null one drops
+    the case. What is no text becomes Python's text of it."""
+    out: list[tuple[str, str]] = []
+    todo = [x]
+    while todo:  # a stack, as JSON may hold JSON as deep as it likes
+        y = todo.pop()
+        if isinstance(y, str) and y.strip():
+            try:
+                todo.append(json.loads(y))
+            except (ValueError, RecursionError):
+                continue
+        elif isinstance(y, dict):
+            if "input" in y and ("output" in y or "expected_output" in y):
+                out.append((str(y["input"]), str(_named(y, ("output", "expected_output")))))
+            else:
+                todo += [y[n] for n in CONTAINERS if n in y][:1]
+        elif isinstance(y, list):
+            members = [_Case(_named(z, INPUTS), _named(z, OUTPUTS)) if isinstance(z, dict) else z for z in y if isinstance(z, (str, dict))]
+            todo += reversed(members)
+        elif isinstance(y, _Case) and y.given is not None and y.wanted is not None:
+            out.append((str(y.given), str(y.wanted)))
+    return out
+
+
+@dataclass(frozen=True)
+class _Case:
+    given: object
+    wanted: object
 
 
 @F.pandas_udf(CASES_TYPE)
 def any_cases(x: pd.Series) -> pd.Series:
-    """Test cases of JSON text of any shape: a case, a list, an object that contains them, or JSON inside JSON."""
-    return x.map(lambda v: [{"input": a, "output": b} for a, b in _walk(v)] if isinstance(v, str) else [])
+    """Test cases of JSON text of any shape, see cases_of(); none of null."""
+    return x.map(lambda v: [{"input": a, "output": b} for a, b in cases_of(v)] if isinstance(v, str) else [])
+
+
+NORMALISED = T.StructType().add("tests", CASES_TYPE).add("error", "string")
+
+
+@F.pandas_udf(NORMALISED)
+def normalised_tests(x: pd.Series) -> pd.DataFrame:
+    """(tests, error) of generated JSON: a list, or an object with a list `tests`; members whose input and output are
+    both texts, each pair once. The error says why there are none."""
+    rows = []
+    for text in x:
+        try:
+            y = json.loads(text) if isinstance(text, str) else None
+        except (ValueError, RecursionError):
+            y = None
+        y = y.get("tests") if isinstance(y, dict) else y
+        if not isinstance(y, list):
+            rows.append(([], "JSON must be an object with key 'tests' containing a list"))
+            continue
+        pairs = dict.fromkeys((z["input"], z["output"]) for z in y if isinstance(z, dict) and isinstance(z.get("input"), str) and isinstance(z.get("output"), str))
+        rows.append(([{"input": a, "output": b} for a, b in pairs], "" if pairs else "no valid tests after normalization"))
+    return pd.DataFrame(rows, columns=["tests", "error"])
+
+
+def official_cases(public: Column, private: Column, generated: Column, *others: Column) -> Column:
+    """The three lists of a problem one after the other; if all are empty, the first of the others that isn't."""
+    none = F.array().cast(CASES)
+    return first_not_empty(F.concat(*[F.coalesce(a, none) for a in (public, private, generated)]), *others)
+
+
+def as_text(x: Column) -> Column:
+    """Bytes as UTF-8 text (broken bytes replaced), anything else as text, null as ''."""
+    return F.coalesce(x.cast("string"), F.lit(""))
+
+
+def metadata_text(x: Column, most: int = 4000) -> Column:
+    """A struct or map as indented JSON, its first `most` characters; '' of null."""
+    return F.coalesce(F.substring(F.to_json(x, {"pretty": "true"}), 1, most), F.lit(""))
 
 
 def first_not_empty(*arrays: Column) -> Column:
@@ -101,6 +156,30 @@ def debug_messages(problem: Column, code: Column, failing: Column, got: Column)
     return messages(("system", F.lit(DEBUG_SYSTEM)), ("user", body))
 
 
+def assert_debug_messages(code: Column, failing_assert: Column) -> Column:
+    """A program and the assert that it fails."""
+    return messages(("system", F.lit(DEBUG_SYSTEM)), ("user", F.concat(_section("Program", code), _section("Failing test", failing_assert))))
+
+
+def call_debug_messages(code: Column, given: Column, expected: Column, got: Column, entry: Column) -> Column:
+    """A function, the input it fails on, what was expected and what it gave."""
+    body = F.concat(_section("Program", code), _section("Input", given), _section("Expected", expected), _section("Got", got), _section("Entry point", F.coalesce(F.nullif(entry, F.lit("")), F.lit("(unknown)"))))
+    return messages(("system", F.lit(DEBUG_SYSTEM)), ("user", body))
+
+
+def program_debug_messages(problem: Column, code: Column, given: Column, expected: Column, got: Column, stderr: Column) -> Column:
+    """A program that reads stdin, its problem, and the test it fails; long parts are clipped in the middle."""
+    clip = lambda x, name: clip_middle(x, TARGET_CHARS[name], name)
+    test = F.concat(_section("Input", clip(given, "input")), _section("Expected", clip(expected, "expected")), _section("Got", clip(got, "got")), _section("Errors", clip(stderr, "stderr")))
+    return messages(("system", F.lit(DEBUG_SYSTEM)), ("user", F.concat(_section("Problem", clip_middle(problem, 10000, "problem statement")), _section("Program", clip_middle(code, 6000, "buggy program")), test)))
+
+
+def feedback(passed: Column, total: Column, failing: Column) -> Column:
+    """What a program is told about its last attempt."""
+    note = F.format_string("%d of %d tests pass.", passed, total)
+    return F.when(passed >= total, note).otherwise(F.concat(note, F.lit(" The first that fails:\n"), F.coalesce(failing, F.lit(""))))
+
+
 def generation_messages(problem: Column, starter: Column) -> Column:
     return messages(("system", F.lit(WRITE_SYSTEM)), ("user", F.concat(_section("Problem", clip_middle(problem, 10000, "problem statement")), _section("Starter code", clip_middle(starter, 2500, "starter code")))))
 

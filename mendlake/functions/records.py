@@ -9,7 +9,6 @@ from mendlake.functions.text import clip_middle, strip
 
 # The longest texts of a problem and of a failing test that prompts hold.
 PROBLEM_CHARS = {"question_title": 500, "question_id": 200, "platform": 200, "difficulty": 200, "question_content": 10000, "starter_code": 2500}
-TARGET_CHARS = {"input": 2500, "expected": 2500, "got": 6000, "stderr": 4000}
 
 
 def public_view(evaluation: Column, *hidden: str) -> Column:

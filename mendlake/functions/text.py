@@ -16,15 +16,20 @@ FENCE_OPEN = r"(?i)```(?:python|py)?[ \t\x0B\f\r]*\n"
 THINK = r"(?is)<think>.*?</think>"
 # Where a final answer begins, in order of preference, and how Python lines begin.
 MARKERS = (r"4\)\s*FINAL\s+FIX\s*:?", r"FINAL\s+FIX\s*:?", r"FINAL\s+CODE\s*:?", r"CORRECTED\s+CODE\s*:?", r"###\s*Answer\s*:?", r"###\s*Final\s+Answer\s*:?")
+# The longest parts of a failing test that prompts hold.
+TARGET_CHARS = {"input": 2500, "expected": 2500, "got": 6000, "stderr": 4000}
 STARTERS = ("import ", "from ", "def ", "class ", "if __name__", "sys.", "input", "t = ", "n = ", "for ", "while ")
 
 
+BLANKS = " \t\n\x0b\f\r"
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def rstrip(x: Column) -> Column:
-    return F.regexp_replace(x, f"{WS}+$", "")
+    return F.rtrim(x, F.lit(BLANKS))
 
 
 def newlines(x: Column) -> Column:
@@ -52,6 +57,25 @@ def python_fence(x: Column) -> Column:
     return F.coalesce(strip(last_match(x, FENCE_PY)), F.lit(""))
 
 
+def dedented(x: Column) -> Column:
+    """Without the white space that all lines that aren't blank begin with; such lines become empty."""
+    lines = F.split(x, "\n")
+    indents = F.transform(F.filter(lines, lambda y: y.rlike(r"[^ \t]")), lambda y: F.regexp_extract(y, r"^[ \t]*", 0))
+    low, high = F.array_min(indents), F.array_max(indents)
+    # Two texts share what their least and greatest share.
+    same = F.filter(F.sequence(F.lit(0), F.least(F.length(low), F.length(high))), lambda n: F.substring(low, F.lit(1), n) == F.substring(high, F.lit(1), n))
+    cut = F.coalesce(F.array_max(same), F.lit(0))
+    return F.array_join(F.transform(lines, lambda y: F.when(y.rlike(r"[^ \t]"), F.substring(y, cut + 1, F.length(y))).otherwise(F.lit(""))), "\n")
+
+
+def plain_block(x: Column) -> Column:
+    """The last fence of Python or of no language; else the text without a fence line at its ends; dedented, stripped."""
+    y = strip(F.coalesce(x, F.lit("")))
+    closed = last_match(y, r"(?i)```(?:python)?[ \t\n\x0B\f\r]*([\s\S]*?)```")
+    opened = F.regexp_replace(F.regexp_replace(y, r"^```[^\n]*\n?", ""), r"(^|\n)[ \t]*```[ \t]*$", "")
+    return strip(dedented(F.coalesce(closed, F.when(y.startswith("```"), opened), y)))
+
+
 def unfenced(x: Column) -> Column:
     """The inside of one fence, else the text without stray fence marks."""
     inner = F.regexp_extract(x, r"```[a-zA-Z0-9_+\-]*[ \t]*\n?([\s\S]*?)```", 1)

@@ -17,6 +17,19 @@ def last_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return first_wins(df, keys, *[F.desc(c) for c in order])
 
 
+def key_text(key: Column) -> Column:
+    """One text for a key that is kept as text on one side and as a number on the other: 7, '7' and '07' are '7'."""
+    text = F.trim(key.cast("string"))
+    return F.coalesce(text.try_cast("long").cast("string"), text)
+
+
+def priority_pick(df: DataFrame, keys: list[str], tag: str, priority: list[str], index: str, value: str) -> DataFrame:
+    """value of each key's first row by the tag's place in priority (10000 for others), tag and index."""
+    named = F.array(*map(F.lit, priority)) if priority else F.array().cast("array<string>")
+    place = F.coalesce(F.nullif(F.array_position(named, F.col(tag)), F.lit(0)) - 1, F.lit(10_000))
+    return df.groupBy(*keys).agg(F.min_by(value, F.struct(place, F.col(tag), F.col(index))).alias(value))
+
+
 def lookup(df: DataFrame, side: DataFrame, keys: list[str], missing: str = "missing_dataset_row") -> DataFrame:
     """df with the columns of side (one row a key) and status: 'ok', or `missing` where side has no such key."""
     marked = side.withColumn("_there", F.lit(True))

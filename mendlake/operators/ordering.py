@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,17 +60,56 @@ def name_hash(name: Column) -> Column:
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def half_split(spark: SparkSession, n: int, name: str, seed: int = 1012) -> DataFrame:
-    """(pos, split) of a file of n rows: a seeded permutation's first half is dev, the rest test.
-
-    The permutation is numpy's, of evaluation size (hundreds of rows); positions of larger tables are split by
-    hash_split().
-    """
+def halves(n: int, name: str, seed: int = 1012) -> np.ndarray:
+    """Which of a file's n rows are dev: the first half of a seeded permutation."""
     rng = np.random.RandomState((seed + int(hashlib.md5(name.encode()).hexdigest()[:8], 16)) % 2**32)
     order = np.arange(n)
     rng.shuffle(order)
-    dev = set(order[: n // 2].tolist())
-    return spark.createDataFrame([(i, "dev" if i in dev else "test") for i in range(n)], "pos long, split string")
+    dev = np.zeros(n, bool)
+    dev[order[: n // 2]] = True
+    return dev
+
+
+def half_splits(files: DataFrame, seed: int = 1012) -> DataFrame:
+    """(name, pos, split) for a table of files (name, n rows): a permutation's first half is dev, the rest test.
+
+    A file's permutation is numpy's and made in one task, as it must be that one: files are of evaluation size, and the
+    memory is nine bytes a row. Larger tables are split by shuffled_split() or hash_split().
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                dev = halves(n, name, seed)
+                for i in range(0, n, 1 << 16):
+                    part = dev[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(i, i + len(part))), pa.array(np.where(part, "dev", "test"))], ["name", "pos", "split"])
+
+    return files.select(F.col("name").cast("string"), F.col("n").cast("long")).mapInArrow(split, "name string, pos long, split string")
+
+
+def half_split(spark: SparkSession, n: int, name: str, seed: int = 1012) -> DataFrame:
+    """(pos, split) of one file of n rows, see half_splits()."""
+    return half_splits(spark.createDataFrame([(name, n)], "name string, n long"), seed).drop("name")
+
+
+def shuffled_split(df: DataFrame, key: str, seed: int, eval_share: float) -> DataFrame:
+    """df in a seeded order (pos), the first ceil((1 - eval_share) n) of its rows 'train' and the rest 'eval'."""
+    placed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")))
+    placed = positions(placed, "_h", key).drop("_h")
+    n = math.ceil((1 - eval_share) * df.count())
+    return placed.withColumn("split", F.when(F.col("pos") < n, "train").otherwise("eval"))
+
+
+def in_order(x: Column, names: list[str]) -> Column:
+    """A sort key for names in an order of their own; others come last, by name."""
+    return F.struct(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), x), F.lit(0)), F.lit(len(names) + 1)), x)
+
+
+def sample_pairs(df: DataFrame, keys: list[str], sample: str, value: str, per_prompt: int = 2) -> DataFrame:
+    """The per_prompt values of each prompt as one array, by sample; prompts with fewer samples have nulls there."""
+    at = [F.max(F.when(F.col(sample) == i, F.col(value))) for i in range(1, per_prompt + 1)]
+    return df.groupBy(*keys).agg(F.array(*at).alias("pair"))
 
 
 def hash_split(df: DataFrame, key: Column, seed: int, share: float) -> DataFrame:

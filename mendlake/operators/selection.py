@@ -86,7 +86,7 @@ def random_pick(items: Column, key: Column, seed: int) -> Column:
 
 
 def candidate_summary(passed: Column, total: Column, sample: Column, chosen: Column) -> Column:
-    """p1=3/5;p2=2/5;selected_p1 of one key's candidates (an aggregate)."""
-    rows = F.array_sort(F.collect_list(F.struct(sample.alias("s"), passed.alias("p"), total.alias("t"))))
-    parts = F.array_join(F.transform(rows, lambda r: F.concat(F.lit("p"), r.s.cast("string"), F.lit("="), r.p.cast("string"), F.lit("/"), r.t.cast("string"))), ";")
+    """p1=3/5(60.00%);p2=2/5(40.00%);selected_p1 of one key's candidates (an aggregate)."""
+    rows = F.array_sort(F.collect_list(F.struct(sample.cast("long").alias("s"), passed.cast("long").alias("p"), total.cast("long").alias("t"))))
+    parts = F.array_join(F.transform(rows, lambda r: F.format_string("p%d=%d/%d(%.2f%%)", r.s, r.p, r.t, 100.0 * r.p / F.greatest(r.t, F.lit(1)))), ";")
     return F.concat(parts, F.lit(";selected_p"), F.min(chosen).cast("string"))

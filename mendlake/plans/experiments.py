@@ -62,4 +62,16 @@ def report(by_mode: DataFrame, dims: list[str]) -> DataFrame:
     return by_mode.groupBy(*dims).agg(*metrics.totals(F.col("selected_source")))
 
 
-__all__ = ["EXPERIMENTS", "POLICIES", "Experiment", "dimension", "gated", "report", "selected"]
+def main_table(benchmarks: dict[str, DataFrame], labels: DataFrame) -> DataFrame:
+    """The report over several benchmarks: a row for each experiment of labels (experiment, label), in the columns of
+    each benchmark (a row an experiment) with its name in front. Raises if a benchmark lacks an experiment."""
+    out = labels
+    for name, df in benchmarks.items():
+        lost = [r[0] for r in labels.join(df, "experiment", "left_anti").orderBy("experiment").select("experiment").collect()]  # of about ten
+        if lost:
+            raise ValueError(f"{name} has no results of {', '.join(lost)}")
+        out = out.join(F.broadcast(df.select("experiment", *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "experiment"])), "experiment")
+    return out
+
+
+__all__ = ["EXPERIMENTS", "POLICIES", "Experiment", "dimension", "gated", "main_table", "report", "selected"]

@@ -1,5 +1,7 @@
 """Text functions on hand-written cases."""
 
+import json
+
 import pytest
 from mendlake.functions import nested, text
 from pyspark.sql import functions as F
@@ -71,12 +73,25 @@ def test_json_object(spark):
 
 def test_any_cases(spark):
     get = lambda s: [tuple(c) for c in one(spark, nested.any_cases(F.col("x")), x=s)]
-    assert get('[{"input": "1", "output": "2"}, {"stdin": "a", "expected": "b"}]') == [("1", "2"), ("a", "b")]
+    assert get('[{"input": "1", "output": "2"}, {"stdin": "a", "expected": "b"}]') == [("1", "2"), ("a", "")]
+    assert get('[{"test_input": true, "test_output": [1, null]}]') == [("True", "[1, None]")]
+    assert get('{"input": 1, "expected_output": null}') == [("1", "None")]
+    deep = "[]"
+    for _ in range(12):
+        deep = json.dumps([deep])
+    assert get(deep) == []
     assert get('{"tests": "[{\\"input\\": \\"x\\", \\"output\\": \\"y\\"}]"}') == [("x", "y")]
     assert get("") == [] and get("not json") == []
     assert get('[{"input": [1, 2], "output": null}]') == []
 
 
+def test_dedent_and_plain_block(spark):
+    assert one(spark, text.dedented(F.col("x")), x="    a\n      b\n  \n    c") == "a\n  b\n\nc"
+    assert one(spark, text.dedented(F.col("x")), x="a\n  b") == "a\n  b" and one(spark, text.dedented(F.col("x")), x="") == ""
+    assert one(spark, text.plain_block(F.col("x")), x="so\n```python\n  a\n    b\n```\nthen\n```\nlast\n```") == "last"
+    assert one(spark, text.plain_block(F.col("x")), x="```python\nopen") == "open" and one(spark, text.plain_block(F.col("x")), x="  bare ") == "bare"
+
+
 def test_falsy_and_notes(spark):
     assert one(spark, text.falsy(F.col("a"), F.col("b")), a="", b="x") == "x"
     assert one(spark, text.falsy(F.col("a"), F.col("b")), a=None, b="") == ""
