@@ -190,7 +190,8 @@ def bug_detection_rate(spark, sf_dir):
 
 @query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, max(value) AS max, round(quantile_cont(value, 0.95), 6) AS p95, round(avg((value > 0)::INT), 6) AS positive_rate FROM events GROUP BY event_type")
 def batch_stats(spark, sf_dir):
-    out = table(spark, sf_dir, "events").groupBy("event_type").agg(*metrics.batch_stats("value"))
+    events = table(spark, sf_dir, "events")
+    out = events.groupBy("event_type").agg(*metrics.batch_stats("value")).join(metrics.exact_percentile(events, ["event_type"], "value", 0.95), "event_type")
     return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std")], "max", *[F.round(c, 6).alias(c) for c in ("p95", "positive_rate")])
 
 
@@ -241,14 +242,14 @@ def skip_completed(spark, sf_dir):
 # --- look-ups -------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH k AS (SELECT doc_id, source || '|||' || lang AS a0, source AS a1 FROM documents WHERE doc_id % 3 = 0), l0 AS (SELECT a0, min(doc_id) AS v FROM k GROUP BY a0 HAVING min(doc_id) % 2 = 0), k1 AS (SELECT a1, min(doc_id) AS v FROM k GROUP BY a1)
+@query("""WITH k AS (SELECT doc_id, source || '|||' || lang AS a0, source AS a1, n_chars FROM documents WHERE n_chars > 400), l0 AS (SELECT a0, min(doc_id) AS v FROM k GROUP BY a0 HAVING max(n_chars) > 3000), k1 AS (SELECT a1, min(doc_id) AS v FROM k GROUP BY a1)
     SELECT d.doc_id, CASE WHEN l0.v IS NOT NULL THEN 0 WHEN k1.v IS NOT NULL THEN 1 END AS alias_level, coalesce(l0.v, k1.v) AS verifier FROM documents d LEFT JOIN l0 ON d.source || '|||' || d.lang = l0.a0 LEFT JOIN k1 ON d.source = k1.a1""")
 def alias_cascade_join(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    side = docs.filter("doc_id % 3 = 0").withColumn("full", F.concat_ws("|||", "source", "lang"))
-    # Full names are known only where the first row of that name has an even id.
-    even = side.groupBy("full").agg(F.min("doc_id").alias("low")).filter("low % 2 = 0").select("full", F.lit(True).alias("known"))
-    side = side.join(even, "full", "left").select(F.col("doc_id").alias("verifier"), F.when(F.col("known"), F.col("full")).alias("a0"), F.col("source").alias("a1"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    # The side has texts of some length; full names are known only where one of them is long.
+    side = docs.filter("n_chars > 400").withColumn("full", F.concat_ws("|||", "source", "lang"))
+    known = side.groupBy("full").agg(F.max("n_chars").alias("most")).filter("most > 3000").select("full", F.lit(True).alias("known"))
+    side = side.join(known, "full", "left").select(F.col("doc_id").alias("verifier"), F.when(F.col("known"), F.col("full")).alias("a0"), F.col("source").alias("a1"))
     df = docs.withColumn("row_id", F.col("doc_id"))
     found = joins.alias_lookup(df, [F.concat_ws("|||", "source", "lang"), F.col("source")], side, [F.col("a0"), F.col("a1")], ["verifier"], ["verifier"])
     return found.select("doc_id", "alias_level", "verifier")
@@ -345,16 +346,18 @@ def intersect_ids(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def except_ids(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(urgent.select("o_custkey"))
 
 
-@query("WITH w AS (SELECT doc_id, list_concat(regexp_extract_all(text, '[a-z]+')[1:4], regexp_extract_all(text, '[A-Za-z]+')[1:6]) AS a FROM documents) SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ' ') AS words FROM w")
+@query("""WITH a AS (SELECT doc_id, list_concat(regexp_extract_all(text, '[a-z]+'), regexp_extract_all(text, '[A-Za-z]+')) AS a FROM documents), w AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM a),
+    f AS (SELECT doc_id, x, min(i) AS i FROM w GROUP BY ALL), j AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM f GROUP BY doc_id) SELECT doc_id, md5(coalesce(words, '')) AS words FROM documents LEFT JOIN j USING (doc_id)""")
 def union_distinct_order(spark, sf_dir):
-    first = F.slice(F.regexp_extract_all("text", F.lit("[a-z]+"), 0), 1, 4)
-    second = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), 1, 6)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_union(first, second), " ").alias("words"))
+    first, second = (F.regexp_extract_all("text", F.lit(p), 0) for p in ("[a-z]+", "[A-Za-z]+"))
+    words = F.array_join(F.array_union(first, second), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(words.cast("binary")).alias("words"))
 
 
 @query("SELECT c_mktsegment AS name, 'customer' AS kind, count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT p_brand, 'part', count(*) FROM part GROUP BY ALL")
@@ -455,7 +458,7 @@ def levenshtein_norm(spark, sf_dir):
     return both.select("n_nationkey", "s_suppkey", F.inline(F.array(text.distance(F.col("n_name"), F.col("s_name")))))
 
 
-@query(f"WITH {C}, k AS (SELECT suite, branch, min_by(sample, (-acc_pct, NOT target_ok, sample)) AS chosen FROM c GROUP BY ALL) SELECT suite, branch, string_agg('p' || sample || '=' || passed || '/' || total, ';' ORDER BY sample) || ';selected_p' || any_value(chosen) AS summary, CASE WHEN bool_or(problem_passed) THEN 'solved' ELSE '' END || CASE WHEN bool_or(problem_passed) AND count(*) > 1 THEN ';' ELSE '' END || CASE WHEN count(*) > 1 THEN 'two' ELSE '' END AS note FROM c JOIN k USING (suite, branch) GROUP BY suite, branch")
+@query(f"WITH {C}, k AS (SELECT suite, branch, min_by(sample, (-acc_pct, NOT target_ok, sample)) AS chosen FROM c GROUP BY ALL) SELECT suite, branch, string_agg('p' || sample || '=' || passed || '/' || total || '(' || format('{{:.2f}}', acc_pct) || '%)', ';' ORDER BY sample) || ';selected_p' || any_value(chosen) AS summary, CASE WHEN bool_or(problem_passed) THEN 'solved' ELSE '' END || CASE WHEN bool_or(problem_passed) AND count(*) > 1 THEN ';' ELSE '' END || CASE WHEN count(*) > 1 THEN 'two' ELSE '' END AS note FROM c JOIN k USING (suite, branch) GROUP BY suite, branch")
 def note_summary(spark, sf_dir):
     c = candidates(spark, sf_dir)
     chosen = selection.best_candidate(c, ["suite", "branch"], selection.POLICIES["assert"]).select("suite", "branch", F.col("sample").alias("chosen"))
@@ -465,18 +468,19 @@ def note_summary(spark, sf_dir):
     return agg.select("suite", "branch", "summary", text.notes(F.when(F.col("solved"), "solved").otherwise(""), F.when(F.col("n") > 1, "two").otherwise("")).alias("note"))
 
 
-@query("SELECT conv_id, count(*)::INT AS n, string_agg(role || ':' || left(text, 20), chr(10) ORDER BY turn) AS said, max(CASE WHEN turn = 0 THEN text END) AS first FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*)::INT AS n, md5(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS said, max(CASE WHEN turn = 0 THEN text END) AS first FROM conversations GROUP BY conv_id")
 def chat_messages(spark, sf_dir):
     rows = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(rows, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("chat"))
-    said = F.array_join(F.transform("chat", lambda m: F.concat(m["role"], F.lit(":"), F.substring(m["content"], 1, 20))), "\n")
-    return chats.select("conv_id", F.size("chat").alias("n"), said.alias("said"), nested.first_content(F.col("chat")).alias("first"))
+    said = F.array_join(F.transform("chat", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+    return chats.select("conv_id", F.size("chat").alias("n"), F.md5(said.cast("binary")).alias("said"), nested.first_content(F.col("chat")).alias("first"))
 
 
-@query("SELECT doc_id, 2 AS n, CASE WHEN length(text) <= 10000 THEN length('### Problem' || chr(10) || text || chr(10) || chr(10) || '### Starter code' || chr(10) || source || chr(10) || chr(10))::INT END AS user_chars FROM documents")
+@query("""SELECT doc_id, 2 AS n, length('### Problem' || chr(10) || CASE WHEN length(text) <= 10000 THEN text ELSE left(text, 5000) || chr(10) || chr(10) || '[... problem statement truncated: ' || length(text) || ' chars total, kept 5000+5000 chars ...]' || chr(10) || chr(10) || right(text, 5000) END
+    || chr(10) || chr(10) || '### Starter code' || chr(10) || source || chr(10) || chr(10))::INT AS user_chars FROM documents""")
 def prompt_lengths(spark, sf_dir):
     chat = nested.generation_messages(F.col("text"), F.col("source"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(chat).alias("n"), F.when(F.length("text") <= 10000, F.length(chat[1]["content"])).alias("user_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(chat).alias("n"), F.length(chat[1]["content"]).alias("user_chars"))
 
 
 # --- rewards and reports --------------------------------------------------------------------------------------------
@@ -546,11 +550,12 @@ def prompt_gate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length(prompt).alias("chars")).filter("chars is not null")
 
 
-@query("SELECT event_id, array_to_string(CASE WHEN event_id % 2 = 0 THEN [event_id, 8] ELSE [9, event_id, 8] END, ',') AS made FROM events")
+@query("""WITH a AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[^ ]+'), lambda w: length(w))[3:] AS a FROM conversations)
+    SELECT conv_id, turn, array_to_string(CASE WHEN list_contains(a, 9) THEN a[len(a) - list_position(list_reverse(a), 9) + 2:] ELSE a END, ',') AS made FROM a""")
 def token_slice(spark, sf_dir):
-    e = F.col("event_id")
-    tokens = F.when(e % 2 == 0, F.array(F.lit(1), F.lit(2), F.lit(7), F.lit(-5), F.lit(6), F.lit(-5), e, F.lit(8))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(9), e, F.lit(8)))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(records.generated_tokens(tokens.cast("array<bigint>"), F.lit(2), -5).cast("array<string>"), ",").alias("made"))
+    """A turn's word lengths as its tokens: the prompt is two of them, and 9 ends the reasoning."""
+    tokens = F.transform(F.regexp_extract_all("text", F.lit("[^ ]+"), 0), lambda w: F.length(w).cast("long"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(records.generated_tokens(tokens, F.lit(2), 9).cast("array<string>"), ",").alias("made"))
 
 
 @query("SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'Africa (0)' ELSE r_name END AS region, CASE WHEN n_nationkey % 4 = 0 THEN '__missing_task_id_' || n_nationkey ELSE n_name END AS task_id, r_name || '::' || n_name || '::' || n_regionkey || '::' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) AS bug_uid FROM nation JOIN region ON r_regionkey = n_regionkey")
@@ -580,7 +585,7 @@ def test_generation_plan(spark, sf_dir):
 def reward_log(spark, sf_dir):
     s = results(spark, sf_dir).groupBy("suite").agg(F.count_if(F.col("ok") & F.col("old")).alias("p0"), F.count_if("ok").alias("p1"), F.count(F.lit(1)).alias("n"))
     log_rows = s.select((F.col("suite") % 4).alias("epoch"), rewards.repair_reward(F.lit(True), F.col("p0"), F.col("p1"), F.col("n")).alias("reward"))
-    out = log_rows.groupBy("epoch").agg(*metrics.batch_stats("reward"))
+    out = log_rows.groupBy("epoch").agg(*metrics.batch_stats("reward")).join(metrics.exact_percentile(log_rows, ["epoch"], "reward", 0.95), "epoch")
     return out.select("epoch", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "max", "p95", "positive_rate")])
 
 
@@ -603,3 +608,76 @@ def program_assembly(spark, sf_dir):
 def targets_and_suites(spark, sf_dir):
     x = results(spark, sf_dir).groupBy("suite").agg(F.bool_or(~F.col("ok")).alias("has"), F.bool_or(F.col("ok") & (F.col("idx") == 1)).alias("hit"), F.count_if("gen").alias("n"))
     return x.select("suite", selection.target_fixed(F.col("has"), F.col("hit")).alias("fixed"), selection.usable_suite(F.col("suite") % 3 != 0, F.col("n")).alias("usable"))
+
+
+# --- splits, pairs, picks, reports over several sources ---------------------------------------------------------------
+
+
+@query("SELECT source, count(*) AS n, count(*) // 2 AS n_dev, count(*) - count(*) // 2 AS n_test, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
+def half_split_rows(spark, sf_dir):
+    """Every file's (source's) rows dealt to dev and test by its own permutation."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    splits = ordering.half_splits(docs.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n")))
+    placed = ordering.positions(docs, "source", "doc_id")
+    first = placed.groupBy("source").agg(F.min("pos").alias("_first"))
+    placed = placed.join(F.broadcast(first), "source").withColumn("pos", F.col("pos") - F.col("_first"))  # a row a source
+    both = placed.join(splits.withColumnRenamed("name", "source"), ["source", "pos"])
+    return both.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "dev").alias("n_dev"), F.count_if(F.col("split") == "test").alias("n_test"), F.sum("n_chars").alias("chars"))
+
+
+@query("WITH p AS (SELECT item_id, row_number() OVER (ORDER BY md5('1012:' || item_id), item_id) - 1 AS pos, count(*) OVER () AS n FROM benchmark) SELECT item_id, pos, CASE WHEN pos < ceil(0.9::DOUBLE * n) THEN 'train' ELSE 'eval' END AS split FROM p")
+def shuffled_split(spark, sf_dir):
+    return ordering.shuffled_split(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", 1012, 0.1)
+
+
+@query(f"WITH {C} SELECT suite, branch, max(acc_pct) FILTER (WHERE sample = 1) AS one, max(acc_pct) FILTER (WHERE sample = 2) AS two FROM c GROUP BY suite, branch")
+def sample_pairs(spark, sf_dir):
+    pairs = ordering.sample_pairs(candidates(spark, sf_dir), ["suite", "branch"], "sample", "acc_pct")
+    return pairs.select("suite", "branch", F.col("pair")[0].alias("one"), F.col("pair")[1].alias("two"))
+
+
+@query("""SELECT l_partkey AS partkey, min_by(l_orderkey, (CASE l_shipinstruct WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 10000 END, l_shipinstruct, l_suppkey, l_orderkey)) AS picked
+    FROM (SELECT *, l_returnflag AS l_shipinstruct FROM lineitem) GROUP BY l_partkey""")
+def priority_pick(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("partkey"), "l_returnflag", F.struct("l_suppkey", "l_orderkey").alias("at"), "l_orderkey")
+    return joins.priority_pick(rows, ["partkey"], "l_returnflag", ["N", "A"], "at", "l_orderkey").withColumnRenamed("l_orderkey", "picked")
+
+
+@query("SELECT s_suppkey, count(*) AS n, sum(l_quantity) AS quantity FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey")
+def key_fallback(spark, sf_dir):
+    """Keys that one side keeps as padded text and the other as numbers."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(joins.key_text(F.lpad(F.col("l_suppkey").cast("string"), 8, "0")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", joins.key_text(F.col("s_suppkey")).alias("key")).join(lines, "key").drop("key")
+
+
+@query("""SELECT o_orderpriority AS subset, count(DISTINCT (o_custkey, o_orderstatus)) AS n_problems, count(*) / count(DISTINCT (o_custkey, o_orderstatus))::DOUBLE AS per_problem,
+    round(avg((o_orderstatus <> 'P')::INT), 6) AS wellformed_rate, round(avg(o_custkey), 6) AS avg_tests, count(*) FILTER (WHERE o_totalprice < 50000) AS n_fallback FROM orders GROUP BY o_orderpriority""")
+def verifier_totals(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumns({"wellformed": F.col("o_orderstatus") != "P", "fallback": F.col("o_totalprice") < 50000})
+    out = rows.groupBy(F.col("o_orderpriority").alias("subset")).agg(*metrics.verifier_totals(["o_custkey", "o_orderstatus"], "wellformed", "o_custkey", "fallback"))
+    return out.withColumn("wellformed_rate", F.round("wellformed_rate", 6)).withColumn("avg_tests", F.round("avg_tests", 6))
+
+
+@query("SELECT event_id, CASE WHEN value >= 10 THEN 2 + (value > 50)::INT ELSE 1 END AS n, CASE WHEN value >= 10 THEN event_type ELSE props END AS first FROM events")
+def concatenated_cases(spark, sf_dir):
+    """The public, private and generated tests one after the other; another list where all three are empty."""
+    case = lambda x: F.array(F.struct(x.alias("input"), F.lit("y").alias("output")))
+    none, value = F.array().cast(nested.CASES), F.col("value")
+    public, private, made = (F.when(value >= low, case(x)).otherwise(none) for low, x in ((10, F.col("event_type")), (10, F.lit("b")), (50.0000001, F.lit("c"))))
+    cases = nested.official_cases(public, private, made, none, case(F.col("props")))
+    return table(spark, sf_dir, "events").select("event_id", cases.alias("c")).select("event_id", F.size("c").alias("n"), F.col("c")[0]["input"].alias("first"))
+
+
+@query(f"""WITH {_CHOSEN}, e AS (SELECT * FROM (VALUES {", ".join(f"('{x.name}', '{x.kind}', '{x.verifier}')" for x in experiments.EXPERIMENTS)}) v(experiment, kind, verifier)),
+    x AS (SELECT experiment, bucket, passed, total, suite FROM e JOIN modes ON mode = CASE verifier WHEN 'none' THEN 'non_backtracking' WHEN 'gold' THEN 'oracle_backtracking' ELSE 'verifier_backtracking' END
+        AND (kind = 'routed' OR starts_with(selected_source, kind) OR selected_source = 'buggy'))
+    SELECT experiment, {", ".join(f"100.0::DOUBLE * sum(passed) FILTER (WHERE bucket = '{q}') / sum(total) FILTER (WHERE bucket = '{q}') AS all_{q}" for q in ("Q1", "Q2", "Q3", "Q4"))}, 100.0::DOUBLE * sum(passed) / sum(total) AS all_overall,
+        100.0::DOUBLE * sum(passed) FILTER (WHERE o_totalprice < 100000) / sum(total) FILTER (WHERE o_totalprice < 100000) AS small_overall, 100.0::DOUBLE * sum(passed) FILTER (WHERE o_totalprice >= 100000) / sum(total) FILTER (WHERE o_totalprice >= 100000) AS large_overall
+    FROM x JOIN orders ON o_orderkey = suite GROUP BY experiment""")
+def benchmarks_table(spark, sf_dir):
+    """One report over three benchmarks (all suites, those of cheap and those of dear orders); all have every experiment."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("suite"), "o_totalprice")
+    modes = gated(spark, sf_dir).join(orders, "suite")
+    parts = {"all": modes, "small": modes.filter("o_totalprice < 100000"), "large": modes.filter("o_totalprice >= 100000")}
+    reports = {k: report_rows(df, spark) if k == "all" else report_rows(df, spark).select("experiment", "overall") for k, df in parts.items()}
+    return experiments.main_table(reports, experiments.dimension(spark).select("experiment"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +17,13 @@ def tsv(spark: SparkSession, paths: str | list[str], schema: T.StructType | None
     return (reader.schema(schema) if schema else reader).csv(paths)
 
 
+def tsv_with_keys(spark: SparkSession, paths: str | list[str], keys: tuple[str, ...] = ("task_id", "question_id")) -> DataFrame:
+    """TSV whose keys stay text (with their leading zeros) and whose other columns get the types that they look like."""
+    raw = tsv(spark, paths)
+    inferred = spark.read.options(sep="\t", header=True, multiLine=True, quote='"', escape='"', inferSchema=True).csv(paths).schema
+    return raw.select(*[F.col(f.name) if f.name in keys else F.col(f.name).cast(f.dataType) for f in inferred])
+
+
 def with_source(df: DataFrame, name: str = "source_tsv") -> DataFrame:
     """df with the path of the file that each row is from."""
     return df.withColumn(name, F.col("_metadata.file_path"))
@@ -51,7 +56,12 @@ def measured(x: Column) -> Column:
 
 def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType, strict: bool = False) -> DataFrame:
     """JSON lines. Blank and torn lines are skipped, or fail the read if strict."""
-    return spark.read.schema(schema).json(paths, mode="FAILFAST" if strict else "DROPMALFORMED")
+    if strict:
+        return spark.read.schema(schema).json(paths, mode="FAILFAST")
+    bad = "_torn"
+    parsed = F.from_json("value", T.StructType([*schema, T.StructField(bad, T.StringType())]), {"columnNameOfCorruptRecord": bad})
+    rows = spark.read.text(paths).filter(F.trim("value") != "").select(parsed.alias("_row"))
+    return rows.filter(F.col(f"_row.{bad}").isNull() & F.col("_row").isNotNull()).select(*[F.col(f"_row.`{c}`") for c in schema.names])
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -60,13 +70,11 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def id_list(spark: SparkSession, path: str, name: str = "task_id") -> DataFrame:
-    """Distinct, trimmed, non-empty ids of a JSON list of strings; raises if it isn't one."""
-    text = spark.read.text(path, wholetext=True).first()[0]
-    ids = json.loads(text)
-    if not isinstance(ids, list):
+    """Distinct, trimmed, non-empty ids, in order, of a JSON list of strings; raises if it isn't one."""
+    lists = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>", {"mode": "FAILFAST"}).alias("ids"), F.trim("value").startswith("[").alias("is_list"))
+    if not lists.filter("not is_list").isEmpty():
         raise ValueError(f"{path} holds no list")
-    ids = sorted({str(x).strip() for x in ids} - {""})
-    return spark.createDataFrame([(x,) for x in ids], f"{name} string")
+    return lists.select(F.explode("ids").alias(name)).select(F.trim(name).alias(name)).filter(F.col(name) != "").distinct().orderBy(name)
 
 
 def split_of(spark: SparkSession, path: str, split: str) -> DataFrame:
@@ -77,6 +85,18 @@ def split_of(spark: SparkSession, path: str, split: str) -> DataFrame:
     return df
 
 
+def all_splits(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Some columns of every split."""
+    return spark.read.parquet(path).select("split", *columns)
+
+
+def missing_ids(required: DataFrame, present: DataFrame, key: str) -> None:
+    """Raises if a required id isn't present, with some of those that aren't."""
+    lost = [r[0] for r in required.select(key).distinct().join(present.select(key).distinct(), key, "left_anti").orderBy(key).limit(20).collect()]
+    if lost:
+        raise ValueError(f"missing {key}: {', '.join(map(str, lost))}")
+
+
 def first_readable(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The first of several Parquet tables that exists and has rows; raises with what was wrong with each."""
     wrong = []
@@ -92,8 +112,11 @@ def first_readable(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """An earlier output as TSV, or an empty table where there is none."""
+    """An earlier output as TSV, or an empty table where there is none or where its columns are others."""
     try:
-        return tsv(spark, path, schema)
+        found = tsv(spark, path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
+    if set(schema.names) - set(found.columns):
+        return spark.createDataFrame([], schema)
+    return found.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])

@@ -17,8 +17,27 @@ def write_tsv(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_document(df: DataFrame, path: str) -> None:
-    """A JSON document for each row of a small table."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A small table's rows as one indented JSON document, an array of them."""
+    row = F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    df.agg(F.to_json(row, {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def log_rows(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
+    """Rows of a wide text log: the columns in their order, decimals with so many digits, blank for null and for
+    columns that df lacks, arrays, structs and maps as JSON."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def cell(c: str) -> Column:
+        if c not in kinds:
+            return F.lit("").alias(c)
+        x = F.col(f"`{c}`")
+        if kinds[c] in ("double", "float"):
+            x = fixed(x, digits)
+        elif kinds[c].startswith(("array", "struct", "map")):
+            x = F.to_json(x)
+        return F.coalesce(x.cast("string"), F.lit("")).alias(c)
+
+    return df.select(*[cell(c) for c in columns])
 
 
 def by_mode(df: DataFrame, path: str) -> None:

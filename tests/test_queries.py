@@ -1,7 +1,7 @@
 """Every registered query of the repair operators against its SQL, on the smallest tables."""
 
 import pytest
-from mendlake.plans import code_queries, queries  # noqa: F401
+from mendlake.plans import code_queries, file_queries, queries  # noqa: F401
 from tests.oracle import connect, same
 
 

@@ -1,10 +1,12 @@
 """Readers, writers, order, splits and plans."""
 
+import hashlib
 import json
 
+import numpy as np
 import pytest
-from mendlake.operators import evaluate, joins, ordering, selection
-from mendlake.plans import experiments, queries, training
+from mendlake.operators import evaluate, joins, metrics, ordering, selection
+from mendlake.plans import experiments, options, queries, training
 from mendlake.schemas import BUGGY_REQUIRED, SUMMARY_EVENT
 from mendlake.sources import readers, sinks
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ def test_buggy_rows(spark):
 
 def test_torn_log(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"event":"final_metrics","task_id":"a","baseline_eval":{"full_suite_passed":1}}\n\n{"event":"fin')
-    assert readers.json_lines(spark, str(tmp_path / "log.jsonl"), SUMMARY_EVENT).filter("task_id is not null").count() == 1
+    assert readers.json_lines(spark, str(tmp_path / "log.jsonl"), SUMMARY_EVENT).count() == 1
+    assert [r["task_id"] for r in readers.json_lines(spark, str(tmp_path / "log.jsonl"), SUMMARY_EVENT).collect()] == ["a"]
     with pytest.raises(Exception):  # noqa: B017
         readers.json_lines(spark, str(tmp_path / "log.jsonl"), SUMMARY_EVENT, strict=True).collect()
 
@@ -54,6 +57,40 @@ def test_splits_and_fallbacks(spark, tmp_path):
     assert readers.or_empty(spark, str(tmp_path / "no"), SUMMARY_EVENT).count() == 0
 
 
+def test_half_split_is_the_permutation(spark):
+    files = spark.createDataFrame([("a.tsv", 9), ("b.tsv", 100_000), ("c.tsv", 0)], "name string, n long")
+    got = ordering.half_splits(files).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "dev").alias("dev")).collect()
+    assert {r["name"]: (r["n"], r["dev"]) for r in got} == {"a.tsv": (9, 4), "b.tsv": (100_000, 50_000)}
+    state = np.random.RandomState(1012 + int(hashlib.md5(b"a.tsv").hexdigest()[:8], 16))
+    order = np.arange(9)
+    state.shuffle(order)
+    assert {r["pos"] for r in ordering.half_split(spark, 9, "a.tsv").filter("split = 'dev'").collect()} == set(order[:4].tolist())
+
+
+def test_missing_results(spark):
+    labels = spark.createDataFrame([("x",), ("y",)], "experiment string")
+    one = spark.createDataFrame([("x", 1.0)], "experiment string, overall double")
+    with pytest.raises(ValueError, match="b has no results of y"):
+        experiments.main_table({"a": one.unionByName(spark.createDataFrame([("y", 2.0)], one.schema)), "b": one}, labels)
+    with pytest.raises(ValueError, match="missing experiment: y"):
+        readers.missing_ids(labels, one, "experiment")
+
+
+def test_cached_and_bad_previous(spark, tmp_path):
+    path, calls = str(tmp_path / "r"), []
+    make = lambda: calls.append(1) or spark.range(3)
+    assert [options.cached(spark, path, make, force).count() for force in (False, False, True)] == [3, 3, 3] and len(calls) == 2
+    (tmp_path / "bad.tsv").write_text("what\tis\nthis\n")
+    assert readers.or_empty(spark, str(tmp_path / "bad.tsv"), SUMMARY_EVENT).count() == 0
+
+
+def test_exact_percentile(spark):
+    rng = np.random.default_rng(1)
+    for values in (rng.normal(size=501), np.array([3.0]), np.array([1.0, 1.0, 2.0]), rng.integers(0, 4, 300).astype(float)):
+        df = spark.createDataFrame([("k", float(v)) for v in values] + [("k", None)], "key string, x double")
+        assert abs(metrics.exact_percentile(df, ["key"], "x", 0.95).first()["p95"] - np.quantile(values, 0.95)) < 1e-9
+
+
 def test_half_split(spark):
     got = {r["pos"]: r["split"] for r in ordering.half_split(spark, 9, "a.tsv").collect()}
     assert sorted(got) == list(range(9)) and list(got.values()).count("dev") == 4
