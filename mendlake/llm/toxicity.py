@@ -2,11 +2,11 @@
 
 P(grade <= k) = sigmoid(theta_k - w.x) with one weight vector w for all thresholds theta_0 < theta_1 < ...; x holds
 the distinct words of a text and the word beginnings of 4, 5 and 6 bytes, hashed to 2^20 places. The model is fitted
-on a bounded sample of labelled rows (SAMPLE_PER_CLASS toxic and as many others, those with the smallest id hash;
-texts that repeat count once), on the places whose log odds between the classes are Z standard errors from none, by
+on a bounded sample of labelled rows (SAMPLE of them, those with the smallest id hash, in the labels' proportions, but
+LEAST_PER_CLASS of a rare class; texts that repeat count once), on the places whose log odds between the classes are Z standard errors from none, by
 mini-batch AdaGrad with an L1 penalty. Thresholds are the first one and the logarithms of the steps to the next, so
 they stay in order by themselves.
-The thresholds are then moved by the classes' odds among all labels, as the sample is balanced and the corpus isn't.
+The thresholds are then moved by the classes' odds among all labels, as a rare class has more than its share of the sample.
 The fit is one task on the sample. Scoring is one pass over whole texts with the model's weights (some thousands,
 bounded by the sample) broadcast; no shuffle.
 
@@ -31,7 +31,8 @@ from mendlake.llm.words import ALNUM, U, mix, words
 BITS = 20
 PREFIXES = (4, 5, 6)
 WORDS_AT_ONCE = 1 << 18
-SAMPLE_PER_CLASS = 6000
+SAMPLE = 12000
+LEAST_PER_CLASS = 1000
 LOG_ODDS = 2.0
 EPOCHS, BATCH, RATE, L1, LEAST_DOCS, Z = 60, 64, 0.1, 3e-4, 4, 2.5
 #: A text is called toxic from this probability of a grade of 1 or above.
@@ -90,13 +91,14 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), found], ["y", "places"])
 
 
-def examples(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[DataFrame, tuple[int, int]]:
+def examples(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, least: int = LEAST_PER_CLASS) -> tuple[DataFrame, tuple[int, int]]:
     """(y, places) of the bounded sample, and how many labels there are of 0 and 1."""
     given = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = given.filter("y = 1").orderBy(*order).limit(per_class).unionByName(given.filter("y = 0").orderBy(*order).limit(per_class))
-    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows at most
+    size = {y: max(most * n // sum(counts.values()), least) for y, n in counts.items()}
+    chosen = given.filter("y = 1").orderBy(*order).limit(size.get(1, 0)).unionByName(given.filter("y = 0").orderBy(*order).limit(size.get(0, 0)))
+    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")  # most + 2 * least rows at most
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))  # one row an id, however often it repeats
     return texts.select("y", "text").mapInArrow(_sparse, "y int, places array<int>"), (counts.get(0, 0), counts.get(1, 0))
 
@@ -172,9 +174,9 @@ def fit(grade: np.ndarray, xs: list[np.ndarray], prior: tuple[int, int], seed: i
     return Model(places.astype(np.int32), weights[places].astype(np.float32), theta + shift)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, least: int = LEAST_PER_CLASS) -> Model:
     """The model, fitted in a task: the sample's bound is the task's, and the driver gets the weights only."""
-    sample, prior = examples(docs, labels, per_class)
+    sample, prior = examples(docs, labels, most, least)
 
     def fitted(rows: pa.Table) -> pa.Table:
         y, xs = _arrays(rows)

@@ -266,6 +266,14 @@ def test_fit_is_the_optimum():
         assert abs(got[0][0] - right[0][0]) < 0.02 and abs(got[1][0] - right[1][0]) < 0.03
 
 
+def test_toxicity_sample_has_the_labels_proportions(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1000)], "doc_id long, toxic int")
+    for most, least, want in ((200, 5, {0: 180, 1: 20}), (200, 50, {0: 180, 1: 50}), (5000, 5, {0: 900, 1: 100})):
+        sample, counts = toxicity.examples(docs, labels, most, least)
+        assert counts == (900, 100) and {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()} == want
+
+
 def test_toxicity_query(spark, sf):
     """The whole table's scores against features and formulas written out in plain Python."""
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
