@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendlake.llm import crosspolytope, decontaminate, forest, licenses, mixing, secret_scan, sharding, toolcalls, toxicity, warc
+from mendlake.llm import crosspolytope, decontaminate, forest, lexical, licenses, mixing, secret_scan, sharding, toolcalls, toxicity, warc
 from mendlake.llm.toolcalls import Param
 from mendlake.tables import table
 
@@ -299,3 +299,32 @@ ORACLES["op8_decontamination"] = f"""
     SELECT doc_id, item_id, start::INT AS start, similarity FROM shares WHERE similarity >= {decontaminate.THRESHOLD}
     QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op13_lexical"] = op13_lexical
+_TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+ORACLES["op13_lexical"] = f"""
+    WITH asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+    d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+    totals AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+    each AS (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d),
+    held AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM each GROUP BY ALL),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+        FROM held, totals GROUP BY term
+    ),
+    scores AS (
+        SELECT item_id, doc_id,
+            sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms)))))::BIGINT AS score
+        FROM asked JOIN held USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc_id
+    )
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+    FROM scores WHERE score > 0 QUALIFY rank <= {lexical.BEST}
+"""
