@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendlake.llm import crosspolytope, decontaminate, forest, lexical, licenses, mixing, secret_scan, sharding, toolcalls, toxicity, warc
+from mendlake.llm import crosspolytope, decontaminate, forest, lexical, licenses, mixing, secret_scan, sharding, toolcalls, toxicity, trie, warc
+from mendlake.llm.store import materialise
 from mendlake.llm.toolcalls import Param
 from mendlake.tables import table
 
@@ -328,3 +329,62 @@ ORACLES["op13_lexical"] = f"""
     SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
     FROM scores WHERE score > 0 QUALIFY rank <= {lexical.BEST}
 """
+
+
+#: A conversation begins with the first turns of the one whose id is the next lower multiple of FAMILY, fewer than OPENINGS.
+FAMILY, OPENINGS = 100, 6
+
+
+def rebuilt(paths: DataFrame) -> DataFrame:
+    """paths with the first crc32(conv_id) % OPENINGS turns of each taken from its family's first conversation.
+
+    All of its turns if it has fewer, none if there is none.
+    """
+    n = trie.KEY * (F.crc32(F.col("conv_id").cast("string").cast("binary")) % OPENINGS).cast("int")
+    own = paths.select("conv_id", "path", n.alias("n"), (F.col("conv_id") - F.col("conv_id") % FAMILY).alias("family"))
+    heads = paths.filter(F.col("conv_id") % FAMILY == 0).select(F.col("conv_id").alias("family"), F.substring("path", 1, trie.KEY * (OPENINGS - 1)).alias("head"))
+    none = F.lit(b"")
+    path = F.concat(F.substring(F.coalesce("head", none), F.lit(1), F.col("n")), F.substring("path", F.col("n") + 1, F.lit(2**31 - 1)))
+    return own.join(heads, "family", "left").select("conv_id", path.alias("path"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = materialise(trie.turn_paths(table(spark, sf_dir, "conversations")), "paths")
+    return trie.nodes(rebuilt(paths)).drop("node")
+
+
+QUERIES["op12_prefix_trie"] = op12_prefix_trie
+#: CRC-32 of an id's digits, bit by bit: a byte comes in before its first step.
+ORACLES["op12_prefix_trie"] = f"""
+    WITH RECURSIVE own AS (
+        SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS t
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+    ),
+    bits AS (
+        SELECT conv_id, 0 AS j, 4294967295::BIGINT AS c FROM own
+        UNION ALL
+        SELECT conv_id, j + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END
+        FROM (SELECT conv_id, j, CASE WHEN j % 8 = 0 THEN xor(c, ascii((conv_id::VARCHAR)[j // 8 + 1])::BIGINT) ELSE c END AS x FROM bits WHERE j < 8 * len(conv_id::VARCHAR))
+    ),
+    heads AS (SELECT conv_id, xor(c, 4294967295::BIGINT) % {OPENINGS} AS h FROM bits WHERE j = 8 * len(conv_id::VARCHAR)),
+    made AS (
+        SELECT o.conv_id, list_concat(coalesce(b.t[1:h], []), o.t[h + 1:]) AS t
+        FROM own o JOIN heads USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % {FAMILY}
+    ),
+    seen AS (
+        SELECT conv_id, len(t) AS n, d, md5(to_json(t[1:d])::VARCHAR) AS node, CASE WHEN d > 0 THEN md5(to_json(t[1:d - 1])::VARCHAR) END AS parent,
+            CASE WHEN d > 0 THEN length(t[d].text) ELSE 0 END AS chars
+        FROM made, LATERAL (SELECT unnest(range(0, len(t) + 1)) AS d)
+    ),
+    nodes AS (
+        SELECT node, any_value(parent) AS parent, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS own,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+        FROM seen GROUP BY node, d
+    ),
+    children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+    every AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (node)),
+    above AS (SELECT DISTINCT a.node AS top, b.node FROM seen a JOIN seen b USING (conv_id) WHERE a.d <= b.d),
+    sums AS (SELECT top AS node, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM above JOIN every USING (node) GROUP BY top)
+    SELECT e.conv_id, e.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, e.n_convs, e.n_children, n_leaves, saved_tokens, e.ends_sha256
+    FROM every e JOIN sums USING (node) LEFT JOIN nodes p ON p.node = e.parent
+"""
