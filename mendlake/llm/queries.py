@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendlake.llm import crosspolytope, decontaminate, forest, lexical, licenses, mixing, secret_scan, sharding, toolcalls, toxicity, trie, warc
+from mendlake.llm import crosspolytope, decontaminate, forest, lexical, licenses, mixing, personal_data, secret_scan, sharding, toolcalls, toxicity, trie, warc
 from mendlake.llm.store import materialise
 from mendlake.llm.toolcalls import Param
 from mendlake.tables import table
@@ -388,3 +388,10 @@ ORACLES["op12_prefix_trie"] = f"""
     SELECT e.conv_id, e.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, e.n_convs, e.n_children, n_leaves, saved_tokens, e.ends_sha256
     FROM every e JOIN sums USING (node) LEFT JOIN nodes p ON p.node = e.parent
 """
+
+
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.detect(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+QUERIES["op11_personal_data"] = op11_personal_data
