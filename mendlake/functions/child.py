@@ -1,21 +1,32 @@
-"""What a sandbox child runs: reads a job as JSON from stdin and writes its outcome as JSON, the last line of stdout.
+"""What the sandbox runs: a warm interpreter that forks a child for every job.
 
-The sandbox passes this file's text to an isolated interpreter, so it uses the standard library only (and numpy, where a
-job's code names it).
+serve() has imported what jobs need and waits on a socket. A job comes as open files: stdin, stdout and stderr of the
+child, the job itself as JSON, and two channels of its own. The child writes its outcome to the first, behind the job's
+random token, and ends at once, so that nothing that candidates print or leave to destructors and exit handlers gets
+among it; lines that a trace reaches go to the second as they are reached, and are there after a kill.
+
+This file is run by an isolated interpreter, so it uses the standard library only (and numpy, if there is one).
 """
 
 import ast
+import atexit
 import contextlib
 import copy
+import gc
 import io
 import itertools
 import json
 import os
 import re
+import random
 import resource
 import signal
+import socket
 import sys
 import textwrap
+import threading
+import traceback
+import types
 
 # What a suite's code finds imported.
 SUITE_IMPORTS = """
@@ -121,14 +132,18 @@ def told(e):
     return f"{type(e).__name__}: {e}"[:2000]
 
 
-lines = set()
+def tracer(channel):
+    """A trace function that writes each line of the candidate's code when it is first reached."""
+    seen = set()
 
+    def traced(frame, event, arg):
+        if frame.f_code.co_filename == "<candidate>":
+            if event == "line" and frame.f_lineno not in seen:
+                seen.add(frame.f_lineno)
+                os.write(channel, b"%d\n" % frame.f_lineno)
+            return traced
 
-def traced(frame, event, arg):
-    if frame.f_code.co_filename == "<candidate>":
-        if event == "line":
-            lines.add(frame.f_lineno)
-        return traced
+    return traced
 
 
 def loaded(code, env, entry):
@@ -187,7 +202,7 @@ def suite(job):
             node.body = [deferred(s) if isinstance(s, ast.Assert) else s for s in kept] or [ast.Pass()]
     env = namespace(SUITE_IMPORTS, code + tests, helpers=True) | {"__aside__": []}
     if job["cover"]:
-        sys.settrace(traced)
+        sys.settrace(tracer(job["trace"]))
     with quiet():
         candidate, wrong = loaded(code, env, entry_of(job["entry"], code))
         try:
@@ -332,16 +347,122 @@ def dataset(job):
     return {"results": results, "error_type": "candidate" if wrong else "", "error_msg": wrong, "total": len(results), "mode": mode}
 
 
-def main():
-    job = json.load(sys.stdin)
-    real = os.dup(1)
-    outcome = {"suite": suite, "calls": calls, "dataset": dataset}[job["kind"]](job)
+def literal_text(value):
+    """A value as a Python literal, whatever numpy made of it: arrays are lists, its numbers plain ones.
+
+    Raises ValueError for what has no literal. Infinite numbers are 1e999.
+    """
+    if hasattr(value, "tolist"):
+        value = value.tolist()
+    if isinstance(value, (list, tuple, set, frozenset)):
+        parts = [literal_text(v) for v in value]
+        if isinstance(value, (set, frozenset)):
+            return "{" + ", ".join(sorted(parts)) + "}" if parts else "set()"
+        return f"[{', '.join(parts)}]" if isinstance(value, list) else f"({', '.join(parts)}{',' * (len(parts) == 1)})"
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"{literal_text(k)}: {literal_text(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, float) and value - value != 0:
+        if value != value:
+            raise ValueError("not a number")
+        return "1e999" if value > 0 else "-1e999"
+    if value is None or isinstance(value, (bool, int, float, complex, str, bytes)):
+        return repr(value)
+    raise ValueError(f"no literal: {type(value).__name__}")
+
+
+def lists(job):
+    """inputs and results after the assignments of job["code"], as literals; both lists and as long as each other."""
+    env = {}
+    failed = lambda kind, message: {"results": [], "error_type": kind, "error_msg": message, "total": 0}
+    try:
+        with quiet():
+            exec("import numpy as np\n" if re.search(r"\bnp\b", job["code"]) else "", env)
+            exec(job["code"], env)
+            inputs, wants = env.get("inputs"), env.get("results")
+            if not isinstance(inputs, list) or not isinstance(wants, list) or len(inputs) != len(wants):
+                return failed("lists", "inputs and results are no lists of one length")
+            return {"results": [], "lists": [literal_text(inputs), literal_text(wants)], "error_type": "", "error_msg": "", "total": len(inputs)}
+    except Exception as e:
+        return failed("lists", told(e))
+
+
+def program(job):
+    """A program as the main module, to the end of an interpreter; its return code."""
+    main, code = types.ModuleType("__main__"), 0
+    sys.modules["__main__"], sys.argv = main, ["candidate.py"]
+    try:
+        exec(compile(job["code"], "candidate.py", "exec"), main.__dict__)
+    except SystemExit as e:
+        code = e.code if isinstance(e.code, int) else 0 if e.code is None else 1
+        if code and not isinstance(e.code, int):
+            print(e.code, file=sys.stderr)
+    except BaseException as e:
+        traceback.print_exception(type(e), e, e.__traceback__ and e.__traceback__.tb_next)
+        code = 1
+    with contextlib.suppress(Exception):
+        threading._shutdown()
+        atexit._run_exitfuncs()
+        main.__dict__.clear()
+        gc.collect()
+    for stream in (sys.stdout, sys.stderr):
+        try:
+            stream.flush()
+        except Exception:
+            code = code or 120
+    return code & 255
+
+
+def forked(files, given):
+    """The child: limits, files and folder of its own, the job, its outcome."""
+    os.setsid()
+    os.chdir(given["folder"])
+    for i in range(3):
+        os.dup2(files[i], i)
+        os.close(files[i])
+    with open(files[3], encoding="utf-8", errors="surrogatepass") as f:
+        job = json.load(f)
+    for what, most in ((resource.RLIMIT_CPU, given["cpu"]), (resource.RLIMIT_AS, given["memory"]), (resource.RLIMIT_FSIZE, given["written"]), (resource.RLIMIT_CORE, 0)):
+        resource.setrlimit(what, (most, most))
+    random.seed()
+    kind, token = job.pop("kind"), job.pop("token").encode()
+    if kind == "program":
+        os.close(files[4])
+        os.close(files[5])
+        return program(job)
+    outcome = {"suite": suite, "calls": calls, "dataset": dataset, "lists": lists}[kind](job | {"trace": files[5]})
     sys.settrace(None)
-    outcome["lines"] = sorted(lines)
-    data = memoryview(b"\n" + json.dumps(outcome).encode())
+    data = memoryview(token + json.dumps(outcome).encode())
     while data:
-        data = data[os.write(real, data) :]
+        data = data[os.write(files[4], data) :]
+    return 0
+
+
+def serve(sock):
+    """Jobs one after the other: the child's process id, and its status when it has ended."""
+    with contextlib.suppress(ImportError):
+        import numpy  # noqa: F401
+    exec(SUITE_IMPORTS + CALL_IMPORTS, {})
+    gc.collect()
+    gc.freeze()
+    while True:
+        data, files, _, _ = socket.recv_fds(sock, 1 << 16, 6)
+        if not data:
+            return
+        pid = os.fork()
+        if not pid:
+            code = 1
+            try:
+                sock.close()
+                code = forked(files, json.loads(data))
+            except BaseException:
+                traceback.print_exc()
+            finally:
+                os._exit(code)
+        for f in files:
+            os.close(f)
+        sock.sendall(b"%d\n" % pid)
+        sock.sendall(b"%d\n" % os.waitstatus_to_exitcode(os.waitpid(pid, 0)[1]))
 
 
 if __name__ == "__main__":
-    main()
+    serve(socket.socket(fileno=int(sys.argv[1])))

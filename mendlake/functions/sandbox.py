@@ -1,89 +1,146 @@
 """Running candidate programs in child processes, once for every distinct job.
 
 Spark finds the distinct jobs, deals them out to as many tasks as their number calls for, and joins the outcomes back; a
-task runs one child at a time. A child is an isolated interpreter in a session and folder of its own with limits on CPU
-time, memory and the bytes it writes; the task kills its whole group on a timeout. That keeps a worker alive; it is no
-security boundary.
+task runs one child at a time. A child is forked from a warm, isolated interpreter into a session and folder of its own
+with limits on CPU time, memory and the bytes it writes; the task kills its whole group on a timeout. Outcomes come by a
+channel that candidates don't know of, behind a token. That keeps a worker alive and outcomes apart from what candidates
+print; it is no security boundary.
+
+With a store, a folder that all machines share, outcomes outlive a run: they are appended every so many jobs, by the
+job's digest, and a later run starts the children that are missing only.
 """
 
 from __future__ import annotations
 
 import ast
+import contextlib
 import json
 import os
-import resource
+import secrets
 import signal
+import socket
 import subprocess
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
-from importlib.resources import files
+from importlib.resources import as_file, files
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendlake.tables import written_once
+from mendlake.functions import code
+from mendlake.tables import unused, written_once
 
 SUITE_SECONDS, CALLS_SECONDS, PROGRAM_SECONDS, CALL_SECONDS = 10.0, 60.0, 6.0, 2.0
 #: Memory of a called function beyond what its interpreter holds; address space of any child; bytes that a child may
 #: write to one file, its stdout included: one that writes more is ended by a signal.
 CALL_MEMORY, MEMORY, WRITTEN = 256 << 20, 1 << 30, 64 << 20
-JOBS_A_TASK = 16
-
-
-def _run(script: str, stdin: str, seconds: float) -> tuple[int | None, str, str]:
-    """(return code, None on a timeout; stdout; stderr) of a Python script, both whole."""
-
-    def limits() -> None:
-        cpu = int(seconds) + 1
-        for what, most in ((resource.RLIMIT_CPU, cpu), (resource.RLIMIT_AS, MEMORY), (resource.RLIMIT_FSIZE, WRITTEN), (resource.RLIMIT_CORE, 0)):
-            resource.setrlimit(what, (most, most))
-
-    env = {"PATH": os.environ.get("PATH", ""), "OPENBLAS_NUM_THREADS": "1", "PYTHONIOENCODING": "utf-8"}
-    with tempfile.TemporaryDirectory(ignore_cleanup_errors=True) as folder:
+#: Jobs of a task, and of one commit to a store.
+JOBS_A_TASK, JOBS_A_COMMIT = 32, 10_000
+
+
+class _Warm:
+    """A warm interpreter of this process, which forks a child for every job; it ends when this process does."""
+
+    def __init__(self) -> None:
+        self.pid = os.getpid()
+        self.socket, theirs = socket.socketpair()
+        env = {"PATH": os.environ.get("PATH", ""), "OPENBLAS_NUM_THREADS": "1", "PYTHONIOENCODING": "utf-8"}
+        with as_file(files("mendlake.functions").joinpath("child.py")) as path:
+            args = [sys.executable, "-I", str(path), str(theirs.fileno())]
+            null = subprocess.DEVNULL
+            self.process = subprocess.Popen(args, stdin=null, stdout=null, stderr=null, cwd="/", env=env, pass_fds=(theirs.fileno(),), start_new_session=True)
+        theirs.close()
+
+    def close(self) -> None:
+        self.socket.close()
+        self.process.kill()
+        self.process.wait()
+
+    def _line(self, seconds: float | None) -> int:
+        self.socket.settimeout(seconds)
+        got = b""
+        while not got.endswith(b"\n"):
+            if not (part := self.socket.recv(64)):
+                raise ConnectionError("the warm interpreter is gone")
+            got += part
+            if got.count(b"\n") > 1:  # the status came with the process id
+                first, _, self.rest = got.partition(b"\n")
+                return int(first)
+        return int(got)
+
+    def run(self, given: dict, opened: list[int], seconds: float) -> int | None:
+        """The child's return code; None on a timeout."""
+        self.rest = b""
+        socket.send_fds(self.socket, [json.dumps(given).encode()], opened)
+        pid, code = self._line(30.0), None
+        try:
+            code = int(self.rest) if self.rest.endswith(b"\n") else self._line(seconds)
+        except TimeoutError:
+            os.killpg(pid, signal.SIGKILL)
+            self._line(30.0)
+        with contextlib.suppress(ProcessLookupError):  # what it has left behind
+            os.killpg(pid, signal.SIGKILL)
+        return code
+
+
+_warm: list[_Warm] = []
+
+
+def _run(job: dict, stdin: str, seconds: float) -> tuple[int | None, dict[str, bytes]]:
+    """(return code, None on a timeout; what the child wrote to out, err, its outcome's channel and its trace, whole)."""
+    if _warm and _warm[0].pid != os.getpid():
+        _warm.clear()
+    if not _warm:
+        _warm.append(_Warm())
+    given = {"cpu": int(seconds) + 1, "memory": MEMORY, "written": WRITTEN}
+    with contextlib.ExitStack() as stack:
+        folder = stack.enter_context(tempfile.TemporaryDirectory(ignore_cleanup_errors=True))
+        named = {n: stack.enter_context(tempfile.TemporaryFile(dir=folder)) for n in ("in", "out", "err", "job", "outcome", "trace")}
+        named["in"].write(stdin.encode(errors="surrogatepass"))
+        named["job"].write(json.dumps(job, ensure_ascii=True).encode())
+        for n in ("in", "job"):
+            named[n].flush()
+            named[n].seek(0)
         os.mkdir(f"{folder}/work")
-        with open(f"{folder}/candidate.py", "w", encoding="utf-8", errors="surrogatepass") as f:
-            f.write(script)
-        with open(f"{folder}/out", "wb+") as out, open(f"{folder}/err", "wb+") as err:
-            args = [sys.executable, "-I", f"{folder}/candidate.py"]
-            child = subprocess.Popen(args, stdin=subprocess.PIPE, stdout=out, stderr=err, cwd=f"{folder}/work", start_new_session=True, env=env, preexec_fn=limits)
-            try:
-                child.communicate(stdin.encode(errors="surrogatepass"), timeout=seconds)
-                code = child.returncode
-            except subprocess.TimeoutExpired:
-                code = None
-            try:
-                os.killpg(child.pid, signal.SIGKILL)
-            except ProcessLookupError:
-                pass
-            child.wait()
-            texts = []
-            for f in (out, err):
-                f.seek(0)
-                texts.append(f.read().decode(errors="replace"))
-            return code, *texts
+        try:
+            code = _warm[0].run(given | {"folder": f"{folder}/work"}, [f.fileno() for f in named.values()], seconds)
+        except OSError:  # a candidate has ended it, or the machine
+            _warm.pop().close()
+            code = 1
+        wrote = {}
+        for n in ("out", "err", "outcome", "trace"):
+            named[n].seek(0)
+            wrote[n] = named[n].read()
+        return code, wrote
 
 
 def run_child(job: dict, seconds: float) -> dict:
-    """Outcome of a job of child.py: results, total, error_type (timeout if the child didn't end well), error_msg, lines."""
-    script = files("mendlake.functions").joinpath("child.py").read_text(encoding="utf-8")
-    job = {"memory": CALL_MEMORY, "call_seconds": CALL_SECONDS, "as_set": False, "cover": False, "helpers": True} | job
-    code, out, err = _run(script, json.dumps(job), seconds)
-    if code == 0:
-        try:
-            return {"mode": ""} | json.loads(out.rpartition("\n")[2])
-        except ValueError:
-            pass
+    """Outcome of a job of child.py: results, total, error_type (timeout if the child didn't end in time), error_msg,
+    and the lines that were reached, whatever end it took.
+
+    An outcome counts only if it stands alone behind the job's own token.
+    """
+    token = secrets.token_hex(16)
+    job = {"memory": CALL_MEMORY, "call_seconds": CALL_SECONDS, "as_set": False, "cover": False, "helpers": True, "token": token} | job
+    code, wrote = _run(job, "", seconds)
+    reached = {"lines": sorted({int(x) for x in wrote["trace"].split(b"\n")[:-1] if x.isdigit()})}
+    if code == 0 and wrote["outcome"].startswith(token.encode()):
+        with contextlib.suppress(ValueError):
+            return {"mode": ""} | json.loads(wrote["outcome"][len(token) :]) | reached
     kind, message = ("timeout", f">{seconds}s") if code is None else ("exec", "no result")
-    return {"results": [], "error_type": kind, "error_msg": message + (f": {err[-2000:]}" if err else ""), "lines": [], "total": None, "mode": kind}
+    err = wrote["err"].decode(errors="replace")
+    return {"results": [], "error_type": kind, "error_msg": message + (f": {err[-2000:]}" if err else ""), "total": None, "mode": kind} | reached
 
 
 def run_program(source: str, stdin: str, seconds: float = PROGRAM_SECONDS) -> dict:
     """A program on its stdin: ok_process, returncode, stdout, stderr, error_type, error_msg."""
-    code, out, err = _run(source, stdin, seconds)
+    code, wrote = _run({"kind": "program", "code": source, "token": ""}, stdin, seconds)
     kind = "Timeout" if code is None else "" if code == 0 else "NonZeroExit"
-    return {"ok_process": code == 0, "returncode": code, "stdout": out, "stderr": err, "error_type": kind, "error_msg": f"timeout >{seconds}s" if code is None else ""}
+    texts = {f"std{n}": wrote[n].decode(errors="replace") for n in ("out", "err")}
+    return {"ok_process": code == 0, "returncode": code, **texts, "error_type": kind, "error_msg": f"timeout >{seconds}s" if code is None else ""}
 
 
 def n_asserts(tests: str) -> int:
@@ -93,12 +150,21 @@ def n_asserts(tests: str) -> int:
         return 0
 
 
-def _suite(job: dict) -> dict:
-    got = run_child({"kind": "suite", "code": job["code"], "tests": job["tests"], "entry": job["entry"], "cover": True}, SUITE_SECONDS)
+def _suite(job: dict, helpers: bool = True) -> dict:
+    got = run_child({"kind": "suite", "code": job["code"], "tests": job["tests"], "entry": job["entry"], "cover": True, "helpers": helpers}, SUITE_SECONDS)
     total = got["total"] if got["total"] is not None else n_asserts(job["tests"] or "")
     return {"results": got["results"], "error_type": got["error_type"], "error_msg": got["error_msg"], "lines": got["lines"], "n_asserts": total}
 
 
+def _bare_suite(job: dict) -> dict:
+    return _suite(job, helpers=False)
+
+
+def _lists(job: dict) -> dict:
+    got = run_child({"kind": "lists", "code": job["_code"]}, CALLS_SECONDS)
+    return dict(zip(("inputs", "results"), got.get("lists") or (None, None), strict=True))
+
+
 def _calls(job: dict) -> dict:
     got = run_child({"kind": "calls", "code": job["code"], "inputs": job["inputs"], "results": job["results"], "entry": job["entry"], "as_set": bool(job["use_set"])}, CALLS_SECONDS)
     results = got["results"]
@@ -126,12 +192,24 @@ RESULT_TYPE = pa.list_(pa.struct([("index", pa.int32()), ("ok", pa.bool_()), ("s
 ARROW = {RESULTS: RESULT_TYPE, "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
 
 
-def _once(df: DataFrame, columns: list[str], run: Callable[[dict], dict], outcome: dict[str, str]) -> DataFrame:
-    """df with the outcome of its distinct values of columns. Rows with equal values, nulls included, share a job."""
-    job = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    keyed = df.withColumn("job", job)
-    jobs = written_once(keyed.groupBy("job").agg(*[F.first(c).alias(c) for c in columns]), "sandbox-jobs")
-    tasks = max(1, -(-jobs.count() // JOBS_A_TASK))
+def _there(spark, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def _once(df: DataFrame, columns: list[str], run: Callable[[dict], dict], outcome: dict[str, str], store: str | None = None, commit: int | None = None) -> DataFrame:
+    """df with the outcome of its distinct values of columns. Rows with equal values, nulls included, share a job.
+
+    store: a folder of outcomes that outlives this call. Jobs that it holds aren't run; the others are appended in
+    commits of about `commit` jobs, each of which is there whole or not at all. df then has `run`, the name of the call
+    that ran the row's job.
+    """
+    spark, commit = df.sparkSession, commit or JOBS_A_COMMIT
+    key = unused(df, "job")
+    keyed = df.withColumn(key, F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
+    jobs = keyed.groupBy(F.col(key).alias("job")).agg(*[F.first(c).alias(c) for c in columns])
+    schema = ", ".join(f"{c} {t}" for c, t in {"job": "string", **outcome}.items())
+    name = uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,20 +217,43 @@ def _once(df: DataFrame, columns: list[str], run: Callable[[dict], dict], outcom
                 got = run(row) | {"job": row["job"]}
                 yield pa.RecordBatch.from_arrays([pa.array([got["job"]], pa.string()), *[pa.array([got[c]], ARROW[t]) for c, t in outcome.items()]], ["job", *outcome])
 
-    schema = ", ".join(f"{c} {t}" for c, t in {"job": "string", **outcome}.items())
-    ran = written_once(jobs.repartition(tasks, "job").mapInArrow(work, schema), "sandbox")
-    return keyed.join(ran, "job").drop("job")
+    def ran(some: DataFrame, n: int) -> DataFrame:
+        return some.repartition(max(1, -(-n // JOBS_A_TASK)), "job").mapInArrow(work, schema)
+
+    if store is None:
+        jobs = written_once(jobs, "sandbox-jobs")
+        done = written_once(ran(jobs, jobs.count()), "sandbox")
+    else:
+        if _there(spark, store):
+            jobs = jobs.join(spark.read.parquet(store).select("job"), "job", "left_anti")
+        jobs = written_once(jobs, "sandbox-jobs")
+        n = jobs.count()
+        parts = -(-n // commit)
+        for part in range(parts):
+            some = jobs.filter(F.pmod(F.xxhash64("job"), F.lit(parts)) == part)
+            ran(some, -(-n // parts)).withColumn("run", F.lit(name)).write.mode("append").parquet(store)
+        kept = ", ".join([schema, "run string"])
+        # Two calls at once may both have run a job.
+        done = spark.read.schema(kept).parquet(store).dropDuplicates(["job"]) if _there(spark, store) else spark.createDataFrame([], kept)
+    return keyed.join(done.withColumnRenamed("job", key), key).drop(key)
 
 
-def run_suites(df: DataFrame) -> DataFrame:
+SUITE_OUT = {"results": RESULTS, "error_type": "string", "error_msg": "string", "lines": "array<int>", "n_asserts": "int"}
+
+
+def run_suites(df: DataFrame, helpers: bool = True, store: str | None = None, commit: int | None = None) -> DataFrame:
     """df (code, tests, entry) with results (by assert of check, as far as it was reached), error_type, error_msg, the
-    executed lines of code, and n_asserts, how many asserts the suite has."""
-    return _once(df, ["code", "tests", "entry"], _suite, {"results": RESULTS, "error_type": "string", "error_msg": "string", "lines": "array<int>", "n_asserts": "int"})
+    executed lines of code (also of one that ran out of time), and n_asserts, how many asserts the suite has.
+
+    helpers: whether check's other statements run, too; without them, an assert that needs one fails, and a statement
+    that raises can't keep asserts behind it from being run. store, commit: see _once().
+    """
+    return _once(df, ["code", "tests", "entry"], _suite if helpers else _bare_suite, SUITE_OUT, store, commit)
 
 
-def run_calls(df: DataFrame) -> DataFrame:
+def run_calls(df: DataFrame, store: str | None = None, commit: int | None = None) -> DataFrame:
     """df (code, entry, inputs, results, use_set; the lists as literal text) with the outcome of every call."""
-    return _once(df, ["code", "entry", "inputs", "results", "use_set"], _calls, {"outcome": RESULTS, "error_type": "string"})
+    return _once(df, ["code", "entry", "inputs", "results", "use_set"], _calls, {"outcome": RESULTS, "error_type": "string"}, store, commit)
 
 
 def run_dataset_tests(df: DataFrame) -> DataFrame:
@@ -161,10 +262,22 @@ def run_dataset_tests(df: DataFrame) -> DataFrame:
     return _once(df, ["code", "tests", "entry"], _dataset, {"results": RESULTS, "total": "int", "mode": "string", "error_type": "string", "error_msg": "string"})
 
 
-def run_programs(df: DataFrame) -> DataFrame:
+def run_programs(df: DataFrame, store: str | None = None, commit: int | None = None) -> DataFrame:
     """df (code, input: a row for every program and test) with ok_process, returncode, stdout, stderr, error_type and
     error_msg."""
-    return _once(df, ["code", "input"], _program, {"ok_process": "boolean", "returncode": "int", "stdout": "string", "stderr": "string", "error_type": "string", "error_msg": "string"})
+    return _once(df, ["code", "input"], _program, {"ok_process": "boolean", "returncode": "int", "stdout": "string", "stderr": "string", "error_type": "string", "error_msg": "string"}, store, commit)
+
+
+def run_lists(df: DataFrame) -> DataFrame:
+    """df (tests) with the lists `inputs` and `results` that a check assigns, as literal text, and use_set.
+
+    Only check's own assignments to the two names count, in order. Where both are literals, the text is read; where
+    they are expressions, a child evaluates those assignments, with numpy as np. Null without two lists of one length.
+    """
+    known = df.withColumn("_lists", code.assigned_lists("tests"))
+    flat = known.select("*", F.col("_lists.inputs").alias("inputs"), F.col("_lists.results").alias("results"), F.col("_lists.use_set").alias("use_set"), F.col("_lists.assignments").alias("_code")).drop("_lists")
+    ran = _once(flat.filter("_code is not null").drop("inputs", "results"), ["_code"], _lists, {"inputs": "string", "results": "string"})
+    return flat.filter("_code is null").unionByName(ran).drop("_code")
 
 
 def single_result(results: Column, total: Column, index: Column, error: Column) -> Column:
