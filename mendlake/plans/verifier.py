@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendlake.functions import sandbox
+from mendlake.functions import code, sandbox
 from mendlake.operators.evaluate import pct
 from mendlake.operators.rewards import rate_error
 
@@ -26,3 +26,20 @@ def evaluated(df: DataFrame) -> DataFrame:
     wide = ran.groupBy("key").agg(of("gold", "n_passed").alias("gold_passed"), of("gold", "n_total").alias("total"), of("buggy", "n_passed").alias("buggy_passed"), of("buggy", "n_error").alias("buggy_error"))
     rates = wide.join(df.select("key", "actual_pct"), "key").withColumn("predicted_pct", F.when(F.col("total") > 0, pct(F.col("buggy_passed"), F.col("total"))))
     return rates.withColumn("error", rate_error(F.col("predicted_pct"), F.col("actual_pct")))
+
+
+def gold_asserts(df: DataFrame) -> DataFrame:
+    """df: key, gold, tests, entry. A row for each assert that stands directly in a suite's check: index, source, ok on
+    the gold program, stdout, error_type, error_msg. An assert that check doesn't reach is not ok."""
+    ran = sandbox.run_suites(df.select("key", F.col("gold").alias("code"), "tests", "entry"))
+    each = ran.withColumn("sources", code.check_assert_texts("tests")).select("*", F.posexplode("sources").alias("index", "source"))
+    one = sandbox.single_result(F.col("results"), F.size("sources"), F.col("index"), F.col("error_msg"))
+    return each.select("key", "index", "source", one.alias("r")).select("key", "index", "source", "r.*")
+
+
+def gold_suites(df: DataFrame) -> DataFrame:
+    """df: key, gold, tests, entry. n_asserts, correct, and tests: the suite anew of its asserts about the candidate that
+    the gold program passes, each once. A suite without asserts, or one that doesn't parse, becomes an empty one."""
+    ran = sandbox.run_suites(df.select("key", F.col("gold").alias("code"), "tests", "entry")).withColumn("sources", code.check_assert_texts("tests"))
+    ok = F.transform("sources", lambda _, i: F.coalesce(F.get("results", i)["ok"], F.lit(False)))
+    return ran.select("key", F.size("sources").alias("n_asserts"), F.size(F.filter(ok, lambda x: x)).alias("correct"), code.rebuilt(F.col("sources"), ok).alias("tests"))

@@ -1,7 +1,12 @@
 """Syntax-tree functions and the sandbox."""
 
+import ast
+import random
+
 import pytest
 from mendlake.functions import code, sandbox
+from mendlake.plans import verifier
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 GOOD = "def f(a, b):\n    print('hi')\n    return a + b\n"
@@ -109,3 +114,199 @@ def test_programs(spark):
     assert by[rows[1][0]]["error_type"] == "NonZeroExit"
     assert len(by[rows[2][0]]["stdout"]) == 3_000_001
     assert by["print(1)"]["stdout"] == "1\n" and by[None]["stdout"] == "" and by[rows[5][0]]["stdout"] == "2\n"
+
+
+def recursive_types(x):
+    out = []
+
+    def visit(node):
+        out.append(type(node).__name__)
+        for child in ast.iter_child_nodes(node):
+            visit(child)
+
+    visit(ast.parse(x))
+    return out
+
+
+def table_distance(a, b):
+    rows = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            rows[i][j] = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+    return rows[-1][-1]
+
+
+PROGRAMS = [
+    "for i in range(3):\n    if i and f(i)[1:2]:\n        x = [j for j in g(h(i), k=2) if j]\n    else:\n        y = {1: (2, 3)}\n",
+    "def f(a, *b, c=1, **d) -> int:\n    try:\n        return lambda x: x + 1\n    except (A, B) as e:\n        raise\n    finally:\n        del a\n",
+    "class A(B):\n    x: int = 3\n    @p\n    async def g(self):\n        await h(f'{x!r:>3}')\n        with a as b, c: pass\n", "", "x = 1",
+    "while a < b <= c:\n    match a:\n        case [1, *_] if b: break\n        case {'k': v}: continue\n",
+]
+
+
+def test_node_types_in_preorder():
+    for x in PROGRAMS:
+        assert code.node_types(x) == recursive_types(x)
+    assert code.node_types("def f(") is None and code.node_types(None) == ["Module"]
+    deep = "(" * 80 + "1" + ",)" * 80
+    assert len(code.node_types("x = " + "-" * 1500 + "1") or [None] * 3005) == 3005  # deeper than any recursion, or refused by the parser
+    assert code.node_types(deep) == recursive_types(deep)
+
+
+def test_bit_parallel_distance():
+    rng = random.Random(2)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd"[: rng.randrange(1, 5)]) for _ in range(rng.randrange(0, 90))] for _ in range(2))
+        assert code.edit_distance(a, b) == table_distance(a, b)
+    seqs = [code.node_types(x) for x in PROGRAMS]
+    assert all(code.edit_distance(a, b) == table_distance(a, b) for a in seqs for b in seqs)
+    assert code.edit_distance(["x"] * 20_000, ["x"] * 9000 + ["y"] * 9000) == 11_000
+
+
+def slow_asserts(text):
+    """The asserts of a suite that was cut off anywhere, one try of the parser for each run of lines."""
+    body = text.split("\n")[1:]
+    out = []
+    for i, line in enumerate(body):
+        if not line.strip().startswith("assert"):
+            continue
+        for j in range(i + 1, len(body) + 1):
+            if j > i + 1 and body[j - 1].strip().startswith("assert"):
+                break
+            block = "\n".join(x.strip() for x in body[i:j])
+            try:
+                tree = ast.parse(block)
+            except SyntaxError:
+                continue
+            if "candidate" in block and len(tree.body) == 1:
+                out.append(block)
+            break
+    return list(dict.fromkeys(out))
+
+
+def test_salvage_of_truncated_suites():
+    """1,000 suites, whole and cut off anywhere: the same asserts as by trying; whole ones by their trees."""
+    rng = random.Random(6)
+    for k in range(1000):
+        lines = ["def check(candidate):", "    pass"]
+        for i in range(rng.randrange(1, 9)):
+            lines += rng.choice([
+                [f"    assert candidate({i}) == {k}"], [f"    x = [{i}]"], ["    assert len('(') == 1"], [f"    assert candidate(\n        [{i},\n        2]\n    ) == 3"],
+                ["    for i in range(3):", "        assert candidate(i) == i"], [f"    assert candidate('(') == \"]{i}\""], ["    # assert candidate(0)"], [f"    assert (candidate({i})\n            == 1), 'text'"],
+            ])
+        text = "\n".join(lines)
+        asserts, dropped = code.from_check("```python\n" + text + "\n```")
+        tree = next(n for n in ast.parse(text).body)
+        want = [n for n in tree.body if isinstance(n, ast.Assert) and any(isinstance(m, ast.Name) and m.id == "candidate" for m in ast.walk(n))]
+        if want:
+            assert [ast.dump(ast.parse(a).body[0]) for a in asserts] == list(dict.fromkeys(map(ast.dump, want)))
+            assert len(dropped) == len(tree.body) - len(want)
+        cut = text[: rng.randrange(len(lines[0]), len(text) + 1)]
+        try:
+            ast.parse(cut)
+        except SyntaxError:
+            assert code.from_check(cut)[0] == slow_asserts(cut)
+
+
+def test_salvage_checks_column(spark):
+    rows = [("def check(candidate):\n    assert candidate(1)\n    y = 2", "```\ndef check(candidate):\n    assert candidate(2)\n    assert candidate(1)\n```"), (None, None), ("", "no suite"), ("def check(candidate):\n  assert candidate(é='ü') == (1,\n   2)\nassert candidate(9)", "")]
+    got = spark.createDataFrame(rows, "a string, b string").select(F.inline(F.array(code.salvage_checks("a", "b")))).collect()
+    assert got[0]["asserts"] == ["assert candidate(1)", "assert candidate(2)"] and got[0]["n_dropped"] == 1 and got[0]["helpers"] == []
+    assert [r["code"] for r in got[1:3]] == ["def check(candidate):\n    pass"] * 2 and all(r["parse_ok"] for r in got)
+    assert got[3]["asserts"] == ["assert candidate(é='ü') == (1,\n   2)"]
+
+
+def test_plain_whitelist():
+    assert code.safe_expression("round(sum([1, 2]))", code.PLAIN_CALLABLE) and not code.safe_expression("list_node([1])", code.PLAIN_CALLABLE)
+    assert code.safe_expression("list_node([1])") and not code.safe_expression("round(1)")
+
+
+def test_executed_lists(spark):
+    head = "def check(candidate):\n"
+    rows = [
+        (0, head + "    inputs = [[1, 'a']]\n    results = [(1.5,)]\n"), (1, head + "    inputs = [[i] for i in range(2)]\n    results = [np.float64(0.5), {2, 1}]\n"), (2, head + "    inputs = np.zeros(2)\n    results = [1, 2]\n"),
+        (3, head + "    inputs = [1]\n    results = []\n"), (4, head + "    inputs = [open('/etc/passwd').read() for _ in [1]][:0]\n    results = []\n"), (5, head + "    inputs = [[i] for i in missing]\n    results = [1]\n"),
+        (6, "inputs = [1]\nresults = [1]\n" + head + "    pass"), (7, None), (8, "def check("), (9, head + "    inputs = [float('inf')] * 2\n    results = [[np.int32(3)], None]\n    a = set([1])"),
+        (10, head + "    inputs = [1]\n    inputs = [2]\n    results = inputs\n"), (11, head + "    inputs = [object()]\n    results = [1]\n"),
+    ]
+    df = spark.createDataFrame(rows + rows[:2], "n int, tests string")
+    got = sandbox.run_lists(df).collect()
+    assert len(got) == 14
+    by = {r["n"]: (r["inputs"], r["results"]) for r in got}
+    none = (None, None)
+    assert by == {0: ("[[1, 'a']]", "[(1.5,)]"), 1: ("[[0], [1]]", "[0.5, {1, 2}]"), 2: none, 3: none, 4: ("[]", "[]"), 5: none, 6: none, 7: none, 8: none, 9: ("[1e999, 1e999]", "[[3], None]"), 10: ("[2]", "[2]"), 11: none}
+    assert [r["use_set"] for r in got if r["n"] in (0, 9)].count(True) == 1
+    assert all(ast.literal_eval(x) is not None for pair in by.values() for x in pair if x)
+
+
+def test_outcomes_are_the_sandboxs_own(spark):
+    suite = "def check(candidate):\n    assert candidate(1) == 2\n    assert candidate(2) == 3\n"
+    lie = '{"results": [{"index": 0, "ok": true, "stdout": "", "error_type": "", "error_msg": ""}] * 2, "error_type": "", "error_msg": "", "total": 2}'
+    jobs = {
+        "destructor": "class A:\n    def __del__(self):\n        print('x' * 10)\nkept = A()\ndef f(x):\n    A()\n    return x + 1",
+        "exit handler": "import atexit\natexit.register(print, 'bye')\ndef f(x):\n    return x + 1",
+        "thread": "import threading, time\nthreading.Thread(target=lambda: (time.sleep(60), print(1))).start()\ndef f(x):\n    return x + 1",
+        "stdout": f"import os\nos.write(1, b'''{lie}''')\ndef f(x):\n    return 0",
+        "every file": f"import os\nfor i in range(64):\n    try:\n        os.write(i, b'''{lie}''')\n    except OSError:\n        pass\ndef f(x):\n    return 0",
+        "leaves": "import os\ndef f(x):\n    os._exit(0)", "exits": "def f(x):\n    raise SystemExit", "kills": "import os, signal\ndef f(x):\n    os.kill(os.getpid(), signal.SIGKILL)",
+        "kills the warm one": "import os, signal\ndef f(x):\n    os.kill(os.getppid(), signal.SIGKILL)", "right": "def f(x):\n    return x + 1",
+    }
+    df = spark.createDataFrame([(k, v, suite) for k, v in jobs.items()], "name string, code string, tests string").withColumn("entry", F.lit("f"))
+    got = {r["name"]: (sum(x["ok"] for x in r["results"]), r["error_type"]) for r in sandbox.run_suites(df.coalesce(1)).collect()}
+    assert {k for k, v in got.items() if v == (2, "")} >= {"destructor", "exit handler", "thread", "right"}, got
+    assert all(got[k][0] == 0 for k in ("stdout", "every file", "leaves", "exits", "kills", "kills the warm one")), got
+
+
+def test_lines_outlive_the_time_limit(spark):
+    job = ("def f(x):\n    y = 1\n    while x:\n        y += 1\n    return y", "def check(candidate):\n    assert candidate(1)\n", "f")
+    got = sandbox.run_suites(spark.createDataFrame([job], "code string, tests string, entry string")).first()
+    assert got["error_type"] == "timeout" and got["lines"] == [1, 2, 3, 4] and got["results"] == [] and got["n_asserts"] == 1
+
+
+def test_suites_without_helpers(spark):
+    suite = "def check(candidate):\n    n = 1 / 0\n    assert candidate(1) == 1\n    assert candidate(1) == n\n"
+    df = spark.createDataFrame([("def f(x): return x", suite, "f", "own")], "code string, tests string, entry string, job string")
+    with_, without = (sandbox.run_suites(df, helpers=h).first() for h in (True, False))
+    assert with_["results"] == [] and [r["ok"] for r in without["results"]] == [True, False]
+    assert with_["job"] == without["job"] == "own" and with_["n_asserts"] == 2
+
+
+def test_a_store_is_resumed(spark, tmp_path):
+    """A run that is stopped between two commits leaves whole commits; the next one starts the missing children only."""
+    store = f"file://{tmp_path}/outcomes"
+    df = spark.createDataFrame([(i % 40, f"def f(x):\n    return x + {i % 40}", f"def check(candidate):\n    assert candidate(1) == {1 + i % 40}") for i in range(60)], "n int, code string, tests string").withColumn("entry", F.lit("f"))
+    ran, real = [], DataFrameWriter.parquet
+
+    def stopped(self, path, *a, **k):
+        ran.append(path == store)
+        if sum(ran) == 3:
+            raise KeyboardInterrupt
+        return real(self, path, *a, **k)
+
+    DataFrameWriter.parquet = stopped
+    try:
+        with pytest.raises(KeyboardInterrupt):
+            sandbox.run_suites(df, store=store, commit=10)
+    finally:
+        DataFrameWriter.parquet = real
+    before = {r["job"] for r in spark.read.parquet(store).select("job").collect()}
+    assert 0 < len(before) < 40
+    got = sandbox.run_suites(df, store=store, commit=10).collect()
+    after = spark.read.parquet(store).select("job", "run").collect()
+    assert len(got) == 60 and all(r["results"][0]["ok"] for r in got)
+    assert len(after) == 40 and len({r["job"] for r in after}) == 40  # none ran twice
+    assert len({r["run"] for r in after}) == 2 and sum(r["run"] == got[0]["run"] for r in after) in (len(before), 40 - len(before))
+    assert sandbox.run_suites(df, store=store).count() == 60 and spark.read.parquet(store).count() == 40
+    empty = sandbox.run_suites(df.limit(0), store=f"file://{tmp_path}/none")
+    assert empty.count() == 0
+
+
+def test_gold_asserts(spark):
+    tests = "def check(candidate):\n    assert candidate(1) == 2\n    assert candidate(1) == 3\n    assert True\n    assert candidate(1) == 2\n    raise ValueError\n    assert candidate(2) == 4"
+    rows = [("a", "def f(x): return 2 * x", tests, "f"), ("broken", "def f(x): return x", "def check(", "f"), ("null", None, None, None)]
+    df = spark.createDataFrame(rows, "key string, gold string, tests string, entry string")
+    each = sorted((r["index"], r["ok"]) for r in verifier.gold_asserts(df).collect())
+    assert each == [(0, True), (1, False), (2, True), (3, True), (4, False)]
+    got = {r["key"]: (r["n_asserts"], r["correct"], r["tests"]) for r in verifier.gold_suites(df).collect()}
+    empty = "def check(candidate):\n    pass"
+    assert got == {"a": (5, 3, "def check(candidate):\n    assert candidate(1) == 2"), "broken": (0, 0, empty), "null": (0, 0, empty)}
