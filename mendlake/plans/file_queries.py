@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from mendlake.operators import metrics
 from mendlake.plans.options import Options, cached
 from mendlake.plans.queries import _CHOSEN, _TOTALS, gated, query
+from mendlake.operators.ordering import positions
 from mendlake.sources import readers, sinks
+from mendlake.streaming import log
 from mendlake.tables import shared_dir, table
 
 
@@ -134,3 +136,35 @@ def run_record(spark, sf_dir):
     args = readers.json_array(spark, f"{path}/args", options.record(spark).schema).select("policy", "seed")
     return cached(spark, f"{path}/counts", made).join(F.broadcast(args))  # one row
 
+
+
+SEGMENT = 500
+
+
+def segments(lines, *order: str):
+    """(name, content): a log for each value of the column log, cut into segments of SEGMENT lines (text, in order) that
+    don't end where lines do: the first bytes of a segment's first line stand at the end of the segment before."""
+    at = positions(lines, "log", *order).withColumn("s", F.floor(F.col("pos") / SEGMENT))
+    low = at.groupBy("log").agg(F.min("s").alias("low"))  # segments count from 0 in each log
+    at = at.join(F.broadcast(low), "log").withColumn("s", F.col("s") - F.col("low"))
+    heads = at.groupBy("log", "s").agg(F.min("pos").alias("first"))
+    at = at.join(heads, ["log", "s"])
+    k = F.when((F.col("pos") == F.col("first")) & (F.col("s") > 0), 1 + F.col("pos") % F.least(F.length("text"), F.lit(40))).otherwise(0).cast("int")
+    whole = F.concat("text", F.lit("\n"))
+    at = at.withColumn("k", k)
+    pieces = at.select("log", "s", "pos", F.substring(whole, F.col("k") + 1, F.length(whole)).alias("piece")).unionByName(at.filter("k > 0").select("log", F.expr("s - 1").alias("s"), "pos", F.substring("text", F.lit(1), F.col("k")).alias("piece")))
+    texts = pieces.groupBy("log", "s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("content"))
+    return texts.select(F.format_string("log=%s/segment=%d/lines.jsonl", "log", "s").alias("name"), "content")
+
+
+@query("""WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_type DESC, event_id DESC) AS n FROM events WHERE value >= 5)
+    SELECT user_id, event_id, round(value, 6) AS value FROM r WHERE n = 1""")
+def torn_stream(spark, sf_dir):
+    """Logs whose segments end within lines, some of them torn for good, as streams: the last whole record of each user."""
+    events = table(spark, sf_dir, "events")
+    line = F.to_json(F.struct("user_id", "event_id", "value", F.lit("é").alias("mark")))
+    torn = F.when(F.col("value") < 5, F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line)
+    path = fresh(spark, "segments")
+    sinks.write_bytes(segments(events.select(F.col("event_type").alias("log"), "event_id", torn.alias("text")), "event_id"), path)
+    schema = events.select("user_id", "event_id", "value").schema
+    return log.streamed_log(spark, path, schema, ["user_id"]).select("user_id", "event_id", F.round("value", 6).alias("value"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,24 @@ def write_document(df: DataFrame, path: str) -> None:
     df.agg(F.to_json(row, {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_bytes(df: DataFrame, folder: str) -> int:
+    """A file for each row (name, content: text) below folder, which all machines share; how many there are.
+
+    For bytes that end nowhere in particular, such as a log's segments. A task that is run again writes the same files.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{root}/{name}") as out:
+                    out.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    return df.select("name", "content").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def log_rows(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
     """Rows of a wide text log: the columns in their order, decimals with so many digits, blank for null and for
     columns that df lacks, arrays, structs and maps as JSON."""
