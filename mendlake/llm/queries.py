@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from mendlake.llm.store import materialise
 from mendlake.llm.toolcalls import Param
 from mendlake.tables import table
 
-#: Words by how common they are, for guess costs; without the file, common passwords alone.
+#: Words by how common they are, for guess costs; without the file the query fails.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 DOMAINS = ["web", "forum", "reference", "books"]
@@ -171,8 +169,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = VOCABULARY if os.path.exists(VOCABULARY) else None
-    return secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"], vocabulary=vocabulary)
+    return secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"], vocabulary=VOCABULARY)
 
 
 QUERIES |= {"op2_warc": op2_warc, "op7_secret_scan": op7_secret_scan}

@@ -59,7 +59,11 @@ COMMON = tuple(
 )
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {(b, a) for row in ROWS for a, b in zip(row, row[1:], strict=False)}
-DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+DATES = (
+    re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])", re.A),
+    re.compile(r"(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d", re.A),
+    re.compile(r"(?:19|20)\d\d", re.A),
+)
 DAY, YEAR = math.log10(365 * 130), math.log10(130)
 
 
@@ -91,52 +95,99 @@ def dictionary(vocabulary: str | None = None) -> Dictionary:
     return Dictionary.of((*COMMON, *(t for t in tokens if len(t) >= 3 and t.isascii() and t.isalpha() and t.islower())))
 
 
-def _pieces(value: str, known: Dictionary) -> Iterator[tuple[int, int, float]]:
-    """(start, end, log10 of guesses) of everything that is not brute force."""
-    low, n = value.lower(), len(value)
-    walk = step = 0  # the ends of the walk and of the sequence that go on at i
-    for i in range(n):
-        for j in range(i + 3, min(n, i + known.longest) + 1):
-            if (cost := known.costs.get(low[i:j])) is not None:
-                yield i, j, cost + (0.0 if value[i:j] == low[i:j] else 0.5)
-        if m := DATE.match(value, i):
-            yield i, m.end(), DAY if m.end() - i > 4 else YEAR
-        for unit in range(1, 5):  # value[i:i + unit] again and again
-            j = i + unit
-            if value[i:j] == value[j : j + unit] and not (i and value[i - 1] == value[i - 1 + unit]):  # begins here
-                while j < n and value[j] == value[j - unit]:
-                    j += 1
-                count = (j - i) // unit
-                if count * unit >= 3:
-                    yield i, i + count * unit, unit * CHARACTER + math.log10(count)
-        if i >= walk - 1:
-            walk = i + 1
-            while walk < n and (low[walk - 1], low[walk]) in NEXT:
-                walk += 1
-            if walk - i >= 3:
-                yield i, walk, math.log10(47 * 2 * (walk - i))
-        if i >= step - 1:
-            step, by = i + 1, ord(low[i + 1]) - ord(low[i]) if i + 1 < n else 0
-            if by in (1, -1) and low[i].isalnum():
-                while step < n and ord(low[step]) - ord(low[step - 1]) == by and low[step].isalnum():
-                    step += 1
-            if step - i >= 3:
-                yield i, step, math.log10(26 * 2 * (step - i))
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+LEAST, UNITS = 3, 4  # characters of a word, walk, sequence or repeat; of the longest unit that repeats
+
+
+class _Starts:
+    """The cheapest start i of a span that ends at j, for spans that cost done[i] + log10(j - i).
+
+    The logarithm grows ever slower, so a start that is no dearer than a later one stays so: later starts are on top
+    of a stack as long as they are cheaper, each above the one that will overtake it, at a place known beforehand.
+    """
+
+    def __init__(self) -> None:
+        self._stack: list[tuple[float, int, float]] = []  # (cost, start, from where the one below is no dearer)
+
+    @staticmethod
+    def _overtaken(old: tuple, cost: float, start: int) -> float:
+        """The least j at which old + log10(j - old start) <= cost + log10(j - start)."""
+        by = 10.0 ** min(cost - old[0], 300.0)
+        return (by * start - old[1]) / (by - 1) if by > 1 else math.inf
+
+    def add(self, cost: float, start: int, j: int) -> None:
+        """A start for ends from j on."""
+        stack = self._stack
+        self._settle(j)
+        if stack and stack[-1][0] + math.log10(j - stack[-1][1]) <= cost + math.log10(j - start):
+            return
+        while len(stack) > 1 and self._overtaken(stack[-1], cost, start) >= stack[-1][2]:
+            stack.pop()  # overtaken itself before it could overtake
+        stack.append((cost, start, self._overtaken(stack[-1], cost, start) if stack else math.inf))
+
+    def _settle(self, j: int) -> None:
+        while len(self._stack) > 1 and self._stack[-1][2] <= j:
+            self._stack.pop()
+
+    def best(self, j: int) -> float:
+        self._settle(j)
+        return self._stack[-1][0] + math.log10(j - self._stack[-1][1]) if self._stack else math.inf
 
 
 def guess_cost(value: str, known: Dictionary = PASSWORDS) -> float:
-    """log10 of the least guesses over all segmentations of value."""
-    n = len(value)
-    if not n:
-        return 0.0
-    ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i, j, cost in _pieces(value, known):
-        ending[j].append((i, cost))
-    done, brute = [0.0] * (n + 1), [math.inf] * (n + 1)  # least cost of value[:i]; with a brute-force span at its end
+    """log10 of the least guesses over all segmentations of value into known words, dates, repeats of up to UNITS
+    characters, walks on the keyboard, sequences and brute-force spans, each anywhere and of any length.
+
+    Walks, sequences and repeats may be cut at any place, so their starts are kept for each end; with them the time is
+    about linear in the value's length.
+    """
+    n, low = len(value), value.translate(LOWER)
+    done, brute = [0.0] * (n + 1), math.inf  # least cost of value[:i]; of value[:j] with a brute-force span at its end
+    ahead: dict[int, list[tuple[int, float]]] = {}  # words and dates by their ends
+    walks, steps, repeats = _Starts(), _Starts(), {}
+    walk = step = by = 0  # where the walk and the sequence that reach the last character begin; the sequence's direction
+    same = [0] * (UNITS + 1)  # how many characters up to the last one equal those a unit before
     for j in range(1, n + 1):
-        opened = done[j - 1] + (PIECE if j > 1 else 0.0)
-        brute[j] = min(brute[j - 1], opened) + CHARACTER
-        done[j] = min([brute[j], *(done[i] + (PIECE if i else 0.0) + cost for i, cost in ending[j])])
+        i, opened = j - 1, done[j - 1] + (PIECE if j > 1 else 0.0)
+        for k in range(i + LEAST, min(n, i + known.longest) + 1):
+            if (cost := known.costs.get(low[i:k])) is not None:
+                ahead.setdefault(k, []).append((i, cost + (0.0 if value[i:k] == low[i:k] else 0.5)))
+        for date in DATES if value[i].isdecimal() else ():
+            if m := date.match(value, i):
+                ahead.setdefault(m.end(), []).append((i, DAY if m.end() - i > 4 else YEAR))
+        brute = min(brute, opened) + CHARACTER
+        least = brute
+        start = lambda i: done[i] + (PIECE if i else 0.0)
+        for i, cost in ahead.pop(j, ()):
+            least = min(least, start(i) + cost)
+        if j > 1:
+            a, b = low[j - 2], low[j - 1]
+            if (a, b) not in NEXT:
+                walks, walk = _Starts(), j - 1
+            turn = ord(b) - ord(a)
+            if turn not in (1, -1) or not (a.isalnum() and b.isalnum()):
+                steps, step, by = _Starts(), j - 1, 0
+            elif turn != by:
+                steps, step, by = _Starts(), j - 2, turn
+            if j - LEAST >= walk:
+                walks.add(start(j - LEAST), j - LEAST, j)
+                least = min(least, walks.best(j) + math.log10(47 * 2))
+            if by and j - LEAST >= step:
+                steps.add(start(j - LEAST), j - LEAST, j)
+                least = min(least, steps.best(j) + math.log10(26 * 2))
+        for unit in range(1, min(UNITS, j - 1) + 1):
+            if value[j - 1] != value[j - 1 - unit]:
+                same[unit] = 0
+                for r in range(unit):
+                    repeats.pop((unit, r), None)
+                continue
+            same[unit] += 1
+            size = unit * max(2, -(-LEAST // unit))  # of the shortest span of whole units
+            if same[unit] + unit >= size:
+                starts = repeats.setdefault((unit, j % unit), _Starts())
+                starts.add(start(j - size), j - size, j)
+                least = min(least, starts.best(j) + unit * CHARACTER - math.log10(unit))
+        done[j] = least
     return done[n]
 
 
