@@ -86,13 +86,16 @@ def choose(docs: DataFrame, weights: dict[str, dict[str, float]], fraction: floa
 
     Nulls: a null lang, source or domain is the node '' (empty); a null text has no tokens; null keys sort as empty.
     Repeated rows and ties of the hash are ordered by key, and count as rows of their own. Empty tables give no rows.
+    Rows of one key and length are dealt as one with a count, so that a key with a third of the rows is no large bucket.
     """
     node = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("_key"), node(domain if domain is not None else F.lit("all")).alias("domain"), node(F.col("lang")).alias("lang"), node(F.col("source")).alias("source"), tokens_of(F.col("text")).alias("tokens"))
-    rows = materialise(rows, "mix-rows")  # words are counted once; the table has no texts
     keys = ["domain", "lang", "source"]
-    leaves = rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
-    total = (rows.agg(F.sum("tokens")).first()[0] or 0) * fraction
+    rows = rows.groupBy("_key", *keys, "tokens").agg(F.count(F.lit(1)).alias("_copies"))
+    rows = materialise(rows, "mix-rows")  # words are counted once; the table has no texts
+    held = F.col("tokens") * F.col("_copies")
+    leaves = rows.groupBy(*keys).agg(F.sum(held).alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
+    total = (rows.agg(F.sum(held)).first()[0] or 0) * fraction
     budgets = leaf_budgets(leaves, weights, F.lit(float(total)), max_epochs)
     want = F.greatest(F.lit(0), F.least("tokens", F.col("budget") - F.col("epoch") * F.col("tokens")))
     n_buckets = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / ROWS_A_BUCKET))
@@ -100,13 +103,17 @@ def choose(docs: DataFrame, weights: dict[str, dict[str, float]], fraction: floa
     epochs = epochs.select(*keys, "epoch", "budget", want.alias("want"), F.col("tokens").alias("leaf_tokens"), n_buckets.alias("n_buckets")).filter("want > 0")
     dealt = rows.join(small(materialise(epochs, "mix-budgets")), keys).withColumn("_h", order_hash(seed, F.col("epoch"), F.col("_key")))
     dealt = dealt.withColumn("_bucket", F.floor(F.col("_h") / F.lit(float(16**HEX)) * F.col("n_buckets")).cast("long"))
-    sums = dealt.filter("want < leaf_tokens").groupBy(*keys, "epoch", "_bucket").agg(F.sum("tokens").alias("_in"))
+    sums = dealt.filter("want < leaf_tokens").groupBy(*keys, "epoch", "_bucket").agg(F.sum(held).alias("_in"))
     running = W.partitionBy(*keys, "epoch").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_in").over(running), F.lit(0)))
     whole = dealt.filter("want = leaf_tokens")
     part = dealt.filter("want < leaf_tokens").join(sums, [*keys, "epoch", "_bucket"]).filter("_before < want")
     before, part = part.filter("_before + _in < want"), part.filter("_before + _in >= want")
     inner = W.partitionBy(*keys, "epoch", "_bucket").orderBy("_h", "_key", "tokens").rowsBetween(W.unboundedPreceding, -1)
-    part = part.withColumn("_row", F.coalesce(F.sum("tokens").over(inner), F.lit(0))).filter("_before + _row < want")
+    part = part.withColumn("_row", F.coalesce(F.sum(held).over(inner), F.lit(0))).filter("_before + _row < want")
+    fit = F.ceil((F.col("want") - F.col("_before") - F.col("_row")) / F.col("tokens"))  # copies that begin below the budget
+    part = part.withColumn("_copies", F.when(F.col("tokens") > 0, F.least("_copies", fit)).otherwise(F.col("_copies")).cast("long"))
     cols = [F.col("_key").alias(key), *keys, "tokens", "epoch", "budget"]
-    return whole.select(*cols).unionByName(before.select(*cols)).unionByName(part.select(*cols))
+    chosen = [x.select(*cols, "_copies") for x in (whole, before, part)]
+    chosen = chosen[0].unionByName(chosen[1]).unionByName(chosen[2])
+    return chosen.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copies")

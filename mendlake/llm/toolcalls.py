@@ -35,7 +35,11 @@ class Param:
     most: float | None = None
 
 
-TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY<.*$", "object": "^OBJECT<.*$"}
+TYPES = {"string": "^STRING$", "integer": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY<.*$", "object": "^OBJECT<.*$"}
+
+
+#: How a schema calls a number, whose kind may change with how it is written.
+NUMBER = r"BIGINT|DOUBLE|FLOAT|DECIMAL\([0-9]+,[0-9]+\)"
 
 
 def _param_errors(value: Column, keys: Column, p: Param) -> Column:
@@ -43,19 +47,35 @@ def _param_errors(value: Column, keys: Column, p: Param) -> Column:
     there = F.array_contains(keys, p.name)
     kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
     number = F.try_variant_get(value, path, "double")
+    typed = F.coalesce(kind.rlike(TYPES[p.type]), F.lit(False))
+    if p.type == "integer":  # by value: 3.0 and 3e0 are 3
+        typed &= F.coalesce(number == F.rint(number), F.lit(False))
     bad = F.lit(False)
     if p.least is not None:
         bad |= F.coalesce(number < F.lit(p.least), F.lit(False))
     if p.most is not None:
         bad |= F.coalesce(number > F.lit(p.most), F.lit(False))
-    typed = F.coalesce(kind.rlike(TYPES[p.type]), F.lit(False))
     missing = F.lit(f"missing:{p.name}") if p.required else F.lit(None).cast("string")
     return F.when(~there, missing).when(~typed, F.lit(f"type:{p.name}")).when(bad, F.lit(f"range:{p.name}"))
 
 
+def strict(text: Column) -> Column:
+    """A text that is one JSON value and nothing else, as a variant; else null.
+
+    The parser reads one value and leaves what follows, so the text must stand in a list and in an object: whatever
+    comes behind a value can't end both. Numbers that don't come back as numbers are refused (1e400), and so is what the
+    parser takes for none: numbers of more than 1,000 digits, values nested 1,000 deep, members that repeat.
+    """
+    listed, held = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    one = listed.isNotNull() & held.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    value = F.try_parse_json(text)
+    back = F.schema_of_variant(F.try_parse_json(F.to_json(value)))
+    return F.when(one & (F.regexp_replace(back, NUMBER, "n") == F.regexp_replace(F.schema_of_variant(value), NUMBER, "n")), value)
+
+
 def errors(name: Column, arguments: Column, schemas: dict[str, list[Param]]) -> Column:
     """Comma-joined errors of a call, '' if it is valid: json, tool, unknown:key, missing:, type: and range:key."""
-    value = F.try_parse_json(arguments)
+    value = strict(arguments)
     keys = F.array_sort(F.coalesce(F.map_keys(F.from_json(arguments, "map<string,string>")), F.array().cast("array<string>")))
     out = F.lit("tool")
     for tool, params in sorted(schemas.items()):
@@ -159,7 +179,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Param]])
     both = first.join(answers.hint("shuffle_hash"), key, "full").join(levels(first), key, "left")
     wrong = F.when(F.col("n_calls").isNotNull(), errors(F.col("name"), F.col("arguments"), schemas))
     status = F.when(F.col("n_calls").isNull(), "orphan").when(F.col("n_results").isNull(), "unanswered").otherwise("answered")
-    value = F.try_parse_json("arguments")
+    value = strict(F.col("arguments"))
     parts = {
         "arguments": F.coalesce(F.to_json(value), _quoted(F.col("arguments"))),
         "error": F.when(wrong != "", _quoted(wrong)),

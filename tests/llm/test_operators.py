@@ -563,3 +563,21 @@ def test_materialise_and_small(spark):
     store.drop_table(df)
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_mixing_of_one_key(spark):
+    """A null id with many rows of few lengths: the choice is the one that rows by themselves would give."""
+    rng = random.Random(9)
+    rows = [(None, "w " * rng.randrange(0, 6), "en", "s1") for _ in range(4000)] + [(i % 50, "v " * (1 + i % 3), "en", "s1") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.choose(df, {}, 0.3, 2, 5).groupBy("doc_id", "tokens", "epoch").count().collect()
+    tokens = [(i, len(t.split())) for i, t, _, _ in rows]
+    total = sum(n for _, n in tokens)
+    budget = math.floor(total * 0.3 + 1e-6)
+    digest = lambda i: int(hashlib.md5(f"5:0:{'' if i is None else i}".encode()).hexdigest()[: mixing.HEX], 16)
+    taken, before = {}, 0
+    for i, n in sorted(tokens, key=lambda x: (digest(x[0]), x[0] is not None, x[0] or 0, x[1])):
+        if before < budget:
+            taken[i, n, 0] = taken.get((i, n, 0), 0) + 1
+        before += n
+    assert {(r["doc_id"], r["tokens"], r["epoch"]): r["count"] for r in got} == taken

@@ -1,5 +1,6 @@
 """Levels of tool calls against brute force, and long chains."""
 
+import json
 import random
 import time
 
@@ -46,3 +47,23 @@ def test_long_chain_ladder_and_hub(spark):
     assert not [k for k in got if k[0] == 2]
     assert [got[3, f"d{i}"] for i in range(8)] == list(range(8))
     assert got[4, "all"] == 2 and got[4, "h7"] == 1
+
+
+def test_arguments_are_strict_json(spark):
+    """One value and nothing else; integers by value; what doesn't come back is refused."""
+    cases = [
+        ('{"q": "a"}', "", '{"q":"a"}'), ('{"q":"a"} x', "json", None), ('{"q":"a"}]', "json", None), ('{"q":"a"}}', "json", None), ('{"q":"a"},{"q":"b"}', "json", None),
+        ('{"q":"a"},"y":{"q":"b"}', "json", None), (' {"q" : "a" } \n', "", '{"q":"a"}'), ('{"q":"a","n":1e400}', "json", None), ('{"q":"a","n":1.0}', "", '{"n":1,"q":"a"}'),
+        ('{"q":"a","n":3e0}', "", None), ('{"q":"a","n":1.5}', "type:n", '{"n":1.5,"q":"a"}'), ('{"q":"a","n":"1"}', "type:n", '{"n":"1","q":"a"}'), ('{"q":"Infinity"}', "", '{"q":"Infinity"}'),
+        ('{"q":"a","n":' + "1" * 1500 + "}", "json", None), ("[" * 1500 + "]" * 1500, "json", None), ("[1]", "json", None), ("", "json", None), (None, "json", None), ('{"q":1}', "type:q", '{"q":1}'),
+        ('{"q":"a","n":12345678901234567890}', "", '{"n":12345678901234567890,"q":"a"}'), ('{"q":"] } \\" x"}', "", '{"q":"] } \\" x"}'),
+    ]
+    calls = spark.createDataFrame([(1, f"c{i}", i, "t", a, []) for i, (a, _, _) in enumerate(cases)], "conv_id long, call_id string, turn long, name string, arguments string, depends array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {r["turn"]: r for r in toolcalls.link(calls, results, {"t": [toolcalls.Param("q", "string"), toolcalls.Param("n", "integer", required=False)]}).collect()}
+    for i, (given, errors, kept) in enumerate(cases):
+        assert got[i]["errors"] == errors, (given, got[i]["errors"])
+        if kept is not None:
+            assert f'"arguments":{kept},' in got[i]["json"], (given, got[i]["json"])
+        elif errors == "json" and given:
+            assert json.loads(got[i]["json"])["arguments"] == given or given.startswith("[1")
