@@ -73,9 +73,11 @@ def strict(text: Column) -> Column:
     return F.when(one & (F.regexp_replace(back, NUMBER, "n") == F.regexp_replace(F.schema_of_variant(value), NUMBER, "n")), value)
 
 
-def errors(name: Column, arguments: Column, schemas: dict[str, list[Param]]) -> Column:
-    """Comma-joined errors of a call, '' if it is valid: json, tool, unknown:key, missing:, type: and range:key."""
-    value = strict(arguments)
+def errors(name: Column, arguments: Column, value: Column, schemas: dict[str, list[Param]]) -> Column:
+    """Comma-joined errors of a call, '' if it is valid: json, tool, unknown:key, missing:, type: and range:key.
+
+    value: strict() of the arguments.
+    """
     keys = F.array_sort(F.coalesce(F.map_keys(F.from_json(arguments, "map<string,string>")), F.array().cast("array<string>")))
     out = F.lit("tool")
     for tool, params in sorted(schemas.items()):
@@ -177,11 +179,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Param]])
     first = materialise(first.select(*key, "c.turn", "c.name", "c.arguments", F.coalesce("c.depends", F.array().cast("array<string>")).alias("depends"), "n_calls"), "calls")
     answers = keyed(results).groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
     both = first.join(answers.hint("shuffle_hash"), key, "full").join(levels(first), key, "left")
-    wrong = F.when(F.col("n_calls").isNotNull(), errors(F.col("name"), F.col("arguments"), schemas))
+    both = both.withColumn("value", strict(F.col("arguments")))  # a column of its own: it is parsed once
+    both = both.withColumn("wrong", F.when(F.col("n_calls").isNotNull(), errors(F.col("name"), F.col("arguments"), F.col("value"), schemas)))
+    wrong = F.col("wrong")
     status = F.when(F.col("n_calls").isNull(), "orphan").when(F.col("n_results").isNull(), "unanswered").otherwise("answered")
-    value = strict(F.col("arguments"))
     parts = {
-        "arguments": F.coalesce(F.to_json(value), _quoted(F.col("arguments"))),
+        "arguments": F.coalesce(F.to_json("value"), _quoted(F.col("arguments"))),
         "error": F.when(wrong != "", _quoted(wrong)),
         "id": _quoted(F.col("call_id")),
         "name": _quoted(F.col("name")),
