@@ -150,14 +150,15 @@ def n_asserts(tests: str) -> int:
         return 0
 
 
-def _suite(job: dict, helpers: bool = True) -> dict:
+def suite_outcome(job: dict, helpers: bool = True) -> dict:
+    """The outcome of a suite (code, tests, entry) on a program, in this process's child."""
     got = run_child({"kind": "suite", "code": job["code"], "tests": job["tests"], "entry": job["entry"], "cover": True, "helpers": helpers}, SUITE_SECONDS)
     total = got["total"] if got["total"] is not None else n_asserts(job["tests"] or "")
     return {"results": got["results"], "error_type": got["error_type"], "error_msg": got["error_msg"], "lines": got["lines"], "n_asserts": total}
 
 
 def _bare_suite(job: dict) -> dict:
-    return _suite(job, helpers=False)
+    return suite_outcome(job, helpers=False)
 
 
 def _lists(job: dict) -> dict:
@@ -248,7 +249,7 @@ def run_suites(df: DataFrame, helpers: bool = True, store: str | None = None, co
     helpers: whether check's other statements run, too; without them, an assert that needs one fails, and a statement
     that raises can't keep asserts behind it from being run. store, commit: see _once().
     """
-    return _once(df, ["code", "tests", "entry"], _suite if helpers else _bare_suite, SUITE_OUT, store, commit)
+    return _once(df, ["code", "tests", "entry"], suite_outcome if helpers else _bare_suite, SUITE_OUT, store, commit)
 
 
 def run_calls(df: DataFrame, store: str | None = None, commit: int | None = None) -> DataFrame:

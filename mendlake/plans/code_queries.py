@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from mendlake.functions import code, nested, sandbox
 from mendlake.functions.text import stdout
 from mendlake.operators import evaluate, metrics
-from mendlake.plans import verifier
+from mendlake.operators.ordering import positions
+from mendlake.plans import rewarding, verifier
 from mendlake.plans.queries import query
 from mendlake.tables import shared_dir, table
 
@@ -199,6 +200,23 @@ def dataset_tests(spark, sf_dir):
     return sandbox.run_dataset_tests(jobs).select("s_suppkey", "mode", "total", passed().alias("passed"))
 
 
+@query("""WITH p AS (SELECT s_suppkey, s_nationkey % 5 AS kind, floor(abs(s_acctbal))::BIGINT % 4 AS before FROM supplier)
+    SELECT s_suppkey, CASE kind WHEN 0 THEN 1000.0 * (1 - before / 4) WHEN 1 THEN 1000.0 * (0.5 - before / 4) WHEN 2 THEN 0.0 WHEN 3 THEN 1000.0 * (0 - before / 4) ELSE 0.0 END::DOUBLE AS reward FROM p""")
+def batch_rewards(spark, sf_dir):
+    """Completions in batches of 32: right behind reasoning, half right, unreadable, wrong, and an empty message."""
+    c, kind = F.floor(F.abs("s_acctbal")), F.col("s_nationkey") % 5
+    n = c.cast("string")
+    fill = lambda x: F.replace(F.lit(x), F.lit("{c}"), n)
+    answer = (
+        F.when(kind == 0, fill("<think>```python\nnot this```</think>```python\ndef f(x):\n    return x + {c}\n```"))
+        .when(kind == 1, fill("```python\ndef f(x):\n    return x + {c} if x < 2 else None\n```")).when(kind == 2, "```python\ndef f(x\n```").when(kind == 3, fill("def f(x):\n    return x - 1 - {c}")).otherwise("")
+    )
+    tests = F.concat(F.lit("def check(candidate):\n"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(F.lit("    assert candidate("), i.cast("string"), F.lit(") == "), i.cast("string"), F.lit(" + "), n)), "\n"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.array(F.struct(F.lit("assistant").alias("role"), answer.alias("content"))).alias("completion"), tests.alias("tests"), F.lit("f").alias("entry"), (c % 4).alias("passed_before"), F.lit(4).alias("total"))
+    batches = rewarding.batch_of(positions(rows, "s_suppkey"), 32)
+    return rewarding.rewarded(batches, "repair", "batch").select("s_suppkey", "reward")
+
+
 _WORDS = "regexp_extract_all(text, '[A-Za-z]+')"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mendlake.operators import metrics
 from mendlake.operators.selection import POLICIES, Policy, backtrack, bucket, route
+from mendlake.tables import written_once
 
 
 @dataclass(frozen=True)
@@ -67,6 +68,7 @@ def main_table(benchmarks: dict[str, DataFrame], labels: DataFrame) -> DataFrame
     each benchmark (a row an experiment) with its name in front. Raises if a benchmark lacks an experiment."""
     out = labels
     for name, df in benchmarks.items():
+        df = written_once(df, "report")  # of about ten rows, checked and joined
         lost = [r[0] for r in labels.join(df, "experiment", "left_anti").orderBy("experiment").select("experiment").collect()]  # of about ten
         if lost:
             raise ValueError(f"{name} has no results of {', '.join(lost)}")

@@ -11,8 +11,9 @@ from mendlake.operators import metrics
 from mendlake.plans.options import Options, cached
 from mendlake.plans.queries import _CHOSEN, _TOTALS, gated, query
 from mendlake.operators.ordering import positions
-from mendlake.sources import readers, sinks
+from mendlake.sources import arrow_files, readers, sinks
 from mendlake.streaming import log
+from mendlake.streaming import metrics as stream_metrics
 from mendlake.tables import shared_dir, table
 
 
@@ -168,3 +169,42 @@ def torn_stream(spark, sf_dir):
     sinks.write_bytes(segments(events.select(F.col("event_type").alias("log"), "event_id", torn.alias("text")), "event_id"), path)
     schema = events.select("user_id", "event_id", "value").schema
     return log.streamed_log(spark, path, schema, ["user_id"]).select("user_id", "event_id", F.round("value", 6).alias("value"))
+
+
+_BINS = ", ".join(f"sum((greatest(0, least(19, floor(value / 100 * 20))) = {i})::INT)::BIGINT" for i in range(stream_metrics.BINS))
+
+
+@query(f"SELECT 3::BIGINT AS batches, count(*)::DOUBLE AS rows, round(sum(value), 3) AS sum, min(value) AS least, max(value) AS most, array_to_string([{_BINS}], ',') AS bins FROM events")
+def stream_metrics_table(spark, sf_dir):
+    """Scalars and bins of each of a stream's three batches, in a table; together they are those of all rows."""
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    path, out = fresh(spark, "events"), fresh(spark, "metrics")
+    for i in range(3):
+        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(path)
+    metrics_ = stream_metrics.MetricTable(spark, out)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    seen = stream_metrics.measured(stream, "events", "value", 0.0, 100.0)
+    seen.writeStream.format("noop").option("checkpointLocation", fresh(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    batches = stream_metrics.by_batch(metrics_.close())
+    return batches.agg(*stream_metrics.together(batches)).select("batches", "rows", F.round("sum", 3).alias("sum"), "least", "most", F.array_join(F.transform("bins", lambda x: x.cast("string")), ",").alias("bins"))
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS text FROM conversations")
+def arrow_files_scan(spark, sf_dir):
+    """Conversations as Arrow files and back, a task for each record batch."""
+    path = fresh(spark, "arrow")
+    arrow_files.write_arrow(table(spark, sf_dir, "conversations").repartition(4), path)
+    return arrow_files.read_arrow(spark, path).select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("""WITH r AS (SELECT conv_id::VARCHAR AS task_id, turn, md5(text) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user')
+    SELECT task_id, turn, text FROM r WHERE n = 1""")
+def arrow_bank(spark, sf_dir):
+    """A problem for each conversation: its first user turn, from the first of four sources that has any."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("task_id", F.concat(F.lit(" "), F.col("conv_id").cast("string")))
+    empty, other, bank = (fresh(spark, x) for x in ("empty", "other", "bank"))
+    turns.limit(0).write.parquet(empty)
+    turns.select("turn").write.parquet(other)
+    arrow_files.write_arrow(turns.select("task_id", "turn", "text"), bank)
+    found = readers.problem_bank(spark, [("arrow", fresh(spark, "none")), ("parquet", empty), ("parquet", other), ("arrow", bank), ("parquet", empty)], "task_id", "turn")
+    return found.select("task_id", "turn", F.md5(F.col("text").cast("binary")).alias("text"))

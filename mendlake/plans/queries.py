@@ -16,7 +16,7 @@ from mendlake.operators import evaluate, joins, metrics, ordering, rewards, sele
 from mendlake.plans import experiments, training
 from mendlake.sources.readers import counted, measured
 from mendlake.streaming import log
-from mendlake.tables import table
+from mendlake.tables import table, written_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -677,7 +677,7 @@ def concatenated_cases(spark, sf_dir):
 def benchmarks_table(spark, sf_dir):
     """One report over three benchmarks (all suites, those of cheap and those of dear orders); all have every experiment."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("suite"), "o_totalprice")
-    modes = gated(spark, sf_dir).join(orders, "suite")
+    modes = written_once(gated(spark, sf_dir).join(orders, "suite"), "modes")
     parts = {"all": modes, "small": modes.filter("o_totalprice < 100000"), "large": modes.filter("o_totalprice >= 100000")}
     reports = {k: report_rows(df, spark) if k == "all" else report_rows(df, spark).select("experiment", "overall") for k, df in parts.items()}
     return experiments.main_table(reports, experiments.dimension(spark).select("experiment"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mendlake.operators.joins import first_wins
 from mendlake.schemas import BUGGY_REQUIRED
+from mendlake.sources.arrow_files import read_arrow
 
 
 def tsv(spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None) -> DataFrame:
@@ -24,6 +26,13 @@ def tsv_with_keys(spark: SparkSession, paths: str | list[str], keys: tuple[str,
     return raw.select(*[F.col(f.name) if f.name in keys else F.col(f.name).cast(f.dataType) for f in inferred])
 
 
+def files_or_folder(spark: SparkSession, path: str, pattern: str) -> str:
+    """path itself if it is a file, else the files two levels below it with names of a pattern."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    return path if status.isFile() else f"{path.rstrip('/')}/*/{pattern}"
+
+
 def with_source(df: DataFrame, name: str = "source_tsv") -> DataFrame:
     """df with the path of the file that each row is from."""
     return df.withColumn(name, F.col("_metadata.file_path"))
@@ -111,6 +120,30 @@ def first_readable(spark: SparkSession, paths: list[str]) -> DataFrame:
     raise ValueError("; ".join(wrong))
 
 
+def problem_bank(spark: SparkSession, sources: list[tuple[str, str]], key: str, *order: str) -> DataFrame:
+    """A bank of problems, one for each id, from the first of several sources that has any.
+
+    sources: (format, path), tried in order: arrow, or a format of Spark's. A source that isn't there, that can't be
+    read, that lacks the key or has no row with one isn't taken; if none is, what was wrong with each is raised. Ids are
+    texts without blanks at their ends; blank ones are no ids; of rows with one id the first in order counts.
+    """
+    wrong = []
+    for kind, path in sources:
+        try:
+            df = read_arrow(spark, path) if kind == "arrow" else spark.read.format(kind).load(path)
+            if key not in df.columns:
+                wrong.append(f"{kind} {path}: no column {key}")
+                continue
+            bank = df.withColumn(key, F.trim(F.col(key).cast("string"))).filter(F.coalesce(key, F.lit("")) != "")
+            if bank.isEmpty():
+                wrong.append(f"{kind} {path}: no problems")
+                continue
+            return first_wins(bank, [key], *(order or [c for c in bank.columns if c != key]))
+        except (PySparkException, FileNotFoundError) as e:
+            wrong.append(f"{kind} {path}: {str(e).strip().splitlines()[0][:200]}")
+    raise ValueError("; ".join(wrong))
+
+
 def or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """An earlier output as TSV, or an empty table where there is none or where its columns are others."""
     try:
