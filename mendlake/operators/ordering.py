@@ -60,36 +60,39 @@ def name_hash(name: Column) -> Column:
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def halves(n: int, name: str, seed: int = 1012) -> np.ndarray:
-    """Which of a file's n rows are dev: the first half of a seeded permutation."""
+def shuffled_places(n: int, name: str, seed: int = 1012) -> np.ndarray:
+    """Where each of a file's n rows stands in its seeded permutation; the first n // 2 are dev."""
     rng = np.random.RandomState((seed + int(hashlib.md5(name.encode()).hexdigest()[:8], 16)) % 2**32)
     order = np.arange(n)
     rng.shuffle(order)
-    dev = np.zeros(n, bool)
-    dev[order[: n // 2]] = True
-    return dev
+    places = np.empty(n, np.int64)
+    places[order] = np.arange(n)
+    return places
 
 
 def half_splits(files: DataFrame, seed: int = 1012) -> DataFrame:
-    """(name, pos, split) for a table of files (name, n rows): a permutation's first half is dev, the rest test.
+    """(name, pos, split, rank) for a table of files (name, n rows): a permutation's first half is dev, the rest test,
+    and rank is a row's place in its half.
 
     A file's permutation is numpy's and made in one task, as it must be that one: files are of evaluation size, and the
-    memory is nine bytes a row. Larger tables are split by shuffled_split() or hash_split().
+    memory is sixteen bytes a row. Larger tables are split by shuffled_split() or hash_split().
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                dev = halves(n, name, seed)
+                places = shuffled_places(n, name, seed)
                 for i in range(0, n, 1 << 16):
-                    part = dev[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(i, i + len(part))), pa.array(np.where(part, "dev", "test"))], ["name", "pos", "split"])
+                    at = places[i : i + (1 << 16)]
+                    dev = at < n // 2
+                    columns = [pa.array([name] * len(at)), pa.array(np.arange(i, i + len(at))), pa.array(np.where(dev, "dev", "test")), pa.array(np.where(dev, at, at - n // 2))]
+                    yield pa.RecordBatch.from_arrays(columns, ["name", "pos", "split", "rank"])
 
-    return files.select(F.col("name").cast("string"), F.col("n").cast("long")).mapInArrow(split, "name string, pos long, split string")
+    return files.select(F.col("name").cast("string"), F.col("n").cast("long")).mapInArrow(split, "name string, pos long, split string, rank long")
 
 
 def half_split(spark: SparkSession, n: int, name: str, seed: int = 1012) -> DataFrame:
-    """(pos, split) of one file of n rows, see half_splits()."""
+    """(pos, split, rank) of one file of n rows, see half_splits()."""
     return half_splits(spark.createDataFrame([(name, n)], "name string, n long"), seed).drop("name")
 
 

@@ -208,3 +208,15 @@ def arrow_bank(spark, sf_dir):
     arrow_files.write_arrow(turns.select("task_id", "turn", "text"), bank)
     found = readers.problem_bank(spark, [("arrow", fresh(spark, "none")), ("parquet", empty), ("parquet", other), ("arrow", bank), ("parquet", empty)], "task_id", "turn")
     return found.select("task_id", "turn", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query()
+def split_files(spark, sf_dir):
+    """A TSV for each order status in one scan: each row's place in its file, and its half by that file's permutation."""
+    path = fresh(spark, "halves")
+    note = F.concat("o_orderpriority", F.lit("\nb\t\"c\""))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", note.alias("note"), "o_orderstatus")
+    one = orders.repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "o_orderkey")
+    one.withColumn("of", F.col("o_orderstatus")).write.partitionBy("of").options(sep="\t", header=True, quote='"', escape='"', quoteAll=True).csv(path)
+    found = readers.tsv_halves(spark, f"{path}/*/*.csv", name=readers.parent_folder(F.col("source_tsv")))
+    return found.select("o_orderstatus", "o_orderkey", "pos", "split", "rank")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mendlake.operators.joins import first_wins
+from mendlake.operators.ordering import half_splits
 from mendlake.schemas import BUGGY_REQUIRED
 from mendlake.sources.arrow_files import read_arrow
+from mendlake.tables import written_once
 
 
 def tsv(spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None) -> DataFrame:
@@ -38,6 +40,25 @@ def with_source(df: DataFrame, name: str = "source_tsv") -> DataFrame:
     return df.withColumn(name, F.col("_metadata.file_path"))
 
 
+def tsv_halves(spark: SparkSession, paths: str | list[str], mode: str = "all", seed: int = 1012, name: Column | None = None) -> DataFrame:
+    """The rows of several TSV files, all text and without nulls, with source_tsv, the row's place in its file (pos), its
+    half by its own file's permutation (split) and its place in that (rank).
+
+    mode: dev, test or all. name: what a file is called for its permutation, its last part without. A file with fields
+    of several lines is read by one task, in its order, so places are counted there; only files and their sizes are
+    joined.
+    """
+    if mode not in ("dev", "test", "all"):
+        raise ValueError(f"mode {mode}")
+    rows = with_source(tsv(spark, paths)).na.fill("").withColumn("_id", F.monotonically_increasing_id())
+    sizes = rows.groupBy("source_tsv").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("n"))
+    called = name if name is not None else F.regexp_extract("source_tsv", "([^/]+)$", 1)
+    sizes = written_once(sizes.withColumn("name", called), "files")  # a row a file
+    placed = rows.join(F.broadcast(sizes.select("source_tsv", "_first", "name")), "source_tsv").withColumn("pos", F.col("_id") - F.col("_first"))
+    both = placed.join(half_splits(sizes.select("name", "n").distinct(), seed), ["name", "pos"]).drop("_id", "_first", "name")
+    return both if mode == "all" else both.filter(F.col("split") == mode)
+
+
 def parent_folder(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]+)/[^/]+$", 1)
 

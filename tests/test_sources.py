@@ -1,8 +1,11 @@
 """Arrow files, banks, batch rewards and metrics of streams on small cases."""
 
+import hashlib
+
+import numpy as np
 import pyarrow as pa
 import pytest
-from mendlake.plans import rewarding
+from mendlake.plans import file_queries, rewarding
 from mendlake.sources import arrow_files, readers
 from mendlake.streaming import metrics
 from pyspark.sql import functions as F
@@ -99,3 +102,31 @@ def test_metrics_of_batches(spark, tmp_path):
     rows = told.close()
     got = sorted(tuple(r) for r in metrics.by_batch(rows.unionByName(rows)).select("rows", "nulls", "sum", "least", "most", F.array_position("bins", 1), F.expr("aggregate(bins, 0L, (a, b) -> a + b)")).collect())
     assert got == [(1.0, 0.0, 50.0, 50.0, 50.0, 11, 1), (2.0, 0.0, 195.0, -5.0, 200.0, 1, 2), (3.0, 1.0, 100.0, 1.0, 99.0, 1, 2)]
+
+
+def test_each_files_halves(spark, sf, tmp_path):
+    """Rows of several files, with fields of several lines, in the order of each file's own permutation."""
+    want = {}
+    for name, n in (("one.tsv", 7), ("two.tsv", 2), ("three.tsv", 301)):
+        (tmp_path / name).write_text("id\ttext\n" + "".join(f'{name}-{i}\t"a\nb ""{i}"""\n' for i in range(n)))
+        order = np.arange(n)
+        np.random.RandomState(1012 + int(hashlib.md5(name.encode()).hexdigest()[:8], 16)).shuffle(order)
+        want[name] = ([f"{name}-{i}" for i in order[: n // 2]], [f"{name}-{i}" for i in order[n // 2 :]])
+    for mode, k in (("dev", 0), ("test", 1)):
+        rows = readers.tsv_halves(spark, f"{tmp_path}/*.tsv", mode).orderBy("rank").collect()
+        got = {name: [r["id"] for r in rows if r["source_tsv"].endswith(f"/{name}")] for name in want}
+        assert got == {name: halves[k] for name, halves in want.items()}
+    every = readers.tsv_halves(spark, f"{tmp_path}/*.tsv")
+    assert every.count() == 310 and all(r["id"].endswith(f"-{r['pos']}") for r in every.collect())
+    with pytest.raises(ValueError, match="mode"):
+        readers.tsv_halves(spark, f"{tmp_path}/*.tsv", "train")
+    rows = file_queries.split_files(spark, sf).collect()
+    ids = {}
+    for r in rows:
+        ids.setdefault(r["o_orderstatus"], {})[r["pos"]] = (int(r["o_orderkey"]), r["split"], r["rank"])
+    assert len(rows) == spark.read.parquet(f"{sf}/orders.parquet").count()
+    for status, placed in ids.items():
+        order = np.arange(len(placed))
+        np.random.RandomState((1012 + int(hashlib.md5(f"of={status}".encode()).hexdigest()[:8], 16)) % 2**32).shuffle(order)
+        assert sorted(placed) == list(range(len(placed))) and [placed[i][0] for i in range(len(placed))] == sorted(x[0] for x in placed.values())
+        assert {i: placed[i][1:] for i in order[: len(order) // 2].tolist()} == {i: ("dev", k) for k, i in enumerate(order[: len(order) // 2].tolist())}
