@@ -16,7 +16,8 @@ approximation); the README has the recall that was measured. Two unrelated finge
 of 14 * 988 / 2^18, or 5 %, and are within the radius with next to none.
 
 Weights: log(1 + items / items with the shingle), in thousandths, from the whole benchmark. The benchmark is taken in
-blocks of about BLOCK_GRAMS shingles, which are broadcast; a larger benchmark means more passes over the texts.
+blocks of at most twice BLOCK_GRAMS shingles, which are broadcast; a larger benchmark means more passes over the texts.
+An item of more than BLOCK_GRAMS shingles is never gathered: see long_leaks().
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendlake.llm.store import materialise, small, unused
@@ -221,18 +222,21 @@ def hamming_join(windows: DataFrame, items: DataFrame) -> DataFrame:
 def best_window(here: np.ndarray, size: int, k: int, grams: np.ndarray, weight: np.ndarray) -> tuple[float, int]:
     """(share, start): the largest share of an item's shingles (grams, sorted, with weights) that a window of its length
     holds in a text of shingles `here`, and the first place with it. One pass over the places that hold a shingle."""
-    m = min(len(here), size - k + 1)
     place = place_in(grams, here)
     at = np.flatnonzero(place >= 0)
-    place = place[at]
-    before = np.concatenate([at, [-1]])[previous(place)]
+    return _best(at, place[at], weight[place[at]], min(len(here), size - k + 1), int(weight.sum()))
+
+
+def _best(at: np.ndarray, gram: np.ndarray, weight: np.ndarray, m: int, total: int) -> tuple[float, int]:
+    """best_window() of the places (ascending) that hold a shingle of the item, windows being of m places."""
+    before = np.concatenate([at, [-1]])[previous(gram)]
     enter = np.maximum(before + 1, at - m + 1)  # the first window in which this is the first of its kind
     starts = np.unique(np.maximum(0, at - m + 1))
     order = np.argsort(enter, kind="stable")
-    come, gone = (np.concatenate([[0], np.cumsum(weight[p])]) for p in (place[order], place))
+    come, gone = (np.concatenate([[0], np.cumsum(w)]) for w in (weight[order], weight))
     held = come[np.searchsorted(enter[order], starts, side="right")] - gone[np.searchsorted(at, starts)]
     best = int(held.argmax()) if len(held) else 0
-    return (float(held[best] / weight.sum()), int(starts[best])) if len(held) else (0.0, 0)
+    return (float(held[best] / total), int(starts[best])) if len(held) else (0.0, 0)
 
 
 def _verifier(shared) -> Callable:
@@ -261,6 +265,91 @@ def _verifier(shared) -> Callable:
     return verify
 
 
+def _text_grams(kinds: list[int]) -> Callable:
+    """(tkey, n_words, kind, gram, places): the distinct shingles of texts, for shingles of so many words each."""
+    names = ["tkey", "n_words", "kind", "gram", "places"]
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, w in words(batch.column(1), ALNUM):
+                keys = batch.column(0).slice(a, b - a)
+                for k in kinds:
+                    every = w.grams(k)
+                    for i in range(b - a):
+                        lo, hi = int(w.first[i]), int(w.first[i + 1])
+                        own = every[lo : hi - k + 1] if hi - lo >= k else every[:0]
+                        order = np.argsort(own, kind="stable")
+                        cut = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]])) if len(own) else np.zeros(0, int)
+                        if len(cut):
+                            places = pa.ListArray.from_arrays(pa.array([*cut.tolist(), len(own)], pa.int32()), pa.array(order.astype(np.int32)))
+                            fixed = [keys.take(pa.array(np.full(len(cut), i))), *[pa.array(np.full(len(cut), x, np.int32)) for x in (hi - lo, k)]]
+                            yield pa.RecordBatch.from_arrays([*fixed, pa.array(own[order][cut].view(np.int64)), places], names)
+
+    return grams
+
+
+def _best_of_hits(key: tuple, hits: pa.Table) -> pa.Table:
+    """The best window of one text for one item of one length; no row below the threshold."""
+    tkey, item, size = (x.as_py() for x in key)
+    places = hits.column("places").combine_chunks()
+    n = np.diff(places.offsets.to_numpy())
+    at = places.flatten().to_numpy()
+    gram, weight = (np.repeat(hits.column(c).to_numpy(), n) for c in ("gram", "weight"))
+    order = np.argsort(at)
+    k = gram_size(size)
+    m = min(hits.column("n_words")[0].as_py() - k + 1, size - k + 1)
+    share, start = _best(at[order].astype(np.int64), gram[order], weight[order], m, hits.column("total")[0].as_py())
+    rows = [(tkey, item, start, share)] if share >= THRESHOLD else []
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["tkey", "item_id", "start", "similarity"])
+
+
+def long_leaks(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(tkey, item_id, start, similarity) of items that are too long for a block, without gathering one.
+
+    texts: tkey and text; items: item_id, size, gram, weight. Shingles of texts that are long enough meet those of the
+    items in a join by shingle. Texts that hold THRESHOLD of an item's weight anywhere are verified as all others are:
+    over the places of one text that hold a shingle of the item. A length of an item at which no window can hold so
+    much (an id with many short texts) goes first.
+    """
+    unit = ["item_id", "size"]
+    kind = F.least("size", F.lit(SHINGLE))
+    units = items.groupBy(*unit).agg(F.sum("weight").alias("total"), F.max("weight").alias("most"))
+    units = materialise(units.filter((F.col("size") - kind + 1) * F.col("most") >= THRESHOLD * F.col("total")).drop("most"), "long-items")
+    kinds = [r[0] for r in units.select(kind).distinct().collect()]  # at most SHINGLE numbers
+    if not kinds:
+        return texts.sparkSession.createDataFrame([], "tkey long, item_id long, start int, similarity double")
+    least = units.agg(F.min("size")).first()[0] * THRESHOLD  # words; each but the last has a character behind it
+    long = texts.filter(F.length("text") >= 2 * least - 1).dropDuplicates(["tkey"])
+    own = long.mapInArrow(_text_grams(sorted(kinds)), "tkey long, n_words int, kind int, gram long, places array<int>")
+    known = items.join(small(units), unit).withColumn("kind", kind)
+    hits = materialise(own.join(known, ["kind", "gram"]).filter(F.col("n_words") >= THRESHOLD * F.col("size")), "long-hits")
+    enough = hits.groupBy("tkey", *unit).agg(F.sum("weight").alias("held"), F.first("total").alias("all")).filter(F.col("held") >= THRESHOLD * F.col("all"))
+    enough = materialise(enough.select("tkey", *unit), "long-near")
+    hits = hits.join(small(enough), ["tkey", *unit], "left_semi").select("tkey", *unit, "n_words", "total", "gram", "weight", "places")
+    best = hits.groupBy("tkey", *unit).applyInArrow(_best_of_hits, "tkey long, item_id long, start int, similarity double")
+    best = best.groupBy("tkey", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"))).alias("best"))
+    return best.select("tkey", "item_id", (-F.col("best.start")).alias("start"), "best.similarity")
+
+
+def _blocks(items: DataFrame, total: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Blocks of items of at most twice BLOCK_GRAMS shingles, each item whole, and the items that are longer than a block.
+
+    Items are dealt to groups by hash, and each group (about BLOCK_GRAMS shingles) is cut by its running sum.
+    """
+    if total <= BLOCK_GRAMS:
+        return ([items] if total else []), None
+    counts = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("group").orderBy("item_id")) - F.col("n")
+    counts = counts.withColumn("long", F.col("n") > BLOCK_GRAMS).withColumn("group", F.pmod(F.xxhash64("item_id"), F.lit(-(-total // BLOCK_GRAMS))))
+    placed = counts.filter("not long").withColumn("piece", F.floor(before / BLOCK_GRAMS)).select("item_id", "group", "piece")
+    placed = materialise(placed, "item-blocks")
+    numbers = placed.select("group", "piece").distinct().collect()  # as many as there are passes
+    dealt = materialise(items.join(small(placed), "item_id", "left"), "dealt-items")
+    blocks = [dealt.filter((F.col("group") == g) & (F.col("piece") == p)) for g, p in numbers]
+    return blocks, dealt.filter("group is null").drop("group", "piece")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, item_id, start, similarity): every leaked item of every row, with its best window (the first of equals).
 
@@ -276,11 +365,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     share = items.groupBy("gram").agg(F.countDistinct("item_id").alias("n"))
     weight = F.round(1000 * F.log(1 + F.lit(n) / F.col("n"))).cast("long")
     items = materialise(items.join(share.select("gram", weight.alias("weight")), "gram"), "item-weights")
-    out, blocks = None, -(-total // BLOCK_GRAMS)
-    for i in range(blocks):
-        block = Block(items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).toArrow())  # BLOCK_GRAMS rows on average
-        if not block.items:
-            continue
+    out = spark.createDataFrame([], f"doc_id {kind}, item_id long, start int, similarity double")
+    blocks, long = _blocks(items, total)
+    for rows_ in blocks:
+        block = Block(rows_.toArrow())
         shared = spark.sparkContext.broadcast(block)
         windows = docs.select("tkey", "text").mapInArrow(_windows(shared), f"tkey long, size int, {', '.join(f'{c} int' for c in PRINT)}")
         windows = materialise(windows, "windows")
@@ -292,9 +380,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
         found = windows.join(small(near), ["size", *PRINT]).groupBy("tkey").agg(F.collect_set(F.struct("item_id", "size")).alias("found"))
         found = materialise(found, "found")
         text = docs.join(small(found.select("tkey")), "tkey", "left_semi").join(small(found, members=F.size("found")), "tkey").select("doc_id", "text", "found")
-        got = text.mapInArrow(_verifier(shared), f"doc_id {kind}, item_id long, start int, similarity double")
-        out = got if out is None else out.unionByName(got)
-    out = spark.createDataFrame([], f"doc_id {kind}, item_id long, start int, similarity double") if out is None else out
+        out = out.unionByName(text.mapInArrow(_verifier(shared), f"doc_id {kind}, item_id long, start int, similarity double"))
+    if long is not None:
+        far = materialise(long_leaks(docs.select("tkey", "text"), long), "long-leaks")
+        out = out.unionByName(docs.select("doc_id", "tkey").join(small(far), "tkey").drop("tkey"))
     return out.withColumnRenamed("doc_id", key)
 
 

@@ -169,3 +169,23 @@ def test_templated_benchmark(spark):
     docs = [(i, " ".join([f"r{i}x{rng.randrange(900)}" for _ in range(20)] + t.split()[20:] + ["and", "so", "on"])) for i, t in items]
     got = run(spark, docs, items)
     assert got == brute(docs, items) and len(got) == 200
+
+
+def test_long_items(spark, monkeypatch):
+    """Items beyond a block's size, and blocks cut by running sums, find what one block finds."""
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(300)]
+    said = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(said(rng.randrange(3, 50)))) for i in range(20)] + [(70 + i, " ".join(said(rng.randrange(120, 400)))) for i in range(4)]
+    items += [(75, " ".join(["again and again"] * 90 + said(110)))] + [(80, " ".join(said(30))) for _ in range(40)]  # repeats; an id with many texts
+    docs = [(900, None), (901, ""), (902, "again and again " * 300)]
+    for d in range(60):
+        leak = items[d % 25][1].split()
+        for _ in range(d % 3 * len(leak) // 60):
+            leak[rng.randrange(len(leak))] = "changed"
+        docs.append((d, " ".join(said(rng.randrange(200)) + leak + said(rng.randrange(60)))))
+    docs += [docs[10], docs[10], (950, items[21][1]), (951, " ".join(items[21][1].split()[: len(items[21][1].split()) * 4 // 5]))]
+    want = run(spark, docs, items)
+    assert {i for _, i, *_ in want} >= {70, 71, 72, 73, 75}
+    monkeypatch.setattr(D, "BLOCK_GRAMS", 100)
+    assert run(spark, docs, items) == want
