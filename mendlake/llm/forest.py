@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendlake.llm.components import components
@@ -41,8 +41,8 @@ HASHES = DEPTH_MIN * TREES
 DEPTH_MAX = 8
 NEIGHBOURS = 3
 FIRST_TREES = 4
-#: Nodes of a block of family_links(), and shingles that may be broadcast there.
-CHUNK, SHINGLES = 512, 100_000
+#: Nodes of a block of family_links(), shingles of its sets (and one set more), and shingles that may be broadcast there.
+CHUNK, CHUNK_SHINGLES, SHINGLES = 512, 1_000_000, 100_000
 #: Linked if PERCENT[0] * intersection >= PERCENT[1] * union.
 PERCENT = (100, 75)
 _rng = np.random.Generator(np.random.PCG64(20240601))
@@ -275,24 +275,37 @@ def family_links(inside: DataFrame, docs: DataFrame) -> DataFrame:
     have one.
 
     Nodes that can't have any go first (see promising()). Of the others, every one outside the family's largest component
-    is compared on full sets with all, in blocks of CHUNK by CHUNK nodes, each a task's work; only links leave a block.
+    is compared on full sets with all, in blocks, each a task's work; only links leave a block. A block's side is dealt
+    by hash to about CHUNK nodes and cut where its sets have CHUNK_SHINGLES shingles, so it has one set more than that
+    at most.
     """
     sets = docs.join(small(inside.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_arrays, "node long, print long, grams array<long>")
     full = materialise(sets.join(small(inside), "node").withColumn("size", F.size("grams")), "dense-sets")
     kept = materialise(promising(full), "promising")
-    few = kept.join(small(inside.filter("few").select("node", F.lit(1).alias("one"))), "node", "left")
-    chunks = lambda n: F.ceil(F.greatest(n, F.lit(1)) / CHUNK).cast("int")
-    sizes = few.groupBy("family").agg(chunks(F.count("one")).alias("xs"), chunks(F.count(F.lit(1))).alias("ys"))
-    met = materialise(full.join(small(kept.select("node")), "node", "left_semi").join(sizes, "family"), "met")
-    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    met = materialise(full.join(small(kept.select("node")), "node", "left_semi"), "met")
+    x, y = _dealt(met.filter("few")), _dealt(met)
     rows = ["node", "component", "size", "grams"]
-    left = met.filter("few").select("family", mine("xs").alias("x"), every("ys").alias("y"), *rows)
-    right = met.select("family", every("xs").alias("x"), mine("ys").alias("y"), *rows)
+    left = met.filter("few").join(small(x.drop("family")), "node").withColumnRenamed("cell", "x")
+    left = left.join(_cells(y, "y"), "family").select("x", "y", *[F.col(c).alias(c) for c in ("family", *rows)])  # names of its own: right reads the same table
+    right = met.join(small(y.drop("family")), "node").withColumnRenamed("cell", "y")
+    right = right.join(_cells(x, "x"), "family").select("family", "x", "y", *rows)
     keys = ["family", "x", "y"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_cross, "a long, b long").distinct()
 
 
+def _dealt(sets: DataFrame) -> DataFrame:
+    """(family, node, cell): the side of a block to which each set (family, node, size) belongs."""
+    n = sets.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("n"))
+    group = sets.select("family", "node", "size").join(n, "family").withColumn("group", F.pmod(F.xxhash64("node"), F.col("n")))
+    before: Column = F.sum("size").over(Window.partitionBy("family", "group").orderBy("node")) - F.col("size")
+    cell = F.struct("group", F.floor(before / CHUNK_SHINGLES).alias("piece"))
+    return materialise(group.select("family", "node", cell.alias("cell")), "cells")
+
+
+def _cells(dealt: DataFrame, name: str) -> DataFrame:
+    return small(materialise(dealt.select("family", F.col("cell").alias(name)).distinct(), "cell-list"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 

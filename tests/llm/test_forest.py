@@ -118,3 +118,20 @@ def test_partition_ends(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("shingles_a_side", [1, 300])
+def test_blocks_by_shingles(spark, monkeypatch, shingles_a_side):
+    """One family of texts of very different length, whose blocks are cut after every set or every few."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(900)]
+    base = [rng.choice(vocabulary) for _ in range(400)]
+    rows = []
+    for n in range(160):
+        words = base[: rng.choice((60, 75, 90, 300, 400))]
+        for _ in range(rng.randrange(0, 6)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((n, " ".join(words)))
+    monkeypatch.setattr(forest, "CHUNK_SHINGLES", shingles_a_side)
+    monkeypatch.setattr(forest, "CHUNK", 20)
+    assert sorted(run(spark, rows)) == brute(rows)
