@@ -104,6 +104,15 @@ def shuffled_split(df: DataFrame, key: str, seed: int, eval_share: float) -> Dat
     return placed.withColumn("split", F.when(F.col("pos") < n, "train").otherwise("eval"))
 
 
+def held_out(df: DataFrame, key: str, seed: int, eval_share: float, most: int = 64) -> DataFrame:
+    """The first `most` rows of shuffled_split()'s 'eval' part, in its order; all of them if most is 0.
+
+    Evaluation generates from a model for each of these rows, hence the limit.
+    """
+    rows = shuffled_split(df, key, seed, eval_share).filter("split = 'eval'").drop("split")
+    return rows.orderBy("pos").limit(most) if most else rows
+
+
 def in_order(x: Column, names: list[str]) -> Column:
     """A sort key for names in an order of their own; others come last, by name."""
     return F.struct(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), x), F.lit(0)), F.lit(len(names) + 1)), x)

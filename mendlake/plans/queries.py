@@ -483,6 +483,26 @@ def prompt_lengths(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(chat).alias("n"), F.length(chat[1]["content"]).alias("user_chars"))
 
 
+@query("""SELECT conv_id, count(*)::INT AS n, (sum(length('{"role": ' || coalesce(to_json(role), 'null') || ', "content": ' || coalesce(to_json(text), 'null') || '}')) + 2 * count(*))::INT AS chars
+    FROM conversations GROUP BY conv_id""")
+def prompt_json_chars(spark, sf_dir):
+    """What a log calls the length of a chat's prompt."""
+    message = F.struct("role", F.col("text").alias("content"))
+    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(message).alias("chat"))
+    return chats.select("conv_id", F.size("chat").alias("n"), nested.prompt_chars(F.col("chat")).alias("chars"))
+
+
+@query(r"""SELECT doc_id, md5(CASE WHEN length(text) > 6000 THEN regexp_replace(left(text, 6000), '[ \t\n\r\f\v]+$', '') || chr(10) || '# ... truncated ...' ELSE text END) AS shown FROM documents""")
+def truncated_prompts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.truncated(F.col("text")).cast("binary")).alias("shown"))
+
+
+@query("""SELECT CASE WHEN url LIKE '%/' THEN '' ELSE list_extract(string_split(url, '/'), -1) END AS name, count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY 1""")
+def page_names(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("name", text.basename(F.col("url")))
+    return pages.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"))
+
+
 # --- rewards and reports --------------------------------------------------------------------------------------------
 
 
@@ -630,6 +650,24 @@ def shuffled_split(spark, sf_dir):
     return ordering.shuffled_split(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", 1012, 0.1)
 
 
+@query("""WITH p AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY md5('1012:' || doc_id), doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
+    h AS (SELECT *, pos - ceil(0.9::DOUBLE * n)::BIGINT AS place FROM p) SELECT doc_id, n_chars, pos FROM h WHERE place >= 0 AND place < 64""")
+def held_out_rows(spark, sf_dir):
+    """The rows that a held-out evaluation takes."""
+    return ordering.held_out(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", 1012, 0.1)
+
+
+@query("""WITH g AS (SELECT l_linestatus AS mode, CASE WHEN l_quantity <= 10 THEN 'Q1' WHEN l_quantity <= 20 THEN 'Q2' WHEN l_quantity <= 30 THEN 'Q3' ELSE 'rest' END AS bucket, count(*) AS n FROM lineitem GROUP BY ALL)
+    SELECT mode, bucket, n, row_number() OVER (ORDER BY mode = 'F', bucket = 'Q1', bucket = 'Q2', bucket = 'Q3') - 1 AS place FROM g""")
+def report_order(spark, sf_dir):
+    """A report's rows in an order of names of its own: O before F, what has no name in the list, then from Q3 to Q1."""
+    quantity = F.col("l_quantity")
+    bucket = F.when(quantity <= 10, "Q1").when(quantity <= 20, "Q2").when(quantity <= 30, "Q3").otherwise("rest")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("mode"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(ordering.in_order(F.col("mode"), ["O", "F"]), ordering.in_order(F.col("bucket"), ["rest", "Q3", "Q2", "Q1"]))
+    return ordering.positions(rows.withColumn("_order", order), "_order", name="place").drop("_order")
+
+
 @query(f"WITH {C} SELECT suite, branch, max(acc_pct) FILTER (WHERE sample = 1) AS one, max(acc_pct) FILTER (WHERE sample = 2) AS two FROM c GROUP BY suite, branch")
 def sample_pairs(spark, sf_dir):
     pairs = ordering.sample_pairs(candidates(spark, sf_dir), ["suite", "branch"], "sample", "acc_pct")

@@ -5,6 +5,7 @@ import json
 
 import numpy as np
 import pytest
+from mendlake.functions import nested, text
 from mendlake.operators import evaluate, joins, metrics, ordering, selection
 from mendlake.plans import experiments, options, queries, training
 from mendlake.schemas import BUGGY_REQUIRED, SUMMARY_EVENT
@@ -144,3 +145,30 @@ def test_alias_levels(spark):
     df = spark.createDataFrame([(1, "x", "k"), (2, "q", "m"), (3, "q", "q")], "row_id long, a string, b string")
     got = joins.alias_lookup(df, [F.col("a"), F.col("b")], side, [F.col("a"), F.col("b")], ["v"], ["v"]).orderBy("row_id").collect()
     assert [(r["alias_level"], r["v"]) for r in got] == [(0, 1), (1, 2), (None, None)]
+
+
+def test_held_out(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k").unionByName(spark.createDataFrame([(None,), (5,)], "k long"))
+    every = [r["pos"] for r in ordering.held_out(df, "k", 1, 0.1, most=0).collect()]
+    assert sorted(every) == list(range(902, 1002))
+    assert sorted(r["pos"] for r in ordering.held_out(df, "k", 1, 0.1).collect()) == list(range(902, 966))
+    assert ordering.held_out(df.limit(0), "k", 1, 0.1).count() == 0
+
+
+def test_prompt_chars_are_those_of_json(spark):
+    chats = [[], [("user", 'a "b"\n\u00e9\U0001f600\\ \x01')], [("system", ""), ("user", None), (None, "x, y: z")] * 2]
+    df = spark.createDataFrame([(c,) for c in [*chats, None]], "chat array<struct<role:string,content:string>>")
+    want = [len(json.dumps([{"role": r, "content": t} for r, t in c], ensure_ascii=False)) for c in chats]
+    assert [r[0] for r in df.select(nested.prompt_chars(F.col("chat"))).collect()] == [*want, None]
+
+
+def test_truncated_and_named(spark):
+    df = spark.createDataFrame([("ab  \t\ncd", "a/b.tsv"), ("abcd", "b.tsv"), ("", "a/"), (None, None)], "x string, path string")
+    got = df.select(text.truncated(F.col("x"), 5, "..."), text.truncated(F.col("x"), 4, "..."), text.basename(F.col("path"))).collect()
+    assert [tuple(r) for r in got] == [("ab...", "ab...", "b.tsv"), ("abcd", "abcd", "b.tsv"), ("", "", ""), (None, None, None)]
+
+
+def test_order_of_names(spark):
+    df = spark.createDataFrame([(x,) for x in ("b", "z", None, "a", "b", "y")], "x string")
+    got = [r[0] for r in df.orderBy(ordering.in_order(F.col("x"), ["b", "a"])).collect()]
+    assert got == ["b", "b", "a", None, "y", "z"]
