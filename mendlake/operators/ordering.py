@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mendlake.tables import written_once
+from mendlake.tables import unused, written_once
 
 
 def positions(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
@@ -21,11 +23,13 @@ def positions(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     A range-partitioned sort numbers rows within partitions; the partitions' sizes, summed up, shift them. The only
     window without a key is over one row a partition.
     """
-    cut = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    cut = written_once(cut.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")).drop("_id"), "positions")
-    sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return cut.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
+    part, row, before, size = (unused(df, c) for c in ("_part", "_row", "_before", "_size"))
+    place = F.monotonically_increasing_id()
+    cut = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, place)
+    cut = written_once(cut.withColumn(part, F.shiftright(row, 33)).withColumn(row, F.col(row).bitwiseAND(F.lit((1 << 33) - 1))), "positions")
+    sizes = cut.groupBy(part).agg(F.count(F.lit(1)).alias(size))
+    ahead = F.coalesce(F.sum(size).over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return cut.join(F.broadcast(sizes.select(part, ahead.alias(before))), part).withColumn(name, F.col(before) + F.col(row)).drop(part, row, before)
 
 
 def sliced(df: DataFrame, start: int, end: int, n: int, pos: str = "pos") -> DataFrame:
@@ -46,10 +50,23 @@ def capped(df: DataFrame, keys: list[str], cap: int, *order: str) -> DataFrame:
 
 
 def occurrence(keys: list[str], *order: str) -> Column:
-    """How many rows of the key stand before this one."""
+    """How many rows of the key stand before this one. A key's rows meet in one task: see occurrences()."""
     return F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
 
 
+def occurrences(df: DataFrame, keys: list[str], *order: str, name: str = "occurrence") -> DataFrame:
+    """df with how many rows of the key stand before each one, for keys of any size; null is a key like any other.
+
+    A range-partitioned sort deals a key's rows to as many tasks as they fill; the place of its first row, one row a
+    key, is taken off. Rows that are equal in keys and order are numbered in any order.
+    """
+    pos, first, there = unused(df, "_pos"), unused(df, "_first"), [unused(df, f"_key{i}") for i in range(len(keys))]
+    placed = positions(df, *keys, *order, name=pos)
+    firsts = placed.groupBy(*[F.col(k).alias(t) for k, t in zip(keys, there, strict=True)]).agg(F.min(pos).alias(first))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, there, strict=True)])
+    return placed.join(firsts, same).withColumn(name, F.col(pos) - F.col(first)).drop(pos, first, *there)
+
+
 def prompt_of(i: Column, per_prompt: Column, n_prompts: Column) -> Column:
     """The prompt that the i-th rollout of a batch belongs to."""
     return F.least(n_prompts - 1, F.floor(i / F.greatest(per_prompt, F.lit(1)))).cast("int")

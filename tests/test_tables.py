@@ -172,3 +172,14 @@ def test_order_of_names(spark):
     df = spark.createDataFrame([(x,) for x in ("b", "z", None, "a", "b", "y")], "x string")
     got = [r[0] for r in df.orderBy(ordering.in_order(F.col("x"), ["b", "a"])).collect()]
     assert got == ["b", "b", "a", None, "y", "z"]
+
+
+def test_occurrences_of_a_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, id div 3 % 7, if(id % 3 = 1, null, -1)) AS k", "-id AS _pos", "'mine' AS _part")
+    hot = ordering.occurrences(rows, ["k"], "_pos", name="n")
+    assert hot.columns == ["k", "_pos", "_part", "n"] and hot.filter("_part = 'mine'").count() == 3000
+    plain = rows.withColumn("n", ordering.occurrence(["k"], "_pos"))
+    assert sorted(map(tuple, hot.select(F.coalesce("k", F.lit(-9)), "_pos", "n").collect())) == sorted(map(tuple, plain.select(F.coalesce("k", F.lit(-9)), "_pos", "n").collect()))
+    assert ordering.occurrences(rows.limit(0), ["k"], "_pos").count() == 0
