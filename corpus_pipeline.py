@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mendlake.llm import decontaminate, forest, mixing, sharding, toxicity
 from mendlake.llm.queries import MIX, MIX_EPOCHS, MIX_FRACTION, MIX_SEED, SHARDS, domain_of
 from mendlake.llm.store import materialise, small, unused
+from mendlake.operators.ordering import positions
 from mendlake.tables import table
 
 
@@ -23,15 +24,24 @@ def _columns(docs: DataFrame) -> list[Column]:
 
 
 def _named(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a number for each document: its doc_id, if that has one text only; else, and without an id, a negative
-    number made from id and text. So rows are one document if both are equal."""
+    """docs with a number for each document: its doc_id, if that has one text only; else, and without an id, a number
+    below all ids and zero, by the order of the digests of id and text. So rows are one document if both are equal."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    made = -F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text), 1) - 1
     prints = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("lo"), F.max(F.xxhash64(text)).alias("hi"))
     several = materialise(prints.filter("lo <> hi").select(F.col("doc_id").cast("long").alias(name)), "several-texts")
-    flag = unused(docs, "_several")
-    out = docs.withColumn(name, F.col("doc_id").cast("long")).join(small(several.withColumn(flag, F.lit(True))), name, "left")
-    return out.withColumn(name, F.when(F.col(flag) | F.col(name).isNull(), made).otherwise(F.col(name))).drop(flag)
+    flag, digest = unused(docs, "_several"), unused(docs, "_digest")
+    out = docs.withColumn(name, F.col("doc_id").cast("long"))
+    if several.isEmpty() and docs.filter("doc_id is null").isEmpty():
+        return out
+    out = out.join(small(several.withColumn(flag, F.lit(True))), name, "left")
+    unclear = F.coalesce(F.col(flag), F.lit(False)) | F.col(name).isNull()
+    made = out.filter(unclear).withColumn(digest, F.sha2(F.concat(F.coalesce(F.col(name).cast("string"), F.lit("")), F.lit("\n"), text), 256))
+    least = docs.agg(F.least(F.min(F.col("doc_id").cast("long")), F.lit(0))).first()[0]
+    place = unused(docs, "_place")
+    numbers = materialise(positions(made.select(digest).distinct(), digest, name=place), "numbers")
+    made = made.drop(name).join(small(numbers), digest).withColumn(name, F.lit(least) - 1 - F.col(place))
+    columns = [name, *docs.columns]
+    return out.filter(~unclear).select(*[f"`{c}`" for c in columns]).unionByName(made.select(*[f"`{c}`" for c in columns]))
 
 
 def _variants(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
