@@ -39,3 +39,16 @@ def test_hard_rows(spark, sf):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "4", "None"]
     assert corpus_pipeline.drop_toxic(spark, docs, sf).filter(F.col("toxic") == "x").count() == 2
+
+
+def test_numbers_of_documents_without_ids(spark):
+    rows = [(7, "a"), (7, "a"), (-5, "b"), (8, "c"), (8, "d"), (None, "c"), (None, "e"), (None, "e"), (None, None), (None, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_digest", F.lit("mine"))
+    got = [tuple(r) for r in corpus_pipeline._named(docs, "i").select("i", "doc_id", "text", "_digest").collect()]
+    assert sorted(map(str, (r[1:] for r in got))) == sorted(str((*r, "mine")) for r in rows)
+    own = {r[1]: r[0] for r in got if r[1] in (7, -5, 9)}
+    assert own == {7: 7, -5: -5, 9: 9}
+    made = {(i, t or ""): n for n, i, t, _ in got if i is None or i == 8}
+    assert sorted(made.values()) == [-10, -9, -8, -7, -6] and len({n for n, *_ in got}) == 8  # below the smallest id
+    assert corpus_pipeline._named(docs.filter("doc_id = 7"), "i").filter("i = 7").count() == 2
+    assert corpus_pipeline._named(docs.limit(0), "i").count() == 0
