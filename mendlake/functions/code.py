@@ -364,3 +364,9 @@ def assigned(text: object) -> tuple[str | None, str | None, bool, str | None]:
 @F.pandas_udf(ASSIGNED)
 def assigned_lists(x: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([assigned(v) for v in x], columns=ASSIGNED.names)
+
+
+@F.pandas_udf(T.StringType())
+def python_repr(x: pd.Series) -> pd.Series:
+    """A text as Python writes it in a program; null is None."""
+    return pd.Series([repr(v) if isinstance(v, str) else "None" for v in x], dtype=object)

@@ -5,11 +5,16 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mendlake.functions.code import python_repr
 from mendlake.operators import metrics
+from mendlake.operators.evaluate import reselect_target
+from mendlake.operators.selection import POLICIES
+from mendlake.plans import attempts as wide
 from mendlake.plans.options import Options, cached
-from mendlake.plans.queries import _CHOSEN, _TOTALS, gated, query
+from mendlake.plans.queries import _BY_FIRST, _CHOSEN, _PIVOT, _TOTALS, C, ORACLES, QUERIES, _best_sql, gated, query, results
 from mendlake.operators.ordering import positions
 from mendlake.sources import arrow_files, readers, sinks
 from mendlake.streaming import log
@@ -100,16 +105,86 @@ def appended_log(spark, sf_dir):
     return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"))
 
 
-ATTEMPT = ["experiment", "suite", "mode", "bucket", "passed", "total", "acc_pct", "selected_source", "target_ok", "note"]
-
-
-@query(f"WITH {_CHOSEN} SELECT 'routed' AS experiment, suite::VARCHAR AS suite, mode, bucket, passed::VARCHAR AS passed, total::VARCHAR AS total, format('{{:.2f}}', 100.0::DOUBLE * passed / greatest(total, 1)) AS acc_pct, selected_source, target_ok::VARCHAR AS target_ok, '' AS note FROM modes")
-def attempt_log(spark, sf_dir):
-    """A wide log of attempts as text: two decimals, blanks for what an attempt lacks; read back as text."""
-    path = fresh(spark, "attempts")
-    rows = gated(spark, sf_dir).withColumn("experiment", F.lit("routed")).withColumn("acc_pct", 100.0 * F.col("passed") / F.greatest("total", F.lit(1)))
-    sinks.write_tsv(sinks.log_rows(rows, ATTEMPT), path)
-    return readers.tsv(spark, path).na.fill("")
+def attempts(spark, sf_dir):
+    """Attempts at every suite: the best candidate of each branch, what a part of the tests says of it, the buggy
+    program (which fails what a candidate fails and the tests that aren't `old`), target, skip rules and choices."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    old = F.col("ok") & F.col("old")
+    counts = results(spark, sf_dir).groupBy("suite", "branch", "sample").agg(
+        F.count_if("ok").alias("passed"), F.count(F.lit(1)).alias("total"), F.bool_or(F.col("ok") & (F.col("idx") == 1)).alias("target_ok"), F.count_if(F.col("ok") & F.col("gen")).alias("gen"),
+        F.count_if("gen").alias("gen_total"), F.count_if(old).alias("old"), F.count_if(old & F.col("gen")).alias("old_gen"), F.bool_or(F.when(F.col("idx") == 1, old)).alias("hit"), F.min(F.when(~old, F.col("idx"))).alias("low"),
+    )
+    run = wide.evaluation(passed=F.col("passed"), total=F.col("total"), target_ok=F.col("target_ok"))
+    policy = POLICIES["assert"]
+    order = W.partitionBy("suite", "branch").orderBy(*[F.desc(f"run.{m}") for m in policy.rank], "sample")
+    ranked = counts.withColumn("run", run).repartition("suite").withColumn("n", F.row_number().over(order))
+    best = lambda b, x: F.max(F.when((F.col("branch") == b) & (F.col("n") == 1), x))
+    some = F.struct(F.col("gen").alias("passed"), F.col("gen_total").alias("total"))
+    per = {f: best(b, x) for b in ("debug", "generation") for f, x in ((b, F.col("run")), (f"verifier_{b}", some), (f"{b}_sample", F.col("sample")))}
+    base = {"base": F.sum("old"), "base_total": F.sum("total"), "base_gen": F.sum("old_gen"), "gen_total": F.sum("gen_total"), "hit": F.bool_or("hit"), "low": F.min("low")}
+    rows = ranked.groupBy("suite").agg(*[x.alias(n) for n, x in (per | base).items()])
+    target = F.coalesce(reselect_target(F.lit(1), F.col("hit"), F.col("low")), F.lit(1))
+    code = lambda b: F.when(F.col(b).isNotNull(), text("def f(x):\n\treturn '", F.col(f"{b}_sample"), f"' # \"{b}\""))
+    rows = rows.withColumns({
+        "experiment": F.lit("routed"), "task_id": text("t/", F.col("suite")), "question_id": F.col("suite"), "bug_uid": text("b", F.col("suite")), "target_idx": target,
+        "baseline": wide.evaluation(passed=F.col("base"), total=F.col("base_total")), "verifier_baseline": F.struct(F.col("base_gen").alias("passed"), F.col("gen_total").alias("total")),
+        "note": wide.reselected_note(F.lit(1), target), "buggy_code": text("pass\n"), "debug_code": code("debug"), "generation_code": code("generation"),
+        "debug_prompt_chars": F.col("debug.total") * 100, "debug_output_chars": F.length(code("debug")), "generation_output_chars": F.length(code("generation")),
+        "entry_point": F.lit("f"), "target_input": python_repr(text("it's ", F.col("suite"))), "target_expected": python_repr(F.lit(None).cast("string")),
+    })
+    failing = F.col("baseline.passed") < F.col("baseline.total")
+    return wide.skipped(wide.chosen(rows, policy), wide.skip_reason(failing, F.col("gen_total")))
+
+
+def _attempt_log(layout: str):
+    def run(spark, sf_dir):
+        path = fresh(spark, "attempts")
+        sinks.write_tsv(wide.attempt_rows(attempts(spark, sf_dir), layout), path)
+        return readers.tsv(spark, path).na.fill("")
+
+    run.__doc__ = f"The wide log of attempts in the columns of {layout} runs: quoted text, read back as text."
+    return run
+
+
+_ATTEMPTS = f"""{C}, best AS ({_best_sql("assert")}), {_PIVOT},
+    e AS (SELECT suite, branch, sample, count(*) FILTER (WHERE gen) AS gen_total FROM r GROUP BY ALL),
+    t AS (SELECT suite, bool_or(ok AND old) FILTER (WHERE idx = 1) AS hit, min(idx) FILTER (WHERE NOT (ok AND old)) AS low, count(*) FILTER (WHERE gen) AS gt FROM r GROUP BY suite),
+    k AS (SELECT best.*, e.gen_total, 'def f(x):' || chr(10) || chr(9) || 'return ''' || best.sample || ''' # "' || best.branch || '"' AS code FROM best JOIN e USING (suite, branch, sample)),
+    j AS (SELECT suite, {_BY_FIRST.format(m="acc_pct")} AS winner FROM p),
+    x AS (SELECT j.suite, b.passed AS bp, b.total AS bt, b.acc_pct AS ba, b.gen_passed AS bg, t.gt, coalesce(CASE WHEN t.hit IS NULL OR t.hit THEN t.low ELSE 1 END, 1) AS idx,
+        CASE WHEN b.passed = b.total THEN 'skipped_no_failing_asserts' WHEN t.gt = 0 THEN 'skipped_missing_or_empty_verifier' ELSE '' END AS reason,
+        d.passed AS dp, d.total AS dt, d.acc_pct AS da, d.problem_passed AS ds, d.gen_passed AS dg, d.gen_total AS dgt, d.code AS dc,
+        g.passed AS gp, g.total AS gto, g.acc_pct AS ga, g.problem_passed AS gs, g.gen_passed AS gg, g.gen_total AS ggt, g.code AS gc,
+        s.passed AS sp, s.total AS st, s.acc_pct AS sa, s.problem_passed AS ss, s.target_ok AS sk, s.gen_passed AS sg, s.gen_total AS sgt, s.code AS sc, s.branch || '_sample_' || s.sample AS source
+        FROM j JOIN b USING (suite) JOIN t USING (suite) LEFT JOIN k d ON d.suite = j.suite AND d.branch = 'debug' LEFT JOIN k g ON g.suite = j.suite AND g.branch = 'generation' JOIN k s ON s.suite = j.suite AND s.branch = j.winner),
+    y AS (SELECT *, reason = '' AS did, reason = '' AND sp > bp AS o, reason = '' AND sg > bg AS v FROM x)"""
+#: What each field of a log is in the SQL above: of rows that are attempted only, or of all.
+_DID = {"debug": ("dp", "dt", "da", "ds"), "generation": ("gp", "gto", "ga", "gs"), "verifier_debug": ("dg", "dgt"), "verifier_generation": ("gg", "ggt"), "verifier_baseline": ("bg", "gt"), "verifier_selected": ("sg", "sgt")}
+_KEPT = {"baseline": "false", "nonbacktracking": "did", "oracle": "o", "generated": "v"}
+_FIELDS = {
+    "experiment": "'routed'", "task_id": "'t/' || suite", "question_id": "suite", "bug_uid": "'b' || suite", "bug_source_model_tag": "''", "target_idx": "idx", "selected_source": "CASE WHEN did THEN source ELSE 'buggy' END",
+    "oracle_source": "CASE WHEN o THEN source ELSE 'buggy' END", "generated_source": "CASE WHEN v THEN source ELSE 'buggy' END", "target_ok": "CASE WHEN did AND sk THEN 1 ELSE 0 END", "entry_point": "'f'",
+    "debug_prompt_chars": "CASE WHEN did THEN coalesce(dt * 100, 0) ELSE 0 END", "generation_prompt_chars": "''", "debug_output_chars": "CASE WHEN did THEN coalesce(length(dc), 0) ELSE 0 END",
+    "generation_output_chars": "CASE WHEN did THEN coalesce(length(gc), 0) ELSE 0 END", "target_input": "chr(34) || 'it' || chr(39) || 's ' || suite || chr(34)", "target_expected": "'None'", "target_got_baseline": "''", "target_got_selected": "''",
+    "note": "CASE WHEN NOT did THEN reason WHEN idx <> 1 THEN 'reselected_assert_from_1_to_' || idx ELSE '' END", "debug_code": "CASE WHEN did THEN dc END", "generation_code": "CASE WHEN did THEN gc END", "selected_code": "CASE WHEN did THEN sc ELSE 'pass' || chr(10) END",
+}
+
+
+def _field_sql(path: str) -> str:
+    field, _, m = path.partition(".")
+    if not m:
+        return f"coalesce(({_FIELDS[field]})::VARCHAR, '')"
+    if field in _DID:
+        x = f"CASE WHEN did THEN {_DID[field][wide.ALL.index(m)]} END"
+    else:
+        mine = {"passed": ("sp", "bp"), "total": ("st", "bt"), "acc_pct": ("sa", "ba"), "problem_passed": ("ss", "bp = bt")}[m]
+        x = f"CASE WHEN {_KEPT[field]} THEN {mine[0]} ELSE {mine[1]} END"
+    return f"coalesce(format('{{:.2f}}', {x}), '')" if m == "acc_pct" else f"coalesce(({x})::{'INT::' if m == 'problem_passed' else ''}VARCHAR, '')"
+
+
+for _layout, _name in (("assert", "attempt_log"), ("io_list", "attempt_log_io_list"), ("stdin", "attempt_log_stdin")):
+    QUERIES[_name] = _attempt_log(_layout)
+    ORACLES[_name] = f"WITH {_ATTEMPTS} SELECT {', '.join(f'{_field_sql(f)} AS {c}' for c, f in wide.LAYOUTS[_layout].items())} FROM y"
 
 
 @query(f"""WITH {_CHOSEN}, t AS (SELECT mode, {_TOTALS} FROM modes GROUP BY mode), k AS (SELECT mode, selected_source AS s, count(*) AS n FROM modes GROUP BY ALL)

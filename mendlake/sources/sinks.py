@@ -17,7 +17,8 @@ def append_json(df: DataFrame, path: str) -> None:
 def write_tsv(df: DataFrame, path: str, append: bool = False) -> None:
     """TSV that readers.tsv() reads back: quoted, with doubled quotes; nested columns as JSON."""
     flat = [F.to_json(f.name).alias(f.name) if f.dataType.simpleString().startswith(("array", "struct", "map")) else F.col(f.name) for f in df.schema]
-    df.select(*flat).write.mode("append" if append else "overwrite").options(sep="\t", header=True, quote='"', escape='"', quoteAll=True).csv(path)
+    whole = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # else Spark strips texts as it writes them
+    df.select(*flat).write.mode("append" if append else "overwrite").options(sep="\t", header=True, quote='"', escape='"', quoteAll=True, **whole).csv(path)
 
 
 def write_document(df: DataFrame, path: str) -> None:
@@ -68,8 +69,10 @@ def by_mode(df: DataFrame, path: str) -> None:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """Decimals as text, blank for null."""
-    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x)).otherwise("")
+    """Decimals as text, blank for null. A number that lies exactly between two goes to the even digit, as C has it."""
+    half = x * float(2 ** (digits + 1))  # only whole halves of the last digit lie there, and they are exact
+    even = F.when((half == F.floor(half)) & (F.abs(half) < 2.0**53), F.bround(x.cast("double"), digits)).otherwise(x)
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", even)).otherwise("")
 
 
 def latex(report: DataFrame, labels: list[str]) -> str:

@@ -183,3 +183,52 @@ def test_occurrences_of_a_hot_key(spark):
     plain = rows.withColumn("n", ordering.occurrence(["k"], "_pos"))
     assert sorted(map(tuple, hot.select(F.coalesce("k", F.lit(-9)), "_pos", "n").collect())) == sorted(map(tuple, plain.select(F.coalesce("k", F.lit(-9)), "_pos", "n").collect()))
     assert ordering.occurrences(rows.limit(0), ["k"], "_pos").count() == 0
+
+
+def _attempt(spark, rows):
+    run = "struct<passed:bigint,total:bigint,acc_pct:double,problem_passed:boolean,target_ok:boolean>"
+    some = "struct<passed:bigint,total:bigint>"
+    return spark.createDataFrame(rows, f"task_id string, baseline {run}, debug {run}, generation {run}, verifier_debug {some}, verifier_generation {some}, verifier_baseline {some}, debug_sample int, generation_sample int, debug_code string, generation_code string, buggy_code string, note string, debug_prompt_chars bigint")
+
+
+def test_attempts(spark):
+    from mendlake.operators.selection import POLICIES
+    from mendlake.plans import attempts
+
+    assert [len(c) for c in attempts.LAYOUTS.values()] == [43, 37, 53]
+    base, good, bad = (1, 4, 25.0, False, False), (3, 4, 75.0, False, True), (0, 4, 0.0, False, False)
+    rows = [
+        ("both", base, bad, good, (1, 2), (2, 2), (1, 2), 1, 2, "d", "  g\n", "b\t", None, 7),
+        ("no tests", base, bad, good, None, (0, 0), (0, 0), 1, 2, "d", "g", "b", "n", 7),
+        ("worse", base, bad, None, (2, 2), None, (2, 2), 1, None, "d", None, "b", "", None),
+        ("none", base, None, None, None, None, None, None, None, None, None, None, None, None),
+        ("passes", (4, 4, 100.0, True, True), bad, good, (1, 2), (2, 2), (1, 2), 1, 2, "d", "g", "b", "n", 7),
+    ]
+    reason = attempts.skip_reason(F.col("baseline.passed") < F.col("baseline.total"))
+    done = attempts.skipped(attempts.chosen(_attempt(spark, rows), POLICIES["assert"]), reason)
+    log = {r["task_id"]: r.asDict() for r in attempts.attempt_rows(done, "assert").collect()}
+    of = lambda t, *c: tuple(log[t][x] for x in c)
+    sources = ("selected_source", "backtracking_with_oracle_tests_source", "backtracking_with_rl_generated_tests_source")
+    assert of("both", *sources) == ("generation_sample_2",) * 3 and of("both", "selected_code_full", "target_ok", "debug_prompt_chars", "entry_point") == ("  g\n", "1", "7", "")
+    assert of("no tests", *sources, "note") == ("generation_sample_2", "generation_sample_2", "buggy", "n;rl_generated_backtracking_missing_or_empty_verifier")
+    assert of("worse", *sources, "gen_full_suite_passed", "debug_full_suite_acc_pct", "debug_prompt_chars") == ("debug_sample_1", "buggy", "buggy", "", "0.00", "0")
+    assert of("none", *sources, "note", "nonbacktracking_passed", "selected_code_full") == ("buggy", "buggy", "buggy", "", "1", "")
+    assert of("passes", *sources, "note", "nonbacktracking_acc_pct", "target_ok", "debug_full_suite_passed", "debug_code_full", "selected_code_full", "debug_prompt_chars") == ("buggy", "buggy", "buggy", attempts.NO_TARGET, "100.00", "0", "", "", "b", "0")
+    needs = spark.createDataFrame([(True, 0), (True, None), (True, 3), (None, 3)], "f boolean, n long").select(attempts.skip_reason(F.col("f"), F.col("n"))).collect()
+    assert [r[0] for r in needs] == [attempts.NO_VERIFIER, attempts.NO_VERIFIER, "", attempts.NO_TARGET]
+    empty = attempts.chosen(_attempt(spark, []), POLICIES["stdin"])
+    assert attempts.attempt_rows(empty, "stdin").count() == 0
+
+
+def test_whole_texts_and_even_halves(spark, tmp_path):
+    from mendlake.functions.code import python_repr
+    from mendlake.sources import readers
+
+    texts = ["  x\n", "\tx ", "a\"b\t'c\n\n", " ", "é\\n"]
+    sinks.write_tsv(spark.createDataFrame([(t,) for t in texts], "t string"), str(tmp_path / "t"))
+    assert sorted(r[0] for r in readers.tsv(spark, str(tmp_path / "t")).collect()) == sorted(texts)
+    numbers = [3.125, 0.375, 12.5, 0.005, 66.66666, 2.5, 1e300, -3.125, 0.0, 99.995]
+    got = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", sinks.fixed(F.col("x"), 2), sinks.fixed(F.col("x"), 1), sinks.fixed(F.col("x"), 4)).collect()
+    assert [r[1] for r in got if r[0] not in (99.995, 1e300)] == [f"{x:.2f}" for x in numbers if x not in (99.995, 1e300)]
+    assert [r[2] for r in got if r[0] != 1e300] == [f"{x:.1f}" for x in numbers if x != 1e300]
+    assert spark.createDataFrame([("it's",), (None,), ("a\n",)], "t string").select(python_repr("t")).toPandas().iloc[:, 0].tolist() == [repr("it's"), "None", repr("a\n")]
