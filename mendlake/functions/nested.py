@@ -162,8 +162,9 @@ def assert_debug_messages(code: Column, failing_assert: Column) -> Column:
 
 
 def call_debug_messages(code: Column, given: Column, expected: Column, got: Column, entry: Column) -> Column:
-    """A function, the input it fails on, what was expected and what it gave."""
-    body = F.concat(_section("Program", code), _section("Input", given), _section("Expected", expected), _section("Got", got), _section("Entry point", F.coalesce(F.nullif(entry, F.lit("")), F.lit("(unknown)"))))
+    """A function, the input it fails on, what was expected and what it gave: values as literals, null as None."""
+    value = lambda title, x: _section(title, F.coalesce(x, F.lit("None")))
+    body = F.concat(_section("Program", code), value("Input", given), value("Expected", expected), value("Got", got), _section("Entry point", F.coalesce(F.nullif(entry, F.lit("")), F.lit("(unknown)"))))
     return messages(("system", F.lit(DEBUG_SYSTEM)), ("user", body))
 
 

@@ -484,6 +484,61 @@ def prompt_lengths(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(chat).alias("n"), F.length(chat[1]["content"]).alias("user_chars"))
 
 
+def _section_sql(title: str, x: str) -> str:
+    return f"'### {title}' || chr(10) || {x} || chr(10) || chr(10)"
+
+
+def _clip_sql(x: str, most: int, label: str) -> str:
+    head, tail = most // 2, most - most // 2
+    note = f"chr(10) || chr(10) || '[... {label} truncated: ' || length({x}) || ' chars total, kept {head}+{tail} chars ...]' || chr(10) || chr(10)"
+    return f"CASE WHEN length({x}) <= {most} THEN {x} ELSE left({x}, {head}) || {note} || right({x}, {tail}) END"
+
+
+def _chat_sql(*turns: tuple[str, str]) -> str:
+    return "md5(" + " || chr(10) || ".join(f"'{role}:' || {x}" for role, x in turns) + ")"
+
+
+_DEBUG, _PARTS = ("system", f"'{nested.DEBUG_SYSTEM}'"), (("input", "text", "Input"), ("expected", "source", "Expected"), ("got", "text", "Got"), ("stderr", "text", "Errors"))
+_FEEDBACK = "doc_id % 4 || ' of 3 tests pass.' || CASE WHEN doc_id % 4 >= 3 THEN '' ELSE ' The first that fails:' || chr(10) || source END"
+_PROMPTS = {
+    "asserts": (_DEBUG, ("user", _section_sql("Program", "text") + " || " + _section_sql("Failing test", "source"))),
+    "calls": (_DEBUG, ("user", " || ".join(_section_sql(t, x) for t, x in (("Program", "text"), ("Input", "source"), ("Expected", "'None'"), ("Got", "lang"), ("Entry point", "'(unknown)'"))))),
+    "programs": (_DEBUG, ("user", " || ".join([_section_sql("Problem", _clip_sql("text", 10000, "problem statement")), _section_sql("Program", _clip_sql("text", 6000, "buggy program")), *[_section_sql(t, _clip_sql(x, text.TARGET_CHARS[n], n)) for n, x, t in _PARTS]]))),
+    "repairs": (_DEBUG, ("user", _section_sql("Problem", "text")), ("assistant", "source"), ("user", _section_sql("Feedback", _FEEDBACK))),
+    "suites": (("system", f"'{nested.TEST_SYSTEM}'"), ("user", "source"), ("assistant", "lang"), ("user", "text")),
+    "pairs": (("system", f"'{nested.IO_TEST_SYSTEM}'"), ("user", "text")),
+}
+
+
+@query(f"SELECT doc_id, {', '.join(f'{_chat_sql(*turns)} AS {name}' for name, turns in _PROMPTS.items())} FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source, coalesce(lang, 'None') AS lang FROM documents)")
+def repair_prompts(spark, sf_dir):
+    """Every chat that asks for a repair or for tests, over whole texts: a digest of its turns."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "source")], F.coalesce("lang", F.lit("None")).alias("lang"))
+    body, source, lang, null = F.col("text"), F.col("source"), F.col("lang"), F.lit(None).cast("string")
+    shots, none = F.array(F.struct(source.alias("problem"), lang.alias("tests"))), F.array().cast("array<struct<problem:string,tests:string>>")
+    chats = {
+        "asserts": nested.assert_debug_messages(body, source),
+        "calls": nested.call_debug_messages(body, source, null, lang, null),
+        "programs": nested.program_debug_messages(body, body, body, source, body, body),
+        "repairs": nested.self_repair_messages(body, source, nested.feedback(F.col("doc_id") % 4, F.lit(3), source)),
+        "suites": nested.test_messages(body, shots),
+        "pairs": nested.test_messages(body, none, io=True),
+    }
+    said = lambda chat: F.md5(F.array_join(F.transform(chat, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n").cast("binary"))
+    return docs.select("doc_id", *[said(c).alias(n) for n, c in chats.items()])
+
+
+@query("""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS given FROM documents), w AS (SELECT doc_id, given, given[: len(given) // 2] AS wanted FROM d),
+    l AS (SELECT doc_id, unnest(given) AS line, generate_subscripts(given, 1) - 1 AS i, wanted FROM w)
+    SELECT doc_id, i::INT AS i, md5(line) AS input, CASE WHEN i < len(wanted) THEN md5(wanted[i + 1]) ELSE '(none)' END AS output FROM l""")
+def zipped_cases(spark, sf_dir):
+    """Inputs (bytes) paired by place with a list of outputs half as long, and a default beyond it."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", lines.alias("given")).withColumn("wanted", F.transform(F.slice("given", F.lit(1), F.floor(F.size("given") / 2).cast("int")), lambda x: F.md5(x.cast("binary"))))
+    rows = docs.select("doc_id", "wanted", F.posexplode(F.transform("given", lambda x: x.cast("binary"))).alias("i", "line"))
+    return rows.select("doc_id", "i", F.md5(nested.as_text(F.col("line")).cast("binary")).alias("input"), nested.zipped(F.col("i"), F.col("wanted"), "(none)").alias("output"))
+
+
 @query("""SELECT conv_id, count(*)::INT AS n, (sum(length('{"role": ' || coalesce(to_json(role), 'null') || ', "content": ' || coalesce(to_json(text), 'null') || '}')) + 2 * count(*))::INT AS chars
     FROM conversations GROUP BY conv_id""")
 def prompt_json_chars(spark, sf_dir):

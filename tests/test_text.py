@@ -103,3 +103,16 @@ def test_messages(spark):
     assert [m["role"] for m in chat] == ["system", "user"] and "### Failing test\nt" in chat[1]["content"]
     shots = F.array(F.struct(F.lit("q").alias("problem"), F.lit("a").alias("tests")))
     assert [m["role"] for m in one(spark, nested.test_messages(F.lit("p"), shots))] == ["system", "user", "assistant", "user"]
+
+
+def test_texts_of_bytes_and_metadata(spark):
+    assert one(spark, nested.as_text(F.lit(b"a\xc3\xa9"))) == "aé" and one(spark, nested.as_text(F.lit(None).cast("binary"))) == "" and one(spark, nested.as_text(F.lit(3))) == "3"
+    made = one(spark, nested.metadata_text(F.struct(F.lit("x").alias("a"), F.lit(2).alias("b"))))
+    assert json.loads(made) == {"a": "x", "b": 2} and "\n" in made
+    assert len(one(spark, nested.metadata_text(F.struct(F.lit("x" * 9000).alias("a"))))) == 4000
+    assert one(spark, nested.metadata_text(F.lit(None).cast("struct<a:string>"))) == ""
+    few = F.array(F.lit("p"), F.lit(None))
+    assert [one(spark, nested.zipped(F.lit(i), few, "d")) for i in range(3)] == ["p", "d", "d"]
+    assert [one(spark, text.both_errors(F.lit(a), F.lit(b))) for a, b in (("Error: x", "an ERROR"), ("error", "ok"), ("a", "a"))] == [True, False, True]
+    assert "### Expected\nNone\n" in one(spark, nested.call_debug_messages(*[F.lit(None).cast("string")] * 5))[1]["content"]
+    assert one(spark, nested.feedback(F.lit(1), F.lit(2), F.lit(None).cast("string"))).endswith("fails:\n") and one(spark, nested.feedback(F.lit(2), F.lit(2), F.lit("x"))) == "2 of 2 tests pass."
