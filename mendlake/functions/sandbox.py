@@ -37,8 +37,8 @@ SUITE_SECONDS, CALLS_SECONDS, PROGRAM_SECONDS, CALL_SECONDS = 10.0, 60.0, 6.0, 2
 #: Memory of a called function beyond what its interpreter holds; address space of any child; bytes that a child may
 #: write to one file, its stdout included: one that writes more is ended by a signal.
 CALL_MEMORY, MEMORY, WRITTEN = 256 << 20, 1 << 30, 64 << 20
-#: Jobs of a task, and of one commit to a store.
-JOBS_A_TASK, JOBS_A_COMMIT = 32, 10_000
+#: Jobs of a task, outcomes of one that joins them back, and jobs of one commit to a store.
+JOBS_A_TASK, OUTCOMES_A_TASK, JOBS_A_COMMIT = 32, 256, 10_000
 
 
 class _Warm:
@@ -223,7 +223,8 @@ def _once(df: DataFrame, columns: list[str], run: Callable[[dict], dict], outcom
 
     if store is None:
         jobs = written_once(jobs, "sandbox-jobs")
-        done = written_once(ran(jobs, jobs.count()), "sandbox")
+        n = jobs.count()
+        done = written_once(ran(jobs, n), "sandbox")
     else:
         if _there(spark, store):
             jobs = jobs.join(spark.read.parquet(store).select("job"), "job", "left_anti")
@@ -236,7 +237,9 @@ def _once(df: DataFrame, columns: list[str], run: Callable[[dict], dict], outcom
         kept = ", ".join([schema, "run string"])
         # Two calls at once may both have run a job.
         done = spark.read.schema(kept).parquet(store).dropDuplicates(["job"]) if _there(spark, store) else spark.createDataFrame([], kept)
-    return keyed.join(done.withColumnRenamed("job", key), key).drop(key)
+    # Outputs are long and pack to little in files: never broadcast them, and deal them by their number, not by bytes.
+    parts = max(-(-n // OUTCOMES_A_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return keyed.repartition(parts, key).join(done.withColumnRenamed("job", key).repartition(parts, key).hint("merge"), key).drop(key)
 
 
 SUITE_OUT = {"results": RESULTS, "error_type": "string", "error_msg": "string", "lines": "array<int>", "n_asserts": "int"}

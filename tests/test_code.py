@@ -5,7 +5,7 @@ import random
 
 import pytest
 from mendlake.functions import code, sandbox
-from mendlake.plans import verifier
+from mendlake.plans import code_queries, verifier
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
@@ -310,3 +310,11 @@ def test_gold_asserts(spark):
     got = {r["key"]: (r["n_asserts"], r["correct"], r["tests"]) for r in verifier.gold_suites(df).collect()}
     empty = "def check(candidate):\n    pass"
     assert got == {"a": (5, 3, "def check(candidate):\n    assert candidate(1) == 2"), "broken": (0, 0, empty), "null": (0, 0, empty)}
+
+
+def test_outcomes_are_never_broadcast(spark, sf):
+    """Long outputs pack to small files, so the size of their table says nothing."""
+    rows = spark.range(40).select(F.lit("print('x' * 200000)").alias("code"), (F.col("id") % 2).cast("string").alias("input"))
+    plans = [sandbox.run_programs(rows), code_queries.sandbox_programs(spark, sf)]
+    assert all("BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString() for df in plans)
+    assert plans[0].filter(F.length("stdout") == 200001).count() == 40
