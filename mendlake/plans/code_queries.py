@@ -155,7 +155,7 @@ def sandbox_equality(spark, sf_dir):
 def program_targets(spark, sf_dir):
     """Programs on three tests by stdin: all right, right for 0 only, exit in the middle, right but for large inputs."""
     c, kind = (F.floor(F.abs("s_acctbal"))).cast("string"), F.col("s_nationkey") % 4
-    sources = ("n = int(input())\nprint(n + {c})", "n = int(input())\nprint(n * {c} + {c} if {c} else n)", "import sys\nsys.stdout.write('half')\nsys.exit(1)", "n = int(input())\nprint(n + {c} if n < 2 else 'large')")
+    sources = ("n = int(input())\nprint(n + {c})", "n = int(input())\nprint(n * ({c} + 2) + {c} if {c} else n)", "import sys\nsys.stdout.write('half')\nsys.exit(1)", "n = int(input())\nprint(n + {c} if n < 2 else 'large')")
     code = F.get(F.array(*[F.replace(F.lit(p), F.lit("{c}"), c) for p in sources]), kind)
     tests = F.posexplode(F.array(*[F.struct(F.lit(str(i)).alias("input"), F.concat((c.cast("long") + i).cast("string"), F.lit(" \r\n")).alias("want")) for i in range(3)])).alias("test", "t")
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", code.alias("code"), tests).select("s_suppkey", "code", "test", "t.input", "t.want")

@@ -318,3 +318,11 @@ def test_outcomes_are_never_broadcast(spark, sf):
     plans = [sandbox.run_programs(rows), code_queries.sandbox_programs(spark, sf)]
     assert all("BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString() for df in plans)
     assert plans[0].filter(F.length("stdout") == 200001).count() == 40
+
+
+def test_program_targets_of_small_balances(spark, tmp_path):
+    """The second program is right for the first input only, unless its constant is 0."""
+    rows = [(1, 1, 0.5), (2, 1, -1.25), (3, 1, 2.0), (4, 5, 7.0), (5, 0, 1.0), (6, 2, 1.0), (7, 3, 1.0)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["s_suppkey"]: (r["passed"], r["total"]) for r in code_queries.program_targets(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 3), 2: (1, 3), 3: (1, 3), 4: (1, 3), 5: (3, 3), 6: (0, 3), 7: (2, 3)}
