@@ -92,7 +92,8 @@ def half_splits(files: DataFrame, seed: int = 1012) -> DataFrame:
     and rank is a row's place in its half.
 
     A file's permutation is numpy's and made in one task, as it must be that one: files are of evaluation size, and the
-    memory is sixteen bytes a row. Larger tables are split by shuffled_split() or hash_split().
+    memory is sixteen bytes a row. Larger tables are split by shuffled_split() or hash_split(). A join with it shuffles:
+    the size that Spark expects of it is that of the table of files.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +106,7 @@ def half_splits(files: DataFrame, seed: int = 1012) -> DataFrame:
                     columns = [pa.array([name] * len(at)), pa.array(np.arange(i, i + len(at))), pa.array(np.where(dev, "dev", "test")), pa.array(np.where(dev, at, at - n // 2))]
                     yield pa.RecordBatch.from_arrays(columns, ["name", "pos", "split", "rank"])
 
-    return files.select(F.col("name").cast("string"), F.col("n").cast("long")).mapInArrow(split, "name string, pos long, split string, rank long")
+    return files.select(F.col("name").cast("string"), F.col("n").cast("long")).mapInArrow(split, "name string, pos long, split string, rank long").hint("merge")
 
 
 def half_split(spark: SparkSession, n: int, name: str, seed: int = 1012) -> DataFrame:

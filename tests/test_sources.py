@@ -1,11 +1,12 @@
 """Arrow files, banks, batch rewards and metrics of streams on small cases."""
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from mendlake.plans import file_queries, rewarding
+from mendlake.plans import file_queries, queries, rewarding
 from mendlake.sources import arrow_files, readers
 from mendlake.streaming import metrics
 from pyspark.sql import functions as F
@@ -130,3 +131,10 @@ def test_each_files_halves(spark, sf, tmp_path):
         np.random.RandomState((1012 + int(hashlib.md5(f"of={status}".encode()).hexdigest()[:8], 16)) % 2**32).shuffle(order)
         assert sorted(placed) == list(range(len(placed))) and [placed[i][0] for i in range(len(placed))] == sorted(x[0] for x in placed.values())
         assert {i: placed[i][1:] for i in order[: len(order) // 2].tolist()} == {i: ("dev", k) for k, i in enumerate(order[: len(order) // 2].tolist())}
+
+
+def test_halves_are_never_broadcast(spark, sf):
+    """A permutation has a row for each row of its file, though the table of files is small."""
+    for df in (file_queries.split_files(spark, sf), queries.QUERIES["half_split_rows"](spark, sf)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in re.findall(r"(\w+) \[[^\]]*pos#", plan) and not re.search(r"BroadcastHashJoin \[[^\]]*pos#", plan), plan
