@@ -19,9 +19,16 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 from mendlake.operators.joins import last_wins
 from mendlake.tables import shared_dir
 
+#: Bytes of files of one batch of a stream, where no number of files is given: batches then grow with the input, not with
+#: how many files it is cut into.
+BYTES_A_BATCH = 128 << 20
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _per_batch(files: int | None) -> dict[str, int]:
+    return {"maxFilesPerTrigger": files} if files else {"maxBytesPerTrigger": BYTES_A_BATCH}
+
+
 def relevant(log: DataFrame, experiment: str, events: list[str], key: str) -> DataFrame:
     """Records of an experiment (or of none) with one of the events and a key that isn't blank."""
     return log.filter((F.coalesce("experiment", F.lit("")).isin("", experiment)) & F.col("event").isin(*events) & (F.trim(F.coalesce(key, F.lit(""))) != ""))
@@ -45,7 +52,7 @@ def state_provider(spark: SparkSession, name: str = ROCKSDB):
 
 
 def streamed_state(
-    spark: SparkSession, path: str, schema: T.StructType, keys: list[str], offset: list[str], files_per_batch: int = 50, fold: Callable[[DataFrame], DataFrame] | None = None, base: str | None = None,
+    spark: SparkSession, path: str, schema: T.StructType, keys: list[str], offset: list[str], files_per_batch: int | None = None, fold: Callable[[DataFrame], DataFrame] | None = None, base: str | None = None,
 ) -> DataFrame:
     """replay() of a folder of Parquet files as a stream.
 
@@ -55,7 +62,7 @@ def streamed_state(
     must differ in offset.
     """
     base = base or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    stream = spark.readStream.schema(schema).options(**_per_batch(files_per_batch)).parquet(path)
     rows = fold(stream) if fold else stream
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[f"`{c}`" for c in rows.columns]), F.struct(*offset)).alias("last"))
     with state_provider(spark):
@@ -76,7 +83,8 @@ def _begun(spark: SparkSession, path: str) -> bool:
 class Tails(StatefulProcessor):
     """The torn lines of a log: what follows a segment's last line end waits for the next segment's first one.
 
-    Segments that come before their turn are kept until it is theirs; one that comes again changes nothing.
+    Segments that come before their turn are kept until it is theirs; one that comes again changes nothing. Those of a
+    batch that come in their turn don't go through the state, whose every call is a message to the JVM.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -85,17 +93,19 @@ class Tails(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: object) -> Iterator[Row]:
         following, text = self.open.get() if self.open.exists() else (0, "")
-        for r in rows:
-            if r.segment >= following:
-                self.early.updateValue((r.segment,), (r.head, r.tail))
-        while self.early.containsKey((following,)):
-            head, tail = self.early.getValue((following,))
-            self.early.removeKey((following,))
+        now = {r.segment: (r.head, r.tail) for r in rows if r.segment >= following}
+        waiting = self.early.exists()
+        while following in now or (waiting and self.early.containsKey((following,))):
+            head, tail = now.pop(following, None) or self.early.getValue((following,))
+            if waiting:
+                self.early.removeKey((following,))
             text += head
             if tail is not None:
                 yield Row(log=key[0], segment=following, line=0, text=text)
                 text = tail
             following += 1
+        for segment, piece in now.items():
+            self.early.updateValue((segment,), piece)
         self.open.update((following, text))
 
     def close(self) -> None:
@@ -105,7 +115,7 @@ class Tails(StatefulProcessor):
 LINE = "log string, segment long, line int, text string"
 
 
-def log_lines(spark: SparkSession, path: str, base: str, files_per_batch: int = 50) -> DataStreamWriter:
+def log_lines(spark: SparkSession, path: str, base: str, files_per_batch: int | None = None) -> DataStreamWriter:
     """A stream of the whole lines of the logs below path (log=*/segment=*/*) into the table {base}/lines, not started.
 
     log, segment and line number a line: 0 is the one that ends in the segment, but may have begun before. Only a
@@ -114,7 +124,7 @@ def log_lines(spark: SparkSession, path: str, base: str, files_per_batch: int =
     writer's checkpoint is in base: started anew, it goes on where it was stopped.
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    found = files.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).load(path)
+    found = files.options(**_per_batch(files_per_batch)).option("recursiveFileLookup", True).load(path)
     parts = F.split(F.decode("content", "ISO-8859-1"), "\n", -1)
     of = lambda pattern: F.regexp_extract("path", pattern, 1)
     cut = found.select(of("/log=([^/]*)/").alias("log"), of("/segment=([0-9]+)/").cast("long").alias("segment"), parts.alias("parts"))
@@ -127,7 +137,7 @@ def log_lines(spark: SparkSession, path: str, base: str, files_per_batch: int =
     return whole.writeStream.format("parquet").option("path", f"{base}/lines").option("checkpointLocation", f"{base}/tails").outputMode("append")
 
 
-def streamed_log(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], base: str | None = None, files_per_batch: int = 50) -> DataFrame:
+def streamed_log(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], base: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """replay() of the JSON logs below path as streams: the last record of each key by log, segment and line.
 
     Lines that aren't JSON records are skipped. Both streams go on where they were stopped if base is kept.

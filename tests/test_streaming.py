@@ -133,3 +133,14 @@ def test_state_grows_with_keys_not_batches(spark, folder):
     assert got.count() == df.select("event_type").distinct().count()
     none = log.streamed_state(spark, folder, df.schema, ["event_type"], ["event_id"], fold=lambda b: b.filter("event_id < 0"))
     assert none.count() == 0
+
+
+def test_batches_by_bytes(spark, tmp_path):
+    """Many short segments are a batch together."""
+    root, base = tmp_path / "logs", f"file://{tmp_path}/base"
+    data = "".join(f'{{"k": "{i % 3}", "n": {i}}}\n' for i in range(240)).encode()
+    write_log(root, "one", data, list(range(20, len(data), 20)))
+    got = log.streamed_log(spark, f"file://{root}", SCHEMA, ["k"], base)
+    assert {r["k"]: r["n"] for r in got.collect()} == {"0": 237, "1": 238, "2": 239}
+    commits = [f for part in ("tails", "state") for f in (tmp_path / "base" / part / "commits").iterdir() if f.name.isdigit()]
+    assert len(list(root.rglob("*.jsonl"))) > 150 and len(commits) == 2
