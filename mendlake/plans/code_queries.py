@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mendlake.functions import code, nested, sandbox
 from mendlake.functions.text import stdout
 from mendlake.operators import evaluate, metrics
-from mendlake.operators.ordering import positions
+from mendlake.operators.ordering import dealt, positions
 from mendlake.plans import rewarding, verifier
 from mendlake.plans.queries import query
 from mendlake.tables import shared_dir, table
@@ -261,7 +261,7 @@ def ast_distance(spark, sf_dir):
         F.lit("for a in c:\n    if a:\n        x = "), calls(F.length("p_name") % 20), F.lit("\n    else:\n        "), branch, F.when(F.col("p_size") % 7 == 0, "(").otherwise(""),
     )
     rows = table(spark, sf_dir, "part").select("p_partkey", gold.alias("gold"), changed.alias("code"))
-    return rows.select("p_partkey", F.inline(F.array(code.tree_distance("gold", "code"))))
+    return dealt(rows, "gold", "code").select("p_partkey", F.inline(F.array(code.tree_distance("gold", "code"))))
 
 
 @query("""WITH p AS (SELECT s_suppkey, s_nationkey % 5 AS kind, floor(abs(s_acctbal))::BIGINT AS c FROM supplier)
@@ -314,7 +314,8 @@ def salvage_checks(spark, sf_dir):
 def io_lists(spark, sf_dir):
     n, m = F.col("p_size").cast("string"), (F.col("p_size") + 1).cast("string")
     check = F.concat(F.lit("def check(f):\n    inputs = []\n    inputs = ["), n, F.lit(", "), m, F.lit("]\n    results = ['"), "p_brand", F.lit("']\n"), F.when(F.col("p_size") % 2 == 0, "    y = set(results)\n").otherwise(""))
-    return table(spark, sf_dir, "part").select("p_partkey", F.inline(F.array(code.io_lists(check))))
+    rows = dealt(table(spark, sf_dir, "part").select("p_partkey", check.alias("check")), "check")
+    return rows.select("p_partkey", F.inline(F.array(code.io_lists("check"))))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 3 END AS n_cases, props AS first_input, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN (value > 50)::VARCHAR ELSE '' END AS first_output FROM events")

@@ -3,6 +3,7 @@
 import ast
 import random
 
+import pandas as pd
 import pytest
 from mendlake.functions import code, sandbox
 from mendlake.plans import code_queries, verifier
@@ -326,3 +327,16 @@ def test_program_targets_of_small_balances(spark, tmp_path):
     spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     got = {r["s_suppkey"]: (r["passed"], r["total"]) for r in code_queries.program_targets(spark, str(tmp_path)).collect()}
     assert got == {1: (3, 3), 2: (1, 3), 3: (1, 3), 4: (1, 3), 5: (3, 3), 6: (0, 3), 7: (2, 3)}
+
+
+def test_equal_programs_are_parsed_once(spark, sf, monkeypatch):
+    """Equal rows share a call, and the rows of one small file are dealt to all cores."""
+    seen = []
+    monkeypatch.setattr(code, "node_types", lambda x: seen.append(x) or [x])
+    a, b = pd.Series(["x", "x", None, "x"]), pd.Series(["y", "y", "y", "z"])
+    got = code.tree_distance.func(a, b)
+    assert list(got["distance"]) == [1.0] * 4 and len(seen) == 6
+    monkeypatch.setattr(code, "parsed", lambda x: seen.append(x))
+    assert len(code.io_lists.func(pd.Series(["u", "u", None, None]))) == 4 and len(seen) == 8
+    for name in ("ast_distance", "io_lists"):
+        assert getattr(code_queries, name)(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
