@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from mendlake.functions import sandbox
 from mendlake.functions.code import asserts_of, parsed, unfenced
+from mendlake.operators.ordering import dealt
 from mendlake.operators.rewards import ASSERT_CAP, PENALTY, PER_ASSERT, SCALE
 
 
@@ -112,7 +113,7 @@ def rewarded(df: DataFrame, name: str, batch: str, out: str = "reward") -> DataF
             raise ValueError(f"{name}: {len(got)} rewards of {rows.num_rows} rows, or one that isn't finite")
         return rows.append_column(out, pa.array(got, pa.float64()))
 
-    return df.groupBy(batch).applyInArrow(scored, schema)
+    return dealt(df, batch).groupBy(batch).applyInArrow(scored, schema)  # few bytes, but a child for each row
 
 
 def batch_of(df: DataFrame, size: int, pos: str = "pos", name: str = "batch") -> DataFrame:

@@ -138,3 +138,11 @@ def test_halves_are_never_broadcast(spark, sf):
     for df in (file_queries.split_files(spark, sf), queries.QUERIES["half_split_rows"](spark, sf)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in re.findall(r"(\w+) \[[^\]]*pos#", plan) and not re.search(r"BroadcastHashJoin \[[^\]]*pos#", plan), plan
+
+
+def test_batches_are_dealt_to_all_cores(spark):
+    """A batch has few bytes but a child for each row, so its size says nothing of its work."""
+    df = spark.range(64).selectExpr("id div 4 as batch", "'def f(' as completion", "'' as tests", "'f' as entry", "0 as passed_before", "1 as total")
+    got = rewarding.rewarded(df, "repair", "batch")
+    assert got.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert [r["reward"] for r in got.collect()] == [0.0] * 64
