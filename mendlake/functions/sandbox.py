@@ -6,8 +6,8 @@ with limits on CPU time, memory and the bytes it writes; the task kills its whol
 channel that candidates don't know of, behind a token. That keeps a worker alive and outcomes apart from what candidates
 print; it is no security boundary.
 
-With a store, a folder that all machines share, outcomes outlive a run: they are appended every so many jobs, by the
-job's digest, and a later run starts the children that are missing only.
+With a store, a folder that all machines share, outcomes outlive a run: they are appended by the job's digest in writes
+that double, whose tasks each commit what they ran, and a later run starts the children that are missing only.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ SUITE_SECONDS, CALLS_SECONDS, PROGRAM_SECONDS, CALL_SECONDS = 10.0, 60.0, 6.0, 2
 CALL_MEMORY, MEMORY, WRITTEN = 256 << 20, 1 << 30, 64 << 20
 #: Jobs of a task, outcomes of one that joins them back, and jobs of one commit to a store.
 JOBS_A_TASK, OUTCOMES_A_TASK, JOBS_A_COMMIT = 32, 256, 10_000
+#: A task's file is in the folder when the task has ended, not when all have.
+COMMIT_BY_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 
 class _Warm:
@@ -202,8 +204,10 @@ def _once(df: DataFrame, columns: list[str], run: Callable[[dict], dict], outcom
     """df with the outcome of its distinct values of columns. Rows with equal values, nulls included, share a job.
 
     store: a folder of outcomes that outlives this call. Jobs that it holds aren't run; the others are appended in
-    commits of about `commit` jobs, each of which is there whole or not at all. df then has `run`, the name of the call
-    that ran the row's job.
+    commits of at most about `commit` jobs, each of which is there whole or not at all: a task commits its own jobs. The
+    first write has `commit` jobs and later ones as many as all before, so that their number grows with the logarithm of
+    the jobs', and a folder that can't commit by task keeps about a half. df then has `run`, the name of the call that
+    ran the row's job.
     """
     spark, commit = df.sparkSession, commit or JOBS_A_COMMIT
     key = unused(df, "job")
@@ -218,8 +222,8 @@ def _once(df: DataFrame, columns: list[str], run: Callable[[dict], dict], outcom
                 got = run(row) | {"job": row["job"]}
                 yield pa.RecordBatch.from_arrays([pa.array([got["job"]], pa.string()), *[pa.array([got[c]], ARROW[t]) for c, t in outcome.items()]], ["job", *outcome])
 
-    def ran(some: DataFrame, n: int) -> DataFrame:
-        return some.repartition(max(1, -(-n // JOBS_A_TASK)), "job").mapInArrow(work, schema)
+    def ran(some: DataFrame, n: int, most: int = JOBS_A_TASK) -> DataFrame:
+        return some.repartition(max(1, -(-n // min(most, JOBS_A_TASK))), "job").mapInArrow(work, schema)
 
     if store is None:
         jobs = written_once(jobs, "sandbox-jobs")
@@ -230,10 +234,12 @@ def _once(df: DataFrame, columns: list[str], run: Callable[[dict], dict], outcom
             jobs = jobs.join(spark.read.parquet(store).select("job"), "job", "left_anti")
         jobs = written_once(jobs, "sandbox-jobs")
         n = jobs.count()
-        parts = -(-n // commit)
-        for part in range(parts):
-            some = jobs.filter(F.pmod(F.xxhash64("job"), F.lit(parts)) == part)
-            ran(some, -(-n // parts)).withColumn("run", F.lit(name)).write.mode("append").parquet(store)
+        parts, begun, part = -(-n // commit), 0, F.pmod(F.xxhash64("job"), F.lit(-(-n // commit)))
+        while begun < parts:
+            end = min(parts, max(1, 2 * begun))
+            some = ran(jobs.filter((part >= begun) & (part < end)), -(-n * (end - begun) // parts), commit)
+            some.withColumn("run", F.lit(name)).write.mode("append").options(**COMMIT_BY_TASK).parquet(store)
+            begun = end
         kept = ", ".join([schema, "run string"])
         # Two calls at once may both have run a job.
         done = spark.read.schema(kept).parquet(store).dropDuplicates(["job"]) if _there(spark, store) else spark.createDataFrame([], kept)

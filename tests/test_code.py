@@ -2,6 +2,7 @@
 
 import ast
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -302,6 +303,30 @@ def test_a_store_is_resumed(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_a_store_takes_few_writes(spark, tmp_path, monkeypatch):
+    """Writes double, whatever the size of a commit, and the tasks that have ended before one fails are kept."""
+    df = spark.range(40).select(F.col("id").cast("string").alias("code"))
+    writes, real = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: writes.append(path) or real(self, path, *a, **k))
+    got = sandbox._once(df, ["code"], lambda job: {"stdout": job["code"]}, {"stdout": "string"}, f"file://{tmp_path}/a", 1).collect()
+    assert sorted(r["stdout"] for r in got) == sorted(str(i) for i in range(40)) and writes.count(f"file://{tmp_path}/a") == 7
+
+    def fails(job):
+        if job["code"] == "7":
+            time.sleep(5)
+            raise ValueError("7")
+        return {"stdout": job["code"]}
+
+    store = f"file://{tmp_path}/b"
+    monkeypatch.setattr(sandbox, "JOBS_A_TASK", 2)
+    with pytest.raises(Exception, match="7"):
+        sandbox._once(df, ["code"], fails, {"stdout": "string"}, store, 40)
+    kept = {r["stdout"] for r in spark.read.parquet(store).collect()}
+    assert len(kept) > 20 and "7" not in kept
+    got = sandbox._once(df, ["code"], lambda job: {"stdout": "" if job["code"] in kept else job["code"]}, {"stdout": "string"}, store, 40).collect()
+    assert sorted(r["stdout"] for r in got) == sorted(str(i) for i in range(40))
+
+
 def test_gold_asserts(spark):
     tests = "def check(candidate):\n    assert candidate(1) == 2\n    assert candidate(1) == 3\n    assert True\n    assert candidate(1) == 2\n    raise ValueError\n    assert candidate(2) == 4"
     rows = [("a", "def f(x): return 2 * x", tests, "f"), ("broken", "def f(x): return x", "def check(", "f"), ("null", None, None, None)]
