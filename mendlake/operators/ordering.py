@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from mendlake.tables import unused, written_once
 
 
+#: Rows of a task of by_key().
+ROWS_A_TASK = 500_000
+
+
 def positions(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     """df with each row's place (from 0) in a total order.
 
@@ -40,6 +44,13 @@ def dealt(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(parts, *by).sortWithinPartitions(*by)
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """df with a key's rows in one task, in as many tasks as its rows (which are counted) call for, so that a task's
+    memory doesn't grow with the table. Aggregations, windows and joins by the keys then need no other shuffle of it."""
+    parts = max(-(-df.count() // ROWS_A_TASK), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
+
+
 def sliced(df: DataFrame, start: int, end: int, n: int, pos: str = "pos") -> DataFrame:
     """Rows of [start, end); an end of 0 or less or beyond n is n."""
     end = n if end <= 0 or end > n else end

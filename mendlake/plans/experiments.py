@@ -36,11 +36,11 @@ def selected(candidates: DataFrame, keys: list[str], policy: Policy, extra: tupl
     """A row for each key with the winner of the routed branches: source, passed, total, problem_passed, target_ok, and
     the aggregates `extra` of all of the key's candidates.
 
-    Candidates are dealt out by key once; ranking, pivot and extra aggregates need no other shuffle.
+    Candidates that ordering.by_key() has dealt out by key need no other shuffle for ranking, pivot and extra aggregates.
     """
     measures = ["passed", "total", "acc_pct", "problem_passed", "target_ok", "sample"]
     order = W.partitionBy(*keys, "branch").orderBy(*[F.desc(c) for c in policy.rank], "sample")
-    ranked = candidates.repartition(*keys).withColumn("_n", F.row_number().over(order))
+    ranked = candidates.withColumn("_n", F.row_number().over(order))
     best = lambda b, m: F.max(F.when((F.col("branch") == b) & (F.col("_n") == 1), F.col(m))).alias(f"{b}_{m}")
     both = ranked.groupBy(*keys).agg(*[best(b, m) for b in ("debug", "generation") for m in measures], *extra)
     names = [c for c in both.columns if c not in keys and not c.startswith(("debug_", "generation_"))]

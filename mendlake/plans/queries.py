@@ -116,17 +116,21 @@ for _policy, _name, _rule in (("assert", "route_tie_debug", _BY_FIRST.format(m="
 
 
 def gated(spark, sf_dir):
-    """The whole flow in one scan and two shuffles: candidates, best of a branch, route, three gates."""
+    """The whole flow in one scan and one shuffle: candidates, best of a branch, route, three gates."""
+    return experiments.gated(chosen(spark, sf_dir), ["suite"])
+
+
+def chosen(spark, sf_dir):
+    """The winner of each suite, a row a suite, with the buggy program's measures."""
     old = F.col("ok") & F.col("old")
-    counts = results(spark, sf_dir).groupBy("suite", "branch", "sample").agg(
+    counts = ordering.by_key(results(spark, sf_dir), "suite").groupBy("suite", "branch", "sample").agg(
         F.count_if("ok").alias("passed"), F.count(F.lit(1)).alias("total"), F.bool_or(F.col("ok") & (F.col("idx") == 1)).alias("target_ok"), F.count_if(F.col("ok") & F.col("gen")).alias("gen"),
         F.count_if(old).alias("old_passed"), F.bool_or(old & (F.col("idx") == 1)).alias("old_target"), F.count_if(old & F.col("gen")).alias("old_gen"),
     )
     counts = counts.withColumn("acc_pct", evaluate.pct(F.col("passed"), F.col("total"))).withColumn("problem_passed", F.col("passed") == F.col("total"))
     extra = (F.sum("gen").alias("gen_passed"), F.sum("old_passed").alias("base_passed"), F.sum("total").alias("base_total"), F.bool_or("old_target").alias("base_target_ok"), F.sum("old_gen").alias("base_gen_passed"))
-    chosen = experiments.selected(counts, ["suite"], selection.POLICIES["assert"], extra)
-    chosen = chosen.withColumn("base_acc_pct", evaluate.pct(F.col("base_passed"), F.col("base_total"))).withColumn("base_problem_passed", F.col("base_passed") == F.col("base_total"))
-    return experiments.gated(chosen, ["suite"])
+    out = experiments.selected(counts, ["suite"], selection.POLICIES["assert"], extra)
+    return out.withColumn("base_acc_pct", evaluate.pct(F.col("base_passed"), F.col("base_total"))).withColumn("base_problem_passed", F.col("base_passed") == F.col("base_total"))
 
 
 _CHOSEN = f"""{C}, best AS ({_best_sql("assert")}), {_PIVOT},
@@ -771,8 +775,9 @@ def concatenated_cases(spark, sf_dir):
 def benchmarks_table(spark, sf_dir):
     """One report over three benchmarks (all suites, those of cheap and those of dear orders); all have every experiment."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("suite"), "o_totalprice")
-    size = F.when(F.col("o_totalprice") < 100000, "small").otherwise("large").alias("benchmark")
-    modes = gated(spark, sf_dir).join(orders, "suite").withColumn("benchmark", F.explode(F.array(F.lit("all"), size)))
+    size = F.when(F.col("o_totalprice") < 100000, "small").otherwise("large")
+    sized = chosen(spark, sf_dir).join(orders, "suite").withColumn("size", size)  # a row a suite: its three modes come after the join
+    modes = experiments.gated(sized, ["size"]).withColumn("benchmark", F.explode(F.array(F.lit("all"), "size")))
     counts = written_once(modes.groupBy("benchmark", "mode", "bucket", "selected_source").agg(F.sum("passed").alias("passed"), F.sum("total").alias("total")), "counts")  # about 200 rows
     reports = {k: report_rows(counts.filter(F.col("benchmark") == k), spark) for k in ("all", "small", "large")}
     reports |= {k: reports[k].select("experiment", "overall") for k in ("small", "large")}

@@ -68,6 +68,18 @@ def test_half_split_is_the_permutation(spark):
     assert {r["pos"] for r in ordering.half_split(spark, 9, "a.tsv").filter("split = 'dev'").collect()} == set(order[:4].tolist())
 
 
+def test_tasks_follow_the_rows(spark, sf, monkeypatch):
+    """More rows are more tasks, not larger ones; one shuffle deals suites out for candidates, ranks and modes."""
+    monkeypatch.setattr(ordering, "ROWS_A_TASK", 500)
+    n = -(-queries.results(spark, sf).count() // 500)
+    assert n > 4
+    for df in (queries.gated(spark, sf), queries.chosen(spark, sf)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert df.rdd.getNumPartitions() == n
+    assert ordering.by_key(spark.range(3), "id").rdd.getNumPartitions() == 4
+    assert queries.benchmarks_table(spark, sf).count() == len(experiments.EXPERIMENTS)
+
+
 def test_missing_results(spark):
     labels = spark.createDataFrame([("x",), ("y",)], "experiment string")
     one = spark.createDataFrame([("x", 1.0)], "experiment string, overall double")
