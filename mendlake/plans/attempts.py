@@ -13,6 +13,7 @@ from mendlake.functions.text import notes
 from mendlake.operators.evaluate import pct
 from mendlake.operators.selection import Policy, backtrack, route
 from mendlake.sources.sinks import log_rows
+from mendlake.tables import apart
 
 COUNTS = ("passed", "total")
 RATES = (*COUNTS, "acc_pct")
@@ -129,7 +130,7 @@ def chosen(attempts: DataFrame, policy: Policy) -> DataFrame:
     of = lambda d, g, buggy: F.when(F.col("_winner") == "debug", d).when(F.col("_winner") == "generation", g).otherwise(buggy)
     sample = lambda b: F.concat(F.lit(f"{b}_sample_"), F.col(f"{b}_sample").cast("string"))
     buggy = evaluation(**{m: F.col(f"baseline.{m}") for m in ALL})
-    out = wide.withColumn("_winner", winner).withColumns(
+    out = apart(wide.withColumn("_winner", winner)).withColumns(
         {
             "nonbacktracking": of(F.col("debug"), F.col("generation"), buggy),
             "selected_source": of(sample("debug"), sample("generation"), F.lit("buggy")),
@@ -146,7 +147,7 @@ def chosen(attempts: DataFrame, policy: Policy) -> DataFrame:
     gates |= {f"{k}_source": F.when(x, F.col("selected_source")).otherwise("buggy") for k, x in keep.items()}
     lost = F.when(untested & (F.col("selected_source") != "buggy"), "rl_generated_backtracking_missing_or_empty_verifier")
     gates |= {"target_ok": F.col("nonbacktracking.target_ok"), "note": notes(F.col("note"), lost)}
-    return out.withColumns(gates).select(*attempts.columns, *[c for c in ("selected_source", "selected_code", "verifier_selected", "nonbacktracking", *gates) if c not in attempts.columns])
+    return apart(out).withColumns(gates).select(*attempts.columns, *[c for c in ("selected_source", "selected_code", "verifier_selected", "nonbacktracking", *gates) if c not in attempts.columns])
 
 
 def skipped(attempts: DataFrame, reason: Column) -> DataFrame:
@@ -159,7 +160,7 @@ def skipped(attempts: DataFrame, reason: Column) -> DataFrame:
     then |= {c: F.lit(None) for c in attempts.columns if c in ("debug", "generation") or c.startswith("verifier_")}
     then |= {c: F.lit(None) for c in ("debug_code", "generation_code", "target_got_selected") if c in attempts.columns}
     then |= {c: F.lit(0) for c in CHARS if c in attempts.columns}
-    return attempts.withColumns({c: F.when(skip, x).otherwise(F.col(c)) for c, x in then.items()})
+    return apart(attempts).withColumns({c: F.when(skip, x).otherwise(F.col(c)) for c, x in then.items()})
 
 
 def attempt_rows(attempts: DataFrame, layout: str) -> DataFrame:
@@ -177,4 +178,4 @@ def attempt_rows(attempts: DataFrame, layout: str) -> DataFrame:
         return (F.coalesce(x, F.lit(0)) if path in CHARS else x).alias(column)
 
     columns = LAYOUTS[layout]
-    return log_rows(attempts.select(*[c for c in (cell(*kv) for kv in columns.items()) if c is not None]), list(columns))
+    return log_rows(apart(attempts).select(*[c for c in (cell(*kv) for kv in columns.items()) if c is not None]), list(columns))

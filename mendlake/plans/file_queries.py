@@ -15,7 +15,7 @@ from mendlake.operators.selection import POLICIES
 from mendlake.plans import attempts as wide
 from mendlake.plans.options import Options, cached
 from mendlake.plans.queries import _BY_FIRST, _CHOSEN, _PIVOT, _TOTALS, C, ORACLES, QUERIES, _best_sql, gated, query, results
-from mendlake.operators.ordering import positions
+from mendlake.operators.ordering import by_key, positions
 from mendlake.sources import arrow_files, readers, sinks
 from mendlake.streaming import log
 from mendlake.streaming import metrics as stream_metrics
@@ -110,14 +110,14 @@ def attempts(spark, sf_dir):
     program (which fails what a candidate fails and the tests that aren't `old`), target, skip rules and choices."""
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     old = F.col("ok") & F.col("old")
-    counts = results(spark, sf_dir).groupBy("suite", "branch", "sample").agg(
+    counts = by_key(results(spark, sf_dir), "suite").groupBy("suite", "branch", "sample").agg(
         F.count_if("ok").alias("passed"), F.count(F.lit(1)).alias("total"), F.bool_or(F.col("ok") & (F.col("idx") == 1)).alias("target_ok"), F.count_if(F.col("ok") & F.col("gen")).alias("gen"),
         F.count_if("gen").alias("gen_total"), F.count_if(old).alias("old"), F.count_if(old & F.col("gen")).alias("old_gen"), F.bool_or(F.when(F.col("idx") == 1, old)).alias("hit"), F.min(F.when(~old, F.col("idx"))).alias("low"),
     )
     run = wide.evaluation(passed=F.col("passed"), total=F.col("total"), target_ok=F.col("target_ok"))
     policy = POLICIES["assert"]
     order = W.partitionBy("suite", "branch").orderBy(*[F.desc(f"run.{m}") for m in policy.rank], "sample")
-    ranked = counts.withColumn("run", run).repartition("suite").withColumn("n", F.row_number().over(order))
+    ranked = counts.withColumn("run", run).withColumn("n", F.row_number().over(order))
     best = lambda b, x: F.max(F.when((F.col("branch") == b) & (F.col("n") == 1), x))
     some = F.struct(F.col("gen").alias("passed"), F.col("gen_total").alias("total"))
     per = {f: best(b, x) for b in ("debug", "generation") for f, x in ((b, F.col("run")), (f"verifier_{b}", some), (f"{b}_sample", F.col("sample")))}

@@ -9,6 +9,8 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mendlake.tables import apart
+
 
 def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
@@ -50,17 +52,16 @@ def log_rows(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
     columns that df lacks, arrays, structs and maps as JSON."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
-    def cell(c: str) -> Column:
-        if c not in kinds:
-            return F.lit("").alias(c)
+    def text(c: str) -> Column:
         x = F.col(f"`{c}`")
         if kinds[c] in ("double", "float"):
             x = fixed(x, digits)
         elif kinds[c].startswith(("array", "struct", "map")):
             x = F.to_json(x)
-        return F.coalesce(x.cast("string"), F.lit("")).alias(c)
+        return x.alias(c)
 
-    return df.select(*[cell(c) for c in columns])
+    cell = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c in kinds else F.lit("")
+    return apart(df.select(*[text(c) for c in columns if c in kinds])).select(*[cell(c).alias(c) for c in columns])
 
 
 def by_mode(df: DataFrame, path: str) -> None:

@@ -35,6 +35,12 @@ def written_once(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df whose wide projections are compiled apart from those that follow. Spark makes one method of all of them, and
+    the JVM interprets methods of more than 8,000 bytes. The coalesce() to more partitions than there are moves no row."""
+    return df.coalesce(1 << 20)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, with underscores in front until no column of df has it."""
     taken = {c.lower() for c in df.columns}

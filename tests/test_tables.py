@@ -232,6 +232,25 @@ def test_attempts(spark):
     assert attempts.attempt_rows(empty, "stdin").count() == 0
 
 
+def test_attempts_compile(spark, sf, monkeypatch):
+    """The JVM interprets methods of more than 8,000 bytes, so no log's projections may make such a one; attempts are
+    dealt out once, in as many tasks as the results call for."""
+    from mendlake.plans import attempts, file_queries
+
+    monkeypatch.setattr(ordering, "ROWS_A_TASK", 500)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = file_queries.attempts(spark, sf)
+        for layout in attempts.LAYOUTS:
+            plan = attempts.attempt_rows(rows, layout)._jdf.queryExecution()
+            stages = plan.debug().codegenToSeq()
+            assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+            assert plan.executedPlan().toString().count("Exchange") == 1
+        assert rows.rdd.getNumPartitions() == -(-queries.results(spark, sf).count() // 500)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_whole_texts_and_even_halves(spark, tmp_path):
     from mendlake.functions.code import python_repr
     from mendlake.sources import readers
