@@ -25,6 +25,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from importlib.resources import as_file, files
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,8 +38,9 @@ SUITE_SECONDS, CALLS_SECONDS, PROGRAM_SECONDS, CALL_SECONDS = 10.0, 60.0, 6.0, 2
 #: Memory of a called function beyond what its interpreter holds; address space of any child; bytes that a child may
 #: write to one file, its stdout included: one that writes more is ended by a signal.
 CALL_MEMORY, MEMORY, WRITTEN = 256 << 20, 1 << 30, 64 << 20
-#: Jobs of a task, outcomes of one that joins them back, and jobs of one commit to a store.
-JOBS_A_TASK, OUTCOMES_A_TASK, JOBS_A_COMMIT = 32, 256, 10_000
+#: Jobs of a task, at least and at most, tasks of a core before they get more than the least, outcomes of a task that
+#: joins them back, and jobs of one commit to a store.
+JOBS_A_TASK, MOST_JOBS_A_TASK, TASKS_A_CORE, OUTCOMES_A_TASK, JOBS_A_COMMIT = 32, 128, 8, 256, 10_000
 #: A task's file is in the folder when the task has ended, not when all have.
 COMMIT_BY_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
@@ -91,6 +93,15 @@ class _Warm:
 _warm: list[_Warm] = []
 
 
+def _scratch(name: str, folder: str, on_disk: bool) -> BinaryIO:
+    """An open file without a name, of this job alone. Most stay empty or short, and making files on a disk costs more
+    than a child's work where all cores do it, so they are in memory, if the system has such; a program's output is on
+    disk, as it may be long."""
+    if on_disk or not hasattr(os, "memfd_create"):
+        return tempfile.TemporaryFile(dir=folder)
+    return open(os.memfd_create(name), "w+b")
+
+
 def _run(job: dict, stdin: str, seconds: float) -> tuple[int | None, dict[str, bytes]]:
     """(return code, None on a timeout; what the child wrote to out, err, its outcome's channel and its trace, whole)."""
     if _warm and _warm[0].pid != os.getpid():
@@ -98,17 +109,17 @@ def _run(job: dict, stdin: str, seconds: float) -> tuple[int | None, dict[str, b
     if not _warm:
         _warm.append(_Warm())
     given = {"cpu": int(seconds) + 1, "memory": MEMORY, "written": WRITTEN}
+    on_disk = ("out", "err") if job["kind"] == "program" else ()
     with contextlib.ExitStack() as stack:
         folder = stack.enter_context(tempfile.TemporaryDirectory(ignore_cleanup_errors=True))
-        named = {n: stack.enter_context(tempfile.TemporaryFile(dir=folder)) for n in ("in", "out", "err", "job", "outcome", "trace")}
+        named = {n: stack.enter_context(_scratch(n, folder, n in on_disk)) for n in ("in", "out", "err", "job", "outcome", "trace")}
         named["in"].write(stdin.encode(errors="surrogatepass"))
         named["job"].write(json.dumps(job, ensure_ascii=True).encode())
         for n in ("in", "job"):
             named[n].flush()
             named[n].seek(0)
-        os.mkdir(f"{folder}/work")
         try:
-            code = _warm[0].run(given | {"folder": f"{folder}/work"}, [f.fileno() for f in named.values()], seconds)
+            code = _warm[0].run(given | {"folder": folder}, [f.fileno() for f in named.values()], seconds)
         except OSError:  # a candidate has ended it, or the machine
             _warm.pop().close()
             code = 1
@@ -222,8 +233,9 @@ def _once(df: DataFrame, columns: list[str], run: Callable[[dict], dict], outcom
                 got = run(row) | {"job": row["job"]}
                 yield pa.RecordBatch.from_arrays([pa.array([got["job"]], pa.string()), *[pa.array([got[c]], ARROW[t]) for c, t in outcome.items()]], ["job", *outcome])
 
-    def ran(some: DataFrame, n: int, most: int = JOBS_A_TASK) -> DataFrame:
-        return some.repartition(max(1, -(-n // min(most, JOBS_A_TASK))), "job").mapInArrow(work, schema)
+    def ran(some: DataFrame, n: int, most: int = MOST_JOBS_A_TASK) -> DataFrame:
+        jobs_a_task = min(most, MOST_JOBS_A_TASK, max(JOBS_A_TASK, n // (TASKS_A_CORE * spark.sparkContext.defaultParallelism)))
+        return some.repartition(max(1, -(-n // jobs_a_task)), "job").mapInArrow(work, schema)
 
     if store is None:
         jobs = written_once(jobs, "sandbox-jobs")

@@ -1,13 +1,16 @@
 """Syntax-tree functions and the sandbox."""
 
 import ast
+import collections
 import random
+import tempfile
 import time
 
 import pandas as pd
 import pytest
-from mendlake.functions import code, sandbox
+from mendlake.functions import child, code, sandbox
 from mendlake.plans import code_queries, verifier
+from pyspark import TaskContext
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
@@ -365,3 +368,33 @@ def test_equal_programs_are_parsed_once(spark, sf, monkeypatch):
     assert len(code.io_lists.func(pd.Series(["u", "u", None, None]))) == 4 and len(seen) == 8
     for name in ("ast_distance", "io_lists"):
         assert getattr(code_queries, name)(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_jobs_of_a_task_grow_with_their_number(spark):
+    """A core has at least eight tasks, so that it is never left with one long one, and many jobs make no more of them."""
+    where = lambda job: {"stdout": str(TaskContext.get().partitionId())}
+    tasks = lambda n: sandbox._once(spark.range(n).select(F.col("id").cast("string").alias("code")), ["code"], where, {"stdout": "string"}).select("stdout").distinct().count()
+    cores = spark.sparkContext.defaultParallelism
+    assert 1 < tasks(320) <= 10 and 8 * cores // 2 < tasks(100 * 8 * cores) <= 8 * cores
+
+
+def test_children_make_no_files_and_import_nothing(spark, monkeypatch):
+    """A suite's channels are in memory, of bounded size as on disk; a child copies the names that were imported before."""
+    made, real = [], tempfile.TemporaryFile
+    monkeypatch.setattr(sandbox.tempfile, "TemporaryFile", lambda *a, **k: made.append(k) or real(*a, **k))
+    monkeypatch.setattr(sandbox, "WRITTEN", 1 << 16)
+    source = "import os\ndef f(n):\n    for _ in range(n):\n        os.write(1, b'x' * 1024)\n    return n"
+    tests = "def check(candidate):\n    assert candidate(10) == 10\n    assert candidate(100) == 100\n    assert os.listdir() == []\n    assert open('own', 'w').write('x') == 1"
+    got = sandbox.suite_outcome({"code": source, "tests": tests, "entry": "f"})
+    assert [(r["ok"], r["error_type"]) for r in got["results"]] == [(True, ""), (False, "OSError"), (True, ""), (True, "")] and not made
+    assert sandbox.run_program("print(input())", "a")["stdout"] == "a\n" and len(made) == 2
+
+    plain = child.namespace(child.SUITE_IMPORTS, "np.array", helpers=True)
+    monkeypatch.setattr(child, "PREPARED", {})
+    child.warm()
+    one, other = (child.namespace(child.SUITE_IMPORTS, "np.array", helpers=True) for _ in range(2))
+    assert set(one) == set(plain) and all(one[k] is plain[k] or one[k] == plain[k] for k in one)
+    one["deque"] = None
+    assert other["deque"] is collections.deque and child.namespace(child.CALL_IMPORTS, "")["hashlib"]
+    monkeypatch.setattr(child, "SUITE_IMPORTS", child.SUITE_IMPORTS + "late = 1")  # not prepared: it is run
+    assert child.namespace(child.SUITE_IMPORTS, "")["late"] == 1
