@@ -94,9 +94,9 @@ _warm: list[_Warm] = []
 
 
 def _scratch(name: str, folder: str, on_disk: bool) -> BinaryIO:
-    """An open file without a name, of this job alone. Most stay empty or short, and making files on a disk costs more
-    than a child's work where all cores do it, so they are in memory, if the system has such; a program's output is on
-    disk, as it may be long."""
+    """An open file without a name, of this job alone. Most stay empty or short, and making files on a disk is a good part
+    of a child's cost where all cores do it, so they are in memory, if the system has such; a program's output is on disk,
+    as it may be long."""
     if on_disk or not hasattr(os, "memfd_create"):
         return tempfile.TemporaryFile(dir=folder)
     return open(os.memfd_create(name), "w+b")
